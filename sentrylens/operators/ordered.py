@@ -194,17 +194,13 @@ def previous_rows(
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    target_rows: int = TARGET_ROWS,
+def ranked_counts(
+    df: DataFrame, groups: Sequence[str], value: str, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+    """Distinct values with their count, the running count and the group's total.
 
-    Works on value counts with a running total, so no group is gathered in a task.
-    Null values are left out.
+    The basis of exact order statistics: no group is gathered in a task. Nulls are
+    left out. Columns: groups, ``_value``, ``_n``, ``_upto``, ``_total``.
     """
     groups = list(groups)
     counts = (
@@ -213,27 +209,38 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = running(
-        counts,
-        groups,
-        ["_value"],
-        [Running("_upto", "sum", F.col("_n"))],
-        target_rows=target_rows,
+        counts, groups, ["_value"], [Running("_upto", "sum", F.col("_n"))], target_rows=target_rows
     )
+    if not groups:
+        return ranked.withColumn("_total", counts.agg(F.sum("_n")).scalar())
     totals = counts.groupBy(*[F.col(g).alias(f"_t_{g}") for g in groups]).agg(
         F.sum("_n").alias("_total")
     )
     same = [F.col(g).eqNullSafe(F.col(f"_t_{g}")) for g in groups]
-    joined = ranked.join(totals, same) if groups else ranked.crossJoin(F.broadcast(totals))
+    return ranked.join(totals, same).drop(*[f"_t_{g}" for g in groups])
+
+
+def exact_quantiles(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    target_rows: int = TARGET_ROWS,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group."""
+    groups = list(groups)
+    ranked = ranked_counts(df, groups, value, target_rows)
+    at = F.col("_total").cast("double") - 1
     picks = []
     for name, p in probs.items():
-        at = F.col("_total").cast("double") - 1
         low, high = F.floor(at * p), F.ceil(at * p)
         picks += [
             F.min(F.when(F.col("_upto") > low, F.col("_value"))).alias(f"_lo_{name}"),
             F.min(F.when(F.col("_upto") > high, F.col("_value"))).alias(f"_hi_{name}"),
             F.max(at * p - low).alias(f"_w_{name}"),
         ]
-    return joined.groupBy(*groups).agg(F.max("_total").alias("n"), *picks).select(
+    found = ranked.groupBy(*groups).agg(F.max("_total").alias("n"), *picks)
+    return found.select(
         *groups,
         "n",
         *[
@@ -244,3 +251,14 @@ def exact_quantiles(
             for name in probs
         ],
     )
+
+
+def upper_median(
+    df: DataFrame, groups: Sequence[str], value: str, out: str, target_rows: int = TARGET_ROWS
+) -> DataFrame:
+    """The element at position n div 2 of the sorted values (the upper one if n is even)."""
+    ranked = ranked_counts(df, groups, value, target_rows)
+    middle = F.floor(F.col("_total") / 2)
+    return ranked.groupBy(*groups).agg(
+        F.min(F.when(F.col("_upto") > middle, F.col("_value"))).alias(out)
+    )

@@ -1,7 +1,9 @@
 """All registered queries; importing the query modules fills the registry."""
 
 from sentrylens.plans import (  # noqa: F401
+    q_labels,
     q_projections,
+    q_windows,
 )
 from sentrylens.plans.registry import CHECKS, QUERIES
 
