@@ -23,8 +23,6 @@ from sentrylens.operators.ordered import (
     upper_median,
 )
 
-ONE = F.lit(1)
-
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -652,12 +650,12 @@ def type_breakdown(df: DataFrame, kind: str, rule: str) -> DataFrame:
 
 def set_agreement(df: DataFrame, hits: Sequence[str]) -> DataFrame:
     """AGG35: intersection, union, pairwise equality and single-model hits."""
-    patterns = df.groupBy(*hits).agg(_n().alias("c"))
+    patterns = df.groupBy(*hits).agg(_n().alias("_n"))
     on = [F.col(h) == 1 for h in hits]
     count = sum((o.cast("int") for o in on), F.lit(0))
 
     def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, F.col("_n"))), F.lit(0))
 
     pairs = [(i, j) for i in range(len(hits)) for j in range(i + 1, len(hits))]
     return patterns.agg(

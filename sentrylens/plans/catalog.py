@@ -1,6 +1,7 @@
 """All registered queries; importing the query modules fills the registry."""
 
 from sentrylens.plans import (  # noqa: F401
+    q_audit,
     q_labels,
     q_projections,
     q_windows,
