@@ -115,17 +115,32 @@ def purity(df: DataFrame, sig: str, y: str = "y") -> DataFrame:
 
 
 def purity_bands(table: DataFrame) -> DataFrame:
-    """AGG6: signatures and volume per purity band (disjoint bands)."""
-    band = None
-    for name, low, high in C.PURITY_BANDS:
-        inside = (F.col("purity") >= low) & (F.col("purity") < high)
-        band = F.when(inside, name) if band is None else band.when(inside, name)
-    total = table.agg(F.sum("n")).scalar()
-    return table.groupBy(band.alias("band")).agg(
-        _n().alias("n_sig"),
-        F.sum("n").alias("volume"),
-        (100.0 * F.sum("n") / F.max(total)).alias("pct"),
+    """AGG6: signatures and volume per purity band (disjoint bands, empty ones too)."""
+    bands = [
+        (name, (F.col("purity") >= low) & (F.col("purity") < high))
+        for name, low, high in C.PURITY_BANDS
+    ]
+    return _band_rows(table, bands)
+
+
+def _band_rows(table: DataFrame, bands: Sequence[tuple[str, Column]]) -> DataFrame:
+    """One row per band from one pass over a signature table with volume ``n``."""
+    sums = []
+    for i, (_, inside) in enumerate(bands):
+        sums.append(F.count_if(inside).alias(f"s{i}"))
+        sums.append(F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias(f"v{i}"))
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("band"),
+                F.col(f"s{i}").alias("n_sig"),
+                F.col(f"v{i}").alias("volume"),
+                (100.0 * F.col(f"v{i}") / F.col("total")).alias("pct"),
+            )
+            for i, (name, _) in enumerate(bands)
+        ]
     )
+    return table.agg(F.sum("n").alias("total"), *sums).select(F.inline(rows))
 
 
 def exposure(table: DataFrame, limit: float = 0.99) -> DataFrame:
@@ -166,29 +181,7 @@ def ratio_table(df: DataFrame, sig: str, y: str = "y") -> DataFrame:
 def ratio_bands(table: DataFrame) -> DataFrame:
     """AGG9: cumulative ratio bands and the strictly exclusive signatures."""
     bands = [(f">={t}", F.col("ratio") >= t) for t in C.RATIO_BANDS]
-    bands.append(("exclusive", F.col("n_benign") == 0))
-    sums = [_n_where(c).alias(f"s{i}") for i, (_, c) in enumerate(bands)]
-    sums += [
-        F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(f"v{i}")
-        for i, (_, c) in enumerate(bands)
-    ]
-    one = table.agg(F.sum("n").alias("total"), *sums)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("band"),
-                F.col(f"s{i}").alias("n_sig"),
-                F.col(f"v{i}").alias("volume"),
-                (100.0 * F.col(f"v{i}") / F.col("total")).alias("pct"),
-            )
-            for i, (name, _) in enumerate(bands)
-        ]
-    )
-    return one.select(F.inline(rows))
-
-
-def _n_where(condition: Column) -> Column:
-    return F.count_if(condition)
+    return _band_rows(table, [*bands, ("exclusive", F.col("n_benign") == 0)])
 
 
 # --- information --------------------------------------------------------------------------

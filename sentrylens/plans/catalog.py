@@ -2,6 +2,7 @@
 
 from sentrylens.plans import (  # noqa: F401
     q_audit,
+    q_features,
     q_labels,
     q_projections,
     q_windows,

@@ -169,16 +169,15 @@ def _fine(spark, sf):
     return V.labelled(spark, sf).withColumn("signature", F.concat_ws("_", "signature", "k"))
 
 
-_BAND = "CASE " + " ".join(
-    f"WHEN purity >= {lo!r} AND purity < {hi!r} THEN '{n}'" for n, lo, hi in C.PURITY_BANDS
-) + " END"
-
-
 @query(
     "agg6_purity_bands",
     V.check_sql(
-        f"""SELECT {_BAND} AS band, count(*) AS n_sig, CAST(sum(n) AS BIGINT) AS volume,
-        round(100.0 * sum(n) / (SELECT sum(n) FROM pur), 6) AS pct FROM pur GROUP BY 1""",
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS band, count(*) FILTER (purity >= {lo!r} AND purity < {hi!r}) AS n_sig,
+            CAST(coalesce(sum(n) FILTER (purity >= {lo!r} AND purity < {hi!r}), 0) AS BIGINT) AS volume,
+            round(100.0 * coalesce(sum(n) FILTER (purity >= {lo!r} AND purity < {hi!r}), 0) / sum(n), 6) AS pct FROM pur"""
+            for name, lo, hi in C.PURITY_BANDS
+        ),
         "labelled", fine=_FINE, pur=_PURITY.format("fine"),
     ),
 )
