@@ -699,10 +699,11 @@ def bucket_attribution(importance: DataFrame, gain: str = "gain", corrected: boo
     )
 
 
-def feature_taxonomy(features: DataFrame, corrected: bool = False) -> DataFrame:
-    """AGG38: number of features per bucket; input has a ``feature`` column."""
-    return features.select("feature").distinct().groupBy(feature_bucket(corrected).alias("bucket")).agg(
-        _n().alias("n_features")
+def feature_taxonomy(long: DataFrame, corrected: bool = False) -> DataFrame:
+    """AGG38: features per bucket and their non-zero cells; input from ``stacked``."""
+    per_feature = long.groupBy("feature").agg(F.count_if(F.col("value") != 0).alias("c"))
+    return per_feature.groupBy(feature_bucket(corrected).alias("bucket")).agg(
+        _n().alias("n_features"), F.sum("c").alias("n_nonzero")
     )
 
 

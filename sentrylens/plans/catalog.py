@@ -2,8 +2,10 @@
 
 from sentrylens.plans import (  # noqa: F401
     q_audit,
+    q_decisions,
     q_features,
     q_labels,
+    q_populations,
     q_projections,
     q_windows,
 )

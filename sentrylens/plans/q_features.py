@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators import features
+from sentrylens.operators import audit, features
 from sentrylens.plans import q_projections as P
 from sentrylens.plans import q_windows as W
 from sentrylens.plans import views as V
@@ -29,17 +29,15 @@ def _flat(spark, sf):
     return V.detailed_alerts(spark, sf).withColumn("message", F.lit(None).cast("string"))
 
 
-@query(
-    "prj14_feature_row_26",
-    V.check_sql(
-        f"""SELECT row_id, CAST(length(description) AS DOUBLE) AS desc_len, CAST(level AS DOUBLE) AS rule_level,
-        {', '.join(f'kw_{w}_f AS kw_{w}' for w in C.KEYWORDS)}, tactic AS mitre_tactic_id, auth_f AS is_auth_failure,
-        web_f AS is_web_attack, CAST(rule_id AS DOUBLE) AS rule_id_encoded, CAST(crit_f AS DOUBLE) AS agent_criticality,
-        {', '.join('h.' + f for f in features.HISTORY_FEATURES)}, CAST(stage AS DOUBLE) AS kill_chain_stage
-        FROM proj JOIN hist h USING (row_id)""",
-        "detailed", proj=_PROJ, numbered=_NUMBERED, hist=W._history_sql("scenario"),
-    ),
-)
+_ROW26 = f"""SELECT row_id, CAST(length(description) AS DOUBLE) AS desc_len, CAST(level AS DOUBLE) AS rule_level,
+    {', '.join(f'kw_{w}_f AS kw_{w}' for w in C.KEYWORDS)}, tactic AS mitre_tactic_id, auth_f AS is_auth_failure,
+    web_f AS is_web_attack, CAST(rule_id AS DOUBLE) AS rule_id_encoded, CAST(crit_f AS DOUBLE) AS agent_criticality,
+    {', '.join('h.' + f for f in features.HISTORY_FEATURES)}, CAST(stage AS DOUBLE) AS kill_chain_stage
+    FROM proj JOIN hist h USING (row_id)"""
+_FEATURE_VIEWS = dict(proj=_PROJ, numbered=_NUMBERED, hist=W._history_sql("scenario"))
+
+
+@query("prj14_feature_row_26", V.check_sql(_ROW26, "detailed", **_FEATURE_VIEWS))
 def prj14(spark, sf):
     return rounded(features.features_v2(_flat(spark, sf), ["scenario"], ["us", "row_id"], "us", keep=["row_id"]))
 
@@ -54,7 +52,7 @@ def prj14(spark, sf):
         0.0::DOUBLE AS kill_chain_stage, {', '.join(f'{P.class_sql(i)} AS {n}' for i, n in enumerate(P._CLASS_NAMES))},
         {P._text_features_sql(P._RULE_TEXT)}, 0.0::DOUBLE AS process_depth
         FROM proj JOIN hist h USING (row_id)""",
-        "detailed", proj=_PROJ, numbered=_NUMBERED, hist=W._history_sql("scenario"),
+        "detailed", **_FEATURE_VIEWS,
     ),
 )
 def prj18(spark, sf):
@@ -74,7 +72,7 @@ def prj18(spark, sf):
         CAST(CASE WHEN kw_root_f + kw_privilege_f > 0 THEN 3 ELSE 0 END AS DOUBLE) AS actor_type,
         0.0::DOUBLE AS touches_sensitive_path, 0.0::DOUBLE AS is_suid_check, kw_root_f + kw_privilege_f AS cmdline_priv_tokens,
         0.0::DOUBLE AS process_depth FROM proj JOIN hist h USING (row_id)""",
-        "detailed", proj=_PROJ, numbered=_NUMBERED, hist=W._history_sql("scenario"),
+        "detailed", **_FEATURE_VIEWS,
     ),
 )
 def prj19(spark, sf):
@@ -82,6 +80,21 @@ def prj19(spark, sf):
     return rounded(features.v2_to_norm(rows, ["row_id"]))
 
 
+@query(
+    "agg38_feature_taxonomy",
+    V.check_sql(
+        """SELECT CASE WHEN feature IN ('desc_len', 'rule_level', 'rule_id_encoded') THEN 'identity'
+          WHEN feature IN ('alert_rate_1min', 'unique_src_ip_10min', 'time_since_last_high') THEN 'behavioural' ELSE 'correlated' END AS bucket,
+        count(DISTINCT feature) AS n_features, count(*) FILTER (value <> 0) AS n_nonzero
+        FROM (UNPIVOT row26 ON COLUMNS(* EXCLUDE (row_id)) INTO NAME feature VALUE value) GROUP BY 1""",
+        "detailed", **_FEATURE_VIEWS, row26=_ROW26,
+    ),
+)
+def agg38(spark, sf):
+    rows = features.features_v2(_flat(spark, sf), ["scenario"], ["us", "row_id"], "us")
+    return audit.feature_taxonomy(audit.stacked(rows, C.FEATURES))
+
+
 # --- sources: the alerts are first written as the JSON lines that a collector delivers --------
 
 
@@ -334,6 +347,30 @@ def snk2(spark, sf):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+_THRESHOLDS = """SELECT collection, count(*) AS n, round(max(value) FILTER (level = 3), 6) AS theta FROM alerts GROUP BY collection"""
+
+
+def _threshold_rows(spark, sf):
+    return V.alerts(spark, sf).groupBy("collection").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.max(F.when(F.col("level") == 3, F.col("value"))), 6).alias("theta")
+    )
+
+
+@query("src10_metric_artefact_scan", V.check_sql(_THRESHOLDS, "alerts"))
+def src10(spark, sf):
+    path = _folder(spark)
+    sinks.write_table(_threshold_rows(spark, sf), path, "csv")
+    return S.read_metrics(spark, path, "collection string, n long, theta double")
+
+
+@query("snk3_threshold_record", V.check_sql(_THRESHOLDS, "alerts"))
+def snk3(spark, sf):
+    path = _folder(spark)
+    sinks.write_thresholds(_threshold_rows(spark, sf), path)
+    back = S.read_metrics(spark, path, "collection string, n long, theta double, written_at string", "json")
+    return back.filter("written_at IS NOT NULL").drop("written_at")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

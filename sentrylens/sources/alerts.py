@@ -239,4 +239,4 @@ def read_idset(spark: SparkSession, path: str) -> DataFrame:
 def read_metrics(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
     """SRC10: score or metric artefact in CSV or JSON."""
     reader = spark.read.schema(schema)
-    return reader.csv(path, header=True) if fmt == "csv" else reader.json(path, multiLine=True)
+    return reader.csv(path, header=True) if fmt == "csv" else reader.json(path)
