@@ -180,7 +180,7 @@ def missing_claims(
 ) -> DataFrame:
     """CTL6: the claims without any name or with a name that does not exist."""
     names = F.filter(
-        F.transform(F.split(F.coalesce(source, F.lit("")), ";"), F.trim), lambda s: s != ""
+        F.transform(F.split(F.coalesce(source, F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != ""
     )
     named = claims.select(claim_id, names.alias("_names"))
     nameless = named.filter(F.size("_names") == 0).select(claim_id)
