@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylens.operators.ordered import Running, chunk_edges, running
+from sentrylens.operators.ordered import Running, chunk_cuts, running, spread
 
 
 def label_asof(
@@ -37,18 +37,22 @@ def label_asof(
         F.max_by(F.struct(end, *carry), F.struct(end, *carry)).alias("_w")
     )
     placed = alerts.filter(F.col(time).isNotNull())
-    edges = chunk_edges(placed, time, target_rows)
-    stream = placed.withColumns({"_t": F.col(time), "_tag": F.lit(1)}).unionByName(
-        one_per_start.select(*by, F.col(start).alias("_t"), F.lit(0).alias("_tag"), "_w"),
+    cuts = chunk_cuts(placed, time, target_rows=target_rows)
+    stream = placed.withColumns(
+        {"_t": F.col(time), "_tag": F.lit(1), "_spread": spread(placed, cuts)}
+    ).unionByName(
+        one_per_start.select(
+            *by, F.col(start).alias("_t"), F.lit(0).alias("_tag"), F.lit(0).cast("long").alias("_spread"), "_w"
+        ),
         allowMissingColumns=True,
     )
     merged = running(
-        stream, by, ["_t", "_tag"], [Running("_open", "last", F.col("_w"))], edges=edges
+        stream, by, ["_t", "_tag", "_spread"], [Running("_open", "last", F.col("_w"))], cuts=cuts
     ).filter(F.col("_tag") == 1)
     inside = F.coalesce(F.col("_t") <= F.col(f"_open.{end}"), F.lit(False))
     hit = merged.withColumns(
         {out: inside.cast("int"), **{c: F.when(inside, F.col(f"_open.{c}")) for c in carry}}
-    ).drop("_t", "_tag", "_w", "_open")
+    ).drop("_t", "_tag", "_spread", "_w", "_open")
     missing = alerts.filter(F.col(time).isNull()).withColumn(out, F.lit(0))
     return hit.unionByName(missing, allowMissingColumns=True)
 
@@ -70,26 +74,37 @@ def open_windows(
     ``half_open``). No pair of point and window is ever formed.
     """
     by = list(by)
-    edges = chunk_edges(points, time, target_rows)
+    cuts = chunk_cuts(points, time, target_rows=target_rows)
 
     def marks(column: str, tag: int, delta: int) -> DataFrame:
         return windows.select(
-            *by, F.col(column).alias("_t"), F.lit(tag).alias("_tag"), F.lit(delta).cast("long").alias("_d")
+            *by,
+            F.col(column).alias("_t"),
+            F.lit(tag).alias("_tag"),
+            F.lit(0).cast("long").alias("_spread"),
+            F.lit(delta).cast("long").alias("_d"),
         )
 
     # at equal times: starts (0), half-open ends (1), points (2), closed ends (3)
-    stream = points.withColumns({"_t": F.col(time), "_tag": F.lit(2), "_d": F.lit(0).cast("long")})
+    stream = points.withColumns(
+        {
+            "_t": F.col(time),
+            "_tag": F.lit(2),
+            "_spread": spread(points, cuts),
+            "_d": F.lit(0).cast("long"),
+        }
+    )
     steps = marks(start, 0, 1).unionByName(marks(end, 1 if half_open else 3, -1))
     return (
         running(
             stream.unionByName(steps, allowMissingColumns=True),
             by,
-            ["_t", "_tag"],
+            ["_t", "_tag", "_spread"],
             [Running(out, "sum", F.col("_d"))],
-            edges=edges,
+            cuts=cuts,
         )
         .filter(F.col("_tag") == 2)
-        .drop("_t", "_tag", "_d")
+        .drop("_t", "_tag", "_spread", "_d")
     )
 
 
@@ -184,16 +199,21 @@ def attach_segments(
 ) -> DataFrame:
     """Attach to each point the segment of every kind that it lies in, in one pass."""
     by, kinds = list(by), list(segments)
-    edges = chunk_edges(points, time, target_rows)
-    stream = points.withColumns({"_t": F.col(time), "_tag": F.lit(len(kinds))})
+    cuts = chunk_cuts(points, time, target_rows=target_rows)
+    stream = points.withColumns(
+        {"_t": F.col(time), "_tag": F.lit(len(kinds)), "_spread": spread(points, cuts)}
+    )
     for i, kind in enumerate(kinds):
         stream = stream.unionByName(
-            segments[kind].select(*by, "_t", F.lit(i).alias("_tag"), F.col("_segment").alias(f"_s{i}")),
+            segments[kind].select(
+                *by, "_t", F.lit(i).alias("_tag"), F.lit(0).cast("long").alias("_spread"),
+                F.col("_segment").alias(f"_s{i}"),
+            ),
             allowMissingColumns=True,
         )
     specs = [Running(kind, "last", F.col(f"_s{i}")) for i, kind in enumerate(kinds)]
     return (
-        running(stream, by, ["_t", "_tag"], specs, edges=edges)
+        running(stream, by, ["_t", "_tag", "_spread"], specs, cuts=cuts)
         .filter(F.col("_tag") == len(kinds))
         .select(*points.columns, *kinds)
     )
@@ -270,37 +290,45 @@ def nearest_window_offset(
     Positive: the window lies before the point. At equal distance the earlier window.
     """
     by = list(by)
-    edges = chunk_edges(points, time, target_rows)
+    cuts = chunk_cuts(points, time, target_rows=target_rows)
 
     def marks(column: str, tag: int, delta: int) -> DataFrame:
         return windows.select(
             *by,
             F.col(column).alias("_t"),
             F.lit(tag).alias("_tag"),
+            F.lit(0).cast("long").alias("_spread"),
             F.lit(delta).cast("long").alias("_d"),
             F.col(column).alias("_m"),
         )
 
-    here = points.withColumns({"_t": F.col(time), "_tag": F.lit(2), "_d": F.lit(0).cast("long")})
+    here = points.withColumns(
+        {
+            "_t": F.col(time),
+            "_tag": F.lit(2),
+            "_spread": spread(points, cuts),
+            "_d": F.lit(0).cast("long"),
+        }
+    )
     starts, ends = marks(start, 0, 1), marks(end, 3, -1)
     covered = running(
         here.unionByName(starts.unionByName(ends), allowMissingColumns=True),
         by,
-        ["_t", "_tag"],
+        ["_t", "_tag", "_spread"],
         [
             Running("_open", "sum", F.col("_d")),
             Running("_ended", "last", F.when(F.col("_tag") == 3, F.col("_m"))),
         ],
-        edges=edges,
+        cuts=cuts,
     ).filter(F.col("_tag") == 2).drop("_m")
     near = running(
         covered.unionByName(starts, allowMissingColumns=True),
         by,
-        ["_t", "_tag"],
+        ["_t", "_tag", "_spread"],
         [Running("_starts", "last", F.col("_m"))],
         reverse=True,
-        edges=edges,
-    ).filter(F.col("_tag") == 2).drop("_t", "_tag", "_d", "_m")
+        cuts=cuts,
+    ).filter(F.col("_tag") == 2).drop("_t", "_tag", "_spread", "_d", "_m")
     after = F.col(time) - F.col("_ended")
     before = F.col(time) - F.col("_starts")
     offset = (

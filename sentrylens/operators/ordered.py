@@ -4,7 +4,8 @@ A Spark window keeps one key in one task. A scenario, a detector or "all rows" c
 a third of the data, so every ordered operator of the library goes through this module:
 
 1. the leading order column is cut at quantiles, which gives chunks of about equal size
-   whatever the distribution of time or score;
+   whatever the distribution of time or score (a value that fills chunks alone is cut
+   along the tie-breaking column);
 2. each (key, chunk) is reduced to one small state row (map-side combined);
 3. the states are accumulated over the chunks of a key (at most ``MAX_CHUNKS`` rows);
 4. the accumulated state enters its chunk as a first row, and an ordinary window over
@@ -25,37 +26,97 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 ROW_FLAG = "_is_row"
-MIN_CHUNKS = 8
-MAX_CHUNKS = 2048
+FEW_CHUNKS = 16
+MAX_CHUNKS = 4096
 TARGET_ROWS = 1_000_000
+SPREAD = 1024
 
 
-def chunk_edges(df: DataFrame, column: str, target_rows: int = TARGET_ROWS) -> list[float]:
-    """Quantile cut points of ``column``; as many as the row count asks for."""
-    probe = MAX_CHUNKS
-    row = df.agg(
-        F.count(column).alias("n"),
-        F.percentile_approx(
-            F.col(column).cast("double"), [i / probe for i in range(1, probe)], 10_000
-        ).alias("q"),
-    ).first()
-    if not row["n"]:
-        return []
-    wanted = max(MIN_CHUNKS, min(MAX_CHUNKS, -(-row["n"] // target_rows)))
-    step = max(1, probe // wanted)
-    return sorted(set(row["q"][step - 1 :: step]))
-
-
-def with_chunk(df: DataFrame, column: str, edges: Sequence[float], out: str = CHUNK) -> DataFrame:
-    """Add the chunk number of ``column`` (binary search over the cut points)."""
+@dataclass(frozen=True)
+class Cuts:
+    """Where an ordered input is cut.
+
+    ``edges``: cut points of the leading order column. ``heavy``: single values of it
+    that fill several chunks alone (a default time stamp, say); their rows are cut
+    further along the last order column, at ``tie_edges``.
+    """
+
+    edges: tuple[float, ...] = ()
+    heavy: tuple[float, ...] = ()
+    tie_edges: tuple[float, ...] = ()
+
+
+def chunk_cuts(
+    df: DataFrame, column: str, tie: str | None = None, target_rows: int = TARGET_ROWS
+) -> Cuts:
+    """Quantile cut points of ``column``; as many as the row count asks for.
+
+    A first pass over the one column counts the rows and serves small inputs; only
+    inputs that need more chunks take a second pass with that many cut points. A value
+    that fills a chunk shows up as a repeated cut point. ``tie`` is the numeric
+    column that orders equal values; without it they are spread by a hash.
+    """
+    n, cuts = _quantile_cuts(df, column, FEW_CHUNKS)
+    wanted = min(MAX_CHUNKS, -(-n // target_rows))
+    if wanted > FEW_CHUNKS:
+        _, cuts = _quantile_cuts(df, column, wanted)
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    if not heavy:
+        return Cuts(tuple(sorted(set(cuts))))
+    if tie is None:
+        ties = range(1, SPREAD)
+    else:
+        tied = df.filter(F.col(column).cast("double").isin(heavy))
+        _, ties = _quantile_cuts(tied, tie, max(FEW_CHUNKS, wanted))
+    return Cuts(tuple(sorted(set(cuts))), tuple(heavy), tuple(sorted({float(t) for t in ties})))
+
+
+def _quantile_cuts(df: DataFrame, column: str, chunks: int) -> tuple[int, list[float]]:
+    value = F.col(column).cast("double")
+    probs = [i / chunks for i in range(1, chunks)]
+    n, cuts = df.agg(F.count(value), F.percentile_approx(value, probs, 40_000)).first()
+    return n, cuts or []
+
+
+def spread(df: DataFrame, cuts: Cuts) -> Column:
+    """Tie column for rows whose order among equals does not matter."""
+    return F.pmod(F.xxhash64(*df.columns), F.lit(SPREAD)) if cuts.heavy else F.lit(0).cast("long")
+
+
+def _bucket(df: DataFrame, column: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Number of cut points up to the value (binary search)."""
     if not edges:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
-    value = f"{out}_value"
-    bucket = f"{out}_bucket"
-    cut = Bucketizer(splits=splits, inputCol=value, outputCol=bucket, handleInvalid="keep")
+    value, found = f"{out}_value", f"{out}_bucket"
+    cut = Bucketizer(splits=splits, inputCol=value, outputCol=found, handleInvalid="keep")
     placed = cut.transform(df.withColumn(value, F.col(column).cast("double")))
-    return placed.withColumn(out, F.col(bucket).cast("int")).drop(value, bucket)
+    return placed.withColumn(out, F.col(found).cast("int")).drop(value, found)
+
+
+def with_chunk(df: DataFrame, order: Sequence[str], cuts: Cuts, out: str = CHUNK) -> DataFrame:
+    """Add the chunk of each row; chunks sort like their rows.
+
+    A heavy value starts its chunk, so its pieces precede the chunk's other rows.
+    """
+    placed = _bucket(df, order[0], cuts.edges, out)
+    if not cuts.heavy or len(order) < 2:
+        return placed
+    hot = F.col(order[0]).cast("double").isin(list(cuts.heavy))
+    pieces = [F.when(hot, F.col(c).cast("long")).otherwise(0).alias(c) for c in order[1:-1]]
+    return (
+        _bucket(placed, order[-1], cuts.tie_edges, "_piece")
+        .withColumn(
+            out,
+            F.struct(
+                F.col(out).alias("at"),
+                F.when(hot, 0).otherwise(1).alias("rest"),
+                *pieces,
+                F.when(hot, F.col("_piece")).otherwise(0).alias("piece"),
+            ),
+        )
+        .drop("_piece")
+    )
 
 
 @dataclass(frozen=True)
@@ -78,19 +139,20 @@ def running(
     order: Sequence[str],
     specs: Sequence[Running],
     reverse: bool = False,
-    edges: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Append running aggregates of ``specs`` along ``order`` within ``keys``.
 
-    ``order`` names orderable, non-null columns that make the order total; the first
-    one is numeric and decides the chunk. ``reverse`` runs from the end to the start.
+    ``order`` names non-null columns that make the order total; the first one decides
+    the chunk and the last one splits heavy ties, so both are numeric, and the ones
+    between are small numbers. ``reverse`` runs from the end to the start.
     """
     keys, order = list(keys), list(order)
-    if edges is None:
-        edges = chunk_edges(df, order[0], target_rows)
+    if cuts is None:
+        cuts = chunk_cuts(df, order[0], order[-1], target_rows)
     values = [f"_v{i}" for i in range(len(specs))]
-    body = with_chunk(df, order[0], edges).select(
+    body = with_chunk(df, order, cuts).select(
         "*", F.lit(1).alias(ROW_FLAG), *[s.value.alias(v) for s, v in zip(specs, values)]
     )
     position = F.struct(*order)
@@ -150,7 +212,7 @@ def previous_rows(
     item: Column,
     n: int,
     out: str,
-    edges: Sequence[float] | None = None,
+    cuts: Cuts | None = None,
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Append the array of the ``n`` preceding rows' ``item`` (oldest first).
@@ -159,9 +221,9 @@ def previous_rows(
     chunk has at least one row, so the ``n`` previous chunks always hold them.
     """
     keys, order = list(keys), list(order)
-    if edges is None:
-        edges = chunk_edges(df, order[0], target_rows)
-    body = with_chunk(df, order[0], edges).withColumn("_item", item)
+    if cuts is None:
+        cuts = chunk_cuts(df, order[0], order[-1], target_rows)
+    body = with_chunk(df, order, cuts).withColumn("_item", item)
     newest = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     tails = (
         body.select(*keys, CHUNK, *order, "_item")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators.ordered import Running, chunk_edges, exact_quantiles, running
+from sentrylens.operators.ordered import Cuts, Running, chunk_cuts, exact_quantiles, running
+from sentrylens.session import staged
 
 SECOND = 1_000_000
 
@@ -42,6 +43,7 @@ def trailing_sums(
     row_id: str,
     frames: Sequence[Trailing],
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Append one running sum per frame; the frame is exact on ties."""
     keys = list(keys)
@@ -66,7 +68,7 @@ def trailing_sums(
         leave = [-value[i] if i in members else zero for i in range(len(frames))]
         steps.append(step(frames[members[0]].until, 1, leave))
     payload = [c for c in df.columns if c not in keys]
-    edges = chunk_edges(df, time, target_rows)
+    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     stream = df.select(
         *keys, F.struct(*payload).alias("_row"), F.explode(F.array(*steps)).alias("_s")
     ).select(
@@ -80,7 +82,7 @@ def trailing_sums(
         keys,
         ["_t", "_phase", "_id"],
         [Running(f.out, "sum", F.col(n)) for f, n in zip(frames, names)],
-        edges=edges,
+        cuts=cuts,
     )
     order = [c for c in df.columns]
     return summed.filter(F.col("_phase") == 0).select(
@@ -96,10 +98,11 @@ def trailing_count(
     seconds: int = 60,
     out: str = "rate",
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """WIN4: uncapped count of the trailing ``seconds``, both ends and the row included."""
     frame = Trailing(out, F.lit(1), F.col(time) + seconds * SECOND, through_row=True)
-    return trailing_sums(df, keys, time, row_id, [frame], target_rows)
+    return trailing_sums(df, keys, time, row_id, [frame], target_rows, cuts)
 
 
 def trailing_distinct(
@@ -110,6 +113,7 @@ def trailing_distinct(
     values: dict[str, str],
     seconds: int,
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Distinct values per trailing frame strictly before the row; ``values``: output -> column.
 
@@ -119,6 +123,7 @@ def trailing_distinct(
     """
     keys = list(keys)
     outs = list(values)
+    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     stacked = df.select(
         *keys,
         time,
@@ -138,14 +143,14 @@ def trailing_distinct(
         [time, row_id],
         [Running("_next", "last", F.col(time), inclusive=False)],
         reverse=True,
-        target_rows=target_rows,
+        cuts=cuts,
     )
     until = F.least(F.coalesce(F.col("_next"), F.lit(2**62)), F.col(time) + seconds * SECOND)
     frames = [
         Trailing(o, ((F.col("_kind") == i) & F.col("_value").isNotNull()).cast("long"), until)
         for i, o in enumerate(outs)
     ]
-    counted = trailing_sums(following, keys, time, row_id, frames, target_rows)
+    counted = trailing_sums(following, keys, time, row_id, frames, target_rows, cuts)
     return counted.filter("_kind = 0").select(*keys, time, row_id, *outs)
 
 
@@ -160,6 +165,7 @@ def trailing_extreme(
     out: str,
     since: str | None = None,
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """Max or min of ``value`` over the frame [t - seconds, t) of each row.
 
@@ -184,7 +190,7 @@ def trailing_extreme(
             "_a": F.col(since),
         }
     )
-    edges = chunk_edges(df, time, target_rows)
+    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     crossing = F.when(F.col("_from") == F.col("_own") - 1, F.struct("_a", "_x"))
     internal = F.when(F.col("_from") == F.col("_own"), F.col("_x"))
     enter = base.filter(F.col("_x").isNotNull()).select(
@@ -208,7 +214,7 @@ def trailing_extreme(
         [*keys, "_block"],
         ["_t", "_phase", "_id"],
         [Running("_head", kind, F.col("_in")), Running("_crossed", "last", F.col("_cross"))],
-        edges=edges,
+        cuts=cuts,
     ).filter(F.col("_phase") == 0)
     limit = F.col(time) - span
     head = head.withColumn(
@@ -237,7 +243,7 @@ def trailing_extreme(
         ["_t", "_phase", "_id"],
         [Running("_tail", kind, F.col("_in"))],
         reverse=True,
-        edges=edges,
+        cuts=cuts,
     ).filter(F.col("_phase") == 0)
     return tail.select(*df.columns, pick(F.col("_head"), F.col("_tail")).alias(out))
 
@@ -297,26 +303,30 @@ def entity_window(
     fail: str = "is_auth_fail",
     success: str = "is_auth_success",
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """WIN8 and WIN11: the trailing block of an entity, strictly before the alert.
 
     ``max_rate_10s`` is the largest sliding ten-second count reached at an alert of the
     frame. ``mean_gap_s`` is (last - first) / (n - 1) and, like ``min_gap_s``, 9999
-    where the frame has fewer than two alerts. Each group of features is computed from
-    the few columns it needs and joined on the row number.
+    where the frame has fewer than two alerts. The needed columns are staged once; each
+    group of features reads a few of them and is joined on the row number.
     """
     keys, span = list(keys), seconds * SECOND
-    slim = df.select(
-        *keys, time, row_id, rule, url, path_class,
-        F.col(fail).cast("long").alias(fail), F.col(success).cast("long").alias(success),
+    slim = staged(
+        df.select(
+            *keys, time, row_id, rule, url, path_class,
+            F.col(fail).cast("long").alias(fail), F.col(success).cast("long").alias(success),
+        )
     )
     until = F.col(time) + span
+    cuts = chunk_cuts(slim, time, row_id, target_rows) if cuts is None else cuts
     gaps = running(
         slim,
         keys,
         [time, row_id],
         [Running("_prev", "last", F.col(time), inclusive=False)],
-        target_rows=target_rows,
+        cuts=cuts,
     ).withColumn("_gap", F.col(time) - F.col("_prev"))
 
     counts = [
@@ -334,16 +344,16 @@ def entity_window(
             F.coalesce(F.col("_prev"), F.col(time)) + span,
         ),
     ]
-    block = trailing_sums(gaps, keys, time, row_id, counts, target_rows).drop(
+    block = trailing_sums(gaps, keys, time, row_id, counts, cuts=cuts).drop(
         rule, url, path_class, fail, success, "_prev", "_gap"
     )
     min_gap = trailing_extreme(
         gaps.select(*keys, time, row_id, "_prev", "_gap"), keys, time, row_id, "_gap", seconds, "min", "_min_gap", since="_prev",
-        target_rows=target_rows,
+        cuts=cuts,
     ).select(row_id, "_min_gap")
-    rates = trailing_count(slim.select(*keys, time, row_id), keys, time, row_id, 10, "_r", target_rows)
+    rates = trailing_count(slim.select(*keys, time, row_id), keys, time, row_id, 10, "_r", cuts=cuts)
     max_rate = trailing_extreme(
-        rates, keys, time, row_id, "_r", seconds, "max", "max_rate_10s", target_rows=target_rows
+        rates, keys, time, row_id, "_r", seconds, "max", "max_rate_10s", cuts=cuts
     ).select(row_id, "max_rate_10s")
     distinct = trailing_distinct(
         slim, keys, time, row_id,
@@ -353,11 +363,11 @@ def entity_window(
             "distinct_path_class_count": path_class,
         },
         seconds,
-        target_rows,
+        cuts=cuts,
     ).drop(*keys, time)
     parts = [min_gap, max_rate, distinct]
     parts.append(
-        success_after_failure(slim, keys, time, row_id, fail, success, seconds, target_rows).select(
+        success_after_failure(slim, keys, time, row_id, fail, success, seconds, cuts=cuts).select(
             row_id, "success_after_failure"
         )
     )
@@ -393,34 +403,36 @@ def success_after_failure(
     success: str,
     seconds: int,
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """WIN11: 1 if the frame holds a failure and a later success.
 
     For every success the newest failure before it is known; a frame that reaches back
     to the largest of these holds such a pair.
     """
-    edges = chunk_edges(df, time, target_rows)
+    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     failed = df.filter(F.col(fail) == 1).select(
-        *keys, F.col(time).alias("_t"), F.lit(2).alias("_phase"), F.col(time).alias("_fail")
+        *keys, F.col(time).alias("_t"), F.lit(2).alias("_phase"), F.col(row_id).alias("_id"),
+        F.col(time).alias("_fail"),
     )
-    rows = df.withColumns({"_t": F.col(time), "_phase": F.lit(1)})
+    rows = df.withColumns({"_t": F.col(time), "_phase": F.lit(1), "_id": F.col(row_id)})
     # failures of the same instant do not precede a success, so they come after the rows
     paired = running(
         rows.unionByName(failed, allowMissingColumns=True),
         keys,
-        ["_t", "_phase"],
+        ["_t", "_phase", "_id"],
         [Running("_failed_at", "last", F.col("_fail"))],
-        edges=edges,
+        cuts=cuts,
     ).filter(F.col("_phase") == 1).drop("_fail", "_phase")
     pairs = paired.filter(F.col(success) == 1).select(
-        *keys, "_t", F.lit(2).alias("_phase"), F.col("_failed_at").alias("_pair")
+        *keys, "_t", F.lit(2).alias("_phase"), "_id", F.col("_failed_at").alias("_pair")
     )
     seen = running(
         paired.drop("_failed_at").withColumn("_phase", F.lit(1)).unionByName(pairs, allowMissingColumns=True),
         keys,
-        ["_t", "_phase"],
+        ["_t", "_phase", "_id"],
         [Running("_newest", "max", F.col("_pair"))],
-        edges=edges,
+        cuts=cuts,
     ).filter(F.col("_phase") == 1)
     hit = F.col("_newest") >= F.col(time) - seconds * SECOND
     return seen.withColumn(
@@ -436,6 +448,7 @@ def stage_flags(
     row_id: str = "row_id",
     seconds: int = 3600,
     target_rows: int = 1_000_000,
+    cuts: Cuts | None = None,
 ) -> DataFrame:
     """WIN9: the alert follows an earlier stage within the frame.
 
@@ -443,6 +456,7 @@ def stage_flags(
     one, else among all alerts of the scope.
     """
     scope = list(scope)
+    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     until = F.col(time) + seconds * SECOND
     auth = F.col("is_auth_fail") | F.col("is_auth_success")
 
@@ -453,9 +467,9 @@ def stage_flags(
             Trailing(f"{prefix}_auth", auth.cast("long"), until),
         ]
 
-    every = trailing_sums(df, scope, time, row_id, frames("_all"), target_rows)
+    every = trailing_sums(df, scope, time, row_id, frames("_all"), cuts=cuts)
     own = trailing_sums(
-        df.filter(F.col(user).isNotNull()), [*scope, user], time, row_id, frames("_own"), target_rows
+        df.filter(F.col(user).isNotNull()), [*scope, user], time, row_id, frames("_own"), cuts=cuts
     ).select(row_id, "_own_scan", "_own_login", "_own_auth")
     both = every.join(own, row_id, "left")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
@@ -13,7 +11,7 @@ from sentrylens.plans import q_windows as W
 from sentrylens.plans import views as V
 from sentrylens.plans.q_audit import rounded
 from sentrylens.plans.registry import query
-from sentrylens.session import checkpoint_dir
+from sentrylens.session import table_dir
 from sentrylens.sources import alerts as S
 from sentrylens.sources import sinks
 from sentrylens.streaming import history_stream
@@ -284,14 +282,9 @@ def src9(spark, sf):
     return S.id_set(V.alerts(spark, sf).select(padded.alias("value")))
 
 
-def _folder(spark) -> str:
-    """A new folder beside the checkpoints: shared by all executors on a cluster."""
-    return f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-
-
 @query("snk1_write_and_read_table", V.check_sql("SELECT row_id, us, signature FROM alerts", "alerts"))
 def snk1(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     sinks.write_table(V.alerts(spark, sf).select("row_id", "us", "signature"), path)
     return spark.read.parquet(path)
 
@@ -301,7 +294,7 @@ def snk1(spark, sf):
     V.check_sql("SELECT CAST(scenario AS VARCHAR) AS scenario, technique AS attack, start_us, end_us FROM windows", "windows"),
 )
 def src5(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     w = V.windows(spark, sf).select(
         F.col("scenario").cast("string").alias("scenario"), F.col("technique").alias("attack"),
         (F.col("start_us") / 1e6).cast("decimal(20,6)").alias("start"),
@@ -320,7 +313,7 @@ def src5(spark, sf):
     ),
 )
 def src8(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     d = V.detailed_alerts(spark, sf).select(
         F.col("alert_time").alias("timestamp"), "rule_id", "level", "description", "path"
     )
@@ -338,7 +331,7 @@ def src8(spark, sf):
     ),
 )
 def snk2(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     a = V.alerts(spark, sf).withColumns(
         {"y": F.col("auth_failure"), "split": F.when(F.col("k") % 5 == 0, "test").otherwise("train")}
     )
@@ -358,14 +351,14 @@ def _threshold_rows(spark, sf):
 
 @query("src10_metric_artefact_scan", V.check_sql(_THRESHOLDS, "alerts"))
 def src10(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     sinks.write_table(_threshold_rows(spark, sf), path, "csv")
     return S.read_metrics(spark, path, "collection string, n long, theta double")
 
 
 @query("snk3_threshold_record", V.check_sql(_THRESHOLDS, "alerts"))
 def snk3(spark, sf):
-    path = _folder(spark)
+    path = table_dir(spark)
     sinks.write_thresholds(_threshold_rows(spark, sf), path)
     back = S.read_metrics(spark, path, "collection string, n long, theta double, written_at string", "json")
     return back.filter("written_at IS NOT NULL").drop("written_at")
@@ -382,7 +375,7 @@ def _events_stream(spark, sf):
 
 def _drained(spark, stream, mode="append"):
     """Run a stream over everything there is, into a table, and read the table."""
-    path = _folder(spark)
+    path = table_dir(spark)
     run = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", path + "_log")
         .trigger(availableNow=True).start(path)

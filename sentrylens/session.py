@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table_dir(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, visible to every executor."""
+    return f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a columnar table and read it back.
+
+    For an input that many branches of a plan read: upstream work is done once and every
+    branch reads only its columns.
+    """
+    path = table_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
