@@ -276,6 +276,12 @@ def mi_rank(
     return scored.withColumn("flagged", (F.col("mi") >= flag_share * best) & (best > 0))
 
 
+def ranked_features(importance: DataFrame, gain: str) -> DataFrame:
+    """SRT3: features by falling importance (one row per feature)."""
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col(gain).desc(), "feature")
+    return importance.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def value_counts(df: DataFrame, field: str, by: Sequence[str] = ()) -> DataFrame:
     return df.filter(F.col(field).isNotNull()).groupBy(*by, field).agg(_n().alias("c"))
 

@@ -283,6 +283,18 @@ def agg11(spark, sf):
     return rounded(audit.mi_rank(V.labelled(spark, sf), _MI_COLS))
 
 
+@query(
+    "srt3_ranked_features",
+    V.check_sql(
+        "SELECT feature, round(mi, 6) + 0.0 AS mi, row_number() OVER (ORDER BY mi DESC, feature) AS place FROM mi",
+        "labelled", long=_LONG, mi=_MI,
+    ),
+)
+def srt3(spark, sf):
+    ranked = audit.ranked_features(audit.mi_rank(V.labelled(spark, sf), _MI_COLS), "mi")
+    return rounded(ranked.select("feature", "mi", "place"))
+
+
 @query(
     "agg12_normalised_entropy",
     V.check_sql(

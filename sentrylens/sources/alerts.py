@@ -184,10 +184,20 @@ def parse_markers(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_markers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """SRC6: marker log in UTF-8 or UTF-16; ``ord`` is the position in the file."""
-    reader = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "")
-    lines = reader.schema("value string").csv(path) if encoding.upper() != "UTF-8" else spark.read.text(path)
-    return parse_markers(lines.withColumn("ord", F.monotonically_increasing_id()))
+    """SRC6: marker log in UTF-8 or UTF-16; ``ord`` is the position in the file.
+
+    Plain "UTF-16" is read as little-endian, with or without a byte-order mark.
+    """
+    if encoding.upper() == "UTF-8":
+        lines = spark.read.text(path)
+    else:
+        charset = "UTF-16LE" if encoding.upper() == "UTF-16" else encoding
+        options = {"encoding": charset, "lineSep": "\n", "sep": "\u0001", "quote": ""}
+        lines = spark.read.options(**options).schema("value string").csv(path)
+    clean = F.regexp_replace("value", "^\ufeff|\r$", "")
+    return parse_markers(
+        lines.select(clean.alias("value"), F.monotonically_increasing_id().alias("ord"))
+    )
 
 
 def process_events(xml: DataFrame, column: str = "xml", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
