@@ -22,6 +22,7 @@ from sentrylens.operators.ordered import (
     running,
     upper_median,
 )
+from sentrylens.session import staged
 
 
 def _n() -> Column:
@@ -231,7 +232,7 @@ def mi_rank(
     bin of its first rank, so ties stay together); it replaces a nearest-neighbour
     estimator on purpose. ``flagged``: at least ``flag_share`` of the largest value.
     """
-    counts = (
+    counts = staged(
         stacked(df, columns, [y])
         .filter("value IS NOT NULL")
         .groupBy("feature", "value", y)

@@ -28,41 +28,47 @@ def history_item(
     )
 
 
-def history_features(buffer: Column, now: Column) -> dict[str, Column]:
-    """WIN1: the eight features of a buffer as seen at ``now`` (microseconds).
+def with_history_features(df: DataFrame, buffer: str, time: str) -> DataFrame:
+    """WIN1: the eight features of a buffer as seen at ``time`` (microseconds).
 
-    Rows with null or future time count in ``high_sev_ratio_20`` only. A null ``now``
-    or an empty buffer gives the defaults.
+    Rows with null or future time count in ``high_sev_ratio_20`` only. A null time
+    or an empty buffer gives the defaults. The filtered buffers are columns of their own,
+    so each is built once per row.
     """
-    past = F.filter(buffer, lambda r: r["us"] <= now)
-
-    def recent(seconds: int) -> Column:
-        return F.filter(past, lambda r: r["us"] >= now - seconds * SECOND)
+    now = F.col(time)
 
     def count(items: Column) -> Column:
         return F.size(items).cast("double")
 
+    def recent(source: str, seconds: int) -> Column:
+        return F.filter(source, lambda r: r["us"] >= now - seconds * SECOND)
+
     def distinct(field: str) -> Column:
-        values = F.transform(recent(600), lambda r: r[field])
+        values = F.transform("_recent", lambda r: r[field])
         return count(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
 
-    high = F.filter(past, lambda r: r["level"] >= 10)
+    seen = df.withColumn("_past", F.filter(buffer, lambda r: r["us"] <= now)).withColumn(
+        "_recent", recent("_past", 600)
+    )
+    high = F.filter("_past", lambda r: r["level"] >= 10)
     features = {
-        "alert_rate_1min": count(recent(60)),
-        "failed_login_5min": count(F.filter(recent(300), lambda r: r["auth"])),
+        "alert_rate_1min": count(recent("_recent", 60)),
+        "failed_login_5min": count(F.filter(recent("_recent", 300), lambda r: r["auth"])),
         "unique_src_ip_10min": distinct("srcip"),
-        "high_sev_ratio_20": count(F.filter(buffer, lambda r: r["level"] >= 8)) / count(buffer),
+        "high_sev_ratio_20": F.try_divide(
+            count(F.filter(buffer, lambda r: r["level"] >= 8)), F.size(buffer).cast("double")
+        ),
         "rule_diversity_10min": distinct("rule"),
         "time_since_last_high": (now - F.array_max(F.transform(high, lambda r: r["us"])))
         / F.lit(float(SECOND)),
-        "scan_preceded": F.exists(recent(600), lambda r: r["scan"]).cast("double"),
-        "brute_preceded": F.exists(recent(600), lambda r: r["brute"]).cast("double"),
+        "scan_preceded": F.exists("_recent", lambda r: r["scan"]).cast("double"),
+        "brute_preceded": F.exists("_recent", lambda r: r["brute"]).cast("double"),
     }
     usable = now.isNotNull() & (F.size(buffer) > 0)
     default = {"time_since_last_high": C.NO_RECENT_HIGH}
-    return {
-        n: F.coalesce(F.when(usable, c), F.lit(default.get(n, 0.0))) for n, c in features.items()
-    }
+    return seen.withColumns(
+        {n: F.coalesce(F.when(usable, c), F.lit(default.get(n, 0.0))) for n, c in features.items()}
+    ).drop("_past", "_recent", buffer)
 
 
 def agent_history(
@@ -80,7 +86,7 @@ def agent_history(
     numeric and non-null; ``time`` may be null.
     """
     buffered = previous_rows(df, keys, order, item, rows, "_buffer", target_rows=target_rows)
-    return buffered.withColumns(history_features(F.col("_buffer"), F.col(time))).drop("_buffer")
+    return with_history_features(buffered, "_buffer", time)
 
 
 def capped_rate(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.operators.ordered import Running, chunk_cuts, running, spread
+from sentrylens.session import cut_lineage, staged
 
 
 def label_asof(
@@ -321,6 +322,7 @@ def nearest_window_offset(
         ],
         cuts=cuts,
     ).filter(F.col("_tag") == 2).drop("_m")
+    covered = staged(covered)
     near = running(
         covered.unionByName(starts, allowMissingColumns=True),
         by,
@@ -436,8 +438,6 @@ def descendants(
     checkpointed (and the known parts are merged now and then), so the plan stays short
     and a lost executor costs one round. The number of rounds is the forest's depth.
     """
-    from sentrylens.session import cut_lineage
-
     links = cut_lineage(
         edges.select(F.col(parent).alias("_p"), F.col(child).alias("node"))
         .filter("_p IS NOT NULL AND node IS NOT NULL AND _p <> node")

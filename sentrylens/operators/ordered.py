@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentrylens.session import staged
+
 CHUNK = "_chunk"
 ROW_FLAG = "_is_row"
 FEW_CHUNKS = 16
@@ -265,7 +267,7 @@ def ranked_counts(
     left out. Columns: groups, ``_value``, ``_n``, ``_upto``, ``_total``.
     """
     groups = list(groups)
-    counts = (
+    counts = staged(
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))

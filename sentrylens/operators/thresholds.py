@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sentrylens.functions import constants as C
 from sentrylens.functions import stats
 from sentrylens.operators.ordered import Running, exact_quantiles, running
+from sentrylens.session import staged
 
 
 def score_curve(
@@ -21,8 +22,10 @@ def score_curve(
     Scores are reduced to counts first; the counts are accumulated from the top.
     """
     by = list(by)
-    cells = df.groupBy(*by, F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")
+    cells = staged(
+        df.groupBy(*by, F.col(score).alias("threshold")).agg(
+            F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")
+        )
     )
     curve = running(
         cells,

@@ -137,13 +137,15 @@ def trailing_distinct(
             )
         ).alias("_kv"),
     ).select(*keys, time, row_id, "_kv.*")
-    following = running(
-        stacked,
-        [*keys, "_kind", "_value"],
-        [time, row_id],
-        [Running("_next", "last", F.col(time), inclusive=False)],
-        reverse=True,
-        cuts=cuts,
+    following = staged(
+        running(
+            stacked,
+            [*keys, "_kind", "_value"],
+            [time, row_id],
+            [Running("_next", "last", F.col(time), inclusive=False)],
+            reverse=True,
+            cuts=cuts,
+        )
     )
     until = F.least(F.coalesce(F.col("_next"), F.lit(2**62)), F.col(time) + seconds * SECOND)
     frames = [
@@ -221,6 +223,7 @@ def trailing_extreme(
         "_head",
         pick(F.col("_head"), F.when(F.col("_crossed._a") >= limit, F.col("_crossed._x"))),
     )
+    head = staged(head.select(*df.columns, "_block", "_head"))
     probes = head.select(
         *df.columns,
         "_head",
@@ -321,13 +324,15 @@ def entity_window(
     )
     until = F.col(time) + span
     cuts = chunk_cuts(slim, time, row_id, target_rows) if cuts is None else cuts
-    gaps = running(
-        slim,
-        keys,
-        [time, row_id],
-        [Running("_prev", "last", F.col(time), inclusive=False)],
-        cuts=cuts,
-    ).withColumn("_gap", F.col(time) - F.col("_prev"))
+    gaps = staged(
+        running(
+            slim,
+            keys,
+            [time, row_id],
+            [Running("_prev", "last", F.col(time), inclusive=False)],
+            cuts=cuts,
+        ).withColumn("_gap", F.col(time) - F.col("_prev"))
+    )
 
     counts = [
         Trailing("alert_count", F.lit(1), until),
@@ -351,7 +356,9 @@ def entity_window(
         gaps.select(*keys, time, row_id, "_prev", "_gap"), keys, time, row_id, "_gap", seconds, "min", "_min_gap", since="_prev",
         cuts=cuts,
     ).select(row_id, "_min_gap")
-    rates = trailing_count(slim.select(*keys, time, row_id), keys, time, row_id, 10, "_r", cuts=cuts)
+    rates = staged(
+        trailing_count(slim.select(*keys, time, row_id), keys, time, row_id, 10, "_r", cuts=cuts)
+    )
     max_rate = trailing_extreme(
         rates, keys, time, row_id, "_r", seconds, "max", "max_rate_10s", cuts=cuts
     ).select(row_id, "max_rate_10s")

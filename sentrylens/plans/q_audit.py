@@ -11,6 +11,7 @@ from sentrylens.operators import audit, labels, trailing
 from sentrylens.plans import views as V
 from sentrylens.plans.q_labels import _BASELINES, _HITS, _LABEL, _TIERED_LINUX, linux_tiers
 from sentrylens.plans.registry import query
+from sentrylens.session import staged
 
 _MAJ = """SELECT signature, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_attack,
     CASE WHEN 2 * sum(y) >= count(*) THEN 1 ELSE 0 END AS majority FROM labelled GROUP BY signature"""
@@ -418,6 +419,7 @@ _PATH_TECH = """SELECT *, CASE WHEN event_type = 'view' THEN CASE k % 8 WHEN 0 T
 
 def _verified(spark, sf):
     l = V.labelled(spark, sf, detail=True, carry=["technique"])
+    l = l.select("row_id", "us", "y", "rule_id", "technique", "path")
     return l.filter("y = 1").withColumn("path_technique", flags.artifact_technique(F.col("path")))
 
 
@@ -469,9 +471,11 @@ def agg19(spark, sf):
     ),
 )
 def agg20(spark, sf):
-    bad = audit.contradictions(_verified(spark, sf)).select("row_id", "us", "technique", F.col("true_technique"))
+    bad = staged(
+        audit.contradictions(_verified(spark, sf)).select("row_id", "us", "technique", "true_technique")
+    )
     w = V.windows(spark, sf).select(F.col("technique").alias("true_technique"), "start_us", "end_us")
-    near = labels.nearest_window_offset(bad, w, ["true_technique"]).filter("offset_s IS NOT NULL")
+    near = staged(labels.nearest_window_offset(bad, w, ["true_technique"]).filter("offset_s IS NOT NULL"))
     return rounded(audit.offset_test(near, "offset_s", by=["technique"]))
 
 
@@ -529,7 +533,8 @@ _RATE10 = """SELECT l.*, n.rn - min(n.rn) OVER (PARTITION BY n.collection ORDER
 
 
 def _rated(spark, sf):
-    return trailing.trailing_count(V.labelled(spark, sf), ["collection"], "us", "row_id", 600)
+    labelled = V.labelled(spark, sf, stage=True)
+    return trailing.trailing_count(labelled, ["collection"], "us", "row_id", 600)
 
 
 @query(

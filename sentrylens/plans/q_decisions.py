@@ -18,7 +18,7 @@ _SCORES = "SELECT *, value / 500.0::DOUBLE AS score FROM labelled"
 
 
 def _scores(spark, sf):
-    return V.labelled(spark, sf).withColumn("score", F.col("value") / F.lit(500.0))
+    return V.labelled(spark, sf, stage=True).withColumn("score", F.col("value") / F.lit(500.0))
 
 
 def _grid_sql(n: int, low: str, high: str, scores: str = "scores", by: str = "collection") -> str:
@@ -202,7 +202,7 @@ _DIST = f"SELECT *, {_distance_sql(_Z, 'labelled', 'y = 0')} AS score FROM label
 
 
 def _distance(spark, sf):
-    l = V.labelled(spark, sf)
+    l = V.labelled(spark, sf, stage=True)
     scaler = decisions.fit_distance(l.filter("y = 0"), _Z)
     return l.withColumn("score", decisions.distance_score(_Z, scaler)), scaler
 
@@ -317,7 +317,7 @@ _MODEL_CURVE = """SELECT c.model, c.score AS threshold, count(*) FILTER (s.y = 1
 
 
 def _model_scores(spark, sf):
-    l = V.labelled(spark, sf, carry=["technique"])
+    l = V.labelled(spark, sf, carry=["technique"], stage=True)
     pairs = F.array(
         *[
             F.struct(F.lit(n).alias("model"), c.alias("score"))
@@ -378,7 +378,7 @@ def mod11_technique(spark, sf):
     ),
 )
 def mod12(spark, sf):
-    s = cut_lineage(_model_scores(spark, sf))
+    s = _model_scores(spark, sf)
     matrix = decisions.model_matrix(s)
     per = decisions.recall_per_technique(s, matrix, "technique")
     return rounded(decisions.outcome(matrix, per, "technique", "k"))
@@ -414,7 +414,7 @@ def _med(c: str, y: int) -> str:
 
 
 def _swap_query(spark, sf, rows_y, variants, by):
-    l = V.labelled(spark, sf, carry=["technique"])
+    l = V.labelled(spark, sf, carry=["technique"], stage=True)
     scaler = decisions.fit_distance(l.filter("y = 0"), _Z)
     return decisions.swap_recalls(l.filter(f"y = {rows_y}"), variants(l), _Z, scaler, _THETA, by)
 
@@ -798,7 +798,7 @@ def ctl8(spark, sf):
     ),
 )
 def ctl9(spark, sf):
-    l = V.labelled(spark, sf)
+    l = V.labelled(spark, sf, stage=True)
     return controls.sweep(
         [0.0, 0.01, 0.08],
         lambda v: controls.rule_composition(l, "rule_id", by=["collection"], negligible=v),

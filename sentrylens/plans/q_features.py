@@ -389,16 +389,13 @@ def _drained(spark, stream, mode="append"):
     V.check_sql(W._history_sql("scenario"), "alerts", numbered=W._NUMBERED.format("scenario")),
 )
 def str1(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     rows = _events_stream(spark, sf).select(
         F.col("scenario").cast("string").alias("agent"), "row_id", "us", F.col("level").cast("double").alias("level"),
         "rule_id", F.concat(F.lit("10.0.0."), "k").alias("srcip"), (F.col("auth_failure") > 0).alias("auth"),
         (F.col("kw_scan") > 0).alias("scan"), (F.col("kw_brute") > 0).alias("brute"),
     )
-    out = _drained(spark, history_stream.stream_history(rows))
+    with history_stream.rocksdb_state(spark):
+        out = _drained(spark, history_stream.stream_history(rows))
     return out.select("row_id", *[F.round(c, 6).alias(c) for c in history_stream.FEATURES])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylens.operators.labels import label_asof
+from sentrylens.session import staged
 
 HOUR_US = 3_600_000_000
 WINDOW_US = 6 * HOUR_US
@@ -166,9 +167,13 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(windows_sql("{src}"), src=alerts(spark, sf_dir))
 
 
-def labelled(spark: SparkSession, sf_dir: str, detail: bool = False, carry=()) -> DataFrame:
+def labelled(
+    spark: SparkSession, sf_dir: str, detail: bool = False, carry=(), stage: bool = False
+) -> DataFrame:
+    """Alerts with their label; ``stage`` writes them once for jobs that read them often."""
     rows = (detailed_alerts if detail else alerts)(spark, sf_dir)
-    return label_asof(rows, windows(spark, sf_dir), ["scenario"], carry=carry)
+    out = label_asof(rows, windows(spark, sf_dir), ["scenario"], carry=carry)
+    return staged(out) if stage else out
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +24,20 @@ BUFFER_SCHEMA = (
 )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Start streams inside with the RocksDB state store, which list state needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(
+        key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def features_at(buffer: list[tuple], now: int | None) -> list[float]:
     """The eight history features of a buffer of at most twenty entries."""
     if now is None or not buffer:

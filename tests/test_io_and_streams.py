@@ -62,15 +62,14 @@ def _run(stream, path, mode="append"):
 
 
 def test_streaming_state_equals_batch_history_over_several_batches(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     df = _alerts(spark)
     source = str(tmp_path / "in")
     for part in range(3):  # three files, one micro-batch each
         df.filter((F.col("row_id") >= part * 30) & (F.col("row_id") < part * 30 + 30)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
-    _run(H.stream_history(stream), out)
+    with H.rocksdb_state(spark):
+        _run(H.stream_history(stream), out)
     item = history.history_item(*[F.col(c) for c in ("us", "level", "rule_id", "srcip", "auth", "scan", "brute")])
     batch = history.agent_history(df, ["agent"], ["row_id"], "us", item).select("agent", "row_id", "us", *H.FEATURES)
     got = spark.read.schema(H.OUTPUT_SCHEMA).parquet(out)
