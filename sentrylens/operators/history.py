@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
+from sentrylens.functions.flags import number_or_zero
 from sentrylens.operators.ordered import previous_rows
 
 SECOND = 1_000_000
@@ -19,7 +20,7 @@ def history_item(
     """What the buffer keeps of one alert."""
     return F.struct(
         time.cast("long").alias("us"),
-        level.cast("double").alias("level"),
+        number_or_zero(level).alias("level"),
         rule.cast("string").alias("rule"),
         srcip.cast("string").alias("srcip"),
         auth.cast("boolean").alias("auth"),
@@ -28,47 +29,74 @@ def history_item(
     )
 
 
+def frame_aggregates() -> dict[str, Column]:
+    """What the window itself can say about the buffer."""
+    us, level = F.col("_item.us"), F.col("_item.level")
+    return {
+        "_newest": F.max(us),
+        "_newest_high": F.max(F.when(level >= 10, us)),
+        "_high_share": F.avg((level >= 8).cast("double")),
+    }
+
+
 def with_history_features(df: DataFrame, buffer: str, time: str) -> DataFrame:
     """WIN1: the eight features of a buffer as seen at ``time`` (microseconds).
 
     Rows with null or future time count in ``high_sev_ratio_20`` only. A null time
-    or an empty buffer gives the defaults. The filtered buffers are columns of their own,
-    so each is built once per row.
+    or an empty buffer gives the defaults. The frame aggregates decide most rows; the
+    buffer is searched only where it reaches into the last ten minutes, or where its
+    newest high alert lies in the future (arrival order).
     """
     now = F.col(time)
+    nothing = F.slice(buffer, 1, 0)
 
     def count(items: Column) -> Column:
         return F.size(items).cast("double")
 
-    def recent(source: str, seconds: int) -> Column:
-        return F.filter(source, lambda r: r["us"] >= now - seconds * SECOND)
+    def within(seconds: int) -> Column:
+        return F.filter("_recent", lambda r: r["us"] >= now - seconds * SECOND)
 
     def distinct(field: str) -> Column:
         values = F.transform("_recent", lambda r: r[field])
         return count(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
 
-    seen = df.withColumn("_past", F.filter(buffer, lambda r: r["us"] <= now)).withColumn(
-        "_recent", recent("_past", 600)
+    start = now - 600 * SECOND
+    recent = F.when(
+        F.col("_newest") >= start, F.filter(buffer, lambda r: (r["us"] <= now) & (r["us"] >= start))
+    ).otherwise(nothing)
+    past_high = F.filter(buffer, lambda r: (r["us"] <= now) & (r["level"] >= 10))
+    last_high = F.when(F.col("_newest_high") <= now, F.col("_newest_high")).otherwise(
+        F.when(
+            F.col("_newest_high").isNotNull(), F.array_max(F.transform(past_high, lambda r: r["us"]))
+        )
     )
-    high = F.filter("_past", lambda r: r["level"] >= 10)
     features = {
-        "alert_rate_1min": count(recent("_recent", 60)),
-        "failed_login_5min": count(F.filter(recent("_recent", 300), lambda r: r["auth"])),
+        "alert_rate_1min": count(within(60)),
+        "failed_login_5min": count(F.filter(within(300), lambda r: r["auth"])),
         "unique_src_ip_10min": distinct("srcip"),
-        "high_sev_ratio_20": F.try_divide(
-            count(F.filter(buffer, lambda r: r["level"] >= 8)), F.size(buffer).cast("double")
-        ),
+        "high_sev_ratio_20": F.col("_high_share"),
         "rule_diversity_10min": distinct("rule"),
-        "time_since_last_high": (now - F.array_max(F.transform(high, lambda r: r["us"])))
-        / F.lit(float(SECOND)),
+        "time_since_last_high": (now - last_high) / F.lit(float(SECOND)),
         "scan_preceded": F.exists("_recent", lambda r: r["scan"]).cast("double"),
         "brute_preceded": F.exists("_recent", lambda r: r["brute"]).cast("double"),
     }
-    usable = now.isNotNull() & (F.size(buffer) > 0)
     default = {"time_since_last_high": C.NO_RECENT_HIGH}
-    return seen.withColumns(
-        {n: F.coalesce(F.when(usable, c), F.lit(default.get(n, 0.0))) for n, c in features.items()}
-    ).drop("_past", "_recent", buffer)
+    searched = {"alert_rate_1min", "failed_login_5min", "unique_src_ip_10min", "rule_diversity_10min",
+                "scan_preceded", "brute_preceded"}
+    usable = now.isNotNull() & F.col("_high_share").isNotNull()
+    hit = F.size("_recent") > 0
+    return (
+        df.withColumn("_recent", recent)
+        .withColumns(
+            {
+                n: F.coalesce(
+                    F.when(usable & hit if n in searched else usable, c), F.lit(default.get(n, 0.0))
+                )
+                for n, c in features.items()
+            }
+        )
+        .drop("_recent", buffer, *frame_aggregates())
+    )
 
 
 def agent_history(
@@ -85,7 +113,9 @@ def agent_history(
     ``order`` is the arrival order (file position or event time), its first column
     numeric and non-null; ``time`` may be null.
     """
-    buffered = previous_rows(df, keys, order, item, rows, "_buffer", target_rows=target_rows)
+    buffered = previous_rows(
+        df, keys, order, item, rows, "_buffer", target_rows=target_rows, aggregates=frame_aggregates()
+    )
     return with_history_features(buffered, "_buffer", time)
 
 

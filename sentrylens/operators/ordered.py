@@ -216,9 +216,12 @@ def previous_rows(
     out: str,
     cuts: Cuts | None = None,
     target_rows: int = TARGET_ROWS,
+    aggregates: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Append the array of the ``n`` preceding rows' ``item`` (oldest first).
 
+    ``aggregates`` of ``_item`` over the same rows come along as further columns.
+
     The carried state of a chunk is the last ``n`` rows before it. Every non-empty
     chunk has at least one row, so the ``n`` previous chunks always hold them.
     """
@@ -252,7 +255,12 @@ def previous_rows(
     return (
         body.withColumn(ROW_FLAG, F.lit(1))
         .unionByName(carried, allowMissingColumns=True)
-        .withColumn(out, F.collect_list("_item").over(frame))
+        .withColumns(
+            {
+                out: F.collect_list("_item").over(frame),
+                **{name: a.over(frame) for name, a in (aggregates or {}).items()},
+            }
+        )
         .filter(F.col(ROW_FLAG) == 1)
         .drop(ROW_FLAG, CHUNK, "_item")
     )

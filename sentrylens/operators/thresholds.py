@@ -71,21 +71,34 @@ def grid_curve(
     cell = F.when(F.isnan("_s") | F.col("_s").isNull(), 0).otherwise(F.col("_cell").cast("int"))
     if always is not None:
         cell = F.when(always, len(grid)).otherwise(cell)
-    cells = placed.groupBy(*by, cell.alias("_c")).agg(
+    counts = placed.groupBy(*by, cell.alias("_c")).agg(
         F.count_if(F.col(y) == 1).alias("_a"), F.count_if(F.col(y) == 0).alias("_b")
     )
-    # at most one row per grid point and group from here on
-    points = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(g).alias("threshold")) for i, g in enumerate(grid)])
-    spread = cells.withColumn("_p", F.explode(points))
-    reached = F.col("_c") >= F.col("_p.i")
-    table = spread.groupBy(*by, F.col("_p.i").alias("grid_no"), F.col("_p.threshold").alias("threshold")).agg(
-        F.coalesce(F.sum(F.when(reached, F.col("_a"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(reached, F.col("_b"))), F.lit(0)).alias("fp"),
-        F.sum("_a").alias("n_attack"),
-        F.sum("_b").alias("n_benign"),
+    # from here on at most one row per grid point and group: empty cells are added, and
+    # a group's cells are summed up from the top
+    zero = F.lit(0).cast("long")
+    points = F.explode(F.sequence(F.lit(1), F.lit(len(grid))))
+    empty = (counts.select(*by).distinct() if by else counts.limit(1).select()).select(
+        *by, points.alias("_c"), zero.alias("_a"), zero.alias("_b")
     )
+    cells = counts.unionByName(empty).groupBy(*by, "_c").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    above = group.orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = cells.select(
+        *by,
+        F.col("_c").alias("grid_no"),
+        F.sum("_a").over(above).alias("tp"),
+        F.sum("_b").over(above).alias("fp"),
+        F.sum("_a").over(group).alias("n_attack"),
+        F.sum("_b").over(group).alias("n_benign"),
+    ).filter("grid_no > 0")
+    values = F.array(*[F.lit(g) for g in grid])
     return table.withColumns(
-        {"fn": F.col("n_attack") - F.col("tp"), "tn": F.col("n_benign") - F.col("fp")}
+        {
+            "threshold": F.element_at(values, F.col("grid_no")),
+            "fn": F.col("n_attack") - F.col("tp"),
+            "tn": F.col("n_benign") - F.col("fp"),
+        }
     )
 
 
