@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylens.operators.audit import stacked
-from sentrylens.operators.ordered import Running, exact_quantiles, row_numbers, running
+from sentrylens.operators.ordered import exact_quantiles, row_numbers
 
 SPLIT = "split"
 
@@ -22,73 +24,97 @@ def shuffle_key(seed: int, *ids: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def _shuffled_rank(df: DataFrame, keys: Sequence[str], row_id: str, seed: int) -> DataFrame:
-    return row_numbers(
-        df.withColumn("_h", shuffle_key(seed, row_id)), keys, ["_h", row_id], out="_rank"
-    ).drop("_h")
+def order_cuts(
+    df: DataFrame, group: Column, first: str, second: str, take: Callable[[object, int], int]
+) -> dict:
+    """Per group value: the (first, second) of row number ``take(value, n)`` in that order.
 
-
-def stratified_split(
-    df: DataFrame, y: str, row_id: str, share: float = 0.8, seed: int = 42
-) -> DataFrame:
-    """SPL1: random split with the same share of every class (rounded) in train."""
-    sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = _shuffled_rank(df, [y], row_id, seed).join(sizes, F.col(y).eqNullSafe(F.col("_y")))
-    return _tag(ranked, F.col("_rank") <= F.bround(share * F.col("_size"), 0)).drop(
-        "_rank", "_y", "_size"
+    For few groups (label classes). A quantile sketch brackets each place and only the
+    rows inside the brackets are ranked, so the data is scanned, not shuffled. A group
+    of which nothing is taken has no cut; null order values are left out.
+    """
+    rows = df.select(group.alias("_g"), F.col(first).alias("_a"), F.col(second).alias("_b")).filter(
+        F.col("_a").isNotNull()
     )
+    sizes = {r["_g"]: r["n"] for r in rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places = {g: min(n, take(g, n)) for g, n in sizes.items()}
+    places = {g: k for g, k in places.items() if k > 0}
+    if not places:
+        return {}
+    margin = 0.002
+    mine = {g: F.col("_g").eqNullSafe(F.lit(g)) for g in places}
+    brackets = rows.agg(
+        *[
+            F.percentile_approx(
+                F.when(mine[g], F.col("_a")),
+                [max(0.0, k / sizes[g] - margin), min(1.0, k / sizes[g] + margin)],
+                10_000,
+            )
+            for g, k in places.items()
+        ]
+    ).first()
+    low = {g: b[0] for g, b in zip(places, brackets)}
+    high = {g: b[1] for g, b in zip(places, brackets)}
+    below = rows.agg(*[F.count_if(mine[g] & (F.col("_a") < low[g])) for g in places]).first()
+    below = dict(zip(places, below))
+    near = reduce(or_, [mine[g] & F.col("_a").between(low[g], high[g]) for g in places])
+    found = _at_places(rows.filter(near), {g: places[g] - below[g] for g in places})
+    lost = {g: k for g, k in places.items() if g not in found}
+    if lost:  # the sketch missed: rank the whole group
+        everything = reduce(or_, [mine[g] for g in lost])
+        found.update(_at_places(rows.filter(everything), lost))
+    return found
+
+
+def _at_places(rows: DataFrame, places: dict) -> dict:
+    ranked = row_numbers(rows, ["_g"], ["_a", "_b"], out="_rank")
+    wanted = reduce(
+        or_, [F.col("_g").eqNullSafe(F.lit(g)) & (F.col("_rank") == k) for g, k in places.items()]
+    )
+    return {r["_g"]: (r["_a"], r["_b"]) for r in ranked.filter(wanted).collect()}
 
 
-def permutation_split(df: DataFrame, row_id: str, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """SPL6: seeded permutation, the first ``int(share * n)`` rows are train."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    ranked = _shuffled_rank(df, [], row_id, seed)
-    return _tag(ranked, F.col("_rank") <= F.floor(F.lit(share) * total)).drop("_rank")
+def up_to_cut(cuts: dict, group: Column, first: str, second: str) -> Column:
+    """Whether a row comes no later than its group's cut."""
+    hit = F.lit(False)
+    for g, (a, b) in cuts.items():
+        early = (F.col(first) < a) | ((F.col(first) == a) & (F.col(second) <= b))
+        hit = hit | (group.eqNullSafe(F.lit(g)) & early)
+    return F.coalesce(hit, F.lit(False))
 
 
 def _tag(df: DataFrame, train: Column) -> DataFrame:
     return df.withColumn(SPLIT, F.when(train, "train").otherwise("test"))
 
 
-def temporal_cut(df: DataFrame, time: str, row_id: str, share: float = 0.8) -> tuple[int, int]:
-    """SPL3: the (time, row id) of the last train row, ``int(share * n)`` rows in all.
+def stratified_split(
+    df: DataFrame, y: str, row_id: str, share: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """SPL1: random split with the same share of every class (rounded) in train."""
+    keyed = df.withColumn("_h", shuffle_key(seed, row_id))
+    cuts = order_cuts(keyed, F.col(y), "_h", row_id, lambda _, n: round(share * n))
+    return _tag(keyed, up_to_cut(cuts, F.col(y), "_h", row_id)).drop("_h")
 
-    A quantile sketch brackets the place; only the rows inside the bracket are ranked,
-    so the data is scanned but not shuffled.
-    """
-    n = df.filter(F.col(time).isNotNull()).count()
-    k = int(share * n)
-    if k == 0:
-        return (-(2**62), -(2**62))
-    margin = 0.002
-    around = [max(0.0, share - margin), min(1.0, share + margin)]
-    low, high = df.agg(F.percentile_approx(time, around, 10_000)).first()[0]
-    below = df.filter(F.col(time) < low).count()
-    bracket = df.filter(F.col(time).between(low, high)).select(time, row_id)
-    found = row_numbers(bracket, [], [time, row_id]).filter(F.col("rank") == k - below).first()
-    if found is None:  # the sketch missed: rank everything
-        everything = df.filter(F.col(time).isNotNull()).select(time, row_id)
-        found = row_numbers(everything, [], [time, row_id]).filter(F.col("rank") == k).first()
-    return found[time], found[row_id]
+
+def permutation_split(df: DataFrame, row_id: str, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """SPL6: seeded permutation, the first ``int(share * n)`` rows are train."""
+    keyed = df.withColumn("_h", shuffle_key(seed, row_id))
+    cuts = order_cuts(keyed, F.lit(0), "_h", row_id, lambda _, n: int(share * n))
+    return _tag(keyed, up_to_cut(cuts, F.lit(0), "_h", row_id)).drop("_h")
 
 
 def temporal_split(df: DataFrame, time: str, row_id: str, share: float = 0.8) -> DataFrame:
     """SPL3: train is the earliest ``int(share * n)`` rows (row id breaks ties)."""
-    t, i = temporal_cut(df, time, row_id, share)
-    early = (F.col(time) < t) | ((F.col(time) == t) & (F.col(row_id) <= i))
-    return _tag(df, F.coalesce(early, F.lit(False)))
+    cuts = order_cuts(df, F.lit(0), time, row_id, lambda _, n: int(share * n))
+    return _tag(df, up_to_cut(cuts, F.lit(0), time, row_id))
 
 
 def class_tail_split(
     df: DataFrame, y: str, time: str, row_id: str, share: float = 0.3
 ) -> DataFrame:
     """SPL4: of every class the latest max(1, round(share * n)) rows are test."""
-    sizes = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = row_numbers(df, [y], [time, row_id], out="_rank", reverse=True).join(
-        sizes, F.col(y).eqNullSafe(F.col("_y"))
-    )
-    n_test = F.greatest(F.lit(1), F.bround(share * F.col("_size"), 0))
-    return _tag(ranked, F.col("_rank") > n_test).drop("_rank", "_y", "_size")
+    cuts = order_cuts(df, F.col(y), time, row_id, lambda _, n: n - max(1, round(share * n)))
+    return _tag(df, up_to_cut(cuts, F.col(y), time, row_id))
 
 
 def round_split(df: DataFrame, y: str, round_col: str, time: str, row_id: str) -> DataFrame:
@@ -132,10 +158,12 @@ def upsample(df: DataFrame, y: str, row_id: str, seed: int = 42) -> DataFrame:
         return df.withColumn("copy", F.lit(0))
     small, large = sorted(sizes, key=lambda c: (sizes[c], c))
     times, extra = divmod(sizes[large], sizes[small])
-    minority = _shuffled_rank(df.filter(F.col(y) == small), [], row_id, seed)
-    copies = F.lit(times) + (F.col("_rank") <= extra).cast("int")
-    repeated = minority.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_rank")
-    return df.filter(F.col(y) != small).withColumn("copy", F.lit(0)).unionByName(repeated)
+    keyed = df.withColumn("_h", shuffle_key(seed, row_id))
+    minority = F.col(y) == small
+    cuts = order_cuts(keyed.filter(minority), F.lit(0), "_h", row_id, lambda _, n: extra)
+    one_more = up_to_cut(cuts, F.lit(0), "_h", row_id).cast("int")
+    last = F.when(minority, F.lit(times - 1) + one_more).otherwise(0)
+    return keyed.withColumn("copy", F.explode(F.sequence(F.lit(0), last))).drop("_h")
 
 
 def oversample_rules(df: DataFrame, rule: str, rules: Sequence[str], times: int) -> DataFrame:

@@ -246,7 +246,7 @@ _H = "CAST('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 12) AS BIGIN
     ),
 )
 def spl1(spark, sf):
-    return splits.stratified_split(V.labelled(spark, sf), "y", "row_id").select("row_id", "split")
+    return splits.stratified_split(V.labelled(spark, sf, stage=True), "y", "row_id").select("row_id", "split")
 
 
 @query(
@@ -283,7 +283,7 @@ def spl3(spark, sf):
     ),
 )
 def spl4(spark, sf):
-    return splits.class_tail_split(V.labelled(spark, sf), "y", "us", "row_id").select("row_id", "split")
+    return splits.class_tail_split(V.labelled(spark, sf, stage=True), "y", "us", "row_id").select("row_id", "split")
 
 
 @query(
@@ -338,7 +338,7 @@ def spl7(spark, sf):
     ),
 )
 def spl8(spark, sf):
-    u = splits.upsample(V.labelled(spark, sf), "y", "row_id")
+    u = splits.upsample(V.labelled(spark, sf, stage=True), "y", "row_id")
     return u.groupBy("row_id", F.col("y").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("copies"))
 
 
