@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentrylens.functions import constants as C
 from sentrylens.functions import flags
 from sentrylens.operators.history import agent_history, history_item
+from sentrylens.session import staged
 
 HISTORY_FEATURES = (
     "alert_rate_1min", "failed_login_5min", "unique_src_ip_10min", "high_sev_ratio_20",
@@ -48,11 +49,12 @@ def features_v2(
 ) -> DataFrame:
     """PRJ14: the 26 features in their fixed order (``keep`` columns first).
 
-    Only the numeric features travel through the history's shuffle, not the texts.
+    The texts are read once: their numeric features are staged, and only these travel
+    through the history's shuffle.
     """
     needed = [c for c in dict.fromkeys((*keep, *keys, *order, time, "rule_id", "srcip"))]
     own = [f for f in C.FEATURES if f not in HISTORY_FEATURES]
-    projected = alert_projection(df).select(*needed, *own)
+    projected = staged(alert_projection(df).select(*needed, *own))
     item = history_item(
         F.col(time), F.col("rule_level"), F.col("rule_id"), F.col("srcip"),
         F.col("is_auth_failure") > 0, F.col("kw_scan") > 0, F.col("kw_brute") > 0,
@@ -99,7 +101,7 @@ def features_norm(
         F.col(time), F.col("rule_level"), F.col("rule_id"), F.col("srcip"),
         F.col("_hist_auth") > 0, F.col("kw_scan") > 0, F.col("kw_brute") > 0,
     )
-    seen = agent_history(projected, keys, order, time, item, **kw).withColumns(
+    seen = agent_history(staged(projected), keys, order, time, item, **kw).withColumns(
         {
             "time_since_last_high": F.when(
                 F.col("time_since_last_high") == 0, C.NO_RECENT_HIGH

@@ -57,10 +57,16 @@ _HITS = """SELECT a.*, count(w.window_no) AS n_hits, CASE WHEN count(w.window_no
 
 def _hits(spark, sf):
     d = V.detailed_alerts(spark, sf)
+    artifact = flags.names_artifact(F.col("path"), F.col("command"), F.col("full_log"))
+    # the texts are reduced to their flag before anything is shuffled
+    narrow = d.select(
+        "row_id", "us", "scenario", "event_type", "srcuser",
+        F.coalesce(artifact, F.lit(False)).alias("is_artifact"),
+    )
     base = d.filter("event_type = 'signup'").select(
         "scenario", F.col("us").alias("start_us"), (F.col("us") + 7_200_000_000).alias("end_us")
     )
-    return labels.classify_hits(d, V.windows(spark, sf), base, ["scenario"])
+    return labels.classify_hits(narrow, V.windows(spark, sf), base, ["scenario"])
 
 
 @query(
@@ -90,10 +96,9 @@ _LABEL = """CASE WHEN label_confidence LIKE 'UNCERTAIN%' THEN 'uncertain' WHEN l
 
 
 def linux_tiers(spark, sf):
-    artifact = flags.names_artifact(F.col("path"), F.col("command"), F.col("full_log"))
     return labels.tier_linux(
         _hits(spark, sf),
-        F.coalesce(artifact, F.lit(False)),
+        F.col("is_artifact"),
         F.col("event_type") != "signup",
         F.col("us").between(*_SESSION),
     )

@@ -192,14 +192,17 @@ _CTE = {
     "alerts": base_sql(DUCK, "events"),
     "detailed": detail_sql(DUCK, "alerts"),
     "windows": windows_sql("alerts"),
+    "one_window": """
+    SELECT * FROM windows
+    QUALIFY row_number() OVER (PARTITION BY scenario, start_us ORDER BY end_us DESC, technique DESC) = 1""",
     "labelled": """
     SELECT a.*, CAST(CASE WHEN w.end_us IS NOT NULL AND a.us <= w.end_us THEN 1 ELSE 0 END AS INT) AS y,
            CASE WHEN a.us <= w.end_us THEN w.technique END AS technique
-    FROM alerts a ASOF LEFT JOIN windows w ON a.scenario = w.scenario AND a.us >= w.start_us""",
+    FROM alerts a ASOF LEFT JOIN one_window w ON a.scenario = w.scenario AND a.us >= w.start_us""",
     "labelled_detailed": """
     SELECT a.*, CAST(CASE WHEN w.end_us IS NOT NULL AND a.us <= w.end_us THEN 1 ELSE 0 END AS INT) AS y,
            CASE WHEN a.us <= w.end_us THEN w.technique END AS technique
-    FROM detailed a ASOF LEFT JOIN windows w ON a.scenario = w.scenario AND a.us >= w.start_us""",
+    FROM detailed a ASOF LEFT JOIN one_window w ON a.scenario = w.scenario AND a.us >= w.start_us""",
     "lines": """
     SELECT l_returnflag || '_' || strftime(l_shipdate, '%Y-%m') AS signature,
            CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS INT) AS y,
@@ -210,8 +213,9 @@ _NEEDS = {
     "alerts": (),
     "detailed": ("alerts",),
     "windows": ("alerts",),
-    "labelled": ("alerts", "windows"),
-    "labelled_detailed": ("alerts", "detailed", "windows"),
+    "one_window": ("alerts", "windows"),
+    "labelled": ("alerts", "windows", "one_window"),
+    "labelled_detailed": ("alerts", "detailed", "windows", "one_window"),
     "lines": (),
 }
 
