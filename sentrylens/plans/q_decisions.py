@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
 from sentrylens.functions import flags
-from sentrylens.operators import audit, controls, decisions, features, filters, models, splits, trailing
+from sentrylens.operators import audit, controls, decisions, features, models, splits
 from sentrylens.operators import thresholds as T
 from sentrylens.operators.labels import label_asof
 from sentrylens.plans import views as V
@@ -212,8 +212,6 @@ def mod2(spark, sf):
     return rounded(_distance(spark, sf)[0].select("row_id", "score"))
 
 
-_EMB = ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(8))
-
 
 @query(
     "mod2_distance_embeddings",
