@@ -84,8 +84,8 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
 
     The sample is cut per language before it is shuffled; document frequencies and clusters
     are found by one task per language, over that bounded sample. A document farther from all centroids of its
-    language than twice the similarity scale of the fitted ones is later rejected: the bound
-    is half the smallest similarity seen in the fit.
+    language than any fitted one by a wide margin is later rejected: the bound
+    is a quarter of the smallest similarity seen in the fit.
     """
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     sample = staged(
@@ -111,7 +111,7 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
         x = vectors(part["text"].tolist(), idf)
         centres = clustered(x, centroids)
         return pd.DataFrame(
-            {"lang": part["lang"].iloc[0], "centre": centres.tolist(), "least": float((x @ centres.T).max(axis=1).min()) / 2}
+            {"lang": part["lang"].iloc[0], "centre": centres.tolist(), "least": float((x @ centres.T).max(axis=1).min()) / 4}
         )
 
     rows = sorted(
