@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.llm import bpe, exact, langid, licences, sharding
+from sentrylens.llm import ann, bpe, exact, langid, licences, sharding
 from sentrylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_multiprobe_search")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.multiprobe_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op2_licence_scan", licences.oracle_sql())
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
