@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.llm import ann, bpe, exact, langid, licences, sharding
+from sentrylens.llm import ann, bpe, exact, langid, licences, sharding, suffix
 from sentrylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op6_bpe_round_trip")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
