@@ -15,12 +15,12 @@ from sentrylens.llm.common import arrow_rows, mix64, shared_keys, staged
 LENGTH = 200
 #: Bytes hashed for a fingerprint; a power of two below the length.
 GRAM = 64
-#: Starts of a window that one fingerprint may stand for, level by level. A fingerprint with
-#: more than ``GROUP`` different segments goes to the next level; at the last one all segments of a key are equal.
-LEVELS = (16, 4, 1)
+#: Most starts in a segment, level by level. A key with more than ``GROUP`` different segments
+#: goes to the next level; at the last one all segments of a key are equal.
+LEVELS = (32, 4, 1)
 GROUP = 500
 #: Bytes of segments whose suffixes are ordered together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 96 << 10
 CHUNK_BYTES = 256 << 10
 
 
@@ -178,7 +178,8 @@ def split_segments(segments: DataFrame, block: int, length: int) -> DataFrame:
 
 
 def collection_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text and start of all suffixes in order, and common prefixes of neighbours up to ``length``.
+    """Text and start of all suffixes in order, and the common prefix of each with the one
+    before it, up to ``length``.
 
     Column by column: each round puts the next symbol of every text, from its end, in front
     of the text's suffix. The Burrows-Wheeler transform of the collection tells where the
@@ -194,52 +195,51 @@ def collection_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     def symbol(who: np.ndarray, inserted: int) -> np.ndarray:
         """The symbol before the last ``inserted`` ones of a text, plus 1; 0 at its start."""
         left = sizes[who] > inserted
-        return np.where(left, flat[np.where(left, ends[who] - inserted - 1, 0)].astype(np.int16) + 1, 0)
+        return np.where(left, flat[np.where(left, ends[who] - inserted - 1, 0)].astype(np.int64) + 1, 0)
 
-    who = np.arange(m)
-    transform, text, begin = symbol(who, 0), who.copy(), sizes.copy()
-    common = np.zeros(m, dtype=np.int16)
-    place = np.arange(m)  # of the longest suffix of each text in ``who``
+    def merged(old: np.ndarray, places: np.ndarray, added: np.ndarray) -> np.ndarray:
+        out = np.empty(len(old) + len(added), dtype=old.dtype)
+        stays = np.ones(len(out), dtype=bool)
+        stays[places] = False
+        out[stays], out[places] = old, added
+        return out
+
+    low = np.int64((1 << 32) - 1)
+    who = place = np.arange(m)  # texts with symbols left, and the rows of their longest suffixes
+    before_it = symbol(who, 0)
+    # the transform, by symbol: symbol << 32 | row, for rows that have one; entry i leads to row m + i
+    transform = np.sort((before_it << 32 | place)[before_it > 0])
+    at = ends.astype(np.int32)
+    common = np.zeros(m + 1, dtype=np.int16)  # with one more at the end, for the spans below
     done = 0
     while True:
-        alive = transform[place] > 0
-        who, place = who[alive], place[alive]
+        alive = before_it > 0
+        who = who[alive]
         if not len(who):
             break
-        order = np.argsort(transform, kind="stable")  # row i of the next state stems from order[i]
-        marks = int((transform == 0).sum())
-        to = np.empty(len(order), dtype=np.int64)
-        to[order] = np.arange(len(order)) - marks + m
-        new = np.sort(to[place])
-        # texts in the order of their new suffixes
-        ranks = np.argsort(to[place], kind="stable")
-        who, place = who[ranks], new
+        new = m + np.searchsorted(transform, before_it[alive] << 32 | place[alive])
+        ranks = np.argsort(new)
+        who, place = who[ranks], new[ranks]
         done += 1
-        n = len(transform) + len(who)
-        fresh = np.zeros(n, dtype=bool)
-        fresh[new] = True
-        changed = np.unique(np.r_[new, new + 1])
-        changed = changed[changed < n]
-        here = order[changed - m + marks]
-        before = order[np.maximum(changed - m + marks - 1, 0)]
-        same = (changed > m) & (transform[here] == transform[before])
-        value = np.zeros(len(changed), dtype=np.int16)
-        if same.any():
-            spans = np.column_stack([before[same] + 1, here[same] + 1]).ravel()
-            least = np.minimum.reduceat(np.r_[common, np.int16(0)], spans)[::2]
-            value[same] = np.minimum(least + 1, length)
-
-        def merged(old: np.ndarray, added: np.ndarray) -> np.ndarray:
-            out = np.empty(n, dtype=old.dtype)
-            out[~fresh] = old
-            out[new] = added
-            return out
-
-        transform = merged(transform, symbol(who, done))
-        text, begin = merged(text, who), merged(begin, sizes[who] - done)
-        common = merged(common, np.zeros(len(who), dtype=np.int16))
-        common[changed] = value
-    return text, begin, common
+        n = len(at) + len(who)
+        changed = np.unique(np.concatenate([place, place + 1]))
+        changed = changed[(changed < n) & (changed > m)]
+        here, prior = transform[changed - m], transform[changed - m - 1]
+        same = here >> 32 == prior >> 32
+        changed, spans = changed[same], np.column_stack([prior[same] & low, here[same] & low]).ravel() + 1
+        values = np.minimum(np.minimum.reduceat(common, spans)[::2] + 1, length) if len(changed) else changed
+        common = merged(common, place, np.zeros(len(who), dtype=np.int16))
+        common[changed] = values
+        at = merged(at, place, ends[who] - done)
+        stays = np.ones(n, dtype=bool)
+        stays[place] = False
+        rows = transform & low
+        transform += np.flatnonzero(stays)[rows] - rows
+        before_it = symbol(who, done)
+        added = np.sort((before_it << 32 | place)[before_it > 0])
+        transform = merged(transform, np.searchsorted(transform, added) + np.arange(len(added)), added)
+    text = np.searchsorted(ends, at[m:], "right")
+    return text, at[m:] - (ends - sizes)[text], common[m:-1]
 
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -305,45 +305,41 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     Every string of ``length`` bytes has a fingerprint in it. Only strings whose fingerprint
     occurs again can be repeated; they are gathered, as segments around the fingerprint. Equal
     segments of a key are merged first: all their strings are repeated. Where a key has
-    several segments, their suffixes are ordered together and neighbours compared. A key with too many
-    segments is replaced by longer ones (``LEVELS``), until each fits one task.
+    several segments, they are cut to a few starts each, with what these share as the new
+    key, which leaves only the borders between equal and different text. There the suffixes of a key's segments are
+    ordered together and neighbours compared. A key with too many different segments is cut
+    again (``LEVELS``), until each fits one task.
     """
-    shared = (
-        document_keys(docs, length, gram)
-    )
+    shared = document_keys(docs, length, gram)
     counts = shared.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
     segments = staged(first_segments(docs, shared.join(counts, "key").select("doc_id", "key"), length, gram))
     marks = []
-    for level in range(len(LEVELS) + 1):
-        distinct = staged(
-            segments.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n"))
+    for level, block in enumerate((*LEVELS, None)):
+        distinct = staged(segments.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n")))
+        keys = staged(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
+        whole = segments.select("doc_id", "key", "digest", "starts", "width").join(
+            distinct.filter("n > 1").select("key", "digest"), ["key", "digest"]
         )
-        keys = staged(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")))
-        whole = segments.join(distinct.filter("n > 1").select("key", "digest"), ["key", "digest"])
         marks.append(
             whole.select("doc_id", F.transform("starts", lambda s: F.array(s, s + F.col("width") - 1)).alias("spans"))
         )
-        last = level == len(LEVELS)
-        mixed = keys.filter("kinds > 1" if last else f"kinds > 1 and kinds <= {GROUP}").select("key")
-        placed = segments.join(mixed, "key")
-        one_each = placed.groupBy("key", "digest").agg(F.first("segment").alias("segment"))
-        found = ordered_groups(one_each, length).withColumnRenamed("spans", "found")
-        marks.append(
-            segments.select("doc_id", "key", "digest", "starts")
-            .join(found, ["key", "digest"])
-            .select(
-                "doc_id",
-                F.flatten(
-                    F.transform("starts", lambda s: F.transform("found", lambda f: F.array(s + f[0], s + f[1])))
-                ).alias("spans"),
+        if level:
+            fits = keys.filter(F.col("kinds") <= GROUP) if block else keys
+            one_each = segments.groupBy("key", "digest").agg(F.first("segment").alias("segment"))
+            found = ordered_groups(one_each.join(fits.select("key"), "key"), length).withColumnRenamed("spans", "found")
+            placed = segments.select("doc_id", "key", "digest", "starts").join(found, ["key", "digest"])
+            marks.append(
+                placed.select(
+                    "doc_id",
+                    F.flatten(
+                        F.transform("starts", lambda s: F.transform("found", lambda f: F.array(s + f[0], s + f[1])))
+                    ).alias("spans"),
+                )
             )
-        )
-        if last:
-            break
-        hot = keys.filter(f"kinds > {GROUP}").select("key")
-        if hot.isEmpty():
+        hot = keys.filter(F.col("kinds") > (GROUP if level else 1)).select("key")
+        if block is None or hot.isEmpty():
             break
-        segments = staged(split_segments(segments.join(hot, "key"), LEVELS[level], length))
+        segments = staged(split_segments(segments.join(hot, "key"), block, length))
     out = marks[0]
     for more in marks[1:]:
         out = out.unionByName(more)
