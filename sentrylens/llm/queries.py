@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.llm import ann, bpe, exact, langid, licences, sharding, suffix
+from sentrylens.llm import ann, bpe, exact, jaccard, langid, licences, sharding, suffix
 from sentrylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_jaccard_links")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_links(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 @query(
     "op8_exact_dedup",
     """
