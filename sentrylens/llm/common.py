@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.session import cut_lineage, staged
+from sentrylens.session import cut_lineage
+from sentrylens.session import staged as _staged
 
 __all__ = [
     "arrow_rows",
@@ -17,7 +19,6 @@ __all__ = [
     "cut_lineage",
     "empty_if_null",
     "mix64",
-    "shared_keys",
     "staged",
     "table",
     "utf8",
@@ -28,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a shared table, and let go of the shuffle files that led to it.
+
+    Spark drops the files of a shuffle when its driver collects the plan as garbage; a driver
+    with memory to spare may never do so while an operator of many steps fills the disks.
+    """
+    out = _staged(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -69,16 +82,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shared_keys(rows: DataFrame, key: str, count: str) -> DataFrame:
-    """Rows whose ``key`` occurs more than once, with the number of its rows.
-
-    The keys are counted with map-side combining, then joined back: a hot key is one row on
-    the counted side, and its many rows are split by the skew join.
-    """
-    counts = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(count))
-    return rows.join(counts.filter(F.col(count) > 1), F.col(key) == F.col("_key")).drop("_key")
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest node reachable from each node of an edge list: ``node``, ``component``.
 
@@ -121,6 +124,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark = now
     return star.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
 
-
-def first_of(columns: Sequence[str]) -> list[Column]:
-    return [F.first(c).alias(c) for c in columns]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylens.llm.common import arrow_rows, mix64, shared_keys, staged
+from sentrylens.llm.common import arrow_rows, mix64, staged
 
 LENGTH = 200
 #: Bytes hashed for a fingerprint; a power of two below the length.
@@ -315,21 +315,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     segments = staged(first_segments(docs, shared.join(counts, "key").select("doc_id", "key"), length, gram))
     marks = []
     for level, block in enumerate((*LEVELS, None)):
-        distinct = staged(segments.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n")))
+        places = segments.select("doc_id", "key", "digest", "starts", "width")
+        distinct = staged(places.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n")))
         keys = staged(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-        whole = segments.select("doc_id", "key", "digest", "starts", "width").join(
-            distinct.filter("n > 1").select("key", "digest"), ["key", "digest"]
-        )
+        whole = places.join(distinct.filter("n > 1").select("key", "digest"), ["key", "digest"])
         marks.append(
-            whole.select("doc_id", F.transform("starts", lambda s: F.array(s, s + F.col("width") - 1)).alias("spans"))
+            staged(whole.select("doc_id", F.transform("starts", lambda s: F.array(s, s + F.col("width") - 1)).alias("spans")))
         )
         if level:
             fits = keys.filter(F.col("kinds") <= GROUP) if block else keys
-            one_each = segments.groupBy("key", "digest").agg(F.first("segment").alias("segment"))
-            found = ordered_groups(one_each.join(fits.select("key"), "key"), length).withColumnRenamed("spans", "found")
-            placed = segments.select("doc_id", "key", "digest", "starts").join(found, ["key", "digest"])
+            wanted = staged(distinct.join(fits.select("key"), "key").select("key", "digest"))
+            texts = segments.select("key", "digest", "segment").join(wanted, ["key", "digest"])
+            one_each = texts.groupBy("key", "digest").agg(F.first("segment").alias("segment"))
+            found = staged(ordered_groups(one_each, length).withColumnRenamed("spans", "found"))
             marks.append(
-                placed.select(
+                places.join(found, ["key", "digest"]).select(
                     "doc_id",
                     F.flatten(
                         F.transform("starts", lambda s: F.transform("found", lambda f: F.array(s + f[0], s + f[1])))
