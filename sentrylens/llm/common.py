@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sentrylens.session import cut_lineage
 from sentrylens.session import staged as _staged
@@ -52,7 +53,7 @@ def utf8(text: str | None) -> bytes:
 def arrow_rows(
     df: DataFrame,
     rows: Callable[[pa.RecordBatch], dict[str, list] | None],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``df`` through a function from one Arrow batch to columns of ``schema``.
 

@@ -125,6 +125,29 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
     )
 
 
+def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and rejection of each text."""
+    texts = [t or "" for t in texts]
+    lang, score, far = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    usable = [i for i, t in enumerate(texts) if model.langs and any(map(str.isalpha, t))]
+    for start in range(0, len(usable), 256):
+        block = usable[start : start + 256]
+        near = vectors([texts[i] for i in block], model.idf) @ model.centroids.T
+        for i, best, s in zip(block, near.argmax(axis=1).tolist(), near.max(axis=1).tolist()):
+            lang[i], score[i], far[i] = model.langs[best], min(1.0, max(0.0, s)), s < model.least[best]
+    return lang, score, far
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text is not rejected, with all their columns and without a shuffle."""
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return ~pd.Series(classify(texts.tolist(), model)[2], dtype=bool)
+
+    return df.filter(known(F.col(text_col)))
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, rejected`` for every whole text; only the text decides.
 
@@ -136,14 +159,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        lang, score, far = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-        usable = [i for i, t in enumerate(texts) if model.langs and any(map(str.isalpha, t))]
-        for start in range(0, len(usable), 256):
-            block = usable[start : start + 256]
-            near = vectors([texts[i] for i in block], model.idf) @ model.centroids.T
-            for i, best, s in zip(block, near.argmax(axis=1).tolist(), near.max(axis=1).tolist()):
-                lang[i], score[i], far[i] = model.langs[best], min(1.0, max(0.0, s)), s < model.least[best]
+        lang, score, far = classify(batch.column(1).to_pylist(), model)
         return {"doc_id": batch.column(0), "lang_pred": lang, "score": score, "rejected": far}
 
     return arrow_rows(
@@ -153,11 +169,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
+def learnable(df: DataFrame) -> DataFrame:
+    return df.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+
+
 def language_id(df: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Fit on the documents that are not held out, then predict all: ``doc_id, held_out, ...``.
 
     Held out are the documents whose id, as text, has a CRC-32 that leaves 2 when divided by
     4; documents with a null id are neither learned from nor held out.
     """
-    learn = df.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    return predict(df, fit(learn, fit_rows)).withColumn("held_out", held_out(F.col("doc_id")))
+    return predict(df, fit(learnable(df), fit_rows)).withColumn("held_out", held_out(F.col("doc_id")))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sentrylens.llm.common import arrow_rows, mix64, staged
 
@@ -42,11 +44,16 @@ def winnowed(lines: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def line_dedup(
-    df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Remove each line of a run of ``window`` lines that occurs at an earlier place.
 
-    ``doc_id, n_lines, n_removed, n_runs, kept``: ``kept`` is the text of the lines that stay. Places are ordered by
+    ``doc_id, n_lines, n_removed, n_runs, kept``: ``kept`` is the text of the lines that stay.
+    ``carry`` names columns of ``df`` to bring along (others are left out, whatever their names). Places are ordered by
     id, then line; so the first occurrence stays. Blank lines are skipped in runs and stay.
 
     The smallest line hash of every window is a fingerprint, so two equal runs have equal
@@ -58,9 +65,14 @@ def line_dedup(
 
     A null text is empty: one line, nothing removed. Rows with a null id are kept whole. Ids
     must differ: of rows that share one, both lose what either repeats. An empty table gives an
-    empty result; further columns are ignored.
+    empty result.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = df.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *[F.col(c) for c in carry],
+    )
+    docs = whole.select("doc_id", "text")
 
     def hashed(batch: pa.RecordBatch) -> dict[str, list]:
         found = [line_hashes(t) for t in batch.column(1).to_pylist()]
@@ -93,20 +105,20 @@ def line_dedup(
     gone = later.groupBy(F.col("doc_id").alias("_doc_id")).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {name: [] for name in ("doc_id", "n_lines", "n_removed", "n_runs", "kept")}
-        for doc, text, gone in zip(*(c.to_pylist() for c in batch.columns)):
+        out: dict[str, list] = {name: [] for name in ("n_lines", "n_removed", "n_runs", "kept")}
+        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             lines, lost = text.split("\n"), set(gone or ())
             kept = "\n".join(x for i, x in enumerate(lines) if i not in lost)
-            row = (doc, len(lines), len(lost), sum(i - 1 not in lost for i in lost), kept)
+            row = (len(lines), len(lost), sum(i - 1 not in lost for i in lost), kept)
             for name, v in zip(out, row):
                 out[name].append(v)
-        return out
+        return {"doc_id": batch.column(0), **out, **{c: batch.column(3 + i) for i, c in enumerate(carry)}}
 
-    return arrow_rows(
-        docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left").select("doc_id", "text", "gone"),
-        cut,
-        "doc_id long, n_lines long, n_removed long, n_runs long, kept string",
-    )
+    schema = StructType.fromDDL("doc_id long, n_lines long, n_removed long, n_runs long, kept string")
+    for c in carry:
+        schema = schema.add(c, df.schema[c].dataType)
+    joined = whole.join(gone, F.col("doc_id") == F.col("_doc_id"), "left")
+    return arrow_rows(joined.select("doc_id", "text", "gone", *carry), cut, schema)
 
 
 ORACLE_SQL = f"""

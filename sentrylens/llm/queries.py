@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.llm import ann, bpe, exact, jaccard, langid, licences, lines, sharding, suffix
+from sentrylens.llm import ann, bpe, exact, jaccard, langid, licences, lines, mixing, sharding, suffix
 from sentrylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
 
 
+#: Shares of the domains in the mixture, and its size against the corpus.
+MIXTURE = {"good": 0.7, "plain": 0.28, "toxic": 0.02}
+
+
+@query("op3_target_mixture")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, MIXTURE)
+
+
 @query("op4_ring_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.ring_shards(table(spark, sf_dir, "documents"), 40).select(
