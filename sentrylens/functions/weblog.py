@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
 from sentrylens.functions.flags import text_or_empty
+from sentrylens.session import staged
 
 ACCESS_LINE = (
     r"^(\S+) \S+ \S+ \[([^\]]+)\] \"(\S+) (\S+) ([^\"]+)\" (\d+) (\S+) \"([^\"]*)\" \"([^\"]*)\""
@@ -73,13 +74,22 @@ def url_features(path: Column, status: Column, method: Column) -> dict[str, Colu
 
 
 def fit_codes(train: DataFrame, column: str, code: str = "code") -> DataFrame:
-    """PRJ26: value -> code, by rank of the train values."""
-    from sentrylens.operators.ordered import row_numbers
+    """PRJ26: value -> code, by rank of the sorted train values.
 
+    The values are range-partitioned by the text itself; a value's rank is its rank within
+    its part plus the sizes of the parts before it.
+    """
     values = train.filter(F.col(column).isNotNull()).select(column).distinct()
-    spread = values.withColumn("_h", F.crc32(F.col(column).cast("binary")))
-    return row_numbers(spread, [], ["_h", column], out=code).select(
-        column, (F.col(code) - 1).alias(code)
+    parts = staged(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(
+        F.col("_part").alias("_of"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")
+    )
+    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return (
+        parts.withColumn("_at", in_part)
+        .join(before, F.col("_part") == F.col("_of"))
+        .select(column, (F.col("_before") + F.col("_at")).alias(code))
     )
 
 

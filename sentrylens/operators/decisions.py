@@ -28,6 +28,31 @@ def fit_distance(benign: DataFrame, columns: Sequence[str]) -> dict:
     return fit_scaler(benign, columns)
 
 
+def fit_array_distance(benign: DataFrame, column: str) -> list[tuple[float, float]]:
+    """MOD2 over an array column: mean and population deviation of every position.
+
+    As many positions as the longest array has; two numbers for each reach the driver.
+    """
+    rows = (
+        benign.select(F.posexplode(column).alias("i", "v"))
+        .groupBy("i")
+        .agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("d"))
+        .collect()
+    )
+    found = {r["i"]: (r["m"] or 0.0, r["d"] or 1.0) for r in rows}
+    return [found[i] for i in range(len(found))]
+
+
+def array_distance_score(column: str, model: Sequence[tuple[float, float]]) -> Column:
+    """MOD2 over an array column; a null or missing position stands at its mean."""
+    zero = F.lit(0.0)
+    parts = [
+        F.coalesce(F.pow((F.get(column, F.lit(i)).cast("double") - m) / d, F.lit(2.0)), zero)
+        for i, (m, d) in enumerate(model)
+    ]
+    return F.aggregate(F.array(*parts), zero, lambda a, b: a + b) if parts else zero
+
+
 def defers(rule: Column, criticality: Column, rules: Sequence[str] = C.DEFERRED_RULES) -> Column:
     """MOD8: the known-attack layer is ignored for these rules on low-value agents."""
     return F.coalesce(rule.isin(*rules) & (criticality == 1), F.lit(False))

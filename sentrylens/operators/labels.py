@@ -429,22 +429,54 @@ def in_tree(df: DataFrame, tree: DataFrame, key: str, member: str, out: str = "i
 
 
 def descendants(
-    edges: DataFrame, root: DataFrame, parent: str = "parent", child: str = "child",
-    max_rounds: int = 10_000,
+    edges: DataFrame, root: DataFrame, parent: str = "parent", child: str = "child"
 ) -> DataFrame:
     """JN8: every node reachable from the root nodes, roots included; cycles are safe.
 
-    One frontier per round: its children that are not known yet. Each frontier is
-    checkpointed (and the known parts are merged now and then), so the plan stays short
-    and a lost executor costs one round. The number of rounds is the forest's depth.
+    A root's own parents do not matter. Where every other node has one parent, all nodes
+    climb at once and twice as far in each round, so a chain of d nodes takes log2(d) rounds;
+    after log2(n) rounds a node still climbing is in a cycle without a root. Nodes with several
+    parents take a frontier per level instead.
     """
+    roots = cut_lineage(root.select(F.col(root.columns[0]).alias("node")).filter("node IS NOT NULL").distinct())
     links = cut_lineage(
         edges.select(F.col(parent).alias("_p"), F.col(child).alias("node"))
         .filter("_p IS NOT NULL AND node IS NOT NULL AND _p <> node")
         .distinct()
+        .join(roots, "node", "left_anti")
     )
-    parts = [cut_lineage(root.select(F.col(root.columns[0]).alias("node")).distinct())]
-    for _ in range(max_rounds):
+    if links.groupBy("node").count().filter("count > 1").isEmpty():
+        return roots.unionByName(_climb(links, roots))
+    return _by_frontier(links, roots)
+
+
+def _climb(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes with one parent each that have a root above them."""
+    at_root = roots.withColumn("_hit", F.lit(True))
+    climbing = links.join(at_root.withColumnRenamed("node", "_p"), "_p", "left").select(
+        "node", F.col("_p").alias("_up"), F.coalesce("_hit", F.lit(False)).alias("_hit")
+    )
+    for _ in range(max(1, links.count()).bit_length() + 1):
+        climbing = cut_lineage(climbing)
+        if climbing.filter("NOT _hit AND _up IS NOT NULL").isEmpty():
+            break
+        above = climbing.select(F.col("node").alias("_n"), F.col("_up").alias("_next"), F.col("_hit").alias("_found"))
+        climbing = climbing.join(above, F.col("_up") == F.col("_n"), "left").select(
+            "node",
+            F.when(~F.col("_hit"), F.col("_next")).alias("_up"),
+            (F.col("_hit") | F.coalesce("_found", F.lit(False))).alias("_hit"),
+        )
+    return climbing.filter("_hit").select("node")
+
+
+def _by_frontier(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """One frontier per round: its children that are not known yet.
+
+    Each frontier is checkpointed (and the known parts are merged now and then), so the plan
+    stays short and a lost executor costs one round.
+    """
+    parts = [roots]
+    while True:
         known = reduce(DataFrame.unionByName, parts)
         frontier = cut_lineage(
             links.join(parts[-1].withColumnRenamed("node", "_p"), "_p")
@@ -457,4 +489,3 @@ def descendants(
         if len(parts) >= 8:
             parts = [cut_lineage(known)]
         parts.append(frontier)
-    raise RuntimeError(f"closure not finished after {max_rounds} rounds")

@@ -207,6 +207,20 @@ def _distance(spark, sf):
     return l.withColumn("score", decisions.distance_score(_Z, scaler)), scaler
 
 
+@query(
+    "thr11_roc_auc_per_collection",
+    V.check_sql(
+        """SELECT collection, CAST(sum(y) AS BIGINT) AS n_attack, CAST(count(*) - sum(y) AS BIGINT) AS n_benign,
+        round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc
+        FROM (SELECT collection, y, rank() OVER (PARTITION BY collection ORDER BY score)
+        + (count(*) OVER (PARTITION BY collection, score) - 1) / 2.0 AS r FROM d) GROUP BY collection""",
+        "labelled", d=_DIST,
+    ),
+)
+def thr11(spark, sf):
+    return rounded(T.auc(_distance(spark, sf)[0], "score", by=["collection"]))
+
+
 @query("mod2_distance_anomaly_score", V.check_sql("SELECT row_id, round(score, 6) AS score FROM d", "labelled", d=_DIST))
 def mod2(spark, sf):
     return rounded(_distance(spark, sf)[0].select("row_id", "score"))
@@ -215,18 +229,14 @@ def mod2(spark, sf):
 
 @query(
     "mod2_distance_embeddings",
-    "WITH e AS (SELECT vec_id, label, {0} FROM embeddings) SELECT vec_id, round({1}, 6) AS score FROM e".format(
-        ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)),
-        _distance_sql([f"e{i}" for i in range(8)], "e", "label = 0"),
-    ),
+    """WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    s AS (SELECT i, avg(v) AS m, coalesce(nullif(stddev_pop(v), 0), 1) AS d FROM x WHERE label = 0 GROUP BY i)
+    SELECT vec_id, round(sum(power((v - m) / d, 2)), 6) AS score FROM x JOIN s USING (i) GROUP BY vec_id""",
 )
 def mod2_embeddings(spark, sf):
-    cols = [f"e{i}" for i in range(8)]
-    e = V.table(spark, sf, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)]
-    )
-    scaler = decisions.fit_distance(e.filter("label = 0"), cols)
-    return rounded(e.select("vec_id", decisions.distance_score(cols, scaler).alias("score")))
+    e = V.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    model = decisions.fit_array_distance(e.filter("label = 0"), "embedding")
+    return rounded(e.select("vec_id", decisions.array_distance_score("embedding", model).alias("score")))
 
 
 _DECIDE = """SELECT row_id, CASE WHEN hit1 THEN 'forward' WHEN s2 >= 0.8 THEN 'suspicious' ELSE 'suppress' END AS decision,

@@ -491,9 +491,10 @@ def prj25_documents(spark, sf):
 @query(
     "prj26_identity_codes",
     V.check_sql(
-        """SELECT a.row_id, CAST(CASE WHEN t.srcip IS NULL THEN 0 ELSE 1 END AS BIGINT) AS seen_in_train,
+        """SELECT a.row_id, CAST(coalesce(t.code, -1) AS BIGINT) AS code,
         CAST(contains(agent_name, 'lnx') AS BIGINT) AS is_constant_agent
-        FROM detailed a LEFT JOIN (SELECT DISTINCT srcip FROM detailed WHERE event_type = 'error' AND level = 12) t
+        FROM detailed a LEFT JOIN (SELECT srcip, row_number() OVER (ORDER BY srcip) - 1 AS code FROM
+        (SELECT DISTINCT srcip FROM detailed WHERE event_type = 'error' AND level = 12 AND srcip IS NOT NULL)) t
         ON a.srcip = t.srcip""",
         "detailed",
     ),
@@ -502,9 +503,7 @@ def prj26(spark, sf):
     d = V.detailed_alerts(spark, sf).select("row_id", "srcip", "agent_name", "event_type", "level")
     codes = weblog.fit_codes(d.filter("event_type = 'error' AND level = 12"), "srcip")
     return weblog.apply_codes(d, codes, "srcip").select(
-        "row_id",
-        (F.col("code") >= 0).cast("long").alias("seen_in_train"),
-        (F.col("agent_name") == "lnx-dmz-01").cast("long").alias("is_constant_agent"),
+        "row_id", "code", (F.col("agent_name") == "lnx-dmz-01").cast("long").alias("is_constant_agent")
     )
 
 

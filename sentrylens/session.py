@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,8 @@ def pin_settings(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's setting if there is one.
 
-    Only where nothing is configured (tests, a laptop) a folder is chosen here.
+    Only a session within one machine may go without: on a cluster a temporary folder would
+    be another one on every machine, and tables read back from it would lack rows.
     """
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", ""
@@ -41,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     active = spark.sparkContext.getCheckpointDir()
     if active:
         return active
+    master = spark.sparkContext.master
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     target = configured or tempfile.mkdtemp(prefix="sentrylens-ckpt-")
     spark.sparkContext.setCheckpointDir(target)
     return target
@@ -57,8 +62,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def table_dir(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, visible to every executor."""
-    return f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints, visible to every executor; gone when the session ends."""
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    _TABLES.append(path)
+    return path
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the tables staged so far. For use between jobs, when their results are written."""
+    while _TABLES:
+        files, at = _files(spark, _TABLES.pop())
+        files.delete(at, True)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -70,3 +86,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = table_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_TABLES: list[str] = []
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentrylens.functions import constants as C
 from sentrylens.functions.timeparse import micros, parse_iso
+from sentrylens.session import staged
 
 _S = T.StringType()
 
@@ -184,9 +185,11 @@ def parse_markers(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_markers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """SRC6: marker log in UTF-8 or UTF-16; ``ord`` is the position in the file.
+    """SRC6: marker log in UTF-8 or UTF-16; ``ord`` counts lines by file, then position.
 
-    Plain "UTF-16" is read as little-endian, with or without a byte-order mark.
+    Plain "UTF-16" is read as little-endian, with or without a byte-order mark. Spark plans file
+    splits by size, so the running id orders lines only within a split; the splits are
+    ordered by file and offset.
     """
     if encoding.upper() == "UTF-8":
         lines = spark.read.text(path)
@@ -195,9 +198,17 @@ def read_markers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
         options = {"encoding": charset, "lineSep": "\n", "sep": "\u0001", "quote": ""}
         lines = spark.read.options(**options).schema("value string").csv(path)
     clean = F.regexp_replace("value", "^\ufeff|\r$", "")
-    return parse_markers(
-        lines.select(clean.alias("value"), F.monotonically_increasing_id().alias("ord"))
+    split = ["file_path", "file_block_start"]
+    numbered = staged(
+        lines.select(
+            clean.alias("value"), *[F.col(f"_metadata.{c}") for c in split], F.monotonically_increasing_id().alias("_id")
+        )
     )
+    sizes = numbered.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*split)) - F.col("_n")
+    starts = sizes.select(*split, "_first", before.alias("_before"))
+    placed = numbered.join(starts, split).select("value", (F.col("_before") + F.col("_id") - F.col("_first")).alias("ord"))
+    return parse_markers(placed)
 
 
 def process_events(xml: DataFrame, column: str = "xml", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
