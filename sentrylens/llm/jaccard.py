@@ -7,11 +7,12 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylens.llm.common import arrow_rows, components, mix64, staged
@@ -85,12 +86,15 @@ def prefix_size(size: np.ndarray | int, percent: int) -> np.ndarray:
     return np.minimum(size, np.maximum(LEAST_PREFIX, needed + np.ceil(SLACK * np.asarray(size)).astype(int)))
 
 
+@lru_cache(maxsize=100_000)
 def sure_hits(size: int, percent: int) -> int:
     """Members of the prefixes that a set of this size shares with any set it is linked with.
 
     A prefix that is ``h`` - 1 longer than the usual one (all but the needed overlap, plus one) meets
     ``h`` shared members; the smaller ``h`` of the two sets counts.
     """
+    if not size:
+        return 0
     sizes = np.arange(least_overlap(size, percent), size * 100 // percent + 1)
     return int((prefix_size(sizes, percent) - sizes + least_overlap(sizes, percent)).min())
 
@@ -200,29 +204,35 @@ def by_key(df: DataFrame, key: str, work: Callable[[list[tuple]], list[tuple]],
 
 
 def summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, size, same, prefix``: set size, hash of the set, its smallest members."""
+    """``doc_id, size, sure, same, prefix``: set size, hits it must have, hash of the set, its smallest members."""
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         sets = list(ngram_sets(batch.column(1), n))
         return {
             "doc_id": batch.column(0),
             "size": [len(x) for x in sets],
+            "sure": [sure_hits(len(x), percent) for x in sets],
             "same": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
             "prefix": [x[: int(prefix_size(len(x), percent))].view(np.int64) for x in sets],
         }
 
-    return arrow_rows(docs, rows, "doc_id long, size int, same binary, prefix array<long>")
+    return arrow_rows(docs, rows, "doc_id long, size int, sure int, same binary, prefix array<long>")
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that connect all documents which may be linked, at most one per list and document.
+    """Pairs ``a, b`` that connect all documents which may be linked; stars, never all pairs.
 
-    Lists of n-grams with the same documents are one list with a weight. A document whose
-    hits, in short and long lists, are fewer than those it must have with any partner is left
-    out. Documents of a short list that reach the hits they need in common are connected. Where long lists
-    alone may give a document its hits, it is connected with the first such document of each of them.
+    N-grams with the same documents are one list with a weight. Two linked documents have at
+    least ``sure`` n-grams of their prefixes in common (the larger of the two numbers), at most
+    ``in_long`` of them in long lists (the smaller), so ``need`` = ``sure`` - ``in_long`` of either in short ones.
+
+    - Documents without enough hits are left out.
+    - A short list that has the weight some member needs connects its members at once.
+    - The other short lists are searched for pairs that reach what they need over several of them.
+    - Documents whose long lists alone may be enough meet in those: in so many, in one order
+      for all, that what is left is less than ``sure``.
     """
-    members = reps.select("doc_id", "size", F.explode("prefix").alias("gram"))
+    members = reps.select("doc_id", "size", "sure", F.explode("prefix").alias("gram"))
     lists = (
         members.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.xxhash64("doc_id") % (1 << 52)).alias("list"))
@@ -231,50 +241,64 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     )
     hits = staged(
         members.join(lists, F.col("gram") == F.col("_gram"))
-        .withColumn("long", F.col("docs") > LONG)
-        .groupBy("doc_id", "size", "list", "long")
+        .groupBy("doc_id", "size", "sure", "list", (F.col("docs") > LONG).alias("long"))
         .agg(F.count(F.lit(1)).cast("int").alias("weight"))
     )
-    sure = F.udf(lambda size: sure_hits(size, percent), "int")
-    per_doc = (
-        hits.groupBy("doc_id", "size")
-        .agg(
-            F.sum(F.when(F.col("long"), F.col("weight")).otherwise(0)).cast("int").alias("in_long"),
-            F.sum("weight").alias("in_all"),
-            F.collect_list(F.when(~F.col("long"), F.struct("list", "weight"))).alias("short"),
-        )
+    in_long = F.sum(F.when(F.col("long"), F.col("weight")).otherwise(0)).cast("int").alias("in_long")
+    may = staged(
+        hits.groupBy(F.col("doc_id").alias("_doc"), "sure").agg(in_long, F.sum("weight").alias("in_all"))
+        .filter("in_all >= sure")
+        .select("_doc", "in_long")
+    )
+    short = staged(
+        hits.filter("not long").join(may, F.col("doc_id") == F.col("_doc"))
+        .select("doc_id", "size", "sure", "in_long", "list", "weight", (F.col("sure") - F.col("in_long")).alias("need"))
+    )
+    kinds = staged(
+        short.groupBy(F.col("list").alias("_list"))
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), (F.max("weight") >= F.min("need")).alias("direct"))
+        .filter("docs > 1")
+    )
+    met = short.join(kinds, F.col("list") == F.col("_list"))
+    direct = met.filter("direct").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    several = (
+        met.filter("not direct")
+        .groupBy("doc_id", "size", "sure", "in_long", "need")
+        .agg(F.sum("weight").alias("left"), F.collect_list("list").alias("lists"), F.collect_list(F.struct("list", "weight")).alias("hits"))
+        .filter("left >= need")
     )
-    sizes = per_doc.select("size").distinct().withColumn("sure", sure("size")).withColumnRenamed("size", "_size")
-    may = staged(per_doc.join(sizes, F.col("size") == F.col("_size")).drop("_size").filter("in_all >= sure"))
 
     def connected(rows: list[tuple]) -> list[tuple]:
         docs = sorted(rows, key=lambda r: r[1])
         forest, out = Forest(len(docs)), []
-        weights = [dict(zip(r[4], r[5])) for r in docs]
-        at: dict[int, list[int]] = {}
-        for i, r in enumerate(docs):
+        at: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, doc, size, sure, in_long, hits) in enumerate(docs):
             count: dict[int, int] = {}
-            for key, w in weights[i].items():
-                for j in at.get(key, ()):
-                    count[j] = count.get(j, 0) + min(w, weights[j][key])
-                at.setdefault(key, []).append(i)
-            for j, c in count.items():
-                s = docs[j]
-                if c >= min(r[2], s[2]) - min(r[3], s[3]) and 100 * min(r[6], s[6]) >= percent * max(r[6], s[6]) and forest.join(i, j):
-                    out.append((docs[j][1], r[1]))
+            for hit in hits:
+                for j, weight in at.setdefault(hit["list"], []):
+                    count[j] = count.get(j, 0) + min(weight, hit["weight"])
+                at[hit["list"]].append((i, hit["weight"]))
+            for j, shared in count.items():
+                _, other, size_j, sure_j, in_long_j, _ = docs[j]
+                enough = shared >= max(sure, sure_j) - min(in_long, in_long_j)
+                if enough and 100 * min(size, size_j) >= percent * max(size, size_j) and forest.join(i, j):
+                    out.append((other, doc))
         return out
 
-    cells = (
-        may.filter("size(short) > 0")
-        .select(F.explode("short.list").alias("list"), "doc_id", "sure", "in_long", "short.list", "short.weight", "size")
-        .toDF("key", "doc_id", "sure", "in_long", "lists", "weights", "size")
+    cells = several.select(F.explode("lists").alias("key"), "doc_id", "size", "sure", "in_long", "hits")
+    searched = by_key(cells, "key", connected, "a long, b long")
+    starved = may.join(reps.select("doc_id", "sure"), F.col("doc_id") == F.col("_doc")).filter("in_long >= sure").select("_doc")
+    onwards = Window.partitionBy("doc_id").orderBy("list").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    in_lists = (
+        hits.filter("long")
+        .withColumn("onwards", F.sum("weight").over(onwards))
+        .filter("onwards >= sure")
+        .select("list", "doc_id")
+        .join(starved, F.col("doc_id") == F.col("_doc"), "left_semi")
     )
-    short = by_key(cells, "key", connected, "a long, b long")
-    starved = may.filter("in_long >= sure").select("doc_id")
-    in_long = hits.filter("long").select("list", "doc_id").join(starved, "doc_id")
-    first = in_long.groupBy(F.col("list").alias("_list")).agg(F.min("doc_id").alias("a"))
-    long = in_long.join(first, F.col("list") == F.col("_list")).select("a", F.col("doc_id").alias("b")).filter("a <> b")
-    return short.union(long).distinct()
+    first = in_lists.groupBy(F.col("list").alias("_list")).agg(F.min("doc_id").alias("a"))
+    long = in_lists.join(first, F.col("list") == F.col("_list")).select("a", F.col("doc_id").alias("b"))
+    return direct.union(searched).union(long).filter("a <> b").distinct()
 
 
 def jaccard_links(
@@ -300,7 +324,7 @@ def jaccard_links(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_sets = staged(summaries(docs, n, percent))
     sets = all_sets.filter("size > 0 and doc_id is not null")
-    reps = sets.groupBy("same").agg(F.min(F.struct("doc_id", "size", "prefix")).alias("rep"))
+    reps = sets.groupBy("same").agg(F.min(F.struct("doc_id", "size", "sure", "prefix")).alias("rep"))
     groups = components(candidate_links(reps.select("rep.*"), percent), "a", "b")
     nodes = staged(
         groups.select("node", F.col("component").alias("group"))
