@@ -3,16 +3,18 @@
 A Spark window keeps one key in one task. A scenario, a detector or "all rows" can hold
 a third of the data, so every ordered operator of the library goes through this module:
 
-1. the leading order column is cut at quantiles, which gives chunks of about equal size
+1. keys of up to ``target_rows`` rows take an ordinary window; if no input has more rows
+   than that, nothing else happens;
+2. for larger keys the leading order column is cut at quantiles, one for each
+   ``target_rows`` rows of the input, which gives chunks of about equal size
    whatever the distribution of time or score (a value that fills chunks alone is cut
    along the tie-breaking column);
-2. each (key, chunk) is reduced to one small state row (map-side combined);
-3. the states are accumulated over the chunks of a key (at most ``MAX_CHUNKS`` rows);
-4. the accumulated state enters its chunk as a first row, and an ordinary window over
+3. each (key, chunk) is reduced to one small state row (map-side combined);
+4. the states are accumulated over the chunks of a key;
+5. the accumulated state enters its chunk as a first row, and an ordinary window over
    (key, chunk) finishes the job.
 
-No join, no driver data besides the quantiles, and the result is the one of the plain
-window.
+The driver sees the quantiles only, and the result is the one of the plain window.
 """
 
 from __future__ import annotations
@@ -23,13 +25,12 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrylens.session import staged
 
 CHUNK = "_chunk"
 ROW_FLAG = "_is_row"
-FEW_CHUNKS = 16
-MAX_CHUNKS = 4096
 TARGET_ROWS = 1_000_000
 SPREAD = 1024
 
@@ -40,44 +41,72 @@ class Cuts:
 
     ``edges``: cut points of the leading order column. ``heavy``: single values of it
     that fill several chunks alone (a default time stamp, say); their rows are cut
-    further along the last order column, at ``tie_edges``.
+    further along the last order column, at ``tie_edges``. Keys of up to ``target_rows``
+    rows are not cut.
     """
 
     edges: tuple[float, ...] = ()
     heavy: tuple[float, ...] = ()
     tie_edges: tuple[float, ...] = ()
+    target_rows: int = TARGET_ROWS
 
 
 def chunk_cuts(
     df: DataFrame, column: str, tie: str | None = None, target_rows: int = TARGET_ROWS
 ) -> Cuts:
-    """Quantile cut points of ``column``; as many as the row count asks for.
+    """Quantile cut points of ``column``, one for each ``target_rows`` rows; none for fewer.
 
-    A first pass over the one column counts the rows and serves small inputs; only
-    inputs that need more chunks take a second pass with that many cut points. A value
-    that fills a chunk shows up as a repeated cut point. ``tie`` is the numeric
+    A value that fills a chunk shows up as a repeated cut point. ``tie`` is the numeric
     column that orders equal values; without it they are spread by a hash.
     """
-    n, cuts = _quantile_cuts(df, column, FEW_CHUNKS)
-    wanted = min(MAX_CHUNKS, -(-n // target_rows))
-    if wanted > FEW_CHUNKS:
-        _, cuts = _quantile_cuts(df, column, wanted)
+    n = df.agg(F.count(column)).first()[0]
+    wanted = -(-n // target_rows)
+    if wanted <= 1:
+        return Cuts(target_rows=target_rows)
+    cuts = _quantile_cuts(df, column, wanted)
     heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     if not heavy:
-        return Cuts(tuple(sorted(set(cuts))))
+        return Cuts(tuple(sorted(set(cuts))), target_rows=target_rows)
     if tie is None:
         ties = range(1, SPREAD)
     else:
-        tied = df.filter(F.col(column).cast("double").isin(heavy))
-        _, ties = _quantile_cuts(tied, tie, max(FEW_CHUNKS, wanted))
-    return Cuts(tuple(sorted(set(cuts))), tuple(heavy), tuple(sorted({float(t) for t in ties})))
+        ties = _quantile_cuts(df.filter(F.col(column).cast("double").isin(heavy)), tie, wanted)
+    return Cuts(tuple(sorted(set(cuts))), tuple(heavy), tuple(sorted({float(t) for t in ties})), target_rows)
 
 
-def _quantile_cuts(df: DataFrame, column: str, chunks: int) -> tuple[int, list[float]]:
+def frame_cuts(
+    df: DataFrame, time: str, tie: str, ends: Sequence[Column], target_rows: int = TARGET_ROWS
+) -> Cuts:
+    """Cut points for a stream that holds ``time`` and each of the times ``ends`` of every row.
+
+    A heavy time is as heavy where its rows leave a frame as where they enter it.
+    """
+    times = F.explode(F.array(F.col(time).cast("long"), *[e.cast("long") for e in ends]))
+    return chunk_cuts(df.select(times.alias(time), tie), time, tie, target_rows)
+
+
+def _quantile_cuts(df: DataFrame, column: str, chunks: int) -> list[float]:
     value = F.col(column).cast("double")
     probs = [i / chunks for i in range(1, chunks)]
-    n, cuts = df.agg(F.count(value), F.percentile_approx(value, probs, 40_000)).first()
-    return n, cuts or []
+    return df.agg(F.percentile_approx(value, probs, max(40_000, 4 * chunks))).first()[0] or []
+
+
+def _numeric(df: DataFrame, order: Sequence[str]) -> None:
+    for c in (order[0], order[-1]):
+        if isinstance(df.schema[c].dataType, T.StringType):
+            raise TypeError(f"order column {c} must be a number: it decides where long groups are cut")
+
+
+def _cut_large_keys(body: DataFrame, keys: Sequence[str], cuts: Cuts) -> DataFrame:
+    """No chunk (null) for keys that fit one task. The others are at most rows / ``target_rows`` keys."""
+    if not keys:
+        return body
+    names = [f"_large{i}" for i in range(len(keys))]
+    counts = body.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
+    large = counts.filter(F.col("_rows") > cuts.target_rows)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    marked = body.join(F.broadcast(large), same, "left")
+    return marked.withColumn(CHUNK, F.when(F.col("_rows").isNotNull(), F.col(CHUNK))).drop("_rows", *names)
 
 
 def spread(df: DataFrame, cuts: Cuts) -> Column:
@@ -151,10 +180,26 @@ def running(
     between are small numbers. ``reverse`` runs from the end to the start.
     """
     keys, order = list(keys), list(order)
+    _numeric(df, order)
     if cuts is None:
         cuts = chunk_cuts(df, order[0], order[-1], target_rows)
     values = [f"_v{i}" for i in range(len(specs))]
-    body = with_chunk(df, order, cuts).select(
+
+    def direction(name: str) -> Column:
+        return F.col(name).desc() if reverse else F.col(name).asc()
+
+    def over(spec: Running, v: Column | str, window) -> Column:
+        if spec.kind == "last":
+            return F.last(v, ignorenulls=True).over(window)
+        return getattr(F, spec.kind)(v).over(window)
+
+    def upto(window, spec: Running):
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow if spec.inclusive else -1)
+
+    if not cuts.edges:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*[direction(c) for c in order])
+        return df.withColumns({s.out: over(s, s.value, upto(whole, s)) for s in specs})
+    body = _cut_large_keys(with_chunk(df, order, cuts), keys, cuts).select(
         "*", F.lit(1).alias(ROW_FLAG), *[s.value.alias(v) for s, v in zip(specs, values)]
     )
     position = F.struct(*order)
@@ -165,16 +210,7 @@ def running(
             reducers.append(pick(v, F.when(F.col(v).isNotNull(), position)).alias(v))
         else:
             reducers.append(getattr(F, spec.kind)(v).alias(v))
-    states = body.groupBy(*keys, CHUNK).agg(*reducers)
-
-    def direction(name: str) -> Column:
-        return F.col(name).desc() if reverse else F.col(name).asc()
-
-    def over(spec: Running, v: str, window) -> Column:
-        if spec.kind == "last":
-            return F.last(v, ignorenulls=True).over(window)
-        return getattr(F, spec.kind)(v).over(window)
-
+    states = body.filter(F.col(CHUNK).isNotNull()).groupBy(*keys, CHUNK).agg(*reducers)
     before = (
         Window.partitionBy(*(keys or [F.lit(0)]))
         .orderBy(direction(CHUNK))
@@ -189,11 +225,9 @@ def running(
     inside = Window.partitionBy(*keys, CHUNK).orderBy(
         ROW_FLAG, *[direction(c) for c in order]
     )
-    to_here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    to_previous = inside.rowsBetween(Window.unboundedPreceding, -1)
     out = body.unionByName(carried, allowMissingColumns=True).withColumns(
         {
-            s.out: over(s, v, to_here if s.inclusive else to_previous)
+            s.out: over(s, v, upto(inside, s))
             for s, v in zip(specs, values)
         }
     )
@@ -226,12 +260,18 @@ def previous_rows(
     chunk has at least one row, so the ``n`` previous chunks always hold them.
     """
     keys, order = list(keys), list(order)
+    _numeric(df, order)
     if cuts is None:
         cuts = chunk_cuts(df, order[0], order[-1], target_rows)
-    body = with_chunk(df, order, cuts).withColumn("_item", item)
+    if not cuts.edges:
+        whole = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(-n, -1)
+        found = {name: a.over(whole) for name, a in (aggregates or {}).items()}
+        return df.withColumn("_item", item).withColumns({out: F.collect_list("_item").over(whole), **found}).drop("_item")
+    body = _cut_large_keys(with_chunk(df, order, cuts), keys, cuts).withColumn("_item", item)
     newest = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
     tails = (
-        body.select(*keys, CHUNK, *order, "_item")
+        body.filter(F.col(CHUNK).isNotNull())
+        .select(*keys, CHUNK, *order, "_item")
         .withColumn("_rn", F.row_number().over(newest))
         .filter(F.col("_rn") <= n)
         .groupBy(*keys, CHUNK)

@@ -27,7 +27,8 @@ def rounds(
     df: DataFrame, keys: Sequence[str], time: str, row_id: str, gap_s: float = 30.0, **kw
 ) -> DataFrame:
     """WIN13: number the rounds of a key; a gap above ``gap_s`` opens a new one."""
-    kw.setdefault("cuts", chunk_cuts(df, time, row_id))
+    if kw.get("cuts") is None:
+        kw["cuts"] = chunk_cuts(df, time, row_id)
     spaced = with_gap(df, keys, time, row_id, **kw)
     opens = F.coalesce((F.col("gap_s") > gap_s).cast("long"), F.lit(0))
     return running(spaced, keys, [time, row_id], [Running("round", "sum", opens)], **kw)
@@ -91,7 +92,8 @@ def pair_markers_fifo(markers: DataFrame, keys: Sequence[str], order: Sequence[s
     a new low below zero; the lows so far count the ignored ENDs. Intervals that do not
     end after their start are dropped.
     """
-    kw.setdefault("cuts", chunk_cuts(markers, order[0], order[-1]))
+    if kw.get("cuts") is None:
+        kw["cuts"] = chunk_cuts(markers, order[0], order[-1])
     both = markers.filter(F.col("kind").isin("START", "END")).withColumns(
         {
             "_s": (F.col("kind") == "START").cast("long"),

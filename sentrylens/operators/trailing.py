@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators.ordered import Cuts, Running, chunk_cuts, exact_quantiles, running
+from sentrylens.operators.ordered import Cuts, Running, exact_quantiles, frame_cuts, running
 from sentrylens.session import staged
 
 SECOND = 1_000_000
@@ -68,7 +68,7 @@ def trailing_sums(
         leave = [-value[i] if i in members else zero for i in range(len(frames))]
         steps.append(step(frames[members[0]].until, 1, leave))
     payload = [c for c in df.columns if c not in keys]
-    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
+    cuts = frame_cuts(df, time, row_id, [f.until for f in frames], target_rows) if cuts is None else cuts
     stream = df.select(
         *keys, F.struct(*payload).alias("_row"), F.explode(F.array(*steps)).alias("_s")
     ).select(
@@ -123,7 +123,7 @@ def trailing_distinct(
     """
     keys = list(keys)
     outs = list(values)
-    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
+    cuts = frame_cuts(df, time, row_id, [F.col(time) + seconds * SECOND], target_rows) if cuts is None else cuts
     stacked = df.select(
         *keys,
         time,
@@ -192,7 +192,7 @@ def trailing_extreme(
             "_a": F.col(since),
         }
     )
-    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
+    cuts = frame_cuts(df, time, row_id, [F.col(time) - span], target_rows) if cuts is None else cuts
     crossing = F.when(F.col("_from") == F.col("_own") - 1, F.struct("_a", "_x"))
     internal = F.when(F.col("_from") == F.col("_own"), F.col("_x"))
     enter = base.filter(F.col("_x").isNotNull()).select(
@@ -323,7 +323,8 @@ def entity_window(
         )
     )
     until = F.col(time) + span
-    cuts = chunk_cuts(slim, time, row_id, target_rows) if cuts is None else cuts
+    ends = [until, F.col(time) - span, F.col(time) + 10 * SECOND]
+    cuts = frame_cuts(slim, time, row_id, ends, target_rows) if cuts is None else cuts
     gaps = staged(
         running(
             slim,
@@ -417,7 +418,7 @@ def success_after_failure(
     For every success the newest failure before it is known; a frame that reaches back
     to the largest of these holds such a pair.
     """
-    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
+    cuts = frame_cuts(df, time, row_id, [F.col(time) - seconds * SECOND], target_rows) if cuts is None else cuts
     failed = df.filter(F.col(fail) == 1).select(
         *keys, F.col(time).alias("_t"), F.lit(2).alias("_phase"), F.col(row_id).alias("_id"),
         F.col(time).alias("_fail"),
@@ -463,8 +464,8 @@ def stage_flags(
     one, else among all alerts of the scope.
     """
     scope = list(scope)
-    cuts = chunk_cuts(df, time, row_id, target_rows) if cuts is None else cuts
     until = F.col(time) + seconds * SECOND
+    cuts = frame_cuts(df, time, row_id, [until], target_rows) if cuts is None else cuts
     auth = F.col("is_auth_fail") | F.col("is_auth_success")
 
     def frames(prefix: str) -> list[Trailing]:

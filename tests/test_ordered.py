@@ -9,7 +9,11 @@ from sentrylens.operators import labels, rounds, trailing
 from sentrylens.operators.history import capped_rate
 from sentrylens.operators.ordered import (
     Running,
+    Cuts,
+    _cut_large_keys,
     chunk_cuts,
+    frame_cuts,
+    with_chunk,
     exact_quantiles,
     previous_rows,
     row_numbers,
@@ -207,3 +211,29 @@ def test_capped_rate_twenty_first_row_falls_out(spark):
     df = spark.createDataFrame([("c", i, i * 1000) for i in range(30)], "key string, id long, us long")
     got = {r.id: r.rate for r in capped_rate(df, ["key"], ["us", "id"], "us", target_rows=TINY).collect()}
     assert got[5] == 5 and got[20] == 20 and got[29] == 20
+
+
+def test_heavy_times_are_split_on_entering_and_on_leaving(spark):
+    df = spark.range(4000).select(
+        (F.when(F.col("id") % 2 == 0, 7).otherwise(1000 + F.col("id"))).cast("long").alias("us"), F.col("id")
+    )
+    cuts = frame_cuts(df, "us", "id", [F.col("us") + 60], 100)
+    for shift in (0, 60):
+        moved = df.withColumn("us", F.col("us") + shift)
+        sizes = with_chunk(moved, ["us", "id"], cuts).groupBy("_chunk").count().agg(F.max("count")).first()[0]
+        assert sizes <= 200
+
+
+def test_small_keys_are_not_cut(spark):
+    df = spark.range(3000).select((F.col("id") % 300).alias("key"), F.col("id").alias("us"), "id")
+    out = previous_rows(df, ["key"], ["us", "id"], F.col("id"), 5, "prev", target_rows=50)
+    plan = out._jdf.queryExecution().toString()
+    cut = _cut_large_keys(with_chunk(df, ["us", "id"], chunk_cuts(df, "us", "id", 50)), ["key"], Cuts((1.0,), target_rows=50))
+    assert cut.filter("_chunk is not null").isEmpty() and "prev" in plan
+    assert {r.id: r.prev for r in out.collect()} == {i: list(range(max(i % 300, i - 1500), i, 300)) for i in range(3000)}
+
+
+def test_text_cannot_decide_the_cuts(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    with pytest.raises(TypeError):
+        row_numbers(df, [], ["id", "name"])
