@@ -19,9 +19,11 @@ GRAM = 64
 #: goes to the next level; at the last one all segments of a key are equal.
 LEVELS = (32, 4, 1)
 GROUP = 500
-#: Bytes of segments whose suffixes are ordered together.
+#: Symbols of segments whose suffixes are ordered together.
 BLOCK_BYTES = 96 << 10
 CHUNK_BYTES = 256 << 10
+#: First symbol that stands for a core; smaller ones are bytes plus 1.
+CORE = 257
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +113,23 @@ def document_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 SEGMENTS = "doc_id long, key long, digest binary, starts array<int>, width int, anchor int, segment binary"
+#: Later segments: what lies left and right of the part that all segments of the key share.
+CORED = "doc_id long, key long, digest binary, starts array<int>, width int, left binary, right binary"
 
 
-def packed(rows: list[tuple]) -> dict[str, list]:
-    """Rows of (doc, key, start, width, anchor, bytes), equal segments of a document put together."""
+def packed(rows: list[tuple], names: str) -> dict[str, list]:
+    """Rows of (doc, key, start, content, ...) as columns, equal ones of a document put together.
+
+    ``content`` is hashed; the rest of the row follows from it.
+    """
     merged: dict[tuple, list] = {}
-    for doc, key, start, width, anchor, segment in rows:
-        digest = hashlib.blake2b(segment, digest_size=16).digest()
-        merged.setdefault((doc, key, digest, width, anchor, segment), []).append(start)
-    out: dict[str, list] = {name: [] for name in ("doc_id", "key", "digest", "starts", "width", "anchor", "segment")}
-    for (doc, key, digest, width, anchor, segment), starts in merged.items():
-        for name, v in zip(out, (doc, key, digest, starts, width, anchor, segment)):
+    for doc, key, start, content, *rest in rows:
+        digest = hashlib.blake2b(content, digest_size=16).digest()
+        merged.setdefault((doc, key, digest, *rest), []).append(start)
+    columns = [x.split()[0] for x in names.split(", ")]
+    out: dict[str, list] = {name: [] for name in columns}
+    for (doc, key, digest, *rest), starts in merged.items():
+        for name, v in zip(columns, (doc, key, digest, starts, *rest)):
             out[name].append(v)
     return out
 
@@ -146,56 +154,88 @@ def first_segments(docs: DataFrame, shared: DataFrame, length: int, gram: int) -
                 lo, hi = np.searchsorted(doc, (d, d + 1))
                 keep = lo + np.flatnonzero(np.isin(keys[lo:hi], batch.column(2)[row + d].values.to_numpy()))
                 for f, n, p, key in zip(first[keep].tolist(), width[keep].tolist(), anchor[keep].tolist(), keys[keep].tolist()):
-                    found.append((ids[row + d], key, f - int(offsets[d]), n, p - f, b[f : f + n + length - 1].tobytes()))
-        return packed(found)
+                    segment = b[f : f + n + length - 1].tobytes()
+                    found.append((ids[row + d], key, f - int(offsets[d]), segment, n, p - f, segment))
+        return packed(found, SEGMENTS)
 
     return arrow_rows(docs.join(wanted, "doc_id").select("doc_id", "text", "keys"), rows, SEGMENTS)
 
 
+def new_key(*parts: int | bytes) -> int:
+    text = b"/".join(x if isinstance(x, bytes) else str(x).encode() for x in parts)
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def split_segments(segments: DataFrame, block: int, length: int) -> DataFrame:
     """Cut segments into runs of at most ``block`` starts, keyed by what all their strings share.
 
     The cut is made at fixed distances from the fingerprint. The strings that start ``q`` to
-    ``q + block - 1`` bytes before it share what lies from ``q`` before it to the end of the
-    farthest one; that part, with ``q``, is the new key.
+    ``q + block - 1`` bytes before it share the core: what lies from ``q`` before it to the end
+    of the farthest one. The core, with ``q``, makes the new key, so it need not be kept.
     """
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         found = []
-        for doc, key, starts, width, anchor, segment in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for doc, key, starts, width, anchor, segment in zip(*(c.to_pylist() for c in batch.columns)):
             for q in range((anchor - width + 1) // block * block, anchor + 1, block):
                 lo, hi = max(0, anchor - q - block + 1), min(width - 1, anchor - q)
                 if lo > hi:
                     continue
-                core = segment[anchor - q : anchor - q - block + 1 + length]
-                seed = f"{key}/{q}/{block}/".encode() + core
-                new = int.from_bytes(hashlib.blake2b(seed, digest_size=8).digest(), "little", signed=True)
-                for start in starts:
-                    found.append((doc, new, start + lo, hi - lo + 1, anchor - lo, segment[lo : hi + length]))
-        return packed(found)
+                core, end = anchor - q, anchor - q - block + 1 + length
+                new = new_key(key, q, block, segment[core:end])
+                left, right = segment[lo:core], segment[end : hi + length]
+                content = left + b"/" + right + str((hi - lo, len(left))).encode()
+                found += [(doc, new, start + lo, content, hi - lo + 1, left, right) for start in starts]
+        return packed(found, CORED)
 
-    return arrow_rows(segments.select("doc_id", "key", "starts", "width", "anchor", "segment"), rows, SEGMENTS)
+    return arrow_rows(segments.select("doc_id", "key", "starts", "width", "anchor", "segment"), rows, CORED)
 
 
-def collection_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_cored(segments: DataFrame, block: int, smaller: int) -> DataFrame:
+    """Cut segments with a core into runs of at most ``smaller`` starts, with longer cores.
+
+    Distances count from the start of the core. The new key adds what the core gains on both sides.
+    """
+
+    def rows(batch: pa.RecordBatch) -> dict[str, list]:
+        found = []
+        for doc, key, starts, width, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+            n = len(left)
+            for q in range((n - width + 1) // smaller * smaller, n + 1, smaller):
+                near, far = max(q, n - width + 1), min(q + smaller - 1, n)
+                if near > far:
+                    continue
+                gained = block - q - smaller
+                new = new_key(key, q, smaller, left[n - q :], right[:gained])
+                new_left, new_right = left[n - far : n - q], right[gained : block - 1 - near]
+                content = new_left + b"/" + new_right + str((far - near, len(new_left))).encode()
+                found += [(doc, new, start + n - far, content, far - near + 1, new_left, new_right) for start in starts]
+        return packed(found, CORED)
+
+    return arrow_rows(segments.select("doc_id", "key", "starts", "width", "left", "right"), rows, CORED)
+
+
+def collection_order(
+    texts: list[np.ndarray], length: int, core: int = 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text and start of all suffixes in order, and the common prefix of each with the one
     before it, up to ``length``.
 
-    Column by column: each round puts the next symbol of every text, from its end, in front
-    of the text's suffix. The Burrows-Wheeler transform of the collection tells where the
-    longer suffix goes; its common prefix with a neighbour is one more than the smallest
-    common prefix between the two occurrences of its first symbol. Both arrays are read and
-    rewritten front to back once in a round.
+    Texts are arrays of symbols from 1; symbols from ``CORE`` on stand for ``core`` bytes. Column by column: each round
+    puts the next symbol of every text, from its end, in front of the text's suffix. The
+    Burrows-Wheeler transform of the collection tells where the longer suffix goes; its common
+    prefix with a neighbour is its first symbol plus the smallest common prefix between the two
+    occurrences of that symbol. Transform and prefixes are read and rewritten front to back once in a round.
     """
     m = len(texts)
     sizes = np.array([len(t) for t in texts])
-    flat = np.frombuffer(b"".join(texts) + b"\0", dtype=np.uint8)
+    flat = np.concatenate([*texts, [0]]).astype(np.int64)
     ends = np.cumsum(sizes)
 
     def symbol(who: np.ndarray, inserted: int) -> np.ndarray:
-        """The symbol before the last ``inserted`` ones of a text, plus 1; 0 at its start."""
+        """The symbol before the last ``inserted`` ones of a text; 0 at its start."""
         left = sizes[who] > inserted
-        return np.where(left, flat[np.where(left, ends[who] - inserted - 1, 0)].astype(np.int64) + 1, 0)
+        return np.where(left, flat[np.where(left, ends[who] - inserted - 1, 0)], 0)
 
     def merged(old: np.ndarray, places: np.ndarray, added: np.ndarray) -> np.ndarray:
         out = np.empty(len(old) + len(added), dtype=old.dtype)
@@ -227,7 +267,8 @@ def collection_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
         here, prior = transform[changed - m], transform[changed - m - 1]
         same = here >> 32 == prior >> 32
         changed, spans = changed[same], np.column_stack([prior[same] & low, here[same] & low]).ravel() + 1
-        values = np.minimum(np.minimum.reduceat(common, spans)[::2] + 1, length) if len(changed) else changed
+        first = np.where(here[same] >> 32 >= CORE, core, 1)
+        values = np.minimum(np.minimum.reduceat(common, spans)[::2] + first, length) if len(changed) else changed
         common = merged(common, place, np.zeros(len(who), dtype=np.int16))
         common[changed] = values
         at = merged(at, place, ends[who] - done)
@@ -242,9 +283,9 @@ def collection_order(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return text, at[m:] - (ends - sizes)[text], common[m:-1]
 
 
-def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_starts(texts: list[np.ndarray], length: int, core: int = 1) -> list[np.ndarray]:
     """For each text, its starts of ``length`` bytes that also start elsewhere in the texts."""
-    text, begin, common = collection_order(texts, length)
+    text, begin, common = collection_order(texts, length, core)
     long = common >= length
     hit = long | np.r_[long[1:], False]
     text, begin = text[hit], begin[hit]
@@ -254,6 +295,10 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return [begin[a:b] for a, b in zip(cut, cut[1:])]
 
 
+def symbols(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, dtype=np.uint8).astype(np.int64) + 1
+
+
 def spans_of(starts: np.ndarray) -> list[list[int]]:
     """Sorted starts as [first, last] runs."""
     if not len(starts):
@@ -262,21 +307,22 @@ def spans_of(starts: np.ndarray) -> list[list[int]]:
     return np.column_stack([starts[cut], starts[np.r_[cut[1:] - 1, len(starts) - 1]]]).tolist()
 
 
-def ordered_groups(groups: DataFrame, length: int) -> DataFrame:
+def ordered_groups(groups: DataFrame, length: int, core: int) -> DataFrame:
     """``key, digest, spans``: repeated starts within the segments of each key.
 
-    Keys are dealt to tasks; a task orders the suffixes of several keys at once, about
-    ``BLOCK_BYTES`` at a time, and never cuts a key (which has at most ``GROUP`` segments).
+    The core that the segments of a key share is one symbol of their texts. Keys are dealt to
+    tasks; a task orders the suffixes of several keys at once, about ``BLOCK_BYTES`` at a time,
+    and never cuts a key (which has at most ``GROUP`` segments, or equal ones).
     """
     dealt = groups.repartition(F.col("key")).sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size = kinds = 0
 
         def ordered() -> pa.RecordBatch:
-            found = [(k, d, spans_of(x)) for (k, d, _), x in zip(held, repeated_starts([x[2] for x in held], length))]
-            found = [x for x in found if x[2]]
+            hits = repeated_starts([x[2] for x in held], length, core)
+            found = [(k, d, spans_of(x)) for (k, d, _), x in zip(held, hits) if len(x)]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([x[0] for x in found], pa.int64()),
@@ -287,16 +333,19 @@ def ordered_groups(groups: DataFrame, length: int) -> DataFrame:
             )
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield ordered()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2])
+            for key, digest, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and key != held[-1][0]:
+                    kinds += 1
+                    if size >= BLOCK_BYTES:
+                        yield ordered()
+                        held, size, kinds = [], 0, 0
+                text = np.concatenate([symbols(left), [CORE + kinds], symbols(right)])
+                held.append((key, digest, text))
+                size += len(text)
         if held:
             yield ordered()
 
-    return dealt.select("key", "digest", "segment").mapInArrow(run, "key long, digest binary, spans array<array<int>>")
+    return dealt.select("key", "digest", "left", "right").mapInArrow(run, "key long, digest binary, spans array<array<int>>")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -325,9 +374,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         if level:
             fits = keys.filter(F.col("kinds") <= GROUP) if block else keys
             wanted = staged(distinct.join(fits.select("key"), "key").select("key", "digest"))
-            texts = segments.select("key", "digest", "segment").join(wanted, ["key", "digest"])
-            one_each = texts.groupBy("key", "digest").agg(F.first("segment").alias("segment"))
-            found = staged(ordered_groups(one_each, length).withColumnRenamed("spans", "found"))
+            texts = segments.select("key", "digest", "left", "right").join(wanted, ["key", "digest"])
+            one_each = texts.groupBy("key", "digest").agg(F.first(F.struct("left", "right")).alias("_sides"))
+            sides = one_each.select("key", "digest", "_sides.left", "_sides.right")
+            found = staged(ordered_groups(sides, length, length - LEVELS[level - 1] + 1).withColumnRenamed("spans", "found"))
             marks.append(
                 places.join(found, ["key", "digest"]).select(
                     "doc_id",
@@ -339,7 +389,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         hot = keys.filter(F.col("kinds") > (GROUP if level else 1)).select("key")
         if block is None or hot.isEmpty():
             break
-        segments = staged(split_segments(segments.join(hot, "key"), block, length))
+        there = segments.join(hot, "key")
+        segments = staged(split_cored(there, LEVELS[level - 1], block) if level else split_segments(there, block, length))
     out = marks[0]
     for more in marks[1:]:
         out = out.unionByName(more)

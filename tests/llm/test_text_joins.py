@@ -37,7 +37,7 @@ def test_collection_order_is_the_suffix_order():
     rng = random.Random(5)
     for _ in range(60):
         texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 20))).encode() for _ in range(rng.randint(1, 6))]
-        who, start, prefix = suffix.collection_order(texts, 9)
+        who, start, prefix = suffix.collection_order([suffix.symbols(t) for t in texts], 9)
         got = [texts[w][s:] for w, s in zip(who, start)]
         assert got == sorted(got) and len(got) == sum(map(len, texts))
         for i in range(1, len(got)):
