@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,6 +16,7 @@ from sentrylens.session import staged as _staged
 
 __all__ = [
     "arrow_rows",
+    "bounded_sample",
     "components",
     "cut_lineage",
     "empty_if_null",
@@ -76,6 +77,28 @@ def arrow_rows(
     return df.mapInArrow(run, spark_schema)
 
 
+def bounded_sample(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of each ``label``, the first by a hash of ``doc_id``.
+
+    The labels are counted first (one number each reaches the driver), and rows whose hash is
+    too large to be among the first are dropped where they are read; so what a task ranks
+    follows ``rows``, not the table. Labels and ids that are null take no part.
+    """
+    usable = df.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r[label]: r["count"] for r in usable.select(label).groupBy(label).count().collect()}
+    if not counts:
+        return usable.limit(0)
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    shares = [x for k, n in counts.items() for x in (F.lit(k), F.lit((2 * rows + 100) / n * (1 << 30)))]
+    first = Window.partitionBy(label).orderBy(at, "doc_id", *[c for c in ("text",) if c in df.columns])
+    return (
+        usable.filter(at < F.create_map(*shares)[F.col(label)])
+        .withColumn("_at", F.row_number().over(first))
+        .filter(F.col("_at") <= rows)
+        .drop("_at")
+    )
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,9 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sentrylens.llm.common import arrow_rows, staged
+from sentrylens.llm.common import arrow_rows, bounded_sample, staged
 
 DIMENSIONS = 4096
 GRAMS = (1, 2, 3, 4)
@@ -82,18 +81,12 @@ def held_out(id_col: Column) -> Column:
 def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS) -> Model:
     """Fit on ``learn`` (``doc_id, text, lang``): at most ``fit_rows`` documents of each language.
 
-    The sample is cut per language before it is shuffled; document frequencies and clusters
+    Document frequencies and clusters
     are found by one task per language, over that bounded sample. A document farther from all centroids of its
     language than any fitted one by a wide margin is later rejected: the bound
     is a quarter of the smallest similarity seen in the fit.
     """
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = staged(
-        learn.filter("lang is not null and trim(text) <> ''")
-        .withColumn("_at", F.row_number().over(pick))
-        .filter(F.col("_at") <= fit_rows)
-        .drop("_at")
-    )
+    sample = staged(bounded_sample(learn.filter("trim(text) <> ''"), "lang", fit_rows))
 
     def frequencies(part: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(DIMENSIONS)

@@ -12,9 +12,8 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sentrylens.llm.common import arrow_rows, empty_if_null, staged
+from sentrylens.llm.common import arrow_rows, bounded_sample, empty_if_null, staged
 
 #: Labelled rows of each domain that the classifier is fitted on at most, the first by a hash of the id.
 FIT_ROWS = 3000
@@ -34,9 +33,8 @@ def fit_posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     names are picked where they are read. Labels that are null are left out; a document with
     several labels counts once, with the first by name.
     """
-    pick = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     single = labels.filter("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sample = staged(single.withColumn("_at", F.row_number().over(pick)).filter(F.col("_at") <= fit_rows).drop("_at"))
+    sample = staged(bounded_sample(single, "domain", fit_rows))
     domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())
     at = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))]) if domains else None
     if not domains:
