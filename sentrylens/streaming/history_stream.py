@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from sentrylens.functions import constants as C
 from sentrylens.operators import decisions
 
 INPUT = ("agent", "row_id", "us", "level", "rule_id", "srcip", "auth", "scan", "brute")
+SECOND = 1_000_000
 FEATURES = (
     "alert_rate_1min", "failed_login_5min", "unique_src_ip_10min", "high_sev_ratio_20",
     "rule_diversity_10min", "time_since_last_high", "scan_preceded", "brute_preceded",
@@ -38,23 +40,50 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def features_at(buffer: list[tuple], now: int | None) -> list[float]:
-    """The eight history features of a buffer of at most twenty entries."""
-    if now is None or not buffer:
-        return [0.0, 0.0, 0.0, 0.0, 0.0, C.NO_RECENT_HIGH, 0.0, 0.0]
-    aged = [((now - r[0]) / 1e6, r) for r in buffer if r[0] is not None and r[0] <= now]
-    recent = [r for age, r in aged if age <= 600]
-    high = [age for age, r in aged if r[1] >= 10]
-    return [
-        float(sum(age <= 60 for age, _ in aged)),
-        float(sum(age <= 300 and bool(r[4]) for age, r in aged)),
-        float(len({r[3] for r in recent if r[3]})),
-        sum(r[1] >= 8 for r in buffer) / len(buffer),
-        float(len({r[2] for r in recent if r[2] is not None})),
-        min(high) if high else C.NO_RECENT_HIGH,
-        float(any(r[5] for r in recent)),
-        float(any(r[6] for r in recent)),
-    ]
+def _first_seen(codes: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """Number of different codes among the counted entries of each row."""
+    out = np.zeros(len(codes))
+    for k in range(codes.shape[1]):
+        again = (counted[:, :k] & (codes[:, :k] == codes[:, k : k + 1])).any(axis=1)
+        out += counted[:, k] & ~again
+    return out
+
+
+def buffer_features(rows: pd.DataFrame, start: int) -> np.ndarray:
+    """The eight history features of the rows from ``start`` on, each from the twenty rows before it."""
+    known = rows["us"].notna().to_numpy()
+    us = rows["us"].where(known, 0).to_numpy(dtype=np.int64)
+    level = rows["level"].to_numpy(dtype=float)
+    src, rule = (pd.factorize(rows[c])[0] for c in ("srcip", "rule_id"))
+    src = np.where(rows["srcip"].eq("").to_numpy(), -1, src)
+    auth, scan, brute = (rows[c].eq(True).to_numpy(dtype=bool) for c in ("auth", "scan", "brute"))
+    lag = np.arange(1, C.HISTORY_ROWS + 1)
+    out = np.zeros((len(rows) - start, len(FEATURES)))
+    for lo in range(start, len(rows), 20_000):
+        here = np.arange(lo, min(lo + 20_000, len(rows)))
+        at = here[:, None] - lag
+        there = at >= 0
+        at = np.maximum(at, 0)
+        age = us[here][:, None] - us[at]
+        past = there & known[at] & (age >= 0)
+        recent, high = past & (age <= 600 * SECOND), past & (level[at] >= 10)
+        n = there.sum(axis=1)
+        block = np.column_stack(
+            [
+                (past & (age <= 60 * SECOND)).sum(axis=1),
+                (past & (age <= 300 * SECOND) & auth[at]).sum(axis=1),
+                _first_seen(src[at], recent & (src[at] >= 0)),
+                (there & (level[at] >= 8)).sum(axis=1) / np.maximum(n, 1),
+                _first_seen(rule[at], recent & (rule[at] >= 0)),
+                np.where(high.any(axis=1), np.where(high, age, np.iinfo(np.int64).max).min(axis=1) / SECOND, C.NO_RECENT_HIGH),
+                (recent & scan[at]).any(axis=1),
+                (recent & brute[at]).any(axis=1),
+            ]
+        ).astype(float)
+        nothing = ~known[here] | (n == 0)
+        block[nothing] = [0.0, 0.0, 0.0, 0.0, 0.0, C.NO_RECENT_HIGH, 0.0, 0.0]
+        out[here - start] = block
+    return out
 
 
 class AgentBuffer(StatefulProcessor):
@@ -64,18 +93,21 @@ class AgentBuffer(StatefulProcessor):
         self._buffer = handle.getListState("buffer", BUFFER_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        buffer = [tuple(r) for r in self._buffer.get()]
-        for batch in rows:  # one Arrow batch at a time
-            out = []
-            for r in batch.sort_values(["us", "row_id"], kind="stable").itertuples(index=False):
-                now = None if pd.isna(r.us) else int(r.us)
-                out.append((key[0], int(r.row_id), now, *features_at(buffer, now)))
-                entry = (
-                    now, float(r.level), r.rule_id, r.srcip, bool(r.auth), bool(r.scan), bool(r.brute)
-                )
-                buffer = [*buffer, entry][-C.HISTORY_ROWS :]
-            yield pd.DataFrame(out, columns=["agent", "row_id", "us", *FEATURES])
-        self._buffer.put(buffer)
+        held = pd.DataFrame([tuple(r) for r in self._buffer.get()], columns=list(INPUT[2:]), dtype=object)
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "row_id"], kind="stable")
+        every = pd.concat([held, new[list(INPUT[2:])].astype(object)], ignore_index=True)
+        every["level"] = every["level"].astype(float)
+        features = buffer_features(every, len(held))
+        result = pd.DataFrame(features, columns=list(FEATURES))
+        result.insert(0, "us", new["us"].to_numpy())
+        result.insert(0, "row_id", new["row_id"].to_numpy())
+        result.insert(0, "agent", key[0])
+        last = every.tail(C.HISTORY_ROWS)
+        kinds = (int, float, str, str, bool, bool, bool)  # a time is a float beside a missing one
+        self._buffer.put(
+            [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(kinds, r)) for r in last.itertuples(index=False)]
+        )
+        yield result
 
     def close(self) -> None:
         pass
@@ -84,9 +116,11 @@ class AgentBuffer(StatefulProcessor):
 def stream_history(alerts: DataFrame) -> DataFrame:
     """STR1: history features on a stream of ``INPUT`` columns.
 
-    State is at most twenty entries per agent. Rows are taken in arrival order, within
-    one Arrow batch in event order; an agent's rows are never gathered. Needs the
-    RocksDB state store.
+    State is at most twenty entries per agent. Micro-batches count in their order; within
+    one, an agent's rows are taken in event order (time, then row id; rows without time last),
+    however Spark cuts them into Arrow batches. A late row is handled with the
+    micro-batch that brings it. A task holds the rows of one agent in one micro-batch, which the
+    source's trigger options bound. Needs the RocksDB state store.
     """
     return alerts.select(*INPUT).groupBy("agent").transformWithStateInPandas(
         statefulProcessor=AgentBuffer(),

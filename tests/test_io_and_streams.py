@@ -1,9 +1,12 @@
 """Readers and sinks on real files; streaming state against the batch form."""
 
 import json
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from sentrylens import session
 from sentrylens.operators import history
 from sentrylens.sources import alerts as S
 from sentrylens.sources import sinks
@@ -76,6 +79,47 @@ def test_streaming_state_equals_batch_history_over_several_batches(spark, tmp_pa
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
 
 
+@pytest.mark.parametrize("arrow_rows", [50, 10_000])
+def test_streaming_state_does_not_depend_on_arrow_batches(spark, tmp_path, arrow_rows):
+    df = _alerts(spark).withColumns({"agent": F.lit("a"), "us": F.when(F.col("row_id") != 17, F.col("us"))})
+    source = str(tmp_path / "in")
+    for part in range(2):  # shuffled rows in each of two micro-batches
+        df.filter(F.floor(F.col("row_id") / 45) == part).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    name, out = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "out")
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow_rows)
+    try:
+        with H.rocksdb_state(spark):
+            _run(H.stream_history(stream), out)
+    finally:
+        spark.conf.set(name, before)
+    item = history.history_item(*[F.col(c) for c in ("us", "level", "rule_id", "srcip", "auth", "scan", "brute")])
+    order = F.when(F.col("us").isNull(), 44.5).otherwise(F.col("row_id")).alias("at")
+    batch = history.agent_history(df.select("*", order), ["agent"], ["at"], "us", item).select("agent", "row_id", "us", *H.FEATURES)
+    got = spark.read.schema(H.OUTPUT_SCHEMA).parquet(out)
+    assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+
+
+def test_checkpoint_folder_is_refused_off_one_machine_and_released(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: "")
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Cluster.conf)
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Cluster)
+    path = session.staged(spark.range(3)).inputFiles()[0]
+    local = os.path.dirname(path.removeprefix("file://"))
+    assert os.path.isdir(local)
+    session.release_tables(spark)
+    assert not os.path.isdir(local)
+
+
 def test_windowed_streams_drop_nothing_before_the_watermark(spark, tmp_path):
     df = _alerts(spark).select("agent", F.timestamp_micros("us").alias("ts"))
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
