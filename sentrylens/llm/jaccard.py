@@ -223,14 +223,16 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that connect all documents which may be linked; stars, never all pairs.
 
     N-grams with the same documents are one list with a weight. Two linked documents have at
-    least ``sure`` n-grams of their prefixes in common (the larger of the two numbers), at most
-    ``in_long`` of them in long lists (the smaller), so ``need`` = ``sure`` - ``in_long`` of either in short ones.
+    least ``sure`` n-grams of their prefixes in common (the larger of their two numbers), at most
+    ``in_long`` of them in long lists, so at least ``need`` = ``sure`` - ``in_long`` of either in short ones.
 
     - Documents without enough hits are left out.
-    - A short list that has the weight some member needs connects its members at once.
-    - The other short lists are searched for pairs that reach what they need over several of them.
-    - Documents whose long lists alone may be enough meet in those: in so many, in one order
-      for all, that what is left is less than ``sure``.
+    - A short list that alone has the weight which all its members must share connects them.
+    - Other pairs meet in the first short list that they share, rare lists before common ones: a
+      document goes to its lists as long as those from there on reach its ``need``. There the
+      hits that two documents share are counted over all their lists.
+    - Documents whose long lists alone may be enough also meet in those: in so many, in one
+      order for all, that what is left is less than ``sure``.
     """
     members = reps.select("doc_id", "size", "sure", F.explode("prefix").alias("gram"))
     lists = (
@@ -256,36 +258,36 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     )
     kinds = staged(
         short.groupBy(F.col("list").alias("_list"))
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), (F.max("weight") >= F.min("need")).alias("direct"))
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"), (F.max("weight") >= F.max("sure")).alias("direct"))
         .filter("docs > 1")
     )
-    met = short.join(kinds, F.col("list") == F.col("_list"))
+    met = staged(short.join(kinds, F.col("list") == F.col("_list")).drop("_list", "in_long"))
     direct = met.filter("direct").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    several = (
-        met.filter("not direct")
-        .groupBy("doc_id", "size", "sure", "in_long", "need")
-        .agg(F.sum("weight").alias("left"), F.collect_list("list").alias("lists"), F.collect_list(F.struct("list", "weight")).alias("hits"))
-        .filter("left >= need")
+    rare_first = Window.partitionBy("doc_id").orderBy("docs", "list").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    visits = (
+        met.withColumn("onwards", F.sum("weight").over(rare_first))
+        .filter((F.col("onwards") >= F.greatest("need", F.lit(1))) & ~F.col("direct"))
+        .select("doc_id", F.col("list").alias("key"))
+    )
+    profiles = (
+        hits.join(visits.select(F.col("doc_id").alias("_doc")).distinct(), F.col("doc_id") == F.col("_doc"), "left_semi")
+        .groupBy(F.col("doc_id").alias("_doc"), "size", "sure")
+        .agg(F.map_from_entries(F.collect_list(F.struct("list", "weight"))).alias("hits"))
     )
 
     def connected(rows: list[tuple]) -> list[tuple]:
-        docs = sorted(rows, key=lambda r: r[1])
+        docs = sorted((doc, size, sure, dict(hits)) for _, doc, size, sure, hits in rows)
         forest, out = Forest(len(docs)), []
-        at: dict[int, list[tuple[int, int]]] = {}
-        for i, (_, doc, size, sure, in_long, hits) in enumerate(docs):
-            count: dict[int, int] = {}
-            for hit in hits:
-                for j, weight in at.setdefault(hit["list"], []):
-                    count[j] = count.get(j, 0) + min(weight, hit["weight"])
-                at[hit["list"]].append((i, hit["weight"]))
-            for j, shared in count.items():
-                _, other, size_j, sure_j, in_long_j, _ = docs[j]
-                enough = shared >= max(sure, sure_j) - min(in_long, in_long_j)
-                if enough and 100 * min(size, size_j) >= percent * max(size, size_j) and forest.join(i, j):
+        for i, (doc, size, sure, hits) in enumerate(docs):
+            for j, (other, size_j, sure_j, hits_j) in enumerate(docs[:i]):
+                if 100 * min(size, size_j) < percent * max(size, size_j) or forest.root(i) == forest.root(j):
+                    continue
+                if sum(min(hits[k], hits_j[k]) for k in hits.keys() & hits_j.keys()) >= max(sure, sure_j):
+                    forest.join(i, j)
                     out.append((other, doc))
         return out
 
-    cells = several.select(F.explode("lists").alias("key"), "doc_id", "size", "sure", "in_long", "hits")
+    cells = visits.join(profiles, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "size", "sure", "hits")
     searched = by_key(cells, "key", connected, "a long, b long")
     starved = may.join(reps.select("doc_id", "sure"), F.col("doc_id") == F.col("_doc")).filter("in_long >= sure").select("_doc")
     onwards = Window.partitionBy("doc_id").orderBy("list").rowsBetween(Window.currentRow, Window.unboundedFollowing)
