@@ -1,110 +1,192 @@
-"""Spark ML part: boosted trees, importances, ablations, refits."""
+"""Boosted trees on bounded samples, many fits at once: scores, importances, ablations, refits."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators import audit
+from sentrylens.functions import stats
 from sentrylens.operators import thresholds as T
+from sentrylens.operators.splits import fit_scaler, scaled
+from sentrylens.session import staged
 
 ABLATIONS = {
     "full": C.FEATURES,
     "no_identity": tuple(f for f in C.FEATURES if f not in C.IDENTITY_FEATURES),
     "behavioural": C.BEHAVIOURAL_FEATURES,
 }
-
-
-def preprocessor(columns: Sequence[str]) -> Pipeline:
-    """PRE1 as Spark ML stages: median imputation, then centring and scaling."""
-    filled = [f"{c}_filled" for c in columns]
-    return Pipeline(
-        stages=[
-            Imputer(strategy="median", inputCols=list(columns), outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="_raw"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
-        ]
-    )
-
-
-def with_class_weight(df: DataFrame, y: str = "y") -> DataFrame:
-    """Weight of an attack row = benign / attack rows; the cost-sensitive form of upsampling."""
-    n = df.agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) == 0).alias("b")).first()
-    return df.withColumn("_weight", F.when(F.col(y) == 1, n["b"] / max(n["a"], 1)).otherwise(1.0))
-
-
-def fit_trees(
-    train: DataFrame, columns: Sequence[str], y: str = "y", seed: int = 42, trees: int = 20, depth: int = 5
-) -> PipelineModel:
-    """MOD1: cost-sensitive gradient-boosted trees on a column list."""
-    assembler = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(
-        labelCol=y, featuresCol="features", weightCol="_weight", maxIter=trees, maxDepth=depth,
-        seed=seed, subsamplingRate=0.8, stepSize=0.1,
-    )
-    return Pipeline(stages=[assembler, gbt]).fit(with_class_weight(train, y))
-
-
-def score_trees(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """Attack probability of each row."""
-    scored = model.transform(df)
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
-
-
-def importances(model: PipelineModel, columns: Sequence[str], like: DataFrame) -> DataFrame:
-    """MOD3: importance of every feature, zeros included, ranked (SRT3).
-
-    One number per feature from the fitted model.
+#: Labelled rows that a fit reads on average, drawn by a hash of the row; evaluation reads every row.
+FIT_ROWS = 50_000
+TREES, DEPTH, BINS = 50, 5, 64
+RATE, PENALTY, SUBSAMPLE = 0.1, 1.0, 0.8
+GRID = T.linear_grid(0.005, 0.995, 199)
+
+
+@dataclass(frozen=True)
+class Fit:
+    """One fit: its name, its train rows (a key of the splits), columns and seed."""
+
+    name: str
+    columns: tuple[str, ...]
+    split: str = "split"
+    seed: int = 42
+
+
+@dataclass
+class Trees:
+    """Complete binary trees in heap order; a node that is not split sends all rows left."""
+
+    columns: tuple[str, ...]
+    base: float
+    feature: list[np.ndarray] = field(default_factory=list)
+    threshold: list[np.ndarray] = field(default_factory=list)
+    leaf: list[np.ndarray] = field(default_factory=list)
+    gain: np.ndarray | None = None
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        total = np.full(len(x), self.base)
+        rows = np.arange(len(x))
+        for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
+            node = np.zeros(len(x), dtype=np.int64)
+            for _ in range(DEPTH):
+                node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
+            total += leaf[node - (2**DEPTH - 1)]
+        return 1 / (1 + np.exp(-total))
+
+
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: Sequence[str], seed: int, trees: int) -> Trees:
+    """Gradient boosting of the logistic loss over binned columns, level by level."""
+    rng = np.random.default_rng(seed)
+    n, width = x.shape
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
+    bins = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])
+    share = np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+    model = Trees(tuple(columns), float(np.log(share / (1 - share))), gain=np.zeros(width))
+    total = np.full(n, model.base)
+    rows = np.arange(n)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-total))
+        used = weight * (rng.random(n) < SUBSAMPLE)
+        g, h = used * (p - y), used * p * (1 - p)
+        feature, threshold = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, np.inf)
+        place = np.full(2**DEPTH - 1, BINS)
+        node = np.zeros(n, dtype=np.int64)
+        for level in range(DEPTH):
+            first, count = 2**level - 1, 2**level
+            local = node - first
+            sums = [
+                np.stack([np.bincount(local * BINS + bins[:, j], v, count * BINS).reshape(count, BINS) for j in range(width)]).cumsum(axis=2)
+                for v in (g, h)
+            ]
+            (gl, hl), (ga, ha) = sums, (s[:, :, -1:] for s in sums)
+            gain = gl**2 / (hl + PENALTY) + (ga - gl) ** 2 / (ha - hl + PENALTY) - ga**2 / (ha + PENALTY)
+            gain[(hl < 1e-3) | (ha - hl < 1e-3)] = 0
+            for j, e in enumerate(edges):
+                gain[j, :, len(e) :] = 0
+            flat = gain.transpose(1, 0, 2).reshape(count, -1)
+            best = flat.argmax(axis=1)
+            for k in np.flatnonzero(flat[np.arange(count), best] > 1e-9):
+                j, b = divmod(int(best[k]), BINS)
+                feature[first + k], threshold[first + k], place[first + k] = j, edges[j][b], b
+                model.gain[j] += flat[k, best[k]]
+            node = 2 * node + 1 + (bins[rows, feature[node]] > place[node])
+        at = node - (2**DEPTH - 1)
+        leaf = -RATE * np.bincount(at, g, 2**DEPTH) / (np.bincount(at, h, 2**DEPTH) + PENALTY)
+        total += leaf[at]
+        model.feature.append(feature)
+        model.threshold.append(threshold)
+        model.leaf.append(leaf)
+    return model
+
+
+def fit_many(
+    trains: Mapping[str, DataFrame], fits: Sequence[Fit], y: str = "y", trees: int = TREES, fit_rows: int = FIT_ROWS
+) -> tuple[list[Trees], dict[str, dict]]:
+    """MOD1, MOD5: all fits side by side, one task each, and the PRE1 scaler of each split.
+
+    Every fit gets the imputed and scaled rows of its split's sample; attack rows weigh
+    benign / attack, the cost-sensitive form of upsampling.
     """
-    values = model.stages[-1].featureImportances.toArray()
-    ranked = sorted(zip(columns, values), key=lambda p: (-p[1], p[0]))
-    rows = [(i + 1, c, float(v)) for i, (c, v) in enumerate(ranked)]
-    return like.sparkSession.createDataFrame(rows, "place int, feature string, gain double")
-
+    every = tuple(dict.fromkeys(c for f in fits for c in f.columns))
+    scalers, parts = {}, []
+    for split in dict.fromkeys(f.split for f in fits):
+        train = trains[split]
+        scalers[split] = fit_scaler(train, every)
+        n = train.count()
+        share = min(1.0, fit_rows / max(n, 1))
+        drawn = train.filter(F.pmod(F.xxhash64(*every, y, F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
+        mine = [i for i, f in enumerate(fits) if f.split == split]
+        parts.append(
+            drawn.select(
+                F.col(y).cast("double").alias("y"),
+                F.array(*[scaled(every, scalers[split])[c] for c in every]).alias("x"),
+                F.explode(F.array(*[F.lit(i) for i in mine])).alias("fit"),
+            )
+        )
 
-def evaluate_max_f1(scored: DataFrame, y: str = "y", score: str = "score", calibrate_on: DataFrame | None = None) -> DataFrame:
-    """Confusion at the F1-optimal grid threshold.
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        spec = fits[int(part["fit"].iloc[0])]
+        part = part.assign(_k=part["x"].map(lambda v: v.tobytes())).sort_values(["_k", "y"])
+        x = np.stack(part["x"].to_numpy())[:, [every.index(c) for c in spec.columns]]
+        labels = part["y"].to_numpy()
+        weight = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0)
+        model = boosted(x, labels, weight, spec.columns, spec.seed, trees)
+        return pd.DataFrame({"fit": [part["fit"].iloc[0]], "model": [pickle.dumps(model)]})
 
-    By default the threshold is searched on the evaluated rows themselves (optimistic,
-    as the compared numbers are); ``calibrate_on`` takes it from other rows.
-    """
-    rows = calibrate_on if calibrate_on is not None else scored
-    grid = T.f1_grid(rows, score)
-    best = T.max_f1(T.grid_curve(rows, score, grid, y), fallback=0.5).first()
-    called = scored.withColumn("_p", (F.col(score) >= best["threshold"]).cast("int"))
-    return audit.confusion(called, y, "_p").withColumn("threshold", F.lit(best["threshold"]))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("fit").applyInPandas(fit, "fit int, model binary").collect()
+    return [pickle.loads(r["model"]) for r in sorted(rows)], scalers
 
 
-def ablation(
-    train: DataFrame, test: DataFrame, variants: Mapping[str, Sequence[str]] = ABLATIONS, y: str = "y", **kw
+def score_many(
+    tests: Mapping[str, DataFrame], fits: Sequence[Fit], models: Sequence[Trees], scalers: Mapping[str, dict], y: str = "y"
 ) -> DataFrame:
-    """MOD4, CFX6: refit and evaluate per column list, same split."""
-    parts = []
-    for name, columns in variants.items():
-        model = fit_trees(train, columns, y, **kw)
-        result = evaluate_max_f1(score_trees(model, test), y)
-        parts.append(
-            result.select(F.lit(name).alias("variant"), F.lit(len(columns)).alias("n_features"), *result.columns)
+    """Every test row under every fit: ``fit`` (its name), ``seed``, ``split``, ``y``, ``score``."""
+    every = tuple(dict.fromkeys(c for f in fits for c in f.columns))
+    out = []
+    for split in dict.fromkeys(f.split for f in fits):
+        mine = [(f, m) for f, m in zip(fits, models) if f.split == split]
+
+        def run(batches, mine=mine, split=split):
+            for batch in batches:
+                x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(every)))
+                for f, m in mine:
+                    score = m.score(x[:, [every.index(c) for c in f.columns]])
+                    yield pd.DataFrame({"fit": f.name, "seed": f.seed, "split": split, "y": batch["y"], "score": score})
+
+        rows = tests[split].select(
+            F.col(y).cast("int").alias("y"), F.array(*[scaled(every, scalers[split])[c] for c in every]).alias("x")
         )
-    return reduce(DataFrame.unionByName, parts)
+        out.append(rows.mapInPandas(run, "fit string, seed int, split string, y int, score double"))
+    return staged(reduce(DataFrame.unionByName, out))
 
 
-def seed_runs(
-    train: DataFrame, test: DataFrame, columns: Sequence[str], seeds: Sequence[int], y: str = "y", **kw
-) -> DataFrame:
-    """MOD5: the same fit under several seeds."""
-    parts = []
-    for seed in seeds:
-        result = evaluate_max_f1(score_trees(fit_trees(train, columns, y, seed=seed, **kw), test), y)
-        parts.append(result.select(F.lit(seed).alias("seed"), "f1", "recall", "fpr"))
-    return reduce(DataFrame.unionByName, parts)
+def best_f1(scored: DataFrame, by: Sequence[str] = ("fit", "seed", "split")) -> DataFrame:
+    """Confusion at the F1-optimal threshold of a fixed grid, per fit, with the area under the ROC curve.
+
+    The threshold is searched on the evaluated rows themselves (optimistic, as the compared numbers are).
+    """
+    by = list(by)
+    curve = staged(T.grid_curve(scored, "score", GRID, by=by))
+    found = T.max_f1(curve, by, fallback=GRID[0])
+    same = [F.col(f"_{c}") == F.col(c) for c in by]
+    at = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("threshold").alias("_threshold"), "f1")
+    rows = curve.join(at, [*same, F.col("threshold") == F.col("_threshold")]).drop(*[f"_{c}" for c in by], "_threshold")
+    area = T.auc(scored, "score", by=by).select(*[F.col(c).alias(f"_{c}") for c in by], "auc")
+    return rows.withColumns(
+        {"recall": stats.ratio(F.col("tp"), F.col("n_attack")), "fpr": stats.ratio(F.col("fp"), F.col("n_benign"))}
+    ).join(area, same).drop(*[f"_{c}" for c in by])
+
+
+def importances(model: Trees) -> list[tuple[int, str, float]]:
+    """MOD3: share of the gain of every feature, zeros included, ranked (SRT3)."""
+    gain = model.gain / max(model.gain.sum(), 1e-300)
+    ranked = sorted(zip(model.columns, gain.tolist()), key=lambda p: (-p[1], p[0]))
+    return [(i + 1, c, v) for i, (c, v) in enumerate(ranked)]

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.functions import flags
+from sentrylens.functions import flags, stats
 from sentrylens.operators import audit, controls, decisions, features, models, splits
 from sentrylens.operators import thresholds as T
 from sentrylens.operators.labels import label_asof
 from sentrylens.plans import views as V
 from sentrylens.plans.q_audit import _CELLS, _LONG, _MI, _RATE10, _RATES, _rated, rounded
 from sentrylens.plans.registry import query
-from sentrylens.session import cut_lineage
+from sentrylens.session import staged
 
 _SCORES = "SELECT *, value / 500.0::DOUBLE AS score FROM labelled"
 
@@ -510,70 +511,122 @@ def cfx5(spark, sf):
     return _swap_query(spark, sf, 1, variants, ["technique"])
 
 
-# --- models (checked by their rows only: a fit has no SQL form) --------------------------------------
+# --- models: a fit has no SQL form, so SQL checks what is exact about it -------------------------
+
+_TEMPORAL = """SELECT 'temporal' AS split, count(*) AS n_test, sum(y) AS n_attack, count(*) - sum(y) AS n_benign FROM (
+    SELECT y, row_number() OVER (ORDER BY us, row_id) AS r, count(*) OVER () AS n FROM labelled) WHERE r > CAST(floor(0.8 * n) AS BIGINT)"""
+_RANDOM = """SELECT 'random' AS split, sum(n - t) AS n_test, sum(CASE WHEN y = 1 THEN n - t END) AS n_attack,
+    sum(CASE WHEN y = 0 THEN n - t END) AS n_benign FROM (
+    SELECT y, count(*) AS n, CAST(round_even(0.8 * count(*), 0) AS BIGINT) AS t FROM labelled GROUP BY y)"""
 
 
 def feature_rows(spark, sf):
-    """26-feature rows with label and split, computed once for all fits."""
+    """26-feature rows with label, computed once for all fits."""
     flat = V.detailed_alerts(spark, sf).withColumn("message", F.lit(None).cast("string"))
     rows = features.features_v2(flat, ["scenario"], ["us", "row_id"], "us", keep=["row_id", "us", "scenario"])
-    labelled = label_asof(rows, V.windows(spark, sf), ["scenario"])
-    return splits.temporal_split(cut_lineage(labelled), "us", "row_id")
+    return staged(label_asof(rows, V.windows(spark, sf), ["scenario"]))
+
+
+def _evaluated(rows, fits):
+    """Confusion of each fit at its best threshold, on the test rows of its split."""
+    cut = {}
+    for name in dict.fromkeys(f.split for f in fits):
+        temporal = name == "temporal"
+        cut[name] = splits.temporal_split(rows, "us", "row_id") if temporal else splits.stratified_split(rows, "y", "row_id")
+    trained, scalers = models.fit_many({k: v.filter("split = 'train'") for k, v in cut.items()}, fits)
+    tests = {k: v.filter("split = 'test'") for k, v in cut.items()}
+    return models.best_f1(models.score_many(tests, fits, trained, scalers))
+
+
+def _exact(found, fits):
+    """What a check can hold exactly: sizes, and whether the fit beats calling everything an attack."""
+    sizes = {f.name: len(f.columns) for f in fits}
+    width = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    trivial = stats.f1(F.col("n_attack"), F.col("n_benign"), F.lit(0))
+    valid = (F.col("f1") >= trivial - 1e-6) & F.col("auc").between(0, 1)
+    return found.groupBy("fit", "split").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.max(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_test"),
+        F.max(F.col("tp") + F.col("fn")).alias("n_attack"),
+        F.max(F.col("fp") + F.col("tn")).alias("n_benign"),
+        F.min(valid.cast("int")).cast("long").alias("trivial_beaten"),
+    ).withColumn("n_features", width[F.col("fit")].cast("long"))
+
+
+def _fit_check(fits):
+    """The same in SQL."""
+    runs = {}
+    for f in fits:
+        runs[f.name, f.split] = (runs.get((f.name, f.split), (0,))[0] + 1, len(f.columns))
+    named = ", ".join(f"('{n}', '{s}', {r}, {w})" for (n, s), (r, w) in runs.items())
+    return V.check_sql(
+        f"""SELECT fit, split, CAST(runs AS BIGINT) AS runs, CAST(n_test AS BIGINT) AS n_test, CAST(n_attack AS BIGINT) AS n_attack,
+        CAST(n_benign AS BIGINT) AS n_benign, CAST(1 AS BIGINT) AS trivial_beaten, CAST(n_features AS BIGINT) AS n_features
+        FROM (VALUES {named}) t(fit, split, runs, n_features) JOIN (SELECT * FROM temporal UNION ALL SELECT * FROM random) USING (split)""",
+        "labelled", temporal=_TEMPORAL, random=_RANDOM,
+    )
 
 
-def _parts(spark, sf):
-    rows = feature_rows(spark, sf)
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+_MOD1 = [models.Fit("full", C.FEATURES, "temporal")]
+_MOD4 = [models.Fit(name, tuple(columns), "temporal") for name, columns in models.ABLATIONS.items()]
+_MOD5 = [
+    models.Fit(name, tuple(columns), split, seed)
+    for name, columns in models.ABLATIONS.items() for split in ("random", "temporal") for seed in range(10)
+]
+_MINIMAL = ("alert_rate_1min", "alerts_10min", "time_since_last_alert", "line_count", "hour")
+_MOD6 = [models.Fit("minimal", _MINIMAL, "random")]
+_CFX6 = [
+    models.Fit(name, columns, "temporal")
+    for name, columns in (
+        ("identity", C.IDENTITY_BLOCK), ("structural", C.TEMPORAL_BLOCK), ("both", C.IDENTITY_BLOCK + C.TEMPORAL_BLOCK),
+    )
+]
 
 
-@query("mod1_boosted_trees_scores")
+@query("mod1_boosted_trees_scores", _fit_check(_MOD1))
 def mod1(spark, sf):
-    train, test = _parts(spark, sf)
-    model = models.fit_trees(train, C.FEATURES, trees=5, depth=3)
-    return rounded(models.evaluate_max_f1(models.score_trees(model, test)))
+    return _exact(_evaluated(feature_rows(spark, sf), _MOD1), _MOD1)
 
 
-@query("mod3_feature_importance")
+@query(
+    "mod3_feature_importance",
+    "SELECT CAST({0} AS BIGINT) AS n_features, CAST({0} AS BIGINT) AS places, 1.0::DOUBLE AS total_gain, CAST(1 AS BIGINT) AS falling".format(len(C.FEATURES)),
+)
 def mod3(spark, sf):
-    train, _ = _parts(spark, sf)
-    model = models.fit_trees(train, C.FEATURES, trees=5, depth=3)
-    return rounded(models.importances(model, C.FEATURES, train))
+    train = splits.temporal_split(feature_rows(spark, sf), "us", "row_id").filter("split = 'train'")
+    fitted, _ = models.fit_many({"temporal": train}, _MOD1)
+    ranked = spark.createDataFrame(models.importances(fitted[0]), "place int, feature string, gain double")
+    falls = F.coalesce(F.lag("gain").over(Window.orderBy("place")) >= F.col("gain"), F.lit(True))
+    return ranked.withColumn("falls", falls).agg(
+        F.countDistinct("feature").alias("n_features"), F.countDistinct("place").alias("places"),
+        F.round(F.sum("gain"), 6).alias("total_gain"), F.min(F.col("falls").cast("long")).alias("falling"),
+    )
 
 
-@query("mod4_feature_ablation")
+@query("mod4_feature_ablation", _fit_check(_MOD4))
 def mod4(spark, sf):
-    return rounded(models.ablation(*_parts(spark, sf), trees=3, depth=3))
+    return _exact(_evaluated(feature_rows(spark, sf), _MOD4), _MOD4)
 
 
-@query("mod5_multi_seed_refits")
+@query("mod5_multi_seed_refits", _fit_check(_MOD5))
 def mod5(spark, sf):
-    train, test = _parts(spark, sf)
-    runs = models.seed_runs(train, test, models.ABLATIONS["behavioural"], [1, 2, 3], trees=3, depth=3)
-    return rounded(audit.run_summary(runs, "f1", []))
+    return _exact(_evaluated(feature_rows(spark, sf), _MOD5), _MOD5)
 
 
-@query("mod6_minimal_model")
+@query("mod6_minimal_model", _fit_check(_MOD6))
 def mod6(spark, sf):
     from sentrylens.operators.history import source_history
 
     l = V.labelled(spark, sf)
     h = source_history(l, ["collection"], ["us", "row_id"], "us")
     hour = F.hour(F.timestamp_micros("us"))
-    columns = ("alert_rate_1min", "alerts_10min", "time_since_last_alert", "line_count", "hour")
-    rows = cut_lineage(h.withColumns({"line_count": F.col("k").cast("double"), "hour": hour.cast("double")}))
-    split = splits.stratified_split(rows, "y", "row_id")
-    model = models.fit_trees(split.filter("split = 'train'"), columns, trees=3, depth=3)
-    return rounded(models.evaluate_max_f1(models.score_trees(model, split.filter("split = 'test'"))))
+    rows = staged(h.withColumns({"line_count": F.col("k").cast("double"), "hour": hour.cast("double")}))
+    return _exact(_evaluated(rows, _MOD6), _MOD6)
 
 
-@query("cfx6_feature_tier_evaluation")
+@query("cfx6_feature_tier_evaluation", _fit_check(_CFX6))
 def cfx6(spark, sf):
-    tiers = {
-        "identity": C.IDENTITY_BLOCK,
-        "structural": C.TEMPORAL_BLOCK,
-        "both": C.IDENTITY_BLOCK + C.TEMPORAL_BLOCK,
-    }
-    return rounded(models.ablation(*_parts(spark, sf), variants=tiers, trees=3, depth=3))
+    return _exact(_evaluated(feature_rows(spark, sf), _CFX6), _CFX6)
 
 
 # --- controls -------------------------------------------------------------------------------------
