@@ -226,10 +226,14 @@ def swapped(df: DataFrame, values: Mapping[str, float]) -> DataFrame:
     return df.withColumns({c: F.lit(float(v)) for c, v in values.items()})
 
 
+def null_values(columns: Sequence[str]) -> dict[str, float]:
+    """CFX2: the null value of each column: 0, or 999 for the time since a high alert."""
+    return {c: C.NO_RECENT_HIGH if c == "time_since_last_high" else 0.0 for c in columns}
+
+
 def zeroed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """CFX2: a column block at its null value: 0, or 999 for the time since a high alert."""
-    null_value = {"time_since_last_high": C.NO_RECENT_HIGH}
-    return swapped(df, {c: null_value.get(c, 0.0) for c in columns})
+    """CFX2: a column block at its null values."""
+    return swapped(df, null_values(columns))
 
 
 def swap_recalls(

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators import audit, features
+from sentrylens.operators import audit, decisions, features
 from sentrylens.plans import q_projections as P
 from sentrylens.plans import q_windows as W
 from sentrylens.plans import views as V
 from sentrylens.plans.q_audit import rounded
 from sentrylens.plans.registry import query
-from sentrylens.session import table_dir
+from sentrylens.session import staged, table_dir
 from sentrylens.sources import alerts as S
 from sentrylens.sources import sinks
 from sentrylens.streaming import history_stream
@@ -40,6 +40,61 @@ def prj14(spark, sf):
     return rounded(features.features_v2(_flat(spark, sf), ["scenario"], ["us", "row_id"], "us", keep=["row_id"]))
 
 
+# Counterfactuals on the real blocks of the 26 features: attack and benign rows, hit by the distance score.
+_THETA26 = 40.0
+_CHAIN = (("temporal", C.TEMPORAL_BLOCK), ("content", C.CONTENT_BLOCK), ("identity", C.IDENTITY_BLOCK))
+
+
+def _hits26(values: dict[str, str]) -> str:
+    terms = " + ".join(f"power(({values.get(c, c)} - m_{c}) / d_{c}, 2)" for c in C.FEATURES)
+    return f"count(*) FILTER ({terms} >= {_THETA26})"
+
+
+def _null_sql(columns) -> dict[str, str]:
+    return {c: "999.0" if c == "time_since_last_high" else "0.0" for c in columns}
+
+
+def _chain_sql() -> dict[str, dict[str, str]]:
+    out, taken = {}, {}
+    for name, columns in _CHAIN:
+        taken = taken | {c: f"q_{c}" for c in columns}
+        out[name] = taken
+    return out
+
+
+def _blocks_check(variants: dict[str, dict[str, str]]) -> str:
+    numbers = ", ".join(
+        f"avg({c}) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) AS d_{c}, quantile_cont({c}, 0.5) AS q_{c}" for c in C.FEATURES
+    )
+    return V.check_sql(
+        f"""SELECT y, count(*) AS n, {_hits26({})} AS hits_original,
+        {', '.join(f'{_hits26(v)} AS hits_{name}' for name, v in variants.items())} FROM rows26, benign GROUP BY y""",
+        "labelled", "detailed", **_FEATURE_VIEWS, row26=_ROW26,
+        rows26=f"SELECT CAST(l.y AS INT) AS y, {', '.join(f'round(r.{c}, 6) AS {c}' for c in C.FEATURES)} FROM row26 r JOIN labelled l USING (row_id)",
+        benign=f"SELECT {numbers} FROM rows26 WHERE y = 0",
+    )
+
+
+def _blocks(spark, sf, variants):
+    rows = rounded(features.features_v2(_flat(spark, sf), ["scenario"], ["us", "row_id"], "us", keep=["row_id"]))
+    y = V.labelled(spark, sf).select(F.col("row_id").alias("_row"), F.col("y").cast("int").alias("y"))
+    rows = staged(rows.join(y, F.col("row_id") == F.col("_row")).drop("_row"))
+    benign = rows.filter("y = 0")
+    return decisions.swap_recalls(
+        rows, variants(benign), C.FEATURES, decisions.fit_distance(benign, C.FEATURES), _THETA26, ["y"]
+    )
+
+
+@query("cfx2_zeroed_blocks_26", _blocks_check({name: _null_sql(columns) for name, columns in _CHAIN}))
+def cfx2_blocks(spark, sf):
+    return _blocks(spark, sf, lambda _: {name: decisions.null_values(columns) for name, columns in _CHAIN})
+
+
+@query("cfx4_block_chain_26", _blocks_check(_chain_sql()))
+def cfx4_blocks(spark, sf):
+    return _blocks(spark, sf, lambda benign: decisions.block_chain(decisions.medians_of(benign, C.FEATURES), _CHAIN))
+
+
 @query(
     "prj18_feature_row_22",
     V.check_sql(
