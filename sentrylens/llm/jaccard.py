@@ -24,7 +24,7 @@ LONG = 200
 LEAST_PREFIX = 64
 SLACK = 0.03
 #: Documents of a candidate group that are compared in one task; larger groups are cut in blocks.
-BLOCK = 96
+BLOCK = 256
 #: Weight of a probe against a merge step when lists are divided (a fixed value of the method).
 MU = 0.0085
 
@@ -250,10 +250,10 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
     may = staged(
         hits.groupBy(F.col("doc_id").alias("_doc"), "sure").agg(in_long, F.sum("weight").alias("in_all"))
         .filter("in_all >= sure")
-        .select("_doc", "in_long")
+        .select("_doc", "in_long", F.col("sure").alias("_sure"))
     )
     short = staged(
-        hits.filter("not long").join(may, F.col("doc_id") == F.col("_doc"))
+        hits.filter("not long").join(may.drop("_sure"), F.col("doc_id") == F.col("_doc"))
         .select("doc_id", "size", "sure", "in_long", "list", "weight", (F.col("sure") - F.col("in_long")).alias("need"))
     )
     kinds = staged(
@@ -269,8 +269,11 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
         .filter((F.col("onwards") >= F.greatest("need", F.lit(1))) & ~F.col("direct"))
         .select("doc_id", F.col("list").alias("key"))
     )
+    counted = met.select("doc_id", "size", "sure", "list", "weight").unionByName(
+        hits.filter("long").select("doc_id", "size", "sure", "list", "weight")
+    )
     profiles = (
-        hits.join(visits.select(F.col("doc_id").alias("_doc")).distinct(), F.col("doc_id") == F.col("_doc"), "left_semi")
+        counted.join(visits.select(F.col("doc_id").alias("_doc")).distinct(), F.col("doc_id") == F.col("_doc"), "left_semi")
         .groupBy(F.col("doc_id").alias("_doc"), "size", "sure")
         .agg(F.map_from_entries(F.collect_list(F.struct("list", "weight"))).alias("hits"))
     )
@@ -289,7 +292,7 @@ def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
 
     cells = visits.join(profiles, F.col("doc_id") == F.col("_doc")).select("key", "doc_id", "size", "sure", "hits")
     searched = by_key(cells, "key", connected, "a long, b long")
-    starved = may.join(reps.select("doc_id", "sure"), F.col("doc_id") == F.col("_doc")).filter("in_long >= sure").select("_doc")
+    starved = may.filter("in_long >= _sure").select("_doc")
     onwards = Window.partitionBy("doc_id").orderBy("list").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     in_lists = (
         hits.filter("long")
@@ -326,7 +329,7 @@ def jaccard_links(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_sets = staged(summaries(docs, n, percent))
     sets = all_sets.filter("size > 0 and doc_id is not null")
-    reps = sets.groupBy("same").agg(F.min(F.struct("doc_id", "size", "sure", "prefix")).alias("rep"))
+    reps = staged(sets.groupBy("same").agg(F.min(F.struct("doc_id", "size", "sure", "prefix")).alias("rep")))
     groups = components(candidate_links(reps.select("rep.*"), percent), "a", "b")
     nodes = staged(
         groups.select("node", F.col("component").alias("group"))
@@ -343,8 +346,9 @@ def jaccard_links(
         found = [x.tobytes() for x in ngram_sets(batch.column(1), n)]
         return {"doc_id": batch.column(0), "group": batch.column(2), "block": batch.column(3), "blocks": batch.column(4), "members": found}
 
+    # the documents in groups grow with the corpus: a broadcast that suits a small one is not planned
     shipped = arrow_rows(
-        docs.join(routed, F.col("doc_id") == F.col("node")).select("doc_id", "text", "group", "block", "blocks"),
+        docs.join(routed.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", "text", "group", "block", "blocks"),
         sets_of,
         "doc_id long, group long, block int, blocks int, members binary",
     )
