@@ -387,11 +387,8 @@ def top_unmapped(df: DataFrame, rule: str, groups: str, k: int = 10) -> DataFram
 
 def top_signature_share(df: DataFrame, sig: str, y: str = "y") -> DataFrame:
     """AGG17: the largest attack signature and its share of the attacks."""
-    attacks = df.filter(F.col(y) == 1)
-    total = attacks.agg(_n()).scalar()
-    return top_by_volume(attacks.groupBy(sig).agg(_n().alias("n")), sig, 1).withColumn(
-        "share", F.col("n") / total
-    )
+    counts = staged(df.filter(F.col(y) == 1).groupBy(sig).agg(_n().alias("n")))
+    return top_by_volume(counts, sig, 1).withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 # --- label checks ---------------------------------------------------------------------------
@@ -543,6 +540,7 @@ def first_description(df: DataFrame, rule: str, description: str, order: str) ->
 
 def rate_stats(df: DataFrame, value: str, y: str = "y") -> DataFrame:
     """AGG23: count, mean and exact quantiles of a value per class."""
+    df = staged(df.select(y, value))
     quantiles = exact_quantiles(
         df, [y], value, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     )

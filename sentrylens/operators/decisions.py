@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from sentrylens.functions import constants as C
 from sentrylens.functions import stats
 from sentrylens.operators import thresholds as T
-from sentrylens.operators.audit import class_medians, confusion
+from sentrylens.operators.audit import class_medians
 from sentrylens.operators.splits import fit_scaler, scaled
+from sentrylens.session import staged
 
 
 def distance_score(columns: Sequence[str], scaler: dict) -> Column:
@@ -84,19 +85,22 @@ def raw_combination(hit1: Column, hit2: Column) -> Column:
 
 def layer_value(df: DataFrame, hit1: str, hit2: str, y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """MOD9: what the first layer adds to the second (percentage points), with a verdict."""
-    by = list(by)
-    both = confusion(df.withColumn("_p", raw_combination(F.col(hit1) == 1, F.col(hit2) == 1)), y, "_p", by)
-    alone = confusion(df, y, hit2, by)
-    cols = {"recall": "recall_pp", "fpr": "fpr_pp"}
-    left = both.select(*by, *[F.col(c).alias(f"_both_{c}") for c in cols])
-    right = alone.select(*by, *[F.col(c).alias(f"_alone_{c}") for c in cols])
-    if by:
-        joined = left.join(right, by)
-    else:
-        joined = left.withColumn("_k", F.lit(1)).join(right.withColumn("_k", F.lit(1)), "_k")
-    out = joined.select(
-        *by,
-        *[(100 * (F.col(f"_both_{c}") - F.col(f"_alone_{c}"))).alias(n) for c, n in cols.items()],
+    attack, benign = F.col(y) == 1, F.col(y) == 0
+    second = F.col(hit2) == 1
+    both = raw_combination(F.col(hit1) == 1, second) == 1
+    out = (
+        df.groupBy(*by)
+        .agg(
+            F.count_if(attack).alias("_a"),
+            F.count_if(benign).alias("_b"),
+            *[F.count_if(of & hit).alias(n) for of, hit, n in (
+                (attack, both, "_a12"), (attack, second, "_a2"), (benign, both, "_b12"), (benign, second, "_b2"))],
+        )
+        .select(
+            *by,
+            (100 * (stats.ratio(F.col("_a12"), F.col("_a")) - stats.ratio(F.col("_a2"), F.col("_a")))).alias("recall_pp"),
+            (100 * (stats.ratio(F.col("_b12"), F.col("_b")) - stats.ratio(F.col("_b2"), F.col("_b")))).alias("fpr_pp"),
+        )
     )
     return out.withColumn(
         "verdict",
@@ -124,7 +128,8 @@ def model_matrix(scores: DataFrame, y: str = "y") -> DataFrame:
     """
     from sentrylens.operators.audit import separation
 
-    curve = T.score_curve(scores, "score", y, ["model"])
+    scores = staged(scores)
+    curve = staged(T.score_curve(scores, "score", y, ["model"]))
     at10 = T.recall_at_fpr(curve, 0.10, ["model"]).select(
         "model", F.col("recall").alias("recall_at_10pct"), F.col("threshold").alias("threshold_10pct")
     )

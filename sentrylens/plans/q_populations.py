@@ -10,6 +10,7 @@ from sentrylens.plans import views as V
 from sentrylens.plans.q_audit import rounded
 from sentrylens.plans.q_labels import _BASELINES, _HITS, _LABEL, _TIERED_LINUX, _TREE, _tree, linux_tiers
 from sentrylens.plans.registry import query
+from sentrylens.session import staged
 from sentrylens.sources.alerts import id_set
 
 _FROM, _TO = 1704153600000000, 1705968000000000
@@ -225,8 +226,8 @@ _HALF = """SELECT collection, count(*) FILTER (y = 1 AND level >= 8) * 1.0 / cou
 )
 def jn16(spark, sf):
     l = V.labelled(spark, sf).withColumn("pred", (F.col("level") >= 8).cast("int"))
-    gains = audit.confusion(l.filter("k % 2 = 0"), by=["collection"])
-    regressions = audit.confusion(l.filter("k % 2 = 1"), by=["collection"])
+    halves = staged(audit.confusion(l.withColumn("half", F.col("k") % 2), by=["half", "collection"]))
+    gains, regressions = (halves.filter(F.col("half") == i).drop("half") for i in (0, 1))
     from sentrylens.operators.decisions import tradeoff
 
     return rounded(tradeoff(gains, regressions, "collection", "view"))
