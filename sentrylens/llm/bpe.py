@@ -7,6 +7,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,9 +21,9 @@ from sentrylens.llm.common import arrow_rows
 #: Unicode tables agree on these. Other texts are cut by the tokenizers library.
 PLAIN = 0x530
 #: Memory bounds of a worker; what goes is worked out again when it is needed.
-TRIE_NODES = 1_000_000
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 1_000_000
+TRIE_NODES = 250_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,7 +73,7 @@ class Coder:
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         whole = {i for t, i in self.ids.items() if self.merged(t) == [i]}
         self.endings = {t: i for t, i in self.ids.items() if i in whole}
         self.automaton()
@@ -93,7 +94,7 @@ class Coder:
         """Whether the merges leave the tokens ``a b`` as they are."""
         if len(self.pairs) >= CACHED_PAIRS:
             self.pairs.clear()
-        ok = self.pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        ok = self.pairs[a << 32 | b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return ok
 
     def automaton(self) -> None:
@@ -129,7 +130,7 @@ class Coder:
     def clear_trie(self) -> None:
         """An empty trie: children by (node, byte); each node's state, last token, and the node before it."""
         self.child: dict[int, int] = {}
-        self.state, self.last, self.before = [0], [-1], [0]
+        self.state, self.last, self.before = array("i", [0]), array("i", [-1]), array("i", [0])
 
     def grow(self, node: int, b: int, path: list[int]) -> int:
         """A new node: its last token follows from the states of the nodes above it."""
@@ -140,7 +141,7 @@ class Coder:
             before = path[depth - length]
             if before == 0:
                 break
-            ok = pairs.get((last[before], token))
+            ok = pairs.get(last[before] << 32 | token)
             if ok or ok is None and self.follows(last[before], token):
                 break
         else:
