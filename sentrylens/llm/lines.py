@@ -74,14 +74,11 @@ def line_dedup(
     )
     docs = whole.select("doc_id", "text")
 
-    def hashed(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [line_hashes(t) for t in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "lines": [x[0] for x in found], "at": [x[1] for x in found]}
-
     def windows(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name in ("doc_id", "at", "run", "fingerprint", "opens")}
-        for doc, lines, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            run, fingerprint, opens = winnowed(lines.values.to_numpy().astype(np.int64), window)
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            hashes, at = line_hashes(text)
+            run, fingerprint, opens = winnowed(np.array(hashes, dtype=np.int64), window)
             out["doc_id"] += [doc] * len(run)
             out["at"] += [at[i : i + window] for i in range(len(run))]
             out["run"] += run.tolist()
@@ -89,10 +86,9 @@ def line_dedup(
             out["opens"] += opens.tolist()
         return out
 
-    sequences = arrow_rows(docs.filter("doc_id is not null"), hashed, "doc_id long, lines array<long>, at array<int>")
     placed = staged(
         arrow_rows(
-            sequences.filter(F.size("lines") >= window), windows,
+            docs.filter("doc_id is not null"), windows,
             "doc_id long, at array<int>, run long, fingerprint long, opens boolean",
         )
     )
