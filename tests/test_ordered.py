@@ -237,3 +237,14 @@ def test_text_cannot_decide_the_cuts(spark):
     df = spark.createDataFrame([(1, "a")], "id long, name string")
     with pytest.raises(TypeError):
         row_numbers(df, [], ["id", "name"])
+
+
+def test_closure_doubles_along_a_long_chain_with_a_cycle(spark, monkeypatch):
+    rounds_taken = []
+    cut = labels.cut_lineage
+    monkeypatch.setattr(labels, "cut_lineage", lambda df: rounds_taken.append(1) or cut(df))
+    edges = spark.range(5000).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child")).union(
+        spark.createDataFrame([(9001, 9002), (9002, 9003), (9003, 9001), (40, 40)], "parent long, child long")
+    )
+    got = {r.node for r in labels.descendants(edges, spark.createDataFrame([(10,)], "node long")).collect()}
+    assert got == set(range(10, 5001)) and len(rounds_taken) <= 20

@@ -41,7 +41,7 @@ def main():
     import duckdb
 
     from sentrylens.plans.catalog import CHECKS, QUERIES
-    from sentrylens.session import local_session
+    from sentrylens.session import local_session, release_tables
 
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
@@ -64,6 +64,7 @@ def main():
             print(f"ERROR {name}: {str(e)[:600]}")
             continue
         dt = time.time() - t0
+        release_tables(spark)
         if name not in CHECKS:
             print(f"rows  {name}: {len(got)} ({dt:.1f}s)")
             continue
