@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,8 +19,12 @@ from sentrylens.llm.common import arrow_rows, bounded_sample, empty_if_null, sta
 #: Labelled rows of each domain that the classifier is fitted on at most, the first by a hash of the id.
 FIT_ROWS = 3000
 FEATURES = 1 << 14
-ITERATIONS = 40
+#: Rounds after which a fit is given up with an error (it needs about 10), and the largest miss of a total.
+ITERATIONS = 400
 TOLERANCE = 1e-4
+#: Pulls of the rates towards one, and lengths of a Newton step.
+PULLS = tuple(10.0**-i for i in range(3, 10))
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 0.0001)
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -65,73 +70,82 @@ def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return domains, staged(scored.select("doc_id", F.size("words").cast("long").alias("n_tokens"), vector_to_array("probability").alias("posterior")))
 
 
-def fold(p: np.ndarray, steps: Sequence[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates and extrapolated rates after the given gradient steps, from rates of one.
-
-    A step is a vector over domains (already scaled by the step size) and a momentum.
-    """
-    rate = ahead = np.ones(len(p))
-    for g, momentum in steps:
-        new = np.maximum(0.0, ahead - p @ g)
-        ahead, rate = new + momentum * (new - rate), new
-    return rate, ahead
+def fold(p: np.ndarray, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors ``p``, and where they are above zero."""
+    rate = np.maximum(0.0, 1.0 + p @ slopes)
+    return rate, rate > 0
 
 
-def totals(rows: DataFrame, steps: Sequence[tuple[np.ndarray, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain under the rates and under the extrapolated rates."""
+def moments(rows: DataFrame, tries: Sequence[np.ndarray], k: int, corpus: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each vector of slopes, over all tokens of the corpus: half the mean square of the rates, the
+    expected shares of the domains, and the domains' second moments where rates are above zero."""
 
     def part(batch: pa.RecordBatch) -> dict[str, list]:
-        tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+        tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float) / corpus
         p = batch.column(1).flatten().to_numpy().reshape(len(tokens), k)
-        rate, ahead = fold(p, steps)
-        both = np.concatenate([(rate * tokens) @ p, (ahead * tokens) @ p])
-        return {"i": list(range(2 * k)), "v": both}
+        out = []
+        for slopes in tries:
+            rate, taken = fold(p, slopes)
+            out += [[(tokens * rate**2).sum() / 2], (rate * tokens) @ p, ((p * (tokens * taken)[:, None]).T @ p).ravel()]
+        v = np.concatenate(out)
+        return {"i": list(range(len(v))), "v": v}
 
     sums = arrow_rows(rows.select("n_tokens", "posterior"), part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    out = np.zeros(2 * k)
+    out = np.zeros((len(tries), 1 + k + k * k))
     for r in sums.collect():
-        out[r["i"]] = r["v"]
-    return out[:k], out[k:]
-
-
-def gram(rows: DataFrame, k: int) -> np.ndarray:
-    """The domains' second moments, weighted by tokens."""
-    sums = rows.agg(
-        *[F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]
-    ).first()
-    out = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i + 1):
-            out[i, j] = out[j, i] = sums[f"s{i}_{j}"] or 0.0
-    return out
+        out.flat[r["i"]] = r["v"]
+    return [(float(x[0]), x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x in out]
 
 
 def fit_rates(
     rows: DataFrame, targets: np.ndarray, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
-) -> list[tuple[np.ndarray, float]]:
-    """Gradient steps towards the nonnegative rates whose expected totals come nearest to ``targets``.
-
-    Minimised is the squared distance of the totals. The gradient of a rate is the
-    document's posteriors times the totals' residuals (times its tokens, which the metric of the
-    projection takes out), so the only thing that tasks and driver exchange in an iteration
-    is one number per domain; a rate is a function of the document's posteriors and of the
-    steps so far. Steps have the length of the largest eigenvalue of the weighted second
-    moments, with momentum.
+) -> np.ndarray:
+    """Slopes of the nonnegative rates whose expected totals come nearest to ``targets``.
+
+    Minimised is the squared distance of the totals (as shares of the corpus) plus a small pull of the
+    rates towards one. The rates of its solution are ``max(0, 1 + posterior . slopes)``, with one slope for
+    each domain; the slopes solve the convex dual problem, by Newton steps with a line search. A round is one pass
+    that returns the domains' totals and second moments. The pull is lowered, tenfold at a time, until the
+    totals are within ``tolerance`` of the targets, or is so small that no nonnegative rates can come
+    noticeably nearer; then a warning names what is missing. A fit that needs over
+    ``iterations`` rounds is an error, never a silent result.
     """
     k = len(targets)
-    largest = float(np.linalg.eigvalsh(gram(rows, k))[-1]) if k else 0.0
-    if largest <= 0:
-        return []
-    steps: list[tuple[np.ndarray, float]] = []
-    speed = 1.0
-    for _ in range(iterations):
-        now, ahead = totals(rows, steps, k)
-        if np.abs(now - targets).max() <= tolerance * max(1.0, targets.sum()):
-            break
-        faster = (1 + np.sqrt(1 + 4 * speed**2)) / 2
-        steps.append(((ahead - targets) / largest, (speed - 1) / faster))
-        speed = faster
-    return steps
+    corpus = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    slopes = np.zeros(k)
+    if not k or corpus <= 0:
+        return slopes
+    share = np.asarray(targets, dtype=float) / corpus
+    tolerance *= max(1 / corpus, share.sum())
+    (now,), rounds = moments(rows, [slopes], k, corpus), 1
+    for pull in PULLS:
+        while True:
+            energy, reached, curve = now
+            lack = reached + pull * slopes - share
+            if np.abs(reached - share).max() <= tolerance:
+                return slopes
+            if np.abs(lack).max() <= tolerance / 1000:
+                break
+            move = -np.linalg.solve(curve + pull * np.eye(k), lack)
+            value = energy + pull / 2 * slopes @ slopes - slopes @ share
+            found = None
+            for sizes in (STEPS[:1], STEPS[1:]):
+                if rounds >= iterations:
+                    raise RuntimeError(f"rates not fitted after {rounds} rounds: shares {reached}, targets {share}")
+                tries = [slopes + size * move for size in sizes]
+                seen, rounds = moments(rows, tries, k, corpus), rounds + 1
+                values = [e + pull / 2 * t @ t - t @ share for t, (e, _, _) in zip(tries, seen)]
+                best = int(np.argmin(values))
+                if values[best] < value + 1e-4 * sizes[best] * (lack @ move):
+                    found = tries[best], seen[best]
+                    break
+            if found is None:  # as near as rounding lets it come
+                break
+            slopes, now = found
+    if np.abs(lack).max() > tolerance:
+        raise RuntimeError(f"rates not fitted after {rounds} rounds: shares {reached}, targets {share}")
+    warnings.warn(f"no rates meet the targets: shares of the corpus {reached.tolist()}, targets {share.tolist()}", stacklevel=2)
+    return slopes
 
 
 def mix(
@@ -145,6 +159,8 @@ def mix(
     rounded down or up by a hash of the id. ``domain`` is the likeliest, the first by
     name among equal ones; ``posterior`` follows the sorted names.
 
+    Where no rates meet the targets, the nearest totals are taken and a warning gives them.
+
     A null or empty text has no tokens and any rate suits it. With no labels there are no
     domains: rates are one and ``domain`` is null. Ids may repeat or be null; further columns are
     ignored; an empty table gives an empty result.
@@ -153,7 +169,7 @@ def mix(
     corpus = float(found.agg(F.sum("n_tokens")).first()[0] or 0)
     share = np.array([weights.get(d, 0.0) for d in domains])
     targets = scale * corpus * (share / share.sum() if share.sum() > 0 else share)
-    steps = fit_rates(found, targets)
+    slopes = fit_rates(found, targets)
     k = len(domains)
 
     def rated(batch: pa.RecordBatch) -> dict[str, list]:
@@ -164,7 +180,7 @@ def mix(
             "n_tokens": batch.column(1),
             "domain": [domains[i] for i in best] if k else [None] * batch.num_rows,
             "posterior": batch.column(2),
-            "rate": fold(p, steps)[0],
+            "rate": fold(p, slopes)[0],
         }
 
     rates = arrow_rows(

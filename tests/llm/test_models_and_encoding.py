@@ -76,6 +76,33 @@ def test_rates_reach_the_targets_like_plain_projected_gradient(spark):
     assert loss[0] <= loss[1] + 1e-3 * np.square(targets).sum()
 
 
+def soft_posteriors(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([8.0, 4.0, 0.6], size=300)
+    tokens = rng.integers(1, 200, size=300).astype(float)
+    rows = [(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)]
+    return p, tokens, spark.createDataFrame(rows, "n_tokens long, posterior array<double>").coalesce(3)
+
+
+def test_production_fit_meets_reachable_targets(spark):
+    p, tokens, rows = soft_posteriors(spark)
+    share = np.array([0.70, 0.28, 0.02])
+    rate = mixing.fold(p, mixing.fit_rates(rows, share * tokens.sum()))[0]
+    assert (rate >= 0).all()
+    assert np.abs((rate * tokens) @ p / tokens.sum() - share).max() <= 2e-4
+
+
+def test_production_fit_comes_nearest_to_unreachable_targets_and_says_so(spark):
+    p, tokens, rows = soft_posteriors(spark)
+    targets = np.array([0.05, 0.9, 0.05]) * tokens.sum()
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        rate = mixing.fold(p, mixing.fit_rates(rows, targets))[0]
+    loss = [np.square((r * tokens) @ p - targets).sum() for r in (rate, brute_rates(p, tokens, targets))]
+    assert (rate >= 0).all() and loss[0] <= loss[1] + 1e-6 * np.square(targets).sum()
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(rows, targets, iterations=1)
+
+
 def test_mixture_of_labelled_domains(make, spark):
     rows = [(i, "good words here and there") for i in range(30)] + [(100 + i, "toxic clown slur") for i in range(30)]
     rows += [(500, None), (501, ""), (None, "good words"), (502, "long " * 30_000)]
