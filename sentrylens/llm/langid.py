@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from sentrylens.llm.common import arrow_rows, bounded_sample, staged
 
 DIMENSIONS = 4096
+LENGTH_CLASSES = DIMENSIONS.bit_length() + 1
 GRAMS = (1, 2, 3, 4)
 #: Documents of each language that a fit reads at most, the first by a hash of the id.
 FIT_ROWS = 1500
 CENTROIDS = 4
 ROUNDS = 12
+#: A text is rejected below this quantile (less a margin) of the similarities of fitted texts of its length.
+QUANTILE = 0.005
+MARGIN = 0.95
 UNKNOWN = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -41,18 +45,56 @@ def gram_counts(text: str) -> np.ndarray:
     return out
 
 
+def length_class(counts: np.ndarray) -> int:
+    """How much a text says: the binary logarithm of its number of different n-grams."""
+    return int(np.count_nonzero(counts)).bit_length()
+
+
+def excerpts(text: str) -> list[str]:
+    """The first and the last 1, 2, 4, ... words of a text that have letters, and the text itself."""
+    words, out, n = text.split(), [text], 1
+    while n < len(words):
+        out += [" ".join(words[:n]), " ".join(words[-n:])]
+        n *= 2
+    return [x for x in out if any(map(str.isalpha, x))]
+
+
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     """One unit vector for each text: logarithmic counts times ``idf``."""
+    return measured(texts, idf)[0]
+
+
+def measured(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vector and length class of each text."""
     out = np.empty((len(texts), DIMENSIONS), dtype=np.float32)
+    classes = np.zeros(len(texts), dtype=int)
     for i, text in enumerate(texts):
-        out[i] = np.log1p(gram_counts(text)) * idf
+        counts = gram_counts(text)
+        out[i], classes[i] = np.log1p(counts) * idf, length_class(counts)
     length = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(length > 0, length, 1)
+    return out / np.where(length > 0, length, 1), classes
+
+
+def bounds(texts: list[str], idf: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The least similarity of each length class, from the excerpts of a language's texts.
+
+    A class that no excerpt has takes the bound of the next shorter one.
+    """
+    pieces = [x for text in texts for x in excerpts(text)]
+    near, classes = np.zeros(len(pieces)), np.zeros(len(pieces), dtype=int)
+    for start in range(0, len(pieces), 256):
+        x, classes[start : start + 256] = measured(pieces[start : start + 256], idf)
+        near[start : start + 256] = (x @ centres.T).max(axis=1)
+    out = np.zeros(LENGTH_CLASSES)
+    for c in range(1, LENGTH_CLASSES):
+        out[c] = MARGIN * np.quantile(near[classes == c], QUANTILE) if (classes == c).any() else out[c - 1]
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """``centroids[i]`` belongs to ``langs[i]``; nearer than ``least[i]`` counts as that language."""
+    """``centroids[i]`` belongs to ``langs[i]``; nearer than ``least[i]`` of the text's length class
+    counts as that language."""
 
     langs: tuple[str, ...]
     idf: np.ndarray
@@ -82,9 +124,10 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
     """Fit on ``learn`` (``doc_id, text, lang``): at most ``fit_rows`` documents of each language.
 
     Document frequencies and clusters
-    are found by one task per language, over that bounded sample. A document farther from all centroids of its
-    language than any fitted one by a wide margin is later rejected: the bound
-    is a quarter of the smallest similarity seen in the fit.
+    are found by one task per language, over that bounded sample. A document that is less similar to its
+    language than nearly all fitted ones is later rejected. Since short texts are less similar to any centroid,
+    there is a bound for each length class, taken from the fitted documents and excerpts of them (``bounds``).
+    It is a small quantile, so a few odd labelled rows do not lower it.
     """
     sample = staged(bounded_sample(learn.filter("trim(text) <> ''"), "lang", fit_rows))
 
@@ -101,20 +144,19 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
 
     def clusters(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id")
-        x = vectors(part["text"].tolist(), idf)
-        centres = clustered(x, centroids)
-        return pd.DataFrame(
-            {"lang": part["lang"].iloc[0], "centre": centres.tolist(), "least": float((x @ centres.T).max(axis=1).min()) / 4}
-        )
+        texts = part["text"].tolist()
+        centres = clustered(vectors(texts, idf), centroids)
+        least = bounds(texts, idf, centres).tolist()
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": centres.tolist(), "least": [least] * len(centres)})
 
     rows = sorted(
-        map(tuple, sample.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, least double").collect())
+        map(tuple, sample.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, least array<double>").collect())
     )
     return Model(
         tuple(r[0] for r in rows),
         idf,
         np.array([r[1] for r in rows], dtype=np.float32).reshape(len(rows), DIMENSIONS),
-        np.array([r[2] for r in rows]),
+        np.array([r[2] for r in rows], dtype=np.float64).reshape(len(rows), LENGTH_CLASSES),
     )
 
 
@@ -125,9 +167,10 @@ def classify(texts: list[str | None], model: Model) -> tuple[list[str], list[flo
     usable = [i for i, t in enumerate(texts) if model.langs and any(map(str.isalpha, t))]
     for start in range(0, len(usable), 256):
         block = usable[start : start + 256]
-        near = vectors([texts[i] for i in block], model.idf) @ model.centroids.T
-        for i, best, s in zip(block, near.argmax(axis=1).tolist(), near.max(axis=1).tolist()):
-            lang[i], score[i], far[i] = model.langs[best], min(1.0, max(0.0, s)), s < model.least[best]
+        x, classes = measured([texts[i] for i in block], model.idf)
+        near = x @ model.centroids.T
+        for i, best, s, c in zip(block, near.argmax(axis=1).tolist(), near.max(axis=1).tolist(), classes.tolist()):
+            lang[i], score[i], far[i] = model.langs[best], min(1.0, max(0.0, s)), bool(s < model.least[best][c])
     return lang, score, far
 
 

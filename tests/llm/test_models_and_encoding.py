@@ -54,6 +54,28 @@ def test_language_id_special_cases(make, spark):
     assert langid.language_id(df.limit(0)).collect() == []
 
 
+FOREIGN = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền. Mọi con người đều được tạo hoá ban cho lý trí",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا",
+    "qzv xkwj pfgh zzqy wvuk jxqp bvnm kqzx hjgf dzwq xvbk qpwj zkyx",
+)
+
+
+def test_unlearned_languages_go_and_clean_held_out_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(10**6 + i, FOREIGN[3], "en") for i in range(2)], "doc_id long, text string, lang string")
+    held = [r.text for r in docs.filter(langid.held_out(F.col("doc_id"))).select("text").collect() if r.text and any(map(str.isalpha, r.text))]
+    learn = langid.learnable(docs)
+    for model in (langid.fit(learn), langid.fit(learn.unionByName(odd))):
+        assert np.mean(langid.classify(held, model)[2]) <= 0.01
+        assert [far for t, far in zip(FOREIGN, langid.classify(list(FOREIGN), model)[2]) if t != FOREIGN[3]] == [True] * 6
+    assert langid.classify([FOREIGN[3]], langid.fit(learn))[2] == [True]
+
+
 def brute_rates(p, tokens, targets, rounds=40_000):
     step = 1 / np.linalg.eigvalsh((p * tokens[:, None]).T @ p)[-1]
     rate = np.ones(len(p))
