@@ -57,9 +57,10 @@ def line_dedup(
     id, then line; so the first occurrence stays. Blank lines are skipped in runs and stay.
 
     The smallest line hash of every window is a fingerprint, so two equal runs have equal
-    fingerprints. Fingerprints are counted; only around those that occur at several places are
-    matches extended line by line: each window that holds a shared fingerprint is looked up, and
-    those that are later than the first equal one are deleted. A frequent fingerprint is one row on the counted side of its
+    fingerprints. Fingerprints are counted; windows whose fingerprint occurs at several places are
+    grouped by the hash of their lines, and those later than the first equal one are deleted.
+    This replaces joining positions and extending matches both ways: a longer match is the union of its
+    windows, so the same lines go without pairs of places. Repeats of fewer than ``window`` lines stay. A frequent fingerprint is one row on the counted side of its
     joins, and its places are split by the skew join; no pairs of places are formed. All this
     works on line hashes; the texts are read once more, to cut them.
 
