@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrylens.llm import ann, bpe, exact, fim, jaccard, langid, licences, lines, mixing, sharding, suffix, token_files
+from sentrylens.llm import ann, bpe, exact, fim, jaccard, langid, licences, lines, mixing, sharding, suffix, token_files, variants
 from sentrylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+@query("op11_spelling_variants", variants.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op12_token_files")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
