@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from sentrylens.llm.common import arrow_rows, staged
 from sentrylens.session import table_dir
 
 #: Distinct pieces of text whose ids a worker remembers; what goes is encoded again.
-CACHED_PIECES = 150_000
+CACHED_PIECES = 300_000
+#: Pieces that the library is given as one text.
+JOINED = 2000
 
 
 class Encoder:
@@ -56,6 +59,10 @@ class Encoder:
         self.special = re.compile("|".join(special)).search if special else lambda text: None
         self.pieces = re.compile(" (?=[!-~¡-ԯ])").split
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.widths = np.zeros(self.size, dtype=np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.widths[i] = len(token)  # a letter stands for a byte
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,19 +78,32 @@ class Encoder:
         for pieces in cut:
             if pieces:
                 pieces[0] = "\0" + pieces[0]
-        new = {p for pieces in cut for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > CACHED_PIECES:
-            self.known = {}
-            new = {p for pieces in cut for p in pieces}
-        order = list(new)
-        as_text = [p[1:] if p[:1] == "\0" else " " + p for p in order]
-        for i in range(0, len(order), 4096):
-            self.known |= zip(order[i : i + 4096], self.library_ids(as_text[i : i + 4096]))
+        self.remember(set().union(*cut))
         out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
         for i in whole:
             out[i] = self.library_ids([texts[i]])[0]
         return out
 
+    def remember(self, met: set[str]) -> None:
+        """Encode the pieces of a batch that are not known. When the memory is full, pieces that
+        no later batch had again go first."""
+        new = met - self.known.keys()
+        old = met - new
+        self.again |= old
+        if len(self.known) + len(new) > CACHED_PIECES:
+            keep = old.union(islice(self.again, CACHED_PIECES // 2))
+            self.known = {p: self.known[p] for p in keep}
+            self.again = set()
+        first = [p for p in new if p[:1] == "\0"]
+        self.known |= zip(first, self.library_ids([p[1:] for p in first]))
+        others = [p for p in new if p[:1] != "\0"]
+        parts = [others[i : i + JOINED] for i in range(0, len(others), JOINED)]
+        for part, ids in zip(parts, self.library_ids([" " + " ".join(part) for part in parts])):
+            ends = np.cumsum(self.widths[np.frombuffer(ids, dtype=self.dtype)])
+            sizes = np.cumsum([len(p.encode()) + 1 for p in part])
+            places = [0, *((np.searchsorted(ends, sizes) + 1) * self.dtype.itemsize).tolist()]
+            self.known |= {p: ids[i:j] for p, i, j in zip(part, places, places[1:])}
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -114,7 +134,7 @@ class SequenceFile:
         self.layout, self.dtype, self.uri = layout, dtype, uri
         kind = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema(
-            [("ids", pa.list_(kind, layout.length)), ("mask", pa.list_(pa.uint8(), layout.length))],
+            [("ids", pa.list_(kind, layout.length)), ("mask", pa.list_(pa.bool_(), layout.length))],
             metadata={"length": str(layout.length), "batch": str(layout.batch)},
         )
         files, path = _place(uri)
@@ -139,8 +159,7 @@ class SequenceFile:
         rows = -(-self.filled // self.layout.length)
         width = rows * self.layout.length
         self.buffer[self.filled : width] = 0
-        mask = np.zeros(width, np.uint8)
-        mask[: self.filled] = 1
+        mask = np.arange(width) < self.filled
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.layout.length) for v in (self.buffer[:width].copy(), mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.filled, self.batches = 0, self.batches + 1
@@ -162,13 +181,14 @@ class SequenceReader:
         self.length = int(self.file.schema.metadata[b"length"])
         self.step = self.length * int(self.file.schema.metadata[b"batch"])
 
-    def _flat(self, batch: int, column: str) -> np.ndarray:
-        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=True)
+    def _flat(self, batch: int, column: str) -> pa.Array:
+        return self.file.get_batch(batch).column(column).flatten()
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one sequence, without reading the others."""
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask (a bit for each id) of one sequence, without reading the others."""
         batch, at = divmod(number * self.length, self.step)
-        return tuple(self._flat(batch, c)[at : at + self.length] for c in ("ids", "mask"))
+        ids, mask = (self._flat(batch, c).slice(at, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def sequences(self) -> int:
         if not (n := self.file.num_record_batches):
@@ -180,8 +200,8 @@ class SequenceReader:
         views = []
         while n:
             batch, at = divmod(start, self.step)
-            view = self._flat(batch, "ids")[at : at + n]
-            if not np.all(self._flat(batch, "mask")[at : at + n]) or not len(view):
+            view = self._flat(batch, "ids").slice(at, n).to_numpy(zero_copy_only=True)
+            if self._flat(batch, "mask").slice(at, n).true_count < max(len(view), 1):
                 raise ValueError(f"ids {start} to {start + n} run into padding")
             views.append(view)
             start, n = start + len(view), n - len(view)
@@ -205,7 +225,7 @@ def write_token_files(
     Texts are range-partitioned by id and sorted in their partitions, the one shuffle; a task then
     writes its range front to back, keeping one record batch. Rows that share an id are ordered by
     a hash of their text and are spread over ranges like others. Ranges end in a padded sequence, whose
-    mask is 0 beyond the last id. Every attempt of a task writes files of its own name, and only those of the
+    mask is false beyond the last id. Every attempt of a task writes files of its own name, and only those of the
     attempt that Spark commits get into the index, so a lost executor leaves files that nobody reads.
 
     A null text is empty: the end id alone. Null ids come first; repeated ids and rows stay; further
@@ -292,12 +312,12 @@ def read_sequences(index: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict(
                         {
                             "file": pa.array([file] * n), "sequence": pa.array(range(first, first + n), pa.int64()),
-                            "ids": b.column("ids").cast(pa.list_(pa.int32())), "mask": b.column("mask").cast(pa.list_(pa.int8())),
+                            "ids": b.column("ids").cast(pa.list_(pa.int32())), "mask": b.column("mask").cast(pa.list_(pa.bool_())),
                         }
                     )
                     first += n
 
-    return files.mapInArrow(read, "file string, sequence long, ids array<int>, mask array<tinyint>")
+    return files.mapInArrow(read, "file string, sequence long, ids array<int>, mask array<boolean>")
 
 
 def token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", layout: Layout = Layout()) -> DataFrame:
