@@ -10,31 +10,35 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylens.llm.common import arrow_rows, staged
+from sentrylens.llm.fim import text_bytes
 from sentrylens.session import table_dir
 
 #: Distinct pieces of text whose ids a worker remembers; what goes is encoded again.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
 #: Pieces that the library is given as one text.
-JOINED = 2000
+JOINED = 200
+#: Marks between pieces and before the first piece of a text.
+CUT, FIRST = "\x01", "\x02"
 
 
 class Encoder:
-    """The tokenizers library over whole texts, with pieces of text it has met remembered.
+    """The tokenizers library over whole texts, each distinct piece of a batch encoded once.
 
     Byte-level vocabularies cut a text in front of every space that a visible character follows,
-    whatever stands around it. So a text is the sequence of its pieces between such spaces, and the
-    library encodes each distinct piece once. Texts with a special token, and vocabularies that cut in
-    another way, go to the library as they are.
+    whatever stands around it. So a text is the sequence of its pieces between such spaces: Arrow
+    cuts and numbers the pieces of a batch, the library encodes the ones that are new, and the ids are put
+    together by number. Texts with a special token (or a control character used as a mark here), and
+    vocabularies that cut in another way, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -53,56 +57,72 @@ class Encoder:
             and cut.get("add_prefix_space") is False
             and cut.get("use_regex", True)
         )
-        self.size = self.library.get_vocab_size()
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(special)).search if special else lambda text: None
-        self.pieces = re.compile(" (?=[!-~¡-ԯ])").split
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
-        self.widths = np.zeros(self.size, dtype=np.int64)
+        self.whole = "|".join([CUT, *special])
+        self.widths = np.zeros(self.library.get_vocab_size(), dtype=np.int64)
         for token, i in self.library.get_vocab().items():
             self.widths[i] = len(token)  # a letter stands for a byte
+        self.names = pa.array([], pa.string())
+        self.lists = pa.array([], pa.list_(pa.from_numpy_dtype(self.dtype)))
+        self.hits = np.zeros(0, dtype=np.int64)
 
-    def library_ids(self, texts: list[str]) -> list[bytes]:
+    def library_ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
+        return [np.array(e.ids, dtype=self.dtype) for e in found]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``dtype``."""
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null text has none."""
+        texts = pc.fill_null(texts, "")
         if not self.by_pieces:
-            return self.library_ids(texts)
-        whole = {i for i, t in enumerate(texts) if self.special(t)}
-        # the first piece has no space in front of it; a leading mark tells it from the others
-        cut = [[] if i in whole else self.pieces(t) for i, t in enumerate(texts)]
-        for pieces in cut:
-            if pieces:
-                pieces[0] = "\0" + pieces[0]
-        self.remember(set().union(*cut))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for i in whole:
-            out[i] = self.library_ids([texts[i]])[0]
+            return self.library_ids(texts.to_pylist())
+        whole = pc.match_substring_regex(texts, self.whole)
+        marked = pc.replace_substring_regex(pc.if_else(whole, "", texts), " ([!-~\u00a1-\u052f])", CUT + " \\1")
+        cut = pc.split_pattern(pc.binary_join_element_wise(FIRST, marked, ""), CUT)
+        numbered = cut.flatten().dictionary_encode()
+        at = self.places(numbered.dictionary)[numbered.indices.to_numpy()]
+        sizes = pc.list_value_length(self.lists).to_numpy()[at]
+        ids = self.lists.take(pa.array(at)).flatten().to_numpy()
+        self.forget()
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        out = [ids[i:j] for i, j in zip(ends, ends[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[i] = self.library_ids([texts[int(i)].as_py()])[0]
         return out
 
-    def remember(self, met: set[str]) -> None:
-        """Encode the pieces of a batch that are not known. When the memory is full, pieces that
-        no later batch had again go first."""
-        new = met - self.known.keys()
-        old = met - new
-        self.again |= old
-        if len(self.known) + len(new) > CACHED_PIECES:
-            keep = old.union(islice(self.again, CACHED_PIECES // 2))
-            self.known = {p: self.known[p] for p in keep}
-            self.again = set()
-        first = [p for p in new if p[:1] == "\0"]
-        self.known |= zip(first, self.library_ids([p[1:] for p in first]))
-        others = [p for p in new if p[:1] != "\0"]
-        parts = [others[i : i + JOINED] for i in range(0, len(others), JOINED)]
-        for part, ids in zip(parts, self.library_ids([" " + " ".join(part) for part in parts])):
-            ends = np.cumsum(self.widths[np.frombuffer(ids, dtype=self.dtype)])
-            sizes = np.cumsum([len(p.encode()) + 1 for p in part])
-            places = [0, *((np.searchsorted(ends, sizes) + 1) * self.dtype.itemsize).tolist()]
-            self.known |= {p: ids[i:j] for p, i, j in zip(part, places, places[1:])}
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the ids of distinct pieces stand in ``lists``; those of new pieces are put there first."""
+        found = pc.index_in(pieces, value_set=self.names)
+        at = pc.fill_null(found, -1).to_numpy().copy()
+        if found.null_count:
+            names, lists = self.learned(pieces.filter(found.is_null()))
+            at[at < 0] = len(self.names) + pc.index_in(pieces.filter(found.is_null()), value_set=names).to_numpy()
+            self.names, self.lists = pa.concat_arrays([self.names, names]), pa.concat_arrays([self.lists, lists])
+            self.hits = np.concatenate([self.hits, np.zeros(len(names), dtype=np.int64)])
+        self.hits[at] += 1
+        return at
+
+    def learned(self, new: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """New pieces and their ids. Many pieces make one text, whose ids are cut by their widths."""
+        is_first = pc.starts_with(new, FIRST)
+        first, spaced = new.filter(is_first), new.filter(pc.invert(is_first))
+        alone = self.library_ids([p[1:] for p in first.to_pylist()])
+        data, at = text_bytes(spaced)
+        ends = at[np.append(np.arange(0, len(spaced), JOINED), len(spaced))]
+        joined = self.library_ids([data[i:j].tobytes().decode() for i, j in zip(ends, ends[1:])])
+        ids = np.concatenate([np.zeros(0, self.dtype), *joined])
+        cuts = np.searchsorted(np.cumsum(self.widths[ids]), at[1:]) + 1
+        behind = len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)
+        places = np.concatenate([[0], cuts, behind]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([ids, *alone])))
+        return pa.concat_arrays([spaced, first]), lists
+
+    def forget(self) -> None:
+        """When the memory is full, keep the pieces that most batches had."""
+        if len(self.names) > CACHED_PIECES:
+            keep = np.sort(np.argsort(-self.hits, kind="stable")[: CACHED_PIECES // 2])
+            self.names, self.lists = self.names.take(pa.array(keep)), self.lists.take(pa.array(keep))
+            self.hits = self.hits[keep] // 2
 
 
 @lru_cache(maxsize=2)
@@ -238,19 +258,20 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        end = np.array([end_id], dtype=encode.dtype).tobytes()
+        end = np.array([end_id], dtype=encode.dtype)
         part, number, out = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             found: dict[str, list] = {k: [] for k in ("file", "number", "at", "n_tokens")}
-            for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
+            for ids in encode(batch.column(1)):
                 if out is not None and out.batches >= layout.roll:
                     out.close()
                     out, number = None, number + 1
                 if out is None:
                     name = f"{folder}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.arrow"
                     out = SequenceFile(name, encode.dtype, layout)
-                ids = np.frombuffer(ids + end, dtype=encode.dtype)
-                for k, v in (("file", out.uri), ("number", number), ("at", out.add(ids)), ("n_tokens", len(ids))):
+                at = out.add(ids)
+                out.add(end)
+                for k, v in (("file", out.uri), ("number", number), ("at", at), ("n_tokens", len(ids) + 1)):
                     found[k].append(v)
             arrays = {
                 "doc_id": batch.column(0), "file": pa.array(found["file"], pa.string()),
@@ -265,8 +286,8 @@ def write_token_files(
     files, at = _place(folder)
     files.create_dir(at, recursive=True)
     conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return staged(ranged.mapInArrow(write, "doc_id long, file string, part int, number int, at long, n_tokens long"))
 
 

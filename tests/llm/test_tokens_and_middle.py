@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,14 +36,21 @@ def test_encoder_equals_the_library(monkeypatch):
     mixed = ["".join(rng.choice(["a", "word", " ", "  ", "\n", "\t", "'s", "7", "é", "字", "!", "\xa0", "\x1c"]) for _ in range(60)) for _ in range(500)]
     texts = TEXTS + [t or "" for t in ODD] + mixed
     encode = token_files.Encoder(PATH)
-    assert [np.frombuffer(b, encode.dtype).tolist() for b in encode(texts)] == library_ids(texts)
-    assert len(encode.known) and encode(texts) == encode(texts[:]) and encode([]) == []
+    texts += ["\x01 a b\x01", "\x02 \x02a"]
+
+    def ids(encoder, part):
+        return [x.tolist() for x in encoder(pa.array(part, pa.string()))]
+
+    want = library_ids(texts)
+    assert ids(encode, texts) == want and len(encode.names) and ids(encode, texts) == want
+    assert ids(encode, []) == [] and ids(encode, [None, ""]) == [[], []]
+    assert [x.tolist() for x in encode(pa.array(texts, pa.string())[100:])] == want[100:]
     monkeypatch.setattr(token_files, "CACHED_PIECES", 40)
     small = token_files.Encoder(PATH)
     for i in range(0, len(texts), 25):
-        assert small(texts[i : i + 25]) == encode(texts[i : i + 25])
+        assert ids(small, texts[i : i + 25]) == want[i : i + 25]
     encode.by_pieces = False
-    assert [np.frombuffer(b, encode.dtype).tolist() for b in encode(texts[:20])] == library_ids(texts[:20])
+    assert ids(encode, texts[:20]) == want[:20]
 
 
 @pytest.mark.parametrize("layout", [token_files.Layout(), token_files.Layout(8, 4, 3)])
