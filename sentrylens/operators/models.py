@@ -1,21 +1,24 @@
-"""Boosted trees on bounded samples, many fits at once: scores, importances, ablations, refits."""
+"""Boosted trees of Spark ML, many fits side by side: scores, importances, ablations, refits."""
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
 from sentrylens.functions import stats
 from sentrylens.operators import thresholds as T
-from sentrylens.operators.splits import fit_scaler, scaled
+from sentrylens.operators.audit import stacked
+from sentrylens.operators.ordered import exact_quantiles
+from sentrylens.operators.splits import order_cuts, shuffle_key, up_to_cut
 from sentrylens.session import staged
 
 ABLATIONS = {
@@ -23,149 +26,107 @@ ABLATIONS = {
     "no_identity": tuple(f for f in C.FEATURES if f not in C.IDENTITY_FEATURES),
     "behavioural": C.BEHAVIOURAL_FEATURES,
 }
-#: Labelled rows that a fit reads on average, drawn by a hash of the row; evaluation reads every row.
-FIT_ROWS = 50_000
 TREES, DEPTH, BINS = 50, 5, 64
-RATE, PENALTY, SUBSAMPLE = 0.1, 1.0, 0.8
+RATE, SUBSAMPLE = 0.1, 0.8
+#: Fits that run at the same time; each is a distributed job of its own.
+SIDE_BY_SIDE = 8
 GRID = T.linear_grid(0.005, 0.995, 199)
 
 
 @dataclass(frozen=True)
 class Fit:
-    """One fit: its name, its train rows (a key of the splits), columns and seed."""
+    """One fit: its name, its train rows (a key of the splits), columns, seed and size."""
 
     name: str
     columns: tuple[str, ...]
     split: str = "split"
     seed: int = 42
+    trees: int = TREES
+    depth: int = DEPTH
+    bins: int = BINS
+    subsample: float = SUBSAMPLE
 
 
-@dataclass
-class Trees:
-    """Complete binary trees in heap order; a node that is not split sends all rows left."""
+def fill_values(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """PRE1: what stands in for a null of each column: the median of the train rows.
+
+    Trees do not depend on a column's scale, so nothing else is fitted; columns without nulls
+    are counted once and cost no quantile.
+    """
+    nulls = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
+    holed = [c for c in columns if nulls[c]]
+    found = {}
+    if holed:
+        rows = exact_quantiles(stacked(train, holed), ["feature"], "value", {"median": 0.5}).collect()
+        found = {r["feature"]: r["median"] for r in rows}
+    return {c: found.get(c) or 0.0 for c in columns}
+
+
+def row_sample(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFrame:
+    """Exactly ``rows`` rows (all, if fewer), the first by a hash of the row id: equal rows are drawn one by one."""
+    keyed = df.withColumn("_h", shuffle_key(seed, row_id))
+    cuts = order_cuts(keyed, F.lit(0), "_h", row_id, lambda _, n: min(n, rows))
+    return keyed.filter(up_to_cut(cuts, F.lit(0), "_h", row_id)).drop("_h")
 
-    columns: tuple[str, ...]
-    base: float
-    feature: list[np.ndarray] = field(default_factory=list)
-    threshold: list[np.ndarray] = field(default_factory=list)
-    leaf: list[np.ndarray] = field(default_factory=list)
-    gain: np.ndarray | None = None
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, feature[node]] > threshold[node])
-            total += leaf[node - (2**DEPTH - 1)]
-        return 1 / (1 + np.exp(-total))
-
-
-def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: Sequence[str], seed: int, trees: int) -> Trees:
-    """Gradient boosting of the logistic loss over binned columns, level by level."""
-    rng = np.random.default_rng(seed)
-    n, width = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(width)]
-    bins = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])
-    share = np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6)
-    model = Trees(tuple(columns), float(np.log(share / (1 - share))), gain=np.zeros(width))
-    total = np.full(n, model.base)
-    rows = np.arange(n)
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-total))
-        used = weight * (rng.random(n) < SUBSAMPLE)
-        g, h = used * (p - y), used * p * (1 - p)
-        feature, threshold = np.zeros(2**DEPTH - 1, np.int64), np.full(2**DEPTH - 1, np.inf)
-        place = np.full(2**DEPTH - 1, BINS)
-        node = np.zeros(n, dtype=np.int64)
-        for level in range(DEPTH):
-            first, count = 2**level - 1, 2**level
-            local = node - first
-            sums = [
-                np.stack([np.bincount(local * BINS + bins[:, j], v, count * BINS).reshape(count, BINS) for j in range(width)]).cumsum(axis=2)
-                for v in (g, h)
-            ]
-            (gl, hl), (ga, ha) = sums, (s[:, :, -1:] for s in sums)
-            gain = gl**2 / (hl + PENALTY) + (ga - gl) ** 2 / (ha - hl + PENALTY) - ga**2 / (ha + PENALTY)
-            gain[(hl < 1e-3) | (ha - hl < 1e-3)] = 0
-            for j, e in enumerate(edges):
-                gain[j, :, len(e) :] = 0
-            flat = gain.transpose(1, 0, 2).reshape(count, -1)
-            best = flat.argmax(axis=1)
-            for k in np.flatnonzero(flat[np.arange(count), best] > 1e-9):
-                j, b = divmod(int(best[k]), BINS)
-                feature[first + k], threshold[first + k], place[first + k] = j, edges[j][b], b
-                model.gain[j] += flat[k, best[k]]
-            node = 2 * node + 1 + (bins[rows, feature[node]] > place[node])
-        at = node - (2**DEPTH - 1)
-        leaf = -RATE * np.bincount(at, g, 2**DEPTH) / (np.bincount(at, h, 2**DEPTH) + PENALTY)
-        total += leaf[at]
-        model.feature.append(feature)
-        model.threshold.append(threshold)
-        model.leaf.append(leaf)
-    return model
+
+def _vector(columns: Sequence[str], fill: Mapping[str, float]) -> Column:
+    return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns]))
 
 
 def fit_many(
-    trains: Mapping[str, DataFrame], fits: Sequence[Fit], y: str = "y", trees: int = TREES, fit_rows: int = FIT_ROWS
-) -> tuple[list[Trees], dict[str, dict]]:
-    """MOD1, MOD5: all fits side by side, one task each, and the PRE1 scaler of each split.
+    trains: Mapping[str, DataFrame], fits: Sequence[Fit], y: str = "y", row_id: str = "row_id", fit_rows: int | None = None
+) -> tuple[list[GBTClassificationModel], dict[str, dict]]:
+    """MOD1, MOD5: one model for each fit, and the fill values of each split.
 
-    Every fit gets the imputed and scaled rows of its split's sample; attack rows weigh
-    benign / attack, the cost-sensitive form of upsampling.
+    Every train row takes part, unless ``fit_rows`` bounds them. Attack rows weigh benign / attack, the
+    cost-sensitive form of upsampling. The vectors of a split are written once for each set of columns; the fits then
+    run side by side from driver threads, as Spark ML's own grid searches do. Only models reach the driver.
     """
-    every = tuple(dict.fromkeys(c for f in fits for c in f.columns))
-    scalers, parts = {}, []
+    fills, tables = {}, {}
     for split in dict.fromkeys(f.split for f in fits):
-        train = trains[split]
-        scalers[split] = fit_scaler(train, every)
-        n = train.count()
-        share = min(1.0, fit_rows / max(n, 1))
-        drawn = train.filter(F.pmod(F.xxhash64(*every, y, F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30))
-        mine = [i for i, f in enumerate(fits) if f.split == split]
-        parts.append(
-            drawn.select(
-                F.col(y).cast("double").alias("y"),
-                F.array(*[scaled(every, scalers[split])[c] for c in every]).alias("x"),
-                F.explode(F.array(*[F.lit(i) for i in mine])).alias("fit"),
-            )
+        train = trains[split] if fit_rows is None else row_sample(trains[split], row_id, fit_rows)
+        mine = [f for f in fits if f.split == split]
+        every = tuple(dict.fromkeys(c for f in mine for c in f.columns))
+        fills[split] = fill_values(train, every)
+        n = {r["y"]: r["n"] for r in train.groupBy(F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        weight = F.when(F.col(y) == 1, n.get(0, 0) / n[1] if n.get(0) and n.get(1) else 1.0).otherwise(1.0)
+        kinds = list(dict.fromkeys(f.columns for f in mine))
+        vectors = [_vector(c, fills[split]).alias(f"x{i}") for i, c in enumerate(kinds)]
+        table = staged(train.select(F.col(y).cast("double").alias("label"), weight.alias("weight"), *vectors))
+        tables |= {(split, c): table.select("label", "weight", F.col(f"x{i}").alias("x")) for i, c in enumerate(kinds)}
+
+    def fit(spec: Fit) -> GBTClassificationModel:
+        trees = GBTClassifier(
+            featuresCol="x", labelCol="label", weightCol="weight", maxIter=spec.trees, maxDepth=spec.depth, maxBins=spec.bins,
+            stepSize=RATE, subsamplingRate=spec.subsample, seed=spec.seed,
         )
+        return trees.fit(tables[spec.split, spec.columns])
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        spec = fits[int(part["fit"].iloc[0])]
-        part = part.assign(_k=part["x"].map(lambda v: v.tobytes())).sort_values(["_k", "y"])
-        x = np.stack(part["x"].to_numpy())[:, [every.index(c) for c in spec.columns]]
-        labels = part["y"].to_numpy()
-        weight = np.where(labels == 1, (labels == 0).sum() / max(1, (labels == 1).sum()), 1.0)
-        model = boosted(x, labels, weight, spec.columns, spec.seed, trees)
-        return pd.DataFrame({"fit": [part["fit"].iloc[0]], "model": [pickle.dumps(model)]})
-
-    rows = reduce(DataFrame.unionByName, parts).groupBy("fit").applyInPandas(fit, "fit int, model binary").collect()
-    return [pickle.loads(r["model"]) for r in sorted(rows)], scalers
+    session = next(iter(trains.values())).sparkSession
+    with ThreadPoolExecutor(min(SIDE_BY_SIDE, len(fits))) as pool:
+        return list(pool.map(inheritable_thread_target(session)(fit), fits)), fills
 
 
 def score_many(
-    tests: Mapping[str, DataFrame], fits: Sequence[Fit], models: Sequence[Trees], scalers: Mapping[str, dict], y: str = "y"
+    tests: Mapping[str, DataFrame], fits: Sequence[Fit], models: Sequence[GBTClassificationModel],
+    fills: Mapping[str, dict], y: str = "y", keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Every test row under every fit: ``fit`` (its name), ``seed``, ``split``, ``y``, ``score``."""
-    every = tuple(dict.fromkeys(c for f in fits for c in f.columns))
+    """Every test row under every fit, in one pass a split: ``fit``, ``seed``, ``split``, ``y``, ``score`` and ``keep``."""
     out = []
     for split in dict.fromkeys(f.split for f in fits):
         mine = [(f, m) for f, m in zip(fits, models) if f.split == split]
-
-        def run(batches, mine=mine, split=split):
-            for batch in batches:
-                x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(every)))
-                for f, m in mine:
-                    score = m.score(x[:, [every.index(c) for c in f.columns]])
-                    yield pd.DataFrame({"fit": f.name, "seed": f.seed, "split": split, "y": batch["y"], "score": score})
-
+        kinds = list(dict.fromkeys(f.columns for f, _ in mine))
         rows = tests[split].select(
-            F.col(y).cast("int").alias("y"), F.array(*[scaled(every, scalers[split])[c] for c in every]).alias("x")
+            F.col(y).cast("int").alias("y"), *keep, *[_vector(c, fills[split]).alias(f"x{i}") for i, c in enumerate(kinds)]
         )
-        out.append(rows.mapInPandas(run, "fit string, seed int, split string, y int, score double"))
-    return staged(reduce(DataFrame.unionByName, out))
+        scores = []
+        for i, (f, m) in enumerate(mine):
+            named = {m.featuresCol: f"x{kinds.index(f.columns)}", m.probabilityCol: f"p{i}", m.rawPredictionCol: "", m.predictionCol: ""}
+            rows = m.transform(rows, named)
+            score = vector_to_array(f"p{i}")[1].alias("score")
+            scores.append(F.struct(F.lit(f.name).alias("fit"), F.lit(f.seed).alias("seed"), F.lit(split).alias("split"), score))
+        out.append(rows.select("y", *keep, F.inline(F.array(*scores))))
+    return staged(reduce(DataFrame.unionByName, out).select("fit", "seed", "split", "y", "score", *keep))
 
 
 def best_f1(scored: DataFrame, by: Sequence[str] = ("fit", "seed", "split")) -> DataFrame:
@@ -185,8 +146,7 @@ def best_f1(scored: DataFrame, by: Sequence[str] = ("fit", "seed", "split")) ->
     ).join(area, same).drop(*[f"_{c}" for c in by])
 
 
-def importances(model: Trees) -> list[tuple[int, str, float]]:
+def importances(model: GBTClassificationModel, columns: Sequence[str]) -> list[tuple[int, str, float]]:
     """MOD3: share of the gain of every feature, zeros included, ranked (SRT3)."""
-    gain = model.gain / max(model.gain.sum(), 1e-300)
-    ranked = sorted(zip(model.columns, gain.tolist()), key=lambda p: (-p[1], p[0]))
+    ranked = sorted(zip(columns, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))
     return [(i + 1, c, v) for i, (c, v) in enumerate(ranked)]

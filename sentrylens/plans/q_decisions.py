@@ -533,9 +533,9 @@ def _evaluated(rows, fits):
     for name in dict.fromkeys(f.split for f in fits):
         temporal = name == "temporal"
         cut[name] = splits.temporal_split(rows, "us", "row_id") if temporal else splits.stratified_split(rows, "y", "row_id")
-    trained, scalers = models.fit_many({k: v.filter("split = 'train'") for k, v in cut.items()}, fits)
+    trained, fills = models.fit_many({k: v.filter("split = 'train'") for k, v in cut.items()}, fits)
     tests = {k: v.filter("split = 'test'") for k, v in cut.items()}
-    return models.best_f1(models.score_many(tests, fits, trained, scalers))
+    return models.best_f1(models.score_many(tests, fits, trained, fills))
 
 
 def _exact(found, fits):
@@ -583,6 +583,45 @@ _CFX6 = [
 ]
 
 
+_STUMPS = models.Fit("stumps", ("level", "auth_failure", "kw_scan", "kw_brute", "k", "hour"), "temporal", trees=5, depth=1, bins=128, subsample=1.0)
+
+
+def _stump_check(fit):
+    """Boosting of one-split trees in SQL: every cut between values of every column, by weighted variance."""
+    columns = [f"CAST({c} AS DOUBLE)" for c in fit.columns]
+    parts = {
+        "s0": f"""SELECT row_id, y * 2 - 1 AS t, 0.0::DOUBLE AS margin, [{', '.join(columns)}] AS x,
+            row_number() OVER (ORDER BY us, row_id) <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT) AS train
+            FROM (SELECT *, (us // 3600000000) % 24 AS hour FROM labelled)""",
+        "weights": "SELECT count(*) FILTER (t = -1) / count(*) FILTER (t = 1) AS heavy FROM s0 WHERE train",
+    }
+    for m in range(fit.trees):
+        target = "CAST(t AS DOUBLE)" if m == 0 else "4.0 * t / (1.0 + exp(2.0 * t * margin))"
+        parts[f"v{m}"] = f"""SELECT i, x[i] AS v, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
+            FROM (SELECT x, unnest(range(1, {len(columns) + 1})) AS i, {target} AS r, CASE WHEN t = 1 THEN heavy ELSE 1.0 END AS w
+              FROM s{m}, weights WHERE train) GROUP BY ALL"""
+        parts[f"c{m}"] = f"""SELECT i, (v + lead(v) OVER up) / 2 AS cut, sum(w) OVER up AS wl, sum(s) OVER up AS sl, sum(q) OVER up AS ql,
+            sum(w) OVER al AS wa, sum(s) OVER al AS sa, sum(q) OVER al AS qa
+            FROM v{m} WINDOW up AS (PARTITION BY i ORDER BY v), al AS (PARTITION BY i)"""
+        parts[f"b{m}"] = f"""SELECT i, cut, sl / wl AS low, (sa - sl) / (wa - wl) AS high FROM c{m} WHERE cut IS NOT NULL
+            ORDER BY round((qa - sa * sa / wa - (ql - sl * sl / wl) - (qa - ql - (sa - sl) * (sa - sl) / (wa - wl))) / wa, 10) DESC, i, cut LIMIT 1"""
+        parts[f"s{m + 1}"] = f"""SELECT row_id, t, train, x,
+            margin + {1.0 if m == 0 else models.RATE} * CASE WHEN x[i] <= cut THEN low ELSE high END AS margin FROM s{m}, b{m}"""
+    return V.check_sql(
+        f"SELECT row_id, CAST((t + 1) // 2 AS INT) AS y, round(1 / (1 + exp(-2 * margin)), 6) AS score FROM s{fit.trees} WHERE NOT train",
+        "labelled", **parts,
+    )
+
+
+@query("mod1_boosted_stumps_scores", _stump_check(_STUMPS))
+def mod1_stumps(spark, sf):
+    l = V.labelled(spark, sf, stage=True).withColumn("hour", F.hour(F.timestamp_micros("us")))
+    cut = splits.temporal_split(l, "us", "row_id")
+    fitted, fills = models.fit_many({"temporal": cut.filter("split = 'train'")}, [_STUMPS])
+    scored = models.score_many({"temporal": cut.filter("split = 'test'")}, [_STUMPS], fitted, fills, keep=["row_id"])
+    return scored.select("row_id", "y", F.round("score", 6).alias("score"))
+
+
 @query("mod1_boosted_trees_scores", _fit_check(_MOD1))
 def mod1(spark, sf):
     return _exact(_evaluated(feature_rows(spark, sf), _MOD1), _MOD1)
@@ -595,7 +634,7 @@ def mod1(spark, sf):
 def mod3(spark, sf):
     train = splits.temporal_split(feature_rows(spark, sf), "us", "row_id").filter("split = 'train'")
     fitted, _ = models.fit_many({"temporal": train}, _MOD1)
-    ranked = spark.createDataFrame(models.importances(fitted[0]), "place int, feature string, gain double")
+    ranked = spark.createDataFrame(models.importances(fitted[0], C.FEATURES), "place int, feature string, gain double")
     falls = F.coalesce(F.lag("gain").over(Window.orderBy("place")) >= F.col("gain"), F.lit(True))
     return ranked.withColumn("falls", falls).agg(
         F.countDistinct("feature").alias("n_features"), F.countDistinct("place").alias("places"),
