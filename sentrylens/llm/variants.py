@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,15 +64,22 @@ def long_parts(word: str) -> list[tuple[str, str]]:
 
 
 def trie_entries(words: DataFrame) -> DataFrame:
-    """What the trie holds: ``id, context, core``. The context is the root of its own trie."""
-    short = words.filter(F.length("word") <= LONG).select("id", F.lit("").alias("context"), F.col("word").alias("core"))
+    """What the trie holds: ``entry, id, context, core``. The context is the root of its own trie."""
+    short = words.filter(F.length("word") <= LONG).select(
+        F.col("id").alias("entry"), "id", F.lit("").alias("context"), F.col("word").alias("core")
+    )
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         parts = [(i, c, p) for i, w in zip(*(x.to_pylist() for x in batch.columns)) for c, p in long_parts(w)]
         return dict(zip(("id", "context", "core"), map(list, zip(*parts))))
 
-    cut = arrow_rows(words.filter(F.length("word") >= LONG).select("id", "word"), rows, "id string, context string, core string")
-    return short.unionByName(cut)
+    cut = arrow_rows(words.filter(F.length("word") >= LONG).select("id", "word"), rows, "id long, context string, core string")
+    return short.unionByName(cut.withColumn("entry", F.xxhash64("context", "core")))
+
+
+def _node(at: Column) -> Column:
+    """The node that the first ``at`` symbols of ``core`` lead to."""
+    return F.xxhash64("context", at, F.substring("core", F.lit(1), at))
 
 
 def _ahead(at: Column, stride: int) -> Column:
@@ -79,79 +87,84 @@ def _ahead(at: Column, stride: int) -> Column:
     return F.substring(F.concat(F.col("core"), F.lit("$")), at + 1, F.lit(stride))
 
 
+def _target(at: Column) -> tuple[Column, Column]:
+    """Where a walk to ``at`` ends: a node, or the entry itself behind its last symbol; and which of the two."""
+    ended = at > F.length("core")
+    return F.when(ended, F.col("entry")).otherwise(_node(at)).alias("target"), ended.alias("ended")
+
+
 def near_pairs(words: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """Pairs of ids of words that differ by one edit, each once: ``a, b``. A superset by hash collisions only.
+    """Ids of words that may be one edit apart, each pair once: ``a, b``.
 
     A state is (word, position, node, edits). Without an edit a word stands on its own path, so all these
-    states are known at once; a node is the hash of its prefix. Each makes its one edit by a join: a
-    replaced symbol with the edges that leave its node by another symbol and go on as the word does, a
-    dropped symbol with the edges that go on as the word does behind it. (An inserted symbol is the
-    dropped one of the other word.) Then rounds of joins with the edge table move each state on by its
+    states are known at once; a node is the hash of its prefix. Each makes its one edit by meeting the
+    edge table: a replaced symbol where the node is left by another symbol as well and both go on with the
+    same symbols, a dropped symbol where an edge goes on as the word does behind it. (An inserted symbol
+    is the dropped one of the other word.) Then rounds of joins with the edge table move each state on by its
     word's next symbols until it reaches the end of another word.
 
-    Join keys are a node and up to ``stride`` symbols, so the root is no hot key; words that share a
-    long prefix and long rest meet in keys whose edge side is a few rows.
+    Join keys hash a node and up to ``stride`` symbols behind it, so the root is no hot key. An edge is one row however many
+    words share it, reduced before the shuffle; states under one key stream past one edge row. A collision of two 64-bit
+    hashes can add a pair, which the caller's comparison drops, or hide one.
     """
     entries = staged(trie_entries(words))
     depth, length = F.col("depth"), F.length("core")
     paths = entries.withColumn("depth", F.explode(F.sequence(F.lit(0), length)))
 
-    def node(at: Column) -> Column:
-        prefix = F.substring("core", F.lit(1), at)
-        return F.when(at <= length, F.xxhash64("context", at, prefix))
-
-    # a node behind the end of the word is null, and the word's id takes its place
-    def edges_over(symbols: int) -> list[Column]:
-        behind = depth + symbols
-        return [
-            node(depth).alias("node"), _ahead(depth, symbols).alias("ahead"), node(behind).alias("child"),
-            F.when(behind > length, F.col("id")).alias("word"),
-        ]
-
-    edges = staged(paths.select("depth", *edges_over(stride)).distinct())
-    inner = depth < length
-    wide = paths.filter(inner).select(
-        "id", "core", "depth", node(depth).alias("node"), F.substring("core", depth + 1, F.lit(1)).alias("symbol"),
-        _ahead(depth + 1, stride).alias("ahead"), node(depth + 1 + stride).alias("child"),
-        F.when(depth + 1 + stride > length, F.col("id")).alias("word"),
-    )
-    wide = staged(wide)
-    # only where the path forks do words meet by a replaced symbol
-    forks = wide.groupBy("node", "ahead").agg(F.min("symbol").alias("lo"), F.max("symbol").alias("hi")).filter("lo <> hi")
-    branching = (
-        wide.select("node", "ahead", "symbol", "child", "word").distinct()
-        .join(forks.select("node", "ahead"), ["node", "ahead"], "left_semi")
-        .withColumnsRenamed({"symbol": "other", "child": "to", "word": "end"})
-    )
+    def edges(rows: DataFrame) -> DataFrame:
+        key = F.xxhash64(_node(depth), _ahead(depth, stride)).alias("key")
+        return rows.select(key, *_target(depth + stride))
 
-    def rest(done: Column) -> Column:
-        return F.substring(F.col("core"), done + 1, length)
+    def code(at: Column) -> Column:
+        return F.ascii(F.substring("core", at + 1, F.lit(1)))
 
-    state = [F.col("id"), F.col("to").alias("node"), F.col("end")]
-    replaced = wide.join(branching, ["node", "ahead"]).filter("symbol < other").select(*state, rest(depth + 1 + stride).alias("core"))
-    dropped = (
-        wide.filter(F.col("symbol") != F.substring("ahead", 1, 1))
-        .select("id", "core", "depth", "node", "ahead")
-        .join(edges.withColumnsRenamed({"child": "to", "word": "end"}).drop("depth"), ["node", "ahead"])
-        .select(*state, rest(depth + 1 + stride).alias("core"))
+    states = paths.filter(depth < length).select(
+        F.xxhash64(_node(depth), _ahead(depth + 1, stride)).alias("key"), "entry", "depth", code(depth).alias("symbol"),
+        (code(depth) != code(depth + 1)).alias("drops"),
+    )
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("target", "long"), ("ended", "boolean"))]
+    table = (
+        edges(paths).withColumn("symbol", F.lit(None).cast("int"))
+        .unionByName(states.select("key", *nothing, "symbol"))
+        .groupBy("key")
+        .agg(F.min("target").alias("target"), F.min("ended").alias("ended"), F.min("symbol").alias("lo"), F.max("symbol").alias("hi"))
+        .filter("target is not null or lo < hi")
+    )
+    met = (
+        states.join(table, "key")
+        .filter("lo < hi or (drops and target is not null)")
+        .withColumns({"target": F.when(F.col("drops"), F.col("target")), "forks": F.col("lo") < F.col("hi")})
+        .drop("lo", "hi", "drops")
     )
-    found = []
-    frontier = staged(replaced.unionByName(dropped))
-    for _ in range(0, LONG + 1, stride):
-        found.append(frontier.filter("end is not null").select("id", "end"))
-        going = frontier.filter("end is null").select("id", "node", F.col("core"))
+    met = staged(met).join(entries, "entry")
+    rest = F.substring(F.col("core"), depth + 2 + stride, length).alias("rest")
+    to, end = _target(depth + 1 + stride)
+    forking = met.filter("forks")
+    branches = forking.select("key", F.col("symbol").alias("other"), to.alias("to"), end.alias("end")).distinct()
+    replaced = (
+        forking.select("key", "entry", "symbol", rest)
+        .join(branches, "key")
+        .filter("symbol < other")
+        .select("entry", F.col("to").alias("target"), F.col("end").alias("ended"), "rest")
+    )
+    dropped = met.filter("target is not null").select("entry", "target", "ended", rest)
+    frontier, found = staged(replaced.unionByName(dropped)), []
+    for done in range(stride, LONG + 1 + stride, stride):
+        found.append(frontier.filter("ended").select("entry", "target"))
+        going = frontier.filter("not ended").select("entry", "rest", F.col("target").alias("node"))
         if going.isEmpty():
             break
-        ahead = _ahead(F.lit(0), stride).alias("ahead")
-        frontier = staged(
-            going.select("id", "core", "node", ahead)
-            .join(edges.withColumnsRenamed({"child": "to", "word": "end"}).drop("depth"), ["node", "ahead"])
-            .select(*state, rest(F.lit(stride)).alias("core"))
-        )
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.filter("id <> end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct()
+        ahead = F.substring(F.concat(F.col("rest"), F.lit("$")), F.lit(1), F.lit(stride))
+        going = going.select("entry", F.substring("rest", F.lit(stride + 1), F.length("rest")).alias("rest"), F.xxhash64("node", ahead).alias("key"))
+        onward = edges(paths.filter(depth >= done)).join(going.select("key").distinct(), "key", "left_semi")
+        onward = onward.groupBy("key").agg(F.min("target").alias("target"), F.min("ended").alias("ended"))
+        frontier = staged(going.join(onward, "key").select("entry", "target", "ended", "rest"))
+    pairs = reduce(DataFrame.unionByName, found).distinct()
+    names = entries.select("entry", "id")
+    named = pairs.join(names.withColumnRenamed("id", "x"), "entry").join(
+        names.select(F.col("entry").alias("target"), F.col("id").alias("y")), "target"
+    )
+    return named.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def variant_groups(
@@ -171,22 +184,20 @@ def variant_groups(
     root is the last word along the forms.
 
     Every word is found however long it is: from ``LONG`` code points on it enters the trie by parts.
-    Words found are compared as strings, so hashes decide nothing. A null text has no words; a null
+    Words found are compared as strings. A null text has no words; a null
     id counts as an empty one in the hash that deletes a letter; repeated ids and rows each count;
     further columns are ignored; an empty table, or one without words, gives an empty result.
     """
-    word = F.col("word")
-    ids = F.when(F.length(word) <= LONG, word).otherwise(F.concat(F.lit(":"), F.sha2(word, 256)))
-    words = staged(counted_words(df, id_col, text_col, min_length, min_count, every).withColumn("id", ids))
+    words = staged(counted_words(df, id_col, text_col, min_length, min_count, every).withColumn("id", F.xxhash64("word")))
     pairs = staged(near_pairs(words, stride))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     other = words.select(F.col("id").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     met = both.join(other, "b").join(words.withColumnRenamed("id", "a"), "a").filter(F.levenshtein("word", "near", 1) == 1)
-    best = met.groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
-    best = best.select(F.col("a").alias("id"), "n_near", (-F.col("best")["col1"]).alias("best_n"), F.col("best")["near"].alias("best"))
+    best = met.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
+    best = best.select("word", "n_near", (-F.col("best")["col1"]).alias("best_n"), F.col("best")["near"].alias("best"))
     stands = F.col("best_n") >= ratio * F.col("n")
     table = staged(
-        words.join(best, "id", "left").select(
+        words.join(best, "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(stands, F.col("best")).alias("form"), F.when(stands, F.col("best_n")).alias("form_n"),
         )

@@ -65,7 +65,7 @@ def crowd(seed, alphabet, sizes, words):
     return rows
 
 
-@pytest.mark.parametrize("stride", [1, 3, 8])
+@pytest.mark.parametrize("stride", [2, 8])
 def test_equals_plain_python(make, stride):
     rows = crowd(1, "aab", (7, 8, 9, 12), 12) + crowd(2, "abcdéÿÀ", (7, 10, 16, 17), 6)
     rows += [(None, "Nothing NOTHING nothing nothin"), (900, None), (901, ""), (902, "x" * 7 + " " + "x" * 8), (902, "x" * 7 + "1" + "X" * 8), (903, "short words")]
