@@ -16,6 +16,7 @@ from sentrylens.functions import constants as C
 from sentrylens.functions import stats
 from sentrylens.operators.rounds import periodicity
 from sentrylens.operators.trailing import mean_rate, peak_rate
+from sentrylens.session import staged
 
 
 def _passes(ok: Column) -> Column:
@@ -106,8 +107,8 @@ def rule_composition(
 
 
 def verdict_stability(runs: DataFrame, setting_verdict: str, by: Sequence[str] = ()) -> DataFrame:
-    """CTL4: the verdict must be the same under every setting."""
-    n = F.countDistinct(setting_verdict)
+    """CTL4: the verdict must be the same under every setting; a setting without one counts as another verdict."""
+    n = F.countDistinct(F.coalesce(setting_verdict, F.lit("none")))
     return runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_settings"), n.alias("n_verdicts"), _passes(n == 1).alias("verdict")
     )
@@ -118,15 +119,15 @@ def gap_verdict(f1: Column, lookup_f1: Column, tolerance: float = 0.01) -> Colum
     return F.when(F.abs(f1 - lookup_f1) < tolerance, "gap survives").otherwise("gap closes")
 
 
-def run_settings(
-    settings: Sequence[Mapping], fit_and_score: Callable[[Mapping], DataFrame]
-) -> DataFrame:
-    """CTL4: one row (verdict, metric) per setting; the caller fits and scores."""
-    parts = [
-        fit_and_score(s).withColumn("setting", F.lit(str(s.get("_label", f"setting_{i}"))))
-        for i, s in enumerate(settings)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def run_settings(settings: Mapping[str, object], fit_and_score: Callable[[Mapping[str, object]], DataFrame]) -> DataFrame:
+    """CTL4: one row for each named setting, with the verdict and metrics that ``fit_and_score`` gives it.
+
+    The caller gets all settings at once, so that their fits run side by side and share their
+    inputs; it returns rows with a column ``setting``. A setting it leaves out has nulls.
+    """
+    runs = fit_and_score(settings)
+    names = runs.sparkSession.createDataFrame([(s,) for s in settings], "setting string")
+    return names.join(runs, "setting", "left")
 
 
 def capture_tempo(
@@ -222,6 +223,78 @@ def artifact_persistence(
     )
 
 
+def control_states(
+    df: DataFrame, corpus: str, rule: str, time: str, rate: str, burst: str, gap: str,
+    event: Column, pivot: Column, path: str, inventory: Sequence[str], y: str = "y",
+    negligible: float = C.CONTROL_NEGLIGIBLE,
+) -> DataFrame:
+    """CTL8: what the controls need to know of each corpus, from one pass over its alerts.
+
+    The rows are reduced once to a state of each (corpus, rule): class counts, extremes, spans, artefacts
+    seen, gap moments. All of these merge, so the states of a corpus add up to its own; the shares of
+    rules (CTL3) are then taken on the reduced rows. ``rate`` is the feature of CTL1, ``burst`` a row's trailing
+    count within its class (CTL5), ``gap`` the seconds since the tested rule fired before, null elsewhere (CTL7).
+    """
+    attack, benign = F.col(y) == 1, F.col(y) == 0
+    gap_s = F.col(gap).cast("double")
+    sums = {
+        "a": F.count_if(attack), "b": F.count_if(benign), "pa": F.count_if(attack & pivot), "pb": F.count_if(benign & pivot),
+        "events": F.count_if(benign & event), "n_gaps": F.count(gap), "gaps": F.sum(gap_s), "gaps2": F.sum(gap_s * gap_s),
+    }
+    lows = {"attack_min": F.when(attack, F.col(rate)), "first_a": F.when(attack, F.col(time)), "first_b": F.when(benign, F.col(time))}
+    highs = {
+        "benign_max": F.when(benign, F.col(rate)), "last_a": F.when(attack, F.col(time)), "last_b": F.when(benign, F.col(time)),
+        "burst_a": F.when(attack, F.col(burst)), "burst_b": F.when(benign, F.col(burst)),
+    } | {f"seen_{i}": (benign & F.col(path).eqNullSafe(p)).cast("int") for i, p in enumerate(inventory)}
+    per_rule = staged(
+        df.groupBy(F.col(corpus).alias("corpus"), F.col(rule).alias("rule")).agg(
+            *[v.alias(k) for k, v in sums.items()], *[F.min(v).alias(k) for k, v in lows.items()], *[F.max(v).alias(k) for k, v in highs.items()]
+        )
+    )
+    whole = per_rule.groupBy("corpus").agg(
+        *[F.sum(k).alias(k) for k in sums], *[F.min(k).alias(k) for k in lows], *[F.max(k).alias(k) for k in highs]
+    )
+
+    def confounds(a: str, b: str) -> Column:
+        x = F.coalesce(stats.ratio(F.col(f"r.{a}"), F.col(f"w.{a}")), F.lit(0.0))
+        z = F.coalesce(stats.ratio(F.col(f"r.{b}"), F.col(f"w.{b}")), F.lit(0.0))
+        return F.max(((((x > 0.5) & (z <= negligible)) | ((z > 0.5) & (x <= negligible))) & (x > 0)).cast("int"))
+
+    shares = per_rule.alias("r").join(whole.alias("w"), F.col("r.corpus").eqNullSafe(F.col("w.corpus"))).groupBy(F.col("r.corpus").alias("_c")).agg(
+        confounds("a", "b").alias("rule_confounds"), confounds("pa", "pb").alias("pivot_confounds")
+    )
+    return whole.join(shares, F.col("corpus").eqNullSafe(F.col("_c"))).drop("_c")
+
+
+def control_cells(states: DataFrame, extra: str, n_artefacts: int, far: float = C.TEMPO_FAR_FROM_ONE, window_s: int = 10) -> DataFrame:
+    """CTL8: the cells of CTL1, 2, 3, 5 and 7 of every corpus; ``extra`` marks the rule check on the whole corpus."""
+    def speed(c: str) -> Column:
+        span = (F.col(f"last_{c}") - F.col(f"first_{c}")) / F.lit(1e6)
+        return F.when(span > 0, F.col(c) / span)
+
+    mean_ratio = F.try_divide(speed("a"), speed("b"))
+    peak_ratio = F.try_divide(F.col("burst_a") / float(window_s), F.col("burst_b") / float(window_s))
+    mean = F.col("gaps") / F.nullif(F.col("n_gaps"), F.lit(0))
+    spread = F.sqrt(F.greatest(F.col("gaps2") / F.nullif(F.col("n_gaps"), F.lit(0)) - mean * mean, F.lit(0.0)))
+    periodic = (F.col("n_gaps") >= C.PERIODICITY_MIN_N) & (mean > 0) & (spread / F.nullif(mean, F.lit(0.0)) <= C.PERIODICITY_CV)
+    matches = reduce(lambda x, z: x + z, [F.col(f"seen_{i}") for i in range(n_artefacts)], F.lit(0))
+    corpus = F.col("corpus").cast("string")
+
+    def cell(control: str, at: Column, ok: Column, words: tuple[str, str] = ("pass", "fail")) -> Column:
+        verdict = F.when(F.coalesce(ok, F.lit(False)), words[0]).otherwise(words[1])
+        return F.struct(F.lit(control).alias("control"), at.alias("corpus"), verdict.alias("verdict"))
+
+    cells = [
+        cell("C1", corpus, F.col("benign_max") >= F.col("attack_min")),
+        cell("C2", corpus, F.col("events") > 0),
+        cell("C3", corpus, F.col("pivot_confounds") == 0),
+        cell("C3", F.concat(corpus, F.lit(extra)), F.col("rule_confounds") == 0),
+        cell("C5", corpus, tempo_flag(mean_ratio, peak_ratio, far), ("flagged", "not flagged")),
+        cell("C7", corpus, (matches == 0) & ~F.coalesce(periodic, F.lit(False))),
+    ]
+    return states.select(F.inline(F.array(*cells)))
+
+
 def verdict_row(control: str, corpus: Column, df: DataFrame, verdict: Column | None = None) -> DataFrame:
     """CTL8: a control's result as matrix rows."""
     return df.select(
@@ -232,19 +305,31 @@ def verdict_row(control: str, corpus: Column, df: DataFrame, verdict: Column | N
 
 
 def verdict_matrix(
-    rows: Sequence[DataFrame], expected: Mapping[tuple[str, str], str], cited: Sequence[tuple[str, str]] = ()
+    rows: Sequence[DataFrame], expected: Mapping[tuple[str, str], str], cited: Sequence[tuple[str, str]] = (),
+    absent: Mapping[tuple[str, str], str] | None = None, extra: str | None = None,
 ) -> DataFrame:
-    """CTL8: all verdicts next to the expected ones; cited cells are not compared."""
+    """CTL8: all verdicts next to the expected ones.
+
+    ``absent`` are cells that a control is not applied to, with the wording that stands in for a verdict. Cited cells,
+    cells expected as ``n/a`` and rows beside the table (corpus ending in ``extra``) are shown but not compared.
+    """
     every = reduce(DataFrame.unionByName, rows)
     key = F.concat_ws("|", "control", "corpus")
+    absent = absent or {}
+    if absent:
+        said = every.sparkSession.createDataFrame([(c, k, v) for (c, k), v in absent.items()], every.select("control", "corpus", "verdict").schema)
+        every = every.filter(~key.isin(*[f"{c}|{k}" for c, k in absent])).unionByName(said)
     pairs = [F.lit(x) for (c, k), v in expected.items() for x in (f"{c}|{k}", v)]
     want = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("string")
     is_cited = key.isin(*[f"{c}|{k}" for c, k in cited]) if cited else F.lit(False)
+    is_extra = F.col("corpus").endswith(extra) if extra else F.lit(False)
     return every.withColumns(
         {
             "expected": F.coalesce(want, F.lit("-")),
-            "status": F.when(is_cited, "cited")
+            "status": F.when(is_extra, "beside the table")
+            .when(is_cited, "cited")
             .when(want.isNull(), "unexpected cell")
+            .when(want == "n/a", "not compared")
             .when(want == F.col("verdict"), "match")
             .otherwise("MISMATCH"),
         }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
 from sentrylens.functions import flags, stats
-from sentrylens.operators import audit, controls, decisions, features, models, splits
+from sentrylens.operators import audit, controls, decisions, features, models, rounds, splits, trailing
 from sentrylens.operators import thresholds as T
 from sentrylens.operators.labels import label_asof
 from sentrylens.plans import views as V
@@ -586,36 +588,52 @@ _CFX6 = [
 _STUMPS = models.Fit("stumps", ("level", "auth_failure", "kw_scan", "kw_brute", "k", "hour"), "temporal", trees=5, depth=1, bins=128, subsample=1.0)
 
 
-def _stump_check(fit):
+def _with_hour(df):
+    return df.withColumn("hour", F.hour(F.timestamp_micros("us")))
+
+
+_EARLY = "row_number() OVER (ORDER BY us, row_id) <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT)"
+
+
+def _drawn(seed):
+    """Train rows of the stratified split, in SQL."""
+    at = f"CAST('0x' || substr(md5('{seed}:' || CAST(row_id AS VARCHAR)), 1, 12) AS BIGINT)"
+    return f"row_number() OVER (PARTITION BY y ORDER BY {at}, row_id) <= round_even(0.8 * count(*) OVER (PARTITION BY y), 0)"
+
+
+def _stumps_sql(fit, name, train=_EARLY):
     """Boosting of one-split trees in SQL: every cut between values of every column, by weighted variance."""
     columns = [f"CAST({c} AS DOUBLE)" for c in fit.columns]
     parts = {
-        "s0": f"""SELECT row_id, y * 2 - 1 AS t, 0.0::DOUBLE AS margin, [{', '.join(columns)}] AS x,
-            row_number() OVER (ORDER BY us, row_id) <= CAST(floor(0.8 * count(*) OVER ()) AS BIGINT) AS train
+        f"{name}s0": f"""SELECT row_id, rule_id, y * 2 - 1 AS t, 0.0::DOUBLE AS margin, [{', '.join(columns)}] AS x, {train} AS train
             FROM (SELECT *, (us // 3600000000) % 24 AS hour FROM labelled)""",
-        "weights": "SELECT count(*) FILTER (t = -1) / count(*) FILTER (t = 1) AS heavy FROM s0 WHERE train",
+        f"{name}w": f"SELECT count(*) FILTER (t = -1) / count(*) FILTER (t = 1) AS heavy FROM {name}s0 WHERE train",
     }
     for m in range(fit.trees):
         target = "CAST(t AS DOUBLE)" if m == 0 else "4.0 * t / (1.0 + exp(2.0 * t * margin))"
-        parts[f"v{m}"] = f"""SELECT i, x[i] AS v, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
+        parts[f"{name}v{m}"] = f"""SELECT i, x[i] AS v, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
             FROM (SELECT x, unnest(range(1, {len(columns) + 1})) AS i, {target} AS r, CASE WHEN t = 1 THEN heavy ELSE 1.0 END AS w
-              FROM s{m}, weights WHERE train) GROUP BY ALL"""
-        parts[f"c{m}"] = f"""SELECT i, (v + lead(v) OVER up) / 2 AS cut, sum(w) OVER up AS wl, sum(s) OVER up AS sl, sum(q) OVER up AS ql,
+              FROM {name}s{m}, {name}w WHERE train) GROUP BY ALL"""
+        parts[f"{name}c{m}"] = f"""SELECT i, (v + lead(v) OVER up) / 2 AS cut, sum(w) OVER up AS wl, sum(s) OVER up AS sl, sum(q) OVER up AS ql,
             sum(w) OVER al AS wa, sum(s) OVER al AS sa, sum(q) OVER al AS qa
-            FROM v{m} WINDOW up AS (PARTITION BY i ORDER BY v), al AS (PARTITION BY i)"""
-        parts[f"b{m}"] = f"""SELECT i, cut, sl / wl AS low, (sa - sl) / (wa - wl) AS high FROM c{m} WHERE cut IS NOT NULL
+            FROM {name}v{m} WINDOW up AS (PARTITION BY i ORDER BY v), al AS (PARTITION BY i)"""
+        parts[f"{name}b{m}"] = f"""SELECT i, cut, sl / wl AS low, (sa - sl) / (wa - wl) AS high FROM {name}c{m} WHERE cut IS NOT NULL
             ORDER BY round((qa - sa * sa / wa - (ql - sl * sl / wl) - (qa - ql - (sa - sl) * (sa - sl) / (wa - wl))) / wa, 10) DESC, i, cut LIMIT 1"""
-        parts[f"s{m + 1}"] = f"""SELECT row_id, t, train, x,
-            margin + {1.0 if m == 0 else models.RATE} * CASE WHEN x[i] <= cut THEN low ELSE high END AS margin FROM s{m}, b{m}"""
-    return V.check_sql(
-        f"SELECT row_id, CAST((t + 1) // 2 AS INT) AS y, round(1 / (1 + exp(-2 * margin)), 6) AS score FROM s{fit.trees} WHERE NOT train",
-        "labelled", **parts,
-    )
+        parts[f"{name}s{m + 1}"] = f"""SELECT row_id, rule_id, t, train, x,
+            margin + {1.0 if m == 0 else models.RATE} * CASE WHEN x[i] <= cut THEN low ELSE high END AS margin FROM {name}s{m}, {name}b{m}"""
+    parts[f"{name}out"] = f"""SELECT row_id, rule_id, CAST((t + 1) // 2 AS INT) AS y, 1 / (1 + exp(-2 * margin)) AS score, train
+        FROM {name}s{fit.trees}"""
+    return parts
 
 
-@query("mod1_boosted_stumps_scores", _stump_check(_STUMPS))
+@query(
+    "mod1_boosted_stumps_scores",
+    V.check_sql(
+        "SELECT row_id, y, round(score, 6) AS score FROM out WHERE NOT train", "labelled", **_stumps_sql(_STUMPS, ""),
+    ),
+)
 def mod1_stumps(spark, sf):
-    l = V.labelled(spark, sf, stage=True).withColumn("hour", F.hour(F.timestamp_micros("us")))
+    l = _with_hour(V.labelled(spark, sf, stage=True))
     cut = splits.temporal_split(l, "us", "row_id")
     fitted, fills = models.fit_many({"temporal": cut.filter("split = 'train'")}, [_STUMPS])
     scored = models.score_many({"temporal": cut.filter("split = 'test'")}, [_STUMPS], fitted, fills, keep=["row_id"])
@@ -751,24 +769,71 @@ def ctl3(spark, sf):
     )
 
 
-_RUNS = """SELECT collection, run, CASE WHEN abs(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) - 0.5) < 0.1 THEN 'gap survives' ELSE 'gap closes' END AS v
-    FROM (SELECT collection, k % 5 AS run, count(*) FILTER (y = 1 AND level >= 8) AS tp, count(*) FILTER (y = 0 AND level >= 8) AS fp,
-      count(*) FILTER (y = 1 AND level < 8) AS fn FROM labelled GROUP BY 1, 2)"""
+_WIDE, _NARROW = ("level", "auth_failure", "kw_scan", "kw_brute", "k", "hour"), ("level", "auth_failure", "kw_scan", "kw_brute")
+_SPLITS = {"temporal": _EARLY, "random 42": _drawn(42), "random 7": _drawn(7)}
+#: The settings of CTL4: every split with two sets of columns.
+_SETTINGS = {
+    f"{split}, {len(columns)} columns": models.Fit(f"{split}, {len(columns)} columns", columns, split, trees=3, depth=1, bins=128, subsample=1.0)
+    for split in _SPLITS for columns in (_WIDE, _NARROW)
+}
+
+
+def _settings_sql():
+    """Scores of every setting, its best F1 on the grid, and the F1 of the lookup on the same split."""
+    parts, rows = {}, []
+    for i, (name, fit) in enumerate(_SETTINGS.items()):
+        parts |= _stumps_sql(fit, f"m{i}_", _SPLITS[fit.split])
+        rows.append(f"SELECT '{name}' AS setting, *  FROM m{i}_out")
+    parts["scored"] = " UNION ALL ".join(rows)
+    parts["grid"] = f"SELECT unnest([{', '.join(map(repr, models.GRID))}]) AS t"
+    parts["best"] = """SELECT setting, max(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS f1 FROM (
+        SELECT setting, t, count(*) FILTER (y = 1 AND score >= t) AS tp, count(*) FILTER (y = 0 AND score >= t) AS fp,
+          count(*) FILTER (y = 1 AND score < t) AS fn FROM scored, grid WHERE NOT train GROUP BY 1, 2) GROUP BY 1"""
+    parts["looked"] = """SELECT setting, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS lookup_f1 FROM (
+        SELECT s.setting, count(*) FILTER (y = 1 AND p) AS tp, count(*) FILTER (y = 0 AND p) AS fp, count(*) FILTER (y = 1 AND NOT p) AS fn
+        FROM (SELECT s.setting, s.y, coalesce(l.p, false) AS p FROM (SELECT * FROM scored WHERE NOT train) s LEFT JOIN (
+          SELECT setting, rule_id, 2 * sum(y) >= count(*) AS p FROM scored WHERE train GROUP BY 1, 2) l
+          ON l.setting = s.setting AND l.rule_id IS NOT DISTINCT FROM s.rule_id) s GROUP BY 1)"""
+    parts["judged"] = """SELECT setting, f1, lookup_f1, CASE WHEN abs(f1 - lookup_f1) < 0.01 THEN 'gap survives' ELSE 'gap closes' END AS v
+        FROM best JOIN looked USING (setting)"""
+    parts["stable"] = "SELECT CASE WHEN count(DISTINCT v) = 1 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM judged"
+    return parts
+
+
+def _fit_and_score(rows):
+    """CTL4's fit: all settings as one job, each against the signature lookup of its split."""
+    rows = _with_hour(rows)
+
+    def run(settings):
+        cut = {"temporal": splits.temporal_split(rows, "us", "row_id")}
+        cut |= {f"random {seed}": splits.stratified_split(rows, "y", "row_id", seed=seed) for seed in (42, 7)}
+        trains, tests = ({k: v.filter(f"split = '{part}'") for k, v in cut.items()} for part in ("train", "test"))
+        fits = list(settings.values())
+        fitted, fills = models.fit_many(trains, fits)
+        found = models.best_f1(models.score_many(tests, fits, fitted, fills)).select(F.col("fit").alias("setting"), "split", "f1")
+        looked = reduce(
+            DataFrame.unionByName,
+            [
+                audit.lookup_vs_trivial(trains[k], tests[k], "rule_id").select(F.lit(k).alias("split"), F.col("f1").alias("lookup_f1"))
+                for k in dict.fromkeys(f.split for f in fits)
+            ],
+        )
+        return found.join(looked, "split").withColumn("judged", controls.gap_verdict(F.col("f1"), F.col("lookup_f1")))
+
+    return run
 
 
 @query(
     "ctl4_verdict_stability",
     V.check_sql(
-        """SELECT collection, count(*) AS n_settings, count(DISTINCT v) AS n_verdicts, CASE WHEN count(DISTINCT v) = 1 THEN 'PASS' ELSE 'FAIL' END AS verdict
-        FROM runs GROUP BY collection""",
-        "labelled", runs=_RUNS,
+        "SELECT setting, round(f1, 6) AS f1, round(lookup_f1, 6) AS lookup_f1, v AS judged, verdict FROM judged, stable",
+        "labelled", **_settings_sql(),
     ),
 )
 def ctl4(spark, sf):
-    l = V.labelled(spark, sf).withColumn("run", F.col("k") % 5)
-    runs = audit.rule_score(l, F.col("level") >= 8, by=["collection", "run"])
-    judged = runs.withColumn("v", controls.gap_verdict(F.col("f1"), F.lit(0.5), 0.1))
-    return controls.verdict_stability(judged, "v", ["collection"])
+    runs = staged(controls.run_settings(_SETTINGS, _fit_and_score(V.labelled(spark, sf, stage=True))))
+    verdict = controls.verdict_stability(runs, "judged").select("verdict").scalar()
+    return rounded(runs.select("setting", "f1", "lookup_f1", "judged", verdict.alias("verdict")))
 
 
 _TEMPO = """SELECT collection, max(mean_rate) FILTER (y = 1) / max(mean_rate) FILTER (y = 0) AS mr, max(peak) FILTER (y = 1) / max(peak) FILTER (y = 0) AS pr
@@ -858,36 +923,82 @@ def set3(spark, sf):
     return controls.exact_matches(l.filter("y = 0"), l.filter("y = 1"), "path")
 
 
-_EXPECT = {("C1", "error"): "fail", ("C1", "view"): "pass", ("C3", "error"): "pass", ("C5", "error"): "not flagged", ("C5", "view"): "flagged"}
+_EXTRA = " (whole corpus)"
+_EXPECT = {
+    ("C1", "error"): "fail", ("C1", "view"): "pass", ("C2", "error"): "pass", ("C2", "view"): "fail", ("C3", "error"): "pass",
+    ("C3", "signup"): "not applied", ("C4", "all collections"): "fail", ("C5", "error"): "not flagged", ("C5", "view"): "flagged",
+    ("C6", "claims as made"): "fail", ("C6", "claims as corrected"): "n/a", ("C6", "signup"): "not applied", ("C7", "view"): "fail",
+    ("C7", "signup"): "not applicable",
+}
 _CITED = [("C5", "view")]
+_ABSENT = {k: _EXPECT[k] for k in (("C3", "signup"), ("C6", "signup"), ("C7", "signup"))}
+_FAILED_LOGON = ("5710", "5712", "60122")
+_CORRECTED = "claim_id % 10 > 3 AND source_file NOT LIKE '%fr'"
+
+
+def _confounds(where):
+    return f"""SELECT collection, max(CASE WHEN ((sa > 0.5 AND sb <= 0.01) OR (sb > 0.5 AND sa <= 0.01)) AND sa > 0 THEN 1 ELSE 0 END) AS bad FROM (
+        SELECT collection, coalesce(a * 1.0 / nullif(sum(a) OVER c, 0), 0) AS sa, coalesce(b * 1.0 / nullif(sum(b) OVER c, 0), 0) AS sb FROM (
+          SELECT collection, rule_id, count(*) FILTER (y = 1 AND {where}) AS a, count(*) FILTER (y = 0 AND {where}) AS b
+          FROM labelled_detailed GROUP BY 1, 2) WINDOW c AS (PARTITION BY collection)) GROUP BY 1"""
+
+
+def _claims_sql(where):
+    lack = f"""(SELECT count(*) FROM c WHERE ({where}) AND (NOT EXISTS (SELECT 1 FROM names n WHERE n.claim_id = c.claim_id)
+        OR claim_id IN (SELECT claim_id FROM names WHERE name NOT IN (SELECT path FROM reg))))"""
+    return f"CASE WHEN {lack} = 0 THEN 'pass' ELSE 'fail' END"
 
 
 @query(
     "ctl8_control_matrix",
     V.check_sql(
-        """SELECT control, corpus, verdict, coalesce(expected, '-') AS expected, CASE WHEN control = 'C5' AND corpus = 'view' THEN 'cited'
-          WHEN expected IS NULL THEN 'unexpected cell' WHEN expected = verdict THEN 'match' ELSE 'MISMATCH' END AS status
-        FROM (SELECT 'C1' AS control, collection AS corpus, CASE WHEN benign_max >= attack_min THEN 'pass' ELSE 'fail' END AS verdict FROM b
-          UNION ALL SELECT 'C3', collection, lower(verdict) FROM c3
-          UNION ALL SELECT 'C5', collection, CASE WHEN mr >= 2 OR mr <= 0.5 OR pr >= 2 OR pr <= 0.5 THEN 'flagged' ELSE 'not flagged' END FROM t)
-        LEFT JOIN (VALUES """
+        f"""SELECT control, corpus, verdict, coalesce(expected, '-') AS expected, CASE WHEN corpus LIKE '%{_EXTRA}' THEN 'beside the table'
+          WHEN control = 'C5' AND corpus = 'view' THEN 'cited' WHEN expected IS NULL THEN 'unexpected cell' WHEN expected = 'n/a' THEN 'not compared'
+          WHEN expected = verdict THEN 'match' ELSE 'MISMATCH' END AS status
+        FROM (SELECT * FROM cells WHERE (control, corpus) NOT IN (SELECT control, corpus FROM absent) UNION ALL SELECT * FROM absent) LEFT JOIN (VALUES """
         + ", ".join(f"('{c}', '{k}', '{v}')" for (c, k), v in _EXPECT.items())
         + ") AS e(control, corpus, expected) USING (control, corpus)",
-        "labelled", r=_RATE10, b=_BURST, shares=_SHARES, c3=_c3_sql("0.01"), t=_TEMPO,
+        "labelled", "labelled_detailed", **_settings_sql(), r=_RATE10, b=_BURST, whole=_confounds("true"), pivoted=_confounds("srcuser IS NOT NULL"),
+        tempo=_TEMPO, c=_CLAIMS.format("documents"), reg=_REGISTRY.format("documents"), names=_NAMES,
+        c7="""SELECT collection, count(DISTINCT path) FILTER (k % 8 IN (0, 3, 5)) AS n_matches FROM labelled_detailed WHERE y = 0 GROUP BY 1""",
+        beat="""SELECT collection, count(g) >= 5 AND avg(g) > 0 AND coalesce(stddev_pop(g) / nullif(avg(g), 0) <= 0.15, false) AS periodic FROM (
+            SELECT collection, (us - lag(us) OVER (PARTITION BY collection ORDER BY us, row_id)) / 1000000.0 AS g
+            FROM labelled_detailed WHERE y = 0 AND level >= 5) GROUP BY 1""",
+        absent="SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', '{v}')" for (c, k), v in _ABSENT.items()) + ") t(control, corpus, verdict)",
+        cells=f"""SELECT 'C1' AS control, collection AS corpus, CASE WHEN benign_max >= attack_min THEN 'pass' ELSE 'fail' END AS verdict FROM b
+          UNION ALL SELECT 'C2', collection, CASE WHEN count(*) FILTER (y = 0 AND rule_id IN {_FAILED_LOGON}) > 0 THEN 'pass' ELSE 'fail' END
+            FROM labelled GROUP BY collection
+          UNION ALL SELECT 'C3', collection, CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END FROM pivoted
+          UNION ALL SELECT 'C3', collection || '{_EXTRA}', CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END FROM whole
+          UNION ALL SELECT 'C4', 'all collections', lower(verdict) FROM stable
+          UNION ALL SELECT 'C5', collection, CASE WHEN mr >= 2 OR mr <= 0.5 OR pr >= 2 OR pr <= 0.5 THEN 'flagged' ELSE 'not flagged' END FROM tempo
+          UNION ALL SELECT 'C6', 'claims as made', {_claims_sql('true')}
+          UNION ALL SELECT 'C6', 'claims as corrected', {_claims_sql(_CORRECTED)}
+          UNION ALL SELECT 'C7', collection, CASE WHEN n_matches = 0 AND NOT coalesce(periodic, false) THEN 'pass' ELSE 'fail' END
+            FROM c7 LEFT JOIN beat USING (collection)""",
     ),
 )
 def ctl8(spark, sf):
-    rated = _rated(spark, sf)
-    corpus = F.col("collection")
+    columns = ["row_id", "us", "collection", "rule_id", "level", "y", "path", "srcuser", "k", "auth_failure", "kw_scan", "kw_brute"]
+    alerts = staged(V.labelled(spark, sf, detail=True).select(*columns))
+    rated = trailing.trailing_count(alerts, ["collection"], "us", "row_id", 600)
+    rated = trailing.trailing_count(rated, ["collection", "y"], "us", "row_id", 10, "burst")
+    tested = (F.col("y") == 0) & (F.col("level") >= 5)
+    spaced = rounds.with_gap(rated.withColumn("tested", tested), ["collection", "tested"], "us", "row_id")
+    inventory = list(C.ARTIFACT_TECHNIQUE)
+    states = controls.control_states(
+        spaced.withColumn("gap_s", F.when(F.col("tested"), F.col("gap_s"))), "collection", "rule_id", "us", "rate", "burst", "gap_s",
+        F.col("rule_id").isin(*_FAILED_LOGON), F.col("srcuser").isNotNull(), "path", inventory,
+    )
+    runs = controls.run_settings(_SETTINGS, _fit_and_score(alerts))
+    claims, registry = _claims(spark, sf)
     rows = [
-        controls.verdict_row("C1", corpus, controls.burst_overlap(rated, "rate", by=["collection"])),
-        controls.verdict_row("C3", corpus, controls.rule_composition(rated, "rule_id", by=["collection"])),
-        controls.verdict_row(
-            "C5", corpus, controls.capture_tempo(rated, "us", "row_id", by=["collection"]),
-            F.when(F.col("flagged"), "flagged").otherwise("not flagged"),
-        ),
+        controls.control_cells(states, _EXTRA, len(inventory)),
+        controls.verdict_row("C4", F.lit("all collections"), controls.verdict_stability(runs, "judged")),
+        controls.verdict_row("C6", F.lit("claims as made"), controls.claim_provenance(claims, registry)),
+        controls.verdict_row("C6", F.lit("claims as corrected"), controls.claim_provenance(claims.filter(_CORRECTED), registry)),
     ]
-    return controls.verdict_matrix(rows, _EXPECT, _CITED)
+    return controls.verdict_matrix(rows, _EXPECT, _CITED, _ABSENT, _EXTRA)
 
 
 @query(

@@ -276,13 +276,18 @@ def test_empty_claims_pass_and_missing_table_fails(spark):
 
 
 def test_settings_runner_reports_a_flip(spark):
-    def run(setting):
-        return spark.createDataFrame([(setting["v"], 0.5)], "verdict string, metric double")
+    def run(settings):
+        return spark.createDataFrame([(k, v, 0.5) for k, v in settings.items() if v], "setting string, verdict string, metric double")
 
-    runs = controls.run_settings([{"_label": "default", "v": "x"}, {"v": "y"}], run)
+    runs = controls.run_settings({"default": "x", "other": "y"}, run)
     r = controls.verdict_stability(runs, "verdict").first()
-    assert (r.n_settings, r.verdict) == (2, "FAIL")
-    assert sorted(x.setting for x in runs.collect()) == ["default", "setting_1"]
+    assert (r.n_settings, r.n_verdicts, r.verdict) == (2, 2, "FAIL")
+    assert sorted(x.setting for x in runs.collect()) == ["default", "other"]
+    # a setting that gives no verdict is not a stable one
+    lost = controls.run_settings({"default": "x", "other": None}, run)
+    assert controls.verdict_stability(lost, "verdict").first().verdict == "FAIL"
+    same = controls.run_settings({"default": "x", "other": "x"}, run)
+    assert controls.verdict_stability(same, "verdict").first().verdict == "PASS"
 
 
 def test_tier_orders(spark):
