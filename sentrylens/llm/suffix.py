@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,15 +117,15 @@ SEGMENTS = "doc_id long, key long, digest binary, starts array<int>, width int,
 CORED = "doc_id long, key long, digest binary, starts array<int>, width int, left binary, right binary"
 
 
-def packed(rows: list[tuple], names: str) -> dict[str, list]:
-    """Rows of (doc, key, start, content, ...) as columns, equal ones of a document put together.
+def packed(rows: Iterable[tuple], names: str) -> dict[str, list]:
+    """Rows of (doc, key, starts, content, ...) as columns, equal ones of a document put together as they come.
 
     ``content`` is hashed; the rest of the row follows from it.
     """
     merged: dict[tuple, list] = {}
-    for doc, key, start, content, *rest in rows:
+    for doc, key, starts, content, *rest in rows:
         digest = hashlib.blake2b(content, digest_size=16).digest()
-        merged.setdefault((doc, key, digest, *rest), []).append(start)
+        merged.setdefault((doc, key, digest, *rest), []).extend(starts)
     columns = [x.split()[0] for x in names.split(", ")]
     out: dict[str, list] = {name: [] for name in columns}
     for (doc, key, digest, *rest), starts in merged.items():
@@ -142,8 +142,8 @@ def first_segments(docs: DataFrame, shared: DataFrame, length: int, gram: int) -
     """
     wanted = shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        ids, found = batch.column(0).to_pylist(), []
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids = batch.column(0).to_pylist()
         for row, b, offsets in chunks(batch.column(1)):
             starts, at, hashes = fingerprints(b, offsets, length, gram)
             first, width = runs(starts, at)
@@ -155,8 +155,11 @@ def first_segments(docs: DataFrame, shared: DataFrame, length: int, gram: int) -
                 keep = lo + np.flatnonzero(np.isin(keys[lo:hi], batch.column(2)[row + d].values.to_numpy()))
                 for f, n, p, key in zip(first[keep].tolist(), width[keep].tolist(), anchor[keep].tolist(), keys[keep].tolist()):
                     segment = b[f : f + n + length - 1].tobytes()
-                    found.append((ids[row + d], key, f - int(offsets[d]), segment, n, p - f, segment))
-        return packed(found, SEGMENTS)
+                    yield ids[row + d], key, [f - int(offsets[d])], segment, n, p - f, segment
+
+    def rows(batch: pa.RecordBatch) -> dict[str, list]:
+        # equal segments of a text are one entry as soon as they are met: a periodic text has very many
+        return packed(found(batch), SEGMENTS)
 
     return arrow_rows(docs.join(wanted, "doc_id").select("doc_id", "text", "keys"), rows, SEGMENTS)
 
@@ -174,8 +177,7 @@ def split_segments(segments: DataFrame, block: int, length: int) -> DataFrame:
     of the farthest one. The core, with ``q``, makes the new key, so it need not be kept.
     """
 
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        found = []
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc, key, starts, width, anchor, segment in zip(*(c.to_pylist() for c in batch.columns)):
             for q in range((anchor - width + 1) // block * block, anchor + 1, block):
                 lo, hi = max(0, anchor - q - block + 1), min(width - 1, anchor - q)
@@ -185,10 +187,11 @@ def split_segments(segments: DataFrame, block: int, length: int) -> DataFrame:
                 new = new_key(key, q, block, segment[core:end])
                 left, right = segment[lo:core], segment[end : hi + length]
                 content = left + b"/" + right + str((hi - lo, len(left))).encode()
-                found += [(doc, new, start + lo, content, hi - lo + 1, left, right) for start in starts]
-        return packed(found, CORED)
+                yield doc, new, [start + lo for start in starts], content, hi - lo + 1, left, right
 
-    return arrow_rows(segments.select("doc_id", "key", "starts", "width", "anchor", "segment"), rows, CORED)
+    return arrow_rows(
+        segments.select("doc_id", "key", "starts", "width", "anchor", "segment"), lambda batch: packed(found(batch), CORED), CORED
+    )
 
 
 def split_cored(segments: DataFrame, block: int, smaller: int) -> DataFrame:
@@ -197,8 +200,7 @@ def split_cored(segments: DataFrame, block: int, smaller: int) -> DataFrame:
     Distances count from the start of the core. The new key adds what the core gains on both sides.
     """
 
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        found = []
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
         for doc, key, starts, width, left, right in zip(*(c.to_pylist() for c in batch.columns)):
             n = len(left)
             for q in range((n - width + 1) // smaller * smaller, n + 1, smaller):
@@ -209,10 +211,11 @@ def split_cored(segments: DataFrame, block: int, smaller: int) -> DataFrame:
                 new = new_key(key, q, smaller, left[n - q :], right[:gained])
                 new_left, new_right = left[n - far : n - q], right[gained : block - 1 - near]
                 content = new_left + b"/" + new_right + str((far - near, len(new_left))).encode()
-                found += [(doc, new, start + n - far, content, far - near + 1, new_left, new_right) for start in starts]
-        return packed(found, CORED)
+                yield doc, new, [start + n - far for start in starts], content, far - near + 1, new_left, new_right
 
-    return arrow_rows(segments.select("doc_id", "key", "starts", "width", "left", "right"), rows, CORED)
+    return arrow_rows(
+        segments.select("doc_id", "key", "starts", "width", "left", "right"), lambda batch: packed(found(batch), CORED), CORED
+    )
 
 
 def collection_order(
@@ -404,14 +407,13 @@ def remove_repeats(
 
     ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``: the last is what remains, as
     bytes. Matches never cross documents, overlapping ones count, and all strings are judged on the input. Null
-    texts are empty; texts shorter than ``length`` stay whole. Ids must differ and not be
-    null: rows with a null id are left out, rows that share an id are told apart by nothing and
-    the join raises no error but repeats them. An empty table gives an empty result; further columns are ignored.
+    texts are empty; texts shorter than ``length`` stay whole. Ids may be null or repeat: inside, a row goes
+    by a 64-bit hash of its id and text, so only rows equal in both are one, and they have the same result.
+    An empty table gives an empty result; further columns are ignored.
     """
-    docs = df.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    joined = docs.join(repeats(docs, length, gram), "doc_id", "left")
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    named = df.select(F.col(id_col).cast("long").alias("_id"), text).withColumn("doc_id", F.xxhash64("_id", "text"))
+    joined = named.join(repeats(named.select("doc_id", "text"), length, gram), "doc_id", "left").select("_id", "text", "spans")
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {name: [] for name in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}

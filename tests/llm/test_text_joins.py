@@ -53,6 +53,24 @@ def test_remove_repeats_equals_brute_force(make, monkeypatch, group):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, 40)
 
 
+def test_remove_repeats_with_repeated_and_null_ids(make):
+    rng = random.Random(4)
+    long, other = ("".join(rng.choice("abcd") for _ in range(700)) for _ in range(2))
+    rows = [(1, long), (1, "short"), (2, long[100:400]), (3, other), (3, other), (None, other[:90]), (None, "alone"), (4, None), (4, "")]
+    got = suffix.remove_repeats(make(rows), length=40, gram=8).collect()
+    numbered = brute_repeats([(i, t) for i, (_, t) in enumerate(rows)], 40)
+    want = sorted((repr(rows[i][0]), *v) for i, v in numbered.items())
+    assert sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_remove_repeats_of_a_periodic_text_keeps_one_segment_a_phase(make):
+    text = "ab" * 150_000
+    got = suffix.remove_repeats(make([(1, text), (2, "x" * 199)]), length=200).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got} == {(1, 300_000, 300_000, 1), (2, 199, 0, 0)}
+    once = suffix.packed(((7, 1, [i], b"same", 1, 0, b"same") for i in range(1000)), suffix.SEGMENTS)
+    assert once["starts"] == [list(range(1000))] and len(once["segment"]) == 1
+
+
 def test_remove_repeats_of_nothing(make):
     assert suffix.remove_repeats(make([]), length=40, gram=8).collect() == []
 
