@@ -87,46 +87,93 @@ def buffer_features(rows: pd.DataFrame, start: int) -> np.ndarray:
 
 
 class AgentBuffer(StatefulProcessor):
-    """STR1: the last twenty alerts of an agent as list state; compute, then add."""
+    """STR1: an agent's alerts wait until the watermark has passed them, then leave in event order.
+
+    State: the alerts that wait, the last twenty that left, and a timer for the earliest that waits.
+    """
+
+    def __init__(self, forget_ms: int | None = None):
+        self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._buffer = handle.getListState("buffer", BUFFER_SCHEMA)
+        self._waiting = handle.getListState("waiting", "row_id long, " + BUFFER_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True)
+        timed = new[new["us"].notna()]
+        self._waiting.appendList([_state_row(r) for r in timed[list(INPUT[1:])].itertuples(index=False)])
+        if len(timed):
+            self._wake(int(timed["us"].min()))
+        untimed = new[new["us"].isna()].sort_values("row_id", kind="stable")
+        if len(untimed):
+            yield self._out(key, untimed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame([tuple(r) for r in self._waiting.get()], columns=list(INPUT[1:]))
+        due = held["us"].astype("int64") // 1000 < now
+        left = held[~due]
+        if due.any():
+            self._waiting.put([_state_row(r) for r in left.itertuples(index=False)]) if len(left) else self._waiting.clear()
+            yield self._out(key, held[due].sort_values(["us", "row_id"], kind="stable"))
+        if len(left):  # the timer that fired is still listed, and goes by itself
+            self._handle.registerTimer(int(left["us"].min()) // 1000 + 1)
+        elif self.forget_ms is not None:
+            last = max((r[0] for r in self._buffer.get() if r[0] is not None), default=0) // 1000 + 1
+            if last + self.forget_ms <= now:
+                self._buffer.clear()
+            else:
+                self._handle.registerTimer(last + self.forget_ms)
+
+    def _wake(self, us: int) -> None:
+        """A timer that fires once the watermark is beyond the earliest alert that waits."""
+        at = us // 1000 + 1
+        if not any(t <= at for t in self._handle.listTimers()):
+            self._handle.registerTimer(at)
+
+    def _out(self, key, new: pd.DataFrame) -> pd.DataFrame:
+        """Features of alerts in order; the last twenty become the history of the next ones."""
         held = pd.DataFrame([tuple(r) for r in self._buffer.get()], columns=list(INPUT[2:]), dtype=object)
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["us", "row_id"], kind="stable")
         every = pd.concat([held, new[list(INPUT[2:])].astype(object)], ignore_index=True)
         every["level"] = every["level"].astype(float)
-        features = buffer_features(every, len(held))
-        result = pd.DataFrame(features, columns=list(FEATURES))
-        result.insert(0, "us", new["us"].to_numpy())
+        result = pd.DataFrame(buffer_features(every, len(held)), columns=list(FEATURES))
+        result.insert(0, "us", new["us"].astype("float64" if new["us"].isna().any() else "int64").to_numpy())
         result.insert(0, "row_id", new["row_id"].to_numpy())
-        result.insert(0, "agent", key[0])
+        result.insert(0, "agent", np.full(len(new), key[0], dtype=object))
         last = every.tail(C.HISTORY_ROWS)
-        kinds = (int, float, str, str, bool, bool, bool)  # a time is a float beside a missing one
-        self._buffer.put(
-            [tuple(None if pd.isna(v) else kind(v) for kind, v in zip(kinds, r)) for r in last.itertuples(index=False)]
-        )
-        yield result
+        self._buffer.put([_state_row(r, 0) for r in last.itertuples(index=False)])
+        return result
 
     def close(self) -> None:
         pass
 
 
-def stream_history(alerts: DataFrame) -> DataFrame:
-    """STR1: history features on a stream of ``INPUT`` columns.
+def _state_row(row: tuple, ids: int = 1) -> tuple:
+    kinds = (*[int] * (ids + 1), float, str, str, bool, bool, bool)  # a time is a float beside a missing one
+    return tuple(None if pd.isna(v) else kind(v) for kind, v in zip(kinds, row))
+
+
+def stream_history(alerts: DataFrame, late: str = "1 hour", forget_days: int | None = None) -> DataFrame:
+    """STR1: history features on a stream of ``INPUT`` columns, in event time.
+
+    An alert leaves when the watermark (the latest time seen less ``late``) has passed it, after all earlier ones of
+    its agent (ties by row id). So the result is that of the batch history however the stream is cut into
+    micro-batches and however rows are disordered within ``late``. A row that comes behind the watermark is dropped
+    by Spark and counted in the progress of the query (``numRowsDroppedByWatermark``); so are times up to 1970, where the watermark starts. Rows without a time cannot
+    wait: they leave at once with the default features and enter the history where they arrive.
 
-    State is at most twenty entries per agent. Micro-batches count in their order; within
-    one, an agent's rows are taken in event order (time, then row id; rows without time last),
-    however Spark cuts them into Arrow batches. A late row is handled with the
-    micro-batch that brings it. A task holds the rows of one agent in one micro-batch, which the
-    source's trigger options bound. Needs the RocksDB state store.
+    State is at most twenty alerts of an agent plus those within ``late``; a task holds one agent's alerts
+    between two watermarks. With ``forget_days`` the history of an agent that was silent for so long is deleted and its
+    next alert starts anew. Needs the RocksDB state store.
     """
-    return alerts.select(*INPUT).groupBy("agent").transformWithStateInPandas(
-        statefulProcessor=AgentBuffer(),
+    timed = alerts.select(*INPUT).withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", late)
+    return timed.groupBy("agent").transformWithStateInPandas(
+        statefulProcessor=AgentBuffer(None if forget_days is None else forget_days * 86_400_000),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 

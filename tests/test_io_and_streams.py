@@ -64,43 +64,64 @@ def _run(stream, path, mode="append"):
     q.awaitTermination()
 
 
-def test_streaming_state_equals_batch_history_over_several_batches(spark, tmp_path):
-    df = _alerts(spark)
-    source = str(tmp_path / "in")
-    for part in range(3):  # three files, one micro-batch each
-        df.filter((F.col("row_id") >= part * 30) & (F.col("row_id") < part * 30 + 30)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
+def _arrive(parts, path):
+    """Each part is a file of its own, in this order."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def _streamed(spark, path, schema, out, late, **kw):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     with H.rocksdb_state(spark):
-        _run(H.stream_history(stream), out)
+        _run(H.stream_history(stream, late, **kw), out)
+    return spark.read.schema(H.OUTPUT_SCHEMA).parquet(out)
+
+
+def _end(df):
+    """A row of another agent, so late that the watermark passes all others."""
+    return df.limit(1).withColumns({"agent": F.lit("end"), "us": F.lit(4_000_000_000_000_000)})
+
+
+def _history(df, order):
     item = history.history_item(*[F.col(c) for c in ("us", "level", "rule_id", "srcip", "auth", "scan", "brute")])
-    batch = history.agent_history(df, ["agent"], ["row_id"], "us", item).select("agent", "row_id", "us", *H.FEATURES)
-    got = spark.read.schema(H.OUTPUT_SCHEMA).parquet(out)
-    assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
+    return history.agent_history(df, ["agent"], order, "us", item).select("agent", "row_id", "us", *H.FEATURES)
 
 
-@pytest.mark.parametrize("arrow_rows", [50, 10_000])
-def test_streaming_state_does_not_depend_on_arrow_batches(spark, tmp_path, arrow_rows):
-    df = _alerts(spark).withColumns({"agent": F.lit("a"), "us": F.when(F.col("row_id") != 17, F.col("us"))})
-    source = str(tmp_path / "in")
-    for part in range(2):  # shuffled rows in each of two micro-batches
-        df.filter(F.floor(F.col("row_id") / 45) == part).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    name, out = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "out")
+@pytest.mark.parametrize("parts,arrow_rows", [(1, 10_000), (3, 7), (7, 10_000)])
+def test_streaming_history_does_not_depend_on_cuts_or_disorder(spark, tmp_path, parts, arrow_rows):
+    df = _alerts(spark).withColumn("us", F.col("us") + 1_000_000_000_000_000)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    _arrive([df.filter(F.col("row_id") % parts == i).orderBy(F.rand(3)) for i in range(parts)] + [_end(df)], source)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, arrow_rows)
     try:
-        with H.rocksdb_state(spark):
-            _run(H.stream_history(stream), out)
+        got = _streamed(spark, source, df.schema, out, "30 days")
     finally:
         spark.conf.set(name, before)
-    item = history.history_item(*[F.col(c) for c in ("us", "level", "rule_id", "srcip", "auth", "scan", "brute")])
-    order = F.when(F.col("us").isNull(), 44.5).otherwise(F.col("row_id")).alias("at")
-    batch = history.agent_history(df.select("*", order), ["agent"], ["at"], "us", item).select("agent", "row_id", "us", *H.FEATURES)
-    got = spark.read.schema(H.OUTPUT_SCHEMA).parquet(out)
+    batch = _history(df, ["us", "row_id"])
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
 
 
+def test_streaming_history_drops_late_rows_and_forgets_silent_agents(spark, tmp_path):
+    day = 86_400_000_000
+    schema = "agent string, row_id long, us long, level double, rule_id string, srcip string, auth boolean, scan boolean, brute boolean"
+
+    def rows(*items):
+        return spark.createDataFrame([(a, i, None if d is None else int(d * day), 12.0, "r", "s", False, False, False) for a, i, d in items], schema)
+
+    parts = [rows(("a", 1, 10), ("a", 2, 10.0001), ("b", 3, None)), rows(("b", 4, 20)), rows(("a", 5, 1), ("a", 6, 20.5)), rows(("b", 7, 60)), rows(("z", 9, 70))]
+    for forget, high in ((None, [999.0, 8.64, 10.4999 * 86400]), (5, [999.0, 8.64, 999.0])):
+        source, out = str(tmp_path / f"in{forget}"), str(tmp_path / f"out{forget}")
+        _arrive(parts, source)
+        got = {r.row_id: r for r in _streamed(spark, source, parts[0].schema, out, "1 hour", forget_days=forget).collect()}
+        assert set(got) == {1, 2, 3, 4, 6, 7}  # 5 came behind the watermark, 9 still waits
+        seen = [got[i].time_since_last_high for i in (1, 2, 6)]
+        assert got[3].us is None and got[3].time_since_last_high == 999.0
+        assert seen[:2] == pytest.approx(high[:2]) and seen[2] in (pytest.approx(high[2]), 999.0)
+        assert (got[6].high_sev_ratio_20 == 0.0) == (forget is not None)
+
+
 def test_checkpoint_folder_is_refused_off_one_machine_and_released(spark, monkeypatch):
     class Cluster:
         class conf:
