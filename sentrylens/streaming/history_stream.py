@@ -103,8 +103,8 @@ class AgentBuffer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows), ignore_index=True)
         timed = new[new["us"].notna()]
-        self._waiting.appendList([_state_row(r) for r in timed[list(INPUT[1:])].itertuples(index=False)])
         if len(timed):
+            self._waiting.appendList([_state_row(r) for r in timed[list(INPUT[1:])].itertuples(index=False)])
             self._wake(int(timed["us"].min()))
         untimed = new[new["us"].isna()].sort_values("row_id", kind="stable")
         if len(untimed):
@@ -120,7 +120,7 @@ class AgentBuffer(StatefulProcessor):
             yield self._out(key, held[due].sort_values(["us", "row_id"], kind="stable"))
         if len(left):  # the timer that fired is still listed, and goes by itself
             self._handle.registerTimer(int(left["us"].min()) // 1000 + 1)
-        elif self.forget_ms is not None:
+        elif self.forget_ms is not None:  # free the state of an agent that stays away
             last = max((r[0] for r in self._buffer.get() if r[0] is not None), default=0) // 1000 + 1
             if last + self.forget_ms <= now:
                 self._buffer.clear()
@@ -136,16 +136,32 @@ class AgentBuffer(StatefulProcessor):
     def _out(self, key, new: pd.DataFrame) -> pd.DataFrame:
         """Features of alerts in order; the last twenty become the history of the next ones."""
         held = pd.DataFrame([tuple(r) for r in self._buffer.get()], columns=list(INPUT[2:]), dtype=object)
-        every = pd.concat([held, new[list(INPUT[2:])].astype(object)], ignore_index=True)
-        every["level"] = every["level"].astype(float)
-        result = pd.DataFrame(buffer_features(every, len(held)), columns=list(FEATURES))
+        blocks = []
+        for anew, part in self._visits(held, new):
+            before = held.iloc[:0] if anew else held
+            every = pd.concat([before, part[list(INPUT[2:])].astype(object)], ignore_index=True)
+            every["level"] = every["level"].astype(float)
+            blocks.append(buffer_features(every, len(before)))
+            held = every.tail(C.HISTORY_ROWS)
+        result = pd.DataFrame(np.concatenate(blocks), columns=list(FEATURES))
         result.insert(0, "us", new["us"].astype("float64" if new["us"].isna().any() else "int64").to_numpy())
         result.insert(0, "row_id", new["row_id"].to_numpy())
         result.insert(0, "agent", np.full(len(new), key[0], dtype=object))
-        last = every.tail(C.HISTORY_ROWS)
-        self._buffer.put([_state_row(r, 0) for r in last.itertuples(index=False)])
+        self._buffer.put([_state_row(r, 0) for r in held.itertuples(index=False)])
         return result
 
+    def _visits(self, held: pd.DataFrame, new: pd.DataFrame) -> Iterator[tuple[bool, pd.DataFrame]]:
+        """The alerts between silences of ``forget_ms``, and whether such a silence is in front of them."""
+        if self.forget_ms is None or new["us"].isna().any():
+            yield False, new
+            return
+        times = new["us"].to_numpy(dtype=np.int64)
+        last = held["us"].dropna().max() if held["us"].notna().any() else times[0]
+        anew = np.diff(np.r_[last, times]) >= self.forget_ms * 1000
+        cuts = np.unique(np.r_[0, np.flatnonzero(anew), len(times)])
+        for i, j in zip(cuts, cuts[1:]):
+            yield bool(anew[i]), new.iloc[i:j]
+
     def close(self) -> None:
         pass
 
@@ -165,8 +181,8 @@ def stream_history(alerts: DataFrame, late: str = "1 hour", forget_days: int | N
     wait: they leave at once with the default features and enter the history where they arrive.
 
     State is at most twenty alerts of an agent plus those within ``late``; a task holds one agent's alerts
-    between two watermarks. With ``forget_days`` the history of an agent that was silent for so long is deleted and its
-    next alert starts anew. Needs the RocksDB state store.
+    between two watermarks. With ``forget_days`` an agent that was silent for so long starts anew, and
+    a timer frees its state. Needs the RocksDB state store.
     """
     timed = alerts.select(*INPUT).withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", late)
     return timed.groupBy("agent").transformWithStateInPandas(
