@@ -52,16 +52,22 @@ def test_near_duplicate_stage_keeps_the_first_of_each_class(spark, docs):
     assert Counter(rows(stage(spark, 2, docs))) == Counter(r for r in rows(docs) if found[r[0]][1] == r[0])
 
 
-def test_mixture_stage_loses_only_toxic_documents(spark, docs):
+def test_mixture_stage_meets_its_targets_and_loses_only_toxic_documents(spark):
     from sentrylens.llm import mixing
 
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     named = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    rates = {r.doc_id: r for r in mixing.mix(docs, named, P.MIXTURE, P.SCALE).collect()}
-    got = Counter(r[0] for r in rows(stage(spark, 3, docs)))
-    assert got == Counter({d: n for d, r in rates.items() if (n := max(r.copies, 0 if r.domain == "toxic" else 1))})
+    rates = {r.doc_id: r for r in mixing.mix(docs, named, P.MIXTURE, None, least=P.LEAST).collect()}
+    got = Counter(r[0] for r in rows(P.STAGES[3][1](spark, docs, sf)))
+    assert got == Counter({d: r.copies for d, r in rates.items() if r.copies})
+    # the totals of the stage's output, rounded copies and all
+    total = sum(n * rates[d].n_tokens * np.array(rates[d].posterior) for d, n in got.items())
+    domains = sorted(P.MIXTURE)
+    assert np.abs(total / total.sum() - [P.MIXTURE[d] for d in domains]).max() <= 1e-2
+    assert all(r.copies >= 1 and r.rate >= 1 for r in rates.values() if r.domain != "toxic")
     toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
-    lost = {r[0] for r in rows(docs)} - got.keys()
+    lost = set(rates) - got.keys()
     assert lost and len(lost & toxic) >= 0.6 * len(lost & {r.doc_id for r in labels.collect()})
 
 
