@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,28 @@ WIDTHS = (0.7, 1.0, 1.5, 2.2)
 PROBES = (8, 16, 24, 32, 48, 64, 100, 150, 200)
 #: Entries or queries of a bucket that are handled at once; larger buckets are cut in slices.
 SLICE = 1000
+#: Cell widths, in fitted ones, that a query goes through until its neighbours lie within reach.
+NESTED = (1.0, 2.0, 4.0, 8.0)
+#: Calibration neighbours that are judged together, nearest first, and the recall that ends the reach.
+GROUP, LEAST_RECALL = 32, 0.85
 
 
 @dataclass(frozen=True)
 class Hashing:
-    """``tables`` groups of functions floor((a v + b) / width), a from a normal distribution."""
+    """``tables`` groups of functions floor((a v + b) / width), a from a normal distribution.
+
+    ``reach`` is the distance up to which the probes were seen to find neighbours.
+    """
 
     directions: np.ndarray  # tables x functions x dimensions
     shifts: np.ndarray  # tables x functions
     width: float
     probes: int
+    reach: float = float("inf")
+
+    def wider(self, times: float) -> Hashing:
+        """The same functions in larger cells; distances scale with them."""
+        return replace(self, width=self.width * times, reach=self.reach * times)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell of each vector in each table and function, and the place within it (0 to 1)."""
@@ -167,10 +179,21 @@ def fit(vectors: DataFrame, k: int = K) -> Hashing | None:
                 share = np.mean([np.isin(buckets, keys[:probes]).any(axis=1).mean() for keys in probed[:16]])
                 mark = (recall < TARGET_RECALL, share if recall >= TARGET_RECALL else -recall)
                 if best is None or mark < best:
-                    best, choice = mark, Hashing(directions, shifts, width * typical, probes)
+                    hit = [bool(np.isin(owners[i], probed[r["q"]][:probes]).any()) for i, r in enumerate(near)]
+                    best, choice = mark, Hashing(directions, shifts, width * typical, probes, reach_of([r["d"] for r in near], hit))
     return choice
 
 
+def reach_of(distances: list[float], hit: list[bool]) -> float:
+    """The distance up to which neighbours are found: the first group, by distance, of too few hits ends it."""
+    order = np.argsort(distances, kind="stable")
+    d, hit = np.array(distances)[order], np.array(hit)[order]
+    for i in range(0, len(d), GROUP):
+        if hit[i : i + GROUP].mean() < LEAST_RECALL:
+            return float(d[i - 1]) if i else 0.0
+    return float(d[-1])
+
+
 def multiprobe_search(
     df: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
@@ -183,8 +206,12 @@ def multiprobe_search(
     in slices. The candidates of all tables are measured in double precision on the original vectors, cut to
     the best of each task, and merged in the final ranking.
 
-    Result: ``query_id, rank, vec_id, score``; ties go to the smaller id; a query
-    with fewer candidates has fewer rows. Vectors that are null, zero or hold null or
+    The fit is to typical rows. A query that finds fewer than ``k`` rows, or whose last one is farther than
+    the fitted cells reach, goes on in cells twice, four and eight times as wide, where the same probes reach as
+    much farther; what is left then (rows far from all others, and tables of hardly ``k`` rows) meets all entries, in blocks.
+
+    Result: ``query_id, rank, vec_id, score``; ties go to the smaller id; a query has fewer than ``k`` rows only
+    where the table has fewer candidates. Vectors that are null, zero or hold null or
     non-finite components are neither queries nor candidates. Rows with a null id are left out; rows that repeat
     an id and vector count once. All vectors have one length. An empty table gives an empty result.
     """
@@ -203,16 +230,6 @@ def multiprobe_search(
     if h is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    def index(batch: pa.RecordBatch) -> dict[str, list]:
-        keys = bucket_keys(h.place(matrix(batch.column(1)))[0])
-        at = np.repeat(np.arange(len(keys)), keys.shape[1])
-        return {"key": keys.ravel(), "ids": batch.column(0).take(pa.array(at)), "x": batch.column(1).take(pa.array(at))}
-
-    def ask(batch: pa.RecordBatch) -> dict[str, list]:
-        keys = [np.unique(x) for x in probe_keys(h, matrix(batch.column(1)))]
-        at = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
-        return {"key": np.concatenate(keys), "id": batch.column(0).take(at), "x": batch.column(1).take(at)}
-
     def blocks(side: DataFrame, name: str, item: str) -> DataFrame:
         """The rows of a bucket in lists of about ``SLICE``."""
         large = side.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE)
@@ -225,16 +242,6 @@ def multiprobe_search(
             .drop("slice")
         )
 
-    asking = staged(arrow_rows(asked.select("query_id", "query"), ask, "key long, id long, x array<double>"))
-    indexed = staged(
-        arrow_rows(entries.select("ids", "embedding"), index, "key long, ids array<long>, x array<double>").join(
-            asking.select("key").distinct(), "key", "left_semi"
-        )
-    )
-    met = blocks(asking, "asked", "id").join(blocks(indexed, "found", "ids"), "key").select(
-        F.col("asked.id").alias("id"), F.flatten("asked.x").alias("q"), F.col("found.ids").alias("ids"), F.flatten("found.x").alias("x")
-    )
-
     def measure(batch: pa.RecordBatch) -> dict[str, list]:
         """Distances within buckets; of each query the nearest ids of the whole batch."""
         out: dict[int, list[tuple[float, int]]] = {}
@@ -251,10 +258,54 @@ def multiprobe_search(
         return {"query_id": [r[0] for r in rows], "score": [r[1] for r in rows], "vec_id": [r[2] for r in rows]}
 
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        arrow_rows(met, measure, "query_id long, score double, vec_id long")
-        .withColumn("rank", F.dense_rank().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-        .distinct()
-    )
+
+    def ranked(near: DataFrame) -> DataFrame:
+        return near.withColumn("rank", F.dense_rank().over(best)).filter(F.col("rank") <= k).distinct()
+
+    def meet(asking: DataFrame, indexed: DataFrame) -> DataFrame:
+        """The nearest rows among those with the key of a query."""
+        met = blocks(asking, "asked", "id").join(blocks(indexed, "found", "ids"), "key").select(
+            F.col("asked.id").alias("id"), F.flatten("asked.x").alias("q"), F.col("found.ids").alias("ids"), F.flatten("found.x").alias("x")
+        )
+        return arrow_rows(met, measure, "query_id long, score double, vec_id long")
+
+    def probed(h: Hashing, asked: DataFrame) -> DataFrame:
+        def index(batch: pa.RecordBatch) -> dict[str, list]:
+            keys = bucket_keys(h.place(matrix(batch.column(1)))[0])
+            at = np.repeat(np.arange(len(keys)), keys.shape[1])
+            return {"key": keys.ravel(), "ids": batch.column(0).take(pa.array(at)), "x": batch.column(1).take(pa.array(at))}
+
+        def ask(batch: pa.RecordBatch) -> dict[str, list]:
+            keys = [np.unique(x) for x in probe_keys(h, matrix(batch.column(1)))]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in keys]))
+            return {"key": np.concatenate(keys), "id": batch.column(0).take(at), "x": batch.column(1).take(at)}
+
+        asking = staged(arrow_rows(asked.select("query_id", "query"), ask, "key long, id long, x array<double>"))
+        indexed = staged(
+            arrow_rows(entries.select("ids", "embedding"), index, "key long, ids array<long>, x array<double>").join(
+                asking.select("key").distinct(), "key", "left_semi"
+            )
+        )
+        return meet(asking, indexed)
+
+    def exact(asked: DataFrame, n: int) -> DataFrame:
+        """Every entry, against blocks of the queries that are left."""
+        parts = -(-n // SLICE)
+        asking = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("key"), F.col("query_id").alias("id"), F.col("query").alias("x"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+        return meet(asking, entries.select(every.alias("key"), "ids", F.col("embedding").alias("x")))
+
+    found = None
+    for times in NESTED:
+        cells = h.wider(times)
+        near = probed(cells, asked)
+        found = staged(ranked(near if found is None else found.drop("rank").unionByName(near)))
+        settled = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("last"))
+        settled = settled.filter((F.col("n") >= k) & (F.col("last") <= cells.reach)).select("query_id")
+        asked = staged(asked.join(settled, "query_id", "left_anti"))
+        left = asked.count()
+        if not left:
+            break
+    else:
+        found = ranked(found.drop("rank").unionByName(exact(asked, left)))
+    return found.select("query_id", "rank", "vec_id", "score")

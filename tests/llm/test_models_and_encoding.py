@@ -179,6 +179,34 @@ def test_multiprobe_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_multiprobe_serves_outliers_like_crowds(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((25, 16))
+    crowd = np.concatenate([c + 0.02 * rng.standard_normal((80, 16)) for c in centres])
+    lone = 30 * rng.standard_normal((150, 16))
+    x = np.concatenate([crowd, lone])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.multiprobe_search(df, F.col("vec_id") % 25 == 0).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    recall = defaultdict(list)
+    for q in ids[ids % 25 == 0]:
+        want = exact_nearest(ids, x, q)
+        assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
+        recall[q >= len(crowd)].append(len({v for _, v, _ in got[q]} & {v for v, _ in want}) / 10)
+    assert len(recall[True]) == 6 and np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+    few = ann.multiprobe_search(df.filter("vec_id < 4 or vec_id = 2100"), F.lit(True))
+    assert {(r.query_id, r["count"]) for r in few.groupBy("query_id").count().collect()} == {(i, 4) for i in (0, 1, 2, 3, 2100)}
+
+
+def test_reach_ends_where_neighbours_are_lost():
+    d = [float(i) for i in range(100)]
+    assert ann.reach_of(d, [True] * 100) == 99.0
+    assert ann.reach_of(d, [i < 64 for i in range(100)]) == 63.0
+    assert ann.reach_of(d, [False] * 100) == 0.0
+
+
 def test_multiprobe_copies_and_unusable_vectors(spark):
     rows = [(i, [1.0, 0.0, 2.0]) for i in range(40)] + [(100 + i, [float(i), 1.0, 0.5]) for i in range(8)]
     rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 0.0]), (203, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (3, [1.0, 0.0, 2.0])]
