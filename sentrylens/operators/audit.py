@@ -790,9 +790,9 @@ def detection_note(df: DataFrame, by: str, hit1: str, hit2: str) -> DataFrame:
     )
     return r.withColumn(
         "note",
-        F.when(F.greatest("l1_recall", "l2_recall") < 50, "weakly detected")
-        .when(F.col("l1_recall") >= F.col("l2_recall"), "L1 generalizes (rule unseen)")
-        .otherwise("L2 anomaly-driven"),
+        F.when(F.greatest("l1_recall", "l2_recall") < 50, "found by neither layer")
+        .when(F.col("l1_recall") >= F.col("l2_recall"), "known-attack layer carries over")
+        .otherwise("anomaly layer leads"),
     )
 
 

@@ -104,9 +104,9 @@ def layer_value(df: DataFrame, hit1: str, hit2: str, y: str = "y", by: Sequence[
     )
     return out.withColumn(
         "verdict",
-        F.when((F.col("recall_pp") <= 1) & (F.col("fpr_pp") > 1), "L1 adds FPR without meaningful recall")
-        .when(F.col("recall_pp") > 1, "L1 adds recall")
-        .otherwise("~no change"),
+        F.when((F.col("recall_pp") <= 1) & (F.col("fpr_pp") > 1), "more false alarms only")
+        .when(F.col("recall_pp") > 1, "more recall")
+        .otherwise("about equal"),
     )
 
 
@@ -212,9 +212,9 @@ def tradeoff(
     )
     return delta.withColumn(
         "flag",
-        F.when(F.col("recall_delta_pp") < -flag_pp, "REGRESSION >few pts")
-        .when(F.col("recall_delta_pp") > flag_pp, "IMPROVED")
-        .otherwise("~unchanged"),
+        F.when(F.col("recall_delta_pp") < -flag_pp, "worse")
+        .when(F.col("recall_delta_pp") > flag_pp, "better")
+        .otherwise("about equal"),
     )
 
 

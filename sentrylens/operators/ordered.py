@@ -105,7 +105,7 @@ def _cut_large_keys(body: DataFrame, keys: Sequence[str], cuts: Cuts) -> DataFra
     counts = body.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
     large = counts.filter(F.col("_rows") > cuts.target_rows)
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
-    marked = body.join(F.broadcast(large), same, "left")
+    marked = body.join(large, same, "left")
     return marked.withColumn(CHUNK, F.when(F.col("_rows").isNotNull(), F.col(CHUNK))).drop("_rows", *names)
 
 

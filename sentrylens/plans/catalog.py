@@ -7,6 +7,7 @@ from sentrylens.plans import (  # noqa: F401
     q_labels,
     q_populations,
     q_projections,
+    q_runs,
     q_windows,
 )
 from sentrylens.plans.registry import CHECKS, QUERIES

@@ -834,7 +834,7 @@ def agg41(spark, sf):
     "agg43_detection_note",
     V.check_sql(
         """SELECT technique, n, round(r1, 6) AS l1_recall, round(r2, 6) AS l2_recall, round(e, 6) AS either_recall,
-        CASE WHEN greatest(r1, r2) < 50 THEN 'weakly detected' WHEN r1 >= r2 THEN 'L1 generalizes (rule unseen)' ELSE 'L2 anomaly-driven' END AS note
+        CASE WHEN greatest(r1, r2) < 50 THEN 'found by neither layer' WHEN r1 >= r2 THEN 'known-attack layer carries over' ELSE 'anomaly layer leads' END AS note
         FROM (SELECT technique, count(*) AS n, 100.0 * sum(a) / count(*) AS r1, 100.0 * sum(c) / count(*) AS r2,
           100.0 * count(*) FILTER (a + c > 0) / count(*) AS e FROM h GROUP BY technique)""",
         "labelled", h=_HITS3,

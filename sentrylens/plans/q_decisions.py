@@ -295,8 +295,8 @@ def mod9(spark, sf):
 @query(
     "mod9_first_layer_value",
     V.check_sql(
-        """SELECT collection, round(dr, 6) AS recall_pp, round(df, 6) AS fpr_pp, CASE WHEN dr <= 1 AND df > 1 THEN 'L1 adds FPR without meaningful recall'
-        WHEN dr > 1 THEN 'L1 adds recall' ELSE '~no change' END AS verdict FROM (SELECT collection,
+        """SELECT collection, round(dr, 6) AS recall_pp, round(df, 6) AS fpr_pp, CASE WHEN dr <= 1 AND df > 1 THEN 'more false alarms only'
+        WHEN dr > 1 THEN 'more recall' ELSE 'about equal' END AS verdict FROM (SELECT collection,
           100.0 * count(*) FILTER (y = 1 AND h1 = 1 AND h2 = 0) / count(*) FILTER (y = 1) AS dr,
           100.0 * count(*) FILTER (y = 0 AND h1 = 1 AND h2 = 0) / count(*) FILTER (y = 0) AS df FROM x GROUP BY collection)""",
         "labelled", x=_LAYERS,

@@ -217,8 +217,8 @@ _HALF = """SELECT collection, count(*) FILTER (y = 1 AND level >= 8) * 1.0 / cou
     V.check_sql(
         """SELECT g.collection, round(g.f1, 6) AS gain_f1, round(g.fpr, 6) AS gain_fpr, round(100 * (r.recall - b.recall), 6) AS recall_delta_pp,
         round(100 * (r.fpr - b.fpr), 6) AS fpr_delta_pp, round(r.f1 - b.f1, 6) AS f1_delta,
-        CASE WHEN 100 * (r.recall - b.recall) < -3 THEN 'REGRESSION >few pts' WHEN 100 * (r.recall - b.recall) > 3 THEN 'IMPROVED'
-          ELSE '~unchanged' END AS flag
+        CASE WHEN 100 * (r.recall - b.recall) < -3 THEN 'worse' WHEN 100 * (r.recall - b.recall) > 3 THEN 'better'
+          ELSE 'about equal' END AS flag
         FROM gains g JOIN regressions r ON g.collection = r.collection AND r.collection <> 'view'
         JOIN regressions b ON b.collection = 'view'""",
         "labelled", gains=_HALF.format(0), regressions=_HALF.format(1),

@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table_dir(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, visible to every executor; gone when the session ends."""
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    files, at = _files(spark, path)
+    files, at = files_of(spark, path)
     files.deleteOnExit(at)
     _TABLES.append(path)
     return path
@@ -73,7 +73,7 @@ def table_dir(spark: SparkSession) -> str:
 def release_tables(spark: SparkSession) -> None:
     """Delete the tables staged so far. For use between jobs, when their results are written."""
     while _TABLES:
-        files, at = _files(spark, _TABLES.pop())
+        files, at = files_of(spark, _TABLES.pop())
         files.delete(at, True)
 
 
@@ -91,6 +91,7 @@ def staged(df: DataFrame) -> DataFrame:
 _TABLES: list[str] = []
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it, as the JVM has them."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
