@@ -19,13 +19,13 @@ from sentrylens.llm.common import arrow_rows, bounded_sample, empty_if_null, sta
 #: Labelled rows of each domain that the classifier is fitted on at most, the first by a hash of the id.
 FIT_ROWS = 3000
 FEATURES = 1 << 14
-#: Rounds after which a fit is given up with an error (it needs about 5 to 30), and the largest miss of a total.
+#: Rounds after which a fit is given up with an error (it needs about 10), and the largest miss of a total.
 ITERATIONS = 400
 TOLERANCE = 1e-4
-#: Lengths of a step, all tried in one pass: with the moments as preconditioner, and without one.
-STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
-PLAIN_STEPS = (1.0, 4.0, 16.0, 64.0, 256.0)
-#: Room above the totals that lower bounds force, where the size of the mixture is chosen by the fit.
+#: Pulls of the rates towards one, and lengths of a Newton step.
+PULLS = tuple(10.0**-i for i in range(3, 10))
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 0.0001)
+#: Targets are no less than this many times what lower bounds force: nearer, a few documents would be taken very often.
 ROOM = 1.2
 
 
@@ -77,98 +77,96 @@ def bounds(p: np.ndarray, least: np.ndarray) -> np.ndarray:
     return least[p.argmax(axis=1)] if p.shape[1] else np.zeros(len(p))
 
 
-def replay(p: np.ndarray, pushes: Sequence[np.ndarray], lower: np.ndarray | float = 0.0) -> np.ndarray:
-    """Rates after projected gradient steps: every step moves a rate by its posterior times the
-    step's push, and projects it onto what is not below ``lower``. Rates start at one."""
-    rate = np.maximum(lower, np.ones(len(p)))
-    for push in pushes:
-        rate = np.maximum(lower, rate - p @ push)
-    return rate
+def rates_of(p: np.ndarray, slopes: np.ndarray, lower: np.ndarray | float = 0.0) -> np.ndarray:
+    """Rates of documents with posteriors ``p``."""
+    return np.maximum(lower, 1.0 + p @ slopes)
 
 
-def totals(
-    rows: DataFrame, pushes: Sequence[np.ndarray], tries: Sequence[np.ndarray], lack: np.ndarray, least: np.ndarray, corpus: float
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each further push to try: the expected totals of the domains, over all tokens of the corpus, and their
-    second moments over the documents that are not held at their bound. One pass; k + k x k numbers a try."""
-    k = len(lack)
+def moments(
+    rows: DataFrame, tries: Sequence[np.ndarray], least: np.ndarray, corpus: float
+) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each vector of slopes, over all tokens of the corpus: the dual's value without its linear part, the
+    expected shares of the domains, and the domains' second moments where rates are above their bounds.
+    One pass; 1 + k + k x k numbers a try reach the driver."""
+    k = len(least)
 
     def part(batch: pa.RecordBatch) -> dict[str, list]:
         tokens = batch.column(0).to_numpy(zero_copy_only=False).astype(float) / corpus
         p = batch.column(1).flatten().to_numpy().reshape(len(tokens), k)
         lower = bounds(p, least)
-        now = replay(p, pushes, lower)
         out = []
-        for push in tries:
-            rate = np.maximum(lower, now - p @ push)
-            free = tokens * ((rate > lower) | (p @ lack < 0))
-            out += [(rate * tokens) @ p, ((p * free[:, None]).T @ p).ravel()]
-        v = np.concatenate(out)
-        return {"i": list(range(len(v))), "v": v}
+        for slopes in tries:
+            rate = rates_of(p, slopes, lower)
+            free = tokens * (rate > lower)
+            out += [[(tokens * (rate * (1.0 + p @ slopes) - rate**2 / 2)).sum()], (rate * tokens) @ p, ((p * free[:, None]).T @ p).ravel()]
+        return {"v": [np.concatenate(out)]}
 
-    sums = arrow_rows(rows.select("n_tokens", "posterior"), part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-    out = np.zeros((len(tries), k + k * k))
-    for r in sums.collect():
-        out.flat[r["i"]] = r["v"]
-    return [(x[:k], x[k:].reshape(k, k)) for x in out]
+    width = 1 + k + k * k
+    found = arrow_rows(rows.select("n_tokens", "posterior"), part, "v array<double>")
+    sums = found.agg(*[F.sum(F.col("v")[i]) for i in range(len(tries) * width)]).first()
+    out = np.array([x or 0.0 for x in sums]).reshape(len(tries), width)
+    return [(float(x[0]), x[1 : 1 + k], x[1 + k :].reshape(k, k)) for x in out]
 
 
-def reachable(rows: DataFrame, share: np.ndarray, least: np.ndarray, corpus: float) -> float:
-    """The size of a mixture, in corpora, that leaves ``ROOM`` above what the lower bounds force on every domain."""
-    k = len(share)
-    ((forced, _),) = totals(rows, [np.full(k, np.inf)], [np.zeros(k)], np.zeros(k), least, corpus)
-    wanted = share > 0
-    return float((ROOM * forced[wanted] / share[wanted]).max()) if wanted.any() else 1.0
+def forced(rows: DataFrame, least: np.ndarray, corpus: float) -> np.ndarray:
+    """The expected totals of the domains that the lower bounds alone come to, as shares of the corpus."""
+    return moments(rows, [np.full(len(least), -1e12)], least, corpus)[0][1]
 
 
 def fit_rates(
     rows: DataFrame, targets: np.ndarray, least: np.ndarray | None = None, iterations: int = ITERATIONS, tolerance: float = TOLERANCE
-) -> list[np.ndarray]:
-    """Projected gradient least squares: the pushes whose ``replay`` gives each document its rate.
-
-    Minimised is the squared distance of the expected totals of the domains from ``targets`` over all
-    rates that are not below their bounds (``least`` by likeliest domain, 0 without). The gradient of a
-    document's rate is its posterior times the lack of the domains, so a step is k numbers, and a round is one pass that
-    replays the steps so far and returns totals for a few step lengths. The second
-    moments of the documents that are free to move precondition the step; where it stops gaining, plain gradient
-    steps go on until they gain nothing either. Then a warning names what no rates can meet.
-    A fit that needs over ``iterations`` rounds is an error, never a silent result.
+) -> np.ndarray:
+    """Slopes of the rates, not below their bounds, whose expected totals come nearest to ``targets``.
+
+    Minimised is the squared distance of the totals (as shares of the corpus) plus a small pull of the
+    rates towards one. The rates of its solution are ``max(bound, 1 + posterior . slopes)``, with one slope for
+    each domain (``least`` bounds rates by likeliest domain, 0 without); the slopes solve the convex dual problem, by Newton steps with a line search. A round is one pass
+    that returns the domains' totals and second moments. The pull is lowered, tenfold at a time, until the
+    totals are within ``tolerance`` of the targets, or is so small that no nonnegative rates can come
+    noticeably nearer; then a warning names what is missing. A fit that needs over
+    ``iterations`` rounds is an error, never a silent result.
     """
     k = len(targets)
     least = np.zeros(k) if least is None else np.asarray(least, dtype=float)
     corpus = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    slopes = np.zeros(k)
     if not k or corpus <= 0:
-        return []
+        return slopes
     share = np.asarray(targets, dtype=float) / corpus
     tolerance *= max(1 / corpus, share.sum())
-    pushes: list[np.ndarray] = []
-    ((reached, free),) = totals(rows, pushes, [np.zeros(k)], -np.ones(k), least, corpus)
-    widest, plain, idle, rounds = float(np.linalg.eigvalsh(free)[-1]), False, 0, 1
-    while np.abs(reached - share).max() > tolerance:
-        if rounds >= iterations:
-            raise RuntimeError(f"rates not fitted after {rounds} rounds: shares {reached}, targets {share}")
-        lack = reached - share
-        whole = lack / widest if plain else np.linalg.solve(free + 1e-6 * widest * np.eye(k), lack)
-        tries = [size * whole for size in (PLAIN_STEPS if plain else STEPS)]
-        seen, rounds = totals(rows, pushes, tries, lack, least, corpus), rounds + 1
-        losses = [np.square(t - share).sum() for t, _ in seen]
-        best, loss = int(np.argmin(losses)), np.square(lack).sum()
-        gain = loss - losses[best]
-        if gain > 0:
-            pushes.append(tries[best])
-            reached, free = seen[best]
-        idle = idle + 1 if gain <= (1e-9 * np.square(share).sum() if plain else 1e-3 * loss) else 0
-        if gain <= 0 or idle == 3:
-            if plain:
-                said = f"shares of the corpus {reached.tolist()}, targets {share.tolist()}"
-                warnings.warn(f"no rates meet the targets: {said}", stacklevel=2)
+    (now,), rounds = moments(rows, [slopes], least, corpus), 1
+    for pull in PULLS:
+        while True:
+            energy, reached, curve = now
+            lack = reached + pull * slopes - share
+            if np.abs(reached - share).max() <= tolerance:
+                return slopes
+            if np.abs(lack).max() <= tolerance / 1000:
                 break
-            plain, idle = True, 0
-    return pushes
+            move = -np.linalg.solve(curve + pull * np.eye(k), lack)
+            value = energy + pull / 2 * slopes @ slopes - slopes @ share
+            found = None
+            for sizes in (STEPS[:1], STEPS[1:]):
+                if rounds >= iterations:
+                    raise RuntimeError(f"rates not fitted after {rounds} rounds: shares {reached}, targets {share}")
+                tries = [slopes + size * move for size in sizes]
+                seen, rounds = moments(rows, tries, least, corpus), rounds + 1
+                values = [e + pull / 2 * t @ t - t @ share for t, (e, _, _) in zip(tries, seen)]
+                best = int(np.argmin(values))
+                if values[best] < value + 1e-4 * sizes[best] * (lack @ move):
+                    found = tries[best], seen[best]
+                    break
+            if found is None:  # as near as rounding lets it come
+                break
+            slopes, now = found
+    if np.abs(lack).max() > tolerance:
+        raise RuntimeError(f"rates not fitted after {rounds} rounds: shares {reached}, targets {share}")
+    warnings.warn(f"no rates meet the targets: shares of the corpus {reached.tolist()}, targets {share.tolist()}", stacklevel=2)
+    return slopes
 
 
 def mix(
-    df: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float | None = 1.0, fit_rows: int = FIT_ROWS,
+    df: DataFrame, labels: DataFrame, weights: dict[str, float], scale: float = 1.0, fit_rows: int = FIT_ROWS,
     least: dict[str, float] | None = None,
 ) -> DataFrame:
     """``doc_id, n_tokens, domain, posterior, rate, copies`` for every document.
@@ -180,8 +178,8 @@ def mix(
     name among equal ones; ``posterior`` follows the sorted names.
 
     ``least`` bounds the rates of documents by their likeliest domain from below: with 1 they stay once at
-    least. The bounds are part of the fit, so the totals of the output still meet the targets. ``scale`` None is the size
-    that leaves ``ROOM`` above what the bounds force. Shares are expected ones, by the classifier's
+    least. The bounds are part of the fit, so the totals of the output still meet the targets. A target below ``ROOM`` times what
+    the bounds force on a domain is raised to that. Shares are expected ones, by the classifier's
     posteriors, not by labels. Where no rates meet the targets, the nearest totals are taken and a warning gives them.
 
     A null or empty text has no tokens and any rate suits it. With no labels there are no
@@ -193,9 +191,10 @@ def mix(
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() > 0 else share
     lower = np.array([(least or {}).get(d, 0.0) for d in domains])
-    if scale is None:
-        scale = reachable(found, share, lower, corpus) if domains and corpus else 1.0
-    pushes = fit_rates(found, scale * corpus * share, lower)
+    targets = scale * share
+    if lower.any() and corpus:
+        targets = np.maximum(targets, ROOM * forced(found, lower, corpus))
+    slopes = fit_rates(found, targets * corpus, lower)
     k = len(domains)
 
     def rated(batch: pa.RecordBatch) -> dict[str, list]:
@@ -206,7 +205,7 @@ def mix(
             "n_tokens": batch.column(1),
             "domain": [domains[i] for i in best] if k else [None] * batch.num_rows,
             "posterior": batch.column(2),
-            "rate": replay(p, pushes, bounds(p, lower)),
+            "rate": rates_of(p, slopes, bounds(p, lower)),
         }
 
     rates = arrow_rows(

@@ -90,7 +90,7 @@ def test_rates_reach_the_targets_like_plain_projected_gradient(spark):
     tokens = rng.integers(0, 200, size=60).astype(float)
     targets = np.array([0.6, 0.35, 0.05]) * tokens.sum()
     rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "n_tokens long, posterior array<double>")
-    rate = mixing.replay(p, mixing.fit_rates(rows, targets, iterations=120))
+    rate = mixing.rates_of(p, mixing.fit_rates(rows, targets, iterations=120))
     assert (rate >= 0).all()
     best = brute_rates(p, tokens, targets)
     loss = [np.square((r * tokens) @ p - targets).sum() for r in (rate, best)]
@@ -108,7 +108,7 @@ def soft_posteriors(spark):
 def test_production_fit_meets_reachable_targets(spark):
     p, tokens, rows = soft_posteriors(spark)
     share = np.array([0.70, 0.28, 0.02])
-    rate = mixing.replay(p, mixing.fit_rates(rows, share * tokens.sum()))
+    rate = mixing.rates_of(p, mixing.fit_rates(rows, share * tokens.sum()))
     assert (rate >= 0).all()
     assert np.abs((rate * tokens) @ p / tokens.sum() - share).max() <= 2e-4
 
@@ -117,7 +117,7 @@ def test_production_fit_comes_nearest_to_unreachable_targets_and_says_so(spark):
     p, tokens, rows = soft_posteriors(spark)
     targets = np.array([0.05, 0.9, 0.05]) * tokens.sum()
     with pytest.warns(UserWarning, match="no rates meet the targets"):
-        rate = mixing.replay(p, mixing.fit_rates(rows, targets))
+        rate = mixing.rates_of(p, mixing.fit_rates(rows, targets))
     loss = [np.square((r * tokens) @ p - targets).sum() for r in (rate, brute_rates(p, tokens, targets))]
     assert (rate >= 0).all() and loss[0] <= loss[1] + 1e-6 * np.square(targets).sum()
     with pytest.raises(RuntimeError):
@@ -129,15 +129,15 @@ def test_lower_bounds_are_part_of_the_fit(spark):
     least = np.array([1.0, 1.0, 0.0])
     lower = mixing.bounds(p, least)
     share = np.array([0.6, 0.36, 0.04])
-    scale = mixing.reachable(rows, share, least, tokens.sum())
-    assert scale == pytest.approx(1.2 * ((lower * tokens) @ p / tokens.sum() / share).max())
-    targets = scale * share * tokens.sum()
-    rate = mixing.replay(p, mixing.fit_rates(rows, targets, least), lower)
+    forced = mixing.forced(rows, least, tokens.sum())
+    assert forced == pytest.approx((lower * tokens) @ p / tokens.sum())
+    targets = np.maximum(share, 1.2 * forced) * tokens.sum()
+    rate = mixing.rates_of(p, mixing.fit_rates(rows, targets, least), lower)
     assert (rate >= lower).all() and np.abs((rate * tokens) @ p - targets).max() <= 2e-4 * targets.sum()
     # targets below what the bounds force: the nearest totals
     low = 0.5 * tokens.sum() * share
     with pytest.warns(UserWarning, match="no rates meet the targets"):
-        rate = mixing.replay(p, mixing.fit_rates(rows, low, least), lower)
+        rate = mixing.rates_of(p, mixing.fit_rates(rows, low, least), lower)
     loss = [np.square((r * tokens) @ p - low).sum() for r in (rate, brute_rates(p, tokens, low, lower=lower))]
     assert (rate >= lower).all() and loss[0] <= loss[1] + 1e-6 * np.square(low).sum()
 

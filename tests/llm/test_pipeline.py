@@ -58,7 +58,7 @@ def test_mixture_stage_meets_its_targets_and_loses_only_toxic_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     named = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    rates = {r.doc_id: r for r in mixing.mix(docs, named, P.MIXTURE, None, least=P.LEAST).collect()}
+    rates = {r.doc_id: r for r in mixing.mix(docs, named, P.MIXTURE, P.SCALE, least=P.LEAST).collect()}
     got = Counter(r[0] for r in rows(P.STAGES[3][1](spark, docs, sf)))
     assert got == Counter({d: r.copies for d, r in rates.items() if r.copies})
     # the totals of the stage's output, rounded copies and all
