@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from sentrylens.llm import bpe, jaccard, langid, lines, mixing
 from sentrylens.llm.common import staged, table
 
-#: Shares of the domains in the mixture, and the rate that documents of a likeliest domain have at least.
+#: Shares of the domains in the mixture, its size against the documents that reach it, and the rate that
+#: documents of a likeliest domain have at least.
 MIXTURE = {"good": 0.86, "plain": 0.10, "toxic": 0.04}
+SCALE = 1.2
 LEAST = {"good": 1.0, "plain": 1.0}
 
 
@@ -41,10 +43,10 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say. Only those whose likeliest domain is toxic can go
-    altogether; the others' rates are fitted from one up, and the mixture is as large as that needs."""
+    altogether; the others' rates are fitted from one up."""
     labels = table(spark, sf_dir, "labels")
     named = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    found = mixing.mix(docs, named, MIXTURE, scale=None, least=LEAST)
+    found = mixing.mix(docs, named, MIXTURE, SCALE, least=LEAST)
     times = found.select(F.col("doc_id").alias("_id"), F.col("copies").alias("_times")).dropDuplicates(["_id"])
     return (
         docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
