@@ -20,8 +20,8 @@ SAMPLE = (
     "win1_agent_history", "win4_trailing_count", "win9_stage_flags", "win13_rounds", "agg6_purity_bands", "agg10_nmi",
     "agg11_mutual_information_rank", "agg23_class_rate_statistics", "spl1_stratified_split", "spl3_temporal_split",
     "thr1_cost_curve_optimum", "thr4_recall_at_fpr_budget", "mod11_model_comparison_matrix", "cfx1_swap_to_benign_medians",
-    "ctl6_missing_claims", "ctl8_control_matrix",
-    "mod1_boosted_trees_scores", "thr11_roc_auc_per_collection", "prj26_identity_codes",
+    "ctl4_verdict_stability", "ctl6_missing_claims", "ctl8_control_matrix", "e1_training_run", "src2_scenario_from_file_name",
+    "mod1_boosted_stumps_scores", "mod1_boosted_trees_scores", "thr11_roc_auc_per_collection", "prj26_identity_codes",
 )
 
 
