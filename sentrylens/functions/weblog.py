@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sentrylens.functions import constants as C
 from sentrylens.functions.flags import text_or_empty
@@ -29,16 +32,25 @@ def parse_access_line(line: Column, vhost: bool = False) -> Column:
 def char_entropy(text: Column) -> Column:
     """PRJ25: Shannon entropy (bits) of the characters of a text; 0 for empty text.
 
-    -sum(p log2 p) = log2(n) - sum(c log2 c) / n, summed over distinct characters.
+    -sum(p log2 p) = log2(n) - sum(c log2 c) / n, summed over distinct characters, which one
+    pass over the text counts.
     """
-    chars = F.filter(F.split(text_or_empty(text), ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    each = F.transform(
-        F.array_distinct(chars),
-        lambda c: n - F.length(F.replace(text, c, F.lit(""))).cast("double"),
-    )
-    weighted = F.aggregate(each, F.lit(0.0), lambda acc, k: acc + k * F.log2(k))
-    return F.when(n > 0, F.log2(n) - weighted / n).otherwise(0.0)
+    return _entropies(text_or_empty(text))
+
+
+@F.pandas_udf(DoubleType())
+def _entropies(texts: pd.Series) -> pd.Series:
+    return texts.map(_entropy).astype(float)
+
+
+def _entropy(text: str) -> float:
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    n = len(codes)
+    if not n:
+        return 0.0
+    counts = np.bincount(codes) if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1]
+    counts = counts[counts > 0]
+    return float(np.log2(n) - (counts * np.log2(counts)).sum() / n)
 
 
 def extension_class(path: Column) -> Column:
