@@ -464,28 +464,33 @@ def _drained(spark, stream, mode="append"):
 
 #: Rows of a slice of the time range arrive together, some of them in a later slice.
 _SLICES, _LATE, _SHIFT_US = 6, "8 days", 4 * 3_600_000_000
+#: Rows of a file that alerts arrive in.
+_FILE_ROWS = 250_000
 
 
 def _arriving(spark, sf, slices):
-    """A folder that alerts arrive in, slice by slice and out of order, and a last row that moves the watermark on."""
+    """A folder that alerts arrive in, slice by slice and out of order, and a last row that moves the watermark on;
+    and the number of files that hold a slice."""
     rows = V.alerts(spark, sf).select(
         F.col("scenario").cast("string").alias("agent"), "row_id", "us", F.col("level").cast("double").alias("level"),
         "rule_id", F.concat(F.lit("10.0.0."), "k").alias("srcip"), (F.col("auth_failure") > 0).alias("auth"),
         (F.col("kw_scan") > 0).alias("scan"), (F.col("kw_brute") > 0).alias("brute"),
     )
     rows = staged(rows)
-    first, last = rows.agg(F.min("us"), F.max("us")).first()
+    first, last, n = rows.agg(F.min("us"), F.max("us"), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (slices * _FILE_ROWS)))
     path = table_dir(spark)
     arrival = F.least(F.floor((F.col("us") + F.col("row_id") % 5 * _SHIFT_US - (first or 0)) / max(1, ((last or 0) - (first or 0)) // slices + 1)), F.lit(slices - 1))
     for i in range(slices):
-        rows.filter(arrival == i).write.mode("append").parquet(path)
+        rows.filter(arrival == i).repartition(files).write.mode("append").parquet(path)
     end = spark.createDataFrame([("", None, (last or 0) + 400 * 86_400_000_000, 0.0, None, None, None, None, None)], rows.schema)
-    end.write.mode("append").parquet(path)
-    return path, rows.schema
+    end.coalesce(1).write.mode("append").parquet(path)
+    return path, rows.schema, files
 
 
-def _history_streamed(spark, sf, slices, files):
-    path, schema = _arriving(spark, sf, slices)
+def _history_streamed(spark, sf, slices):
+    """A micro-batch takes as many files as hold a slice, so there are as many as slices, whatever the input's size."""
+    path, schema, files = _arriving(spark, sf, slices)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     with history_stream.rocksdb_state(spark):
         out = _drained(spark, history_stream.stream_history(stream, _LATE))
@@ -497,12 +502,12 @@ _STREAMED = V.check_sql(W._history_sql("scenario"), "alerts", numbered=W._NUMBER
 
 @query("str1_streaming_history", _STREAMED)
 def str1(spark, sf):
-    return _history_streamed(spark, sf, 1, 1000)
+    return _history_streamed(spark, sf, 1)
 
 
 @query("str1_streaming_history_in_slices", _STREAMED)
 def str1_slices(spark, sf):
-    return _history_streamed(spark, sf, _SLICES, 1)
+    return _history_streamed(spark, sf, _SLICES)
 
 
 @query(

@@ -1,11 +1,14 @@
 """What a task or a micro-batch takes does not grow with the input."""
 
+import glob
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from sentrylens.functions import weblog
+from sentrylens.plans import q_features
+from sentrylens.session import pin_settings
 
 
 @pytest.mark.parametrize("text", ["", "aaaa", "aabb", "ab\né€", "x\U0001f600\U0001f600y" * 50, "the quick brown fox " * 500])
@@ -15,3 +18,15 @@ def test_entropy_counts_characters_in_one_pass(spark, text):
     got = {r["text"]: r["e"] for r in rows.collect()}
     shares = [text.count(c) / len(text) for c in set(text)]
     assert got[text] == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-9) and got[None] == 0.0
+
+
+def test_a_slice_arrives_in_as_many_files_as_its_rows_need(spark, tmp_path, monkeypatch):
+    pin_settings(spark)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    n = events.count()
+    for rows, files in ((10 * n, 1), (n // 6 + 1, 2)):
+        monkeypatch.setattr(q_features, "_FILE_ROWS", rows)
+        path, schema, per = q_features._arriving(spark, str(tmp_path), 3)
+        assert per == files and len(glob.glob(f"{path.removeprefix('file:')}/part-*")) <= 3 * per + 1
+        assert spark.read.schema(schema).parquet(path).filter("row_id is not null").count() == n
