@@ -12,7 +12,7 @@ a third of the data, so every ordered operator of the library goes through this
 3. each (key, chunk) is reduced to one small state row (map-side combined);
 4. the states are accumulated over the chunks of a key;
 5. the accumulated state enters its chunk as a first row, and an ordinary window over
-   (key, chunk) finishes the job.
+   (key, chunk) finishes the job, dealt to more partitions the more cuts there are.
 
 The driver sees the quantiles only, and the result is the one of the plain window.
 """
@@ -85,6 +85,11 @@ def frame_cuts(
     return chunk_cuts(df.select(times.alias(time), tie), time, tie, target_rows)
 
 
+def cut_parts(df: DataFrame, cuts: Cuts) -> int:
+    """Partitions for a shuffle of a cut input: two for each cut, so that a task's share does not grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (len(cuts.edges) + 1))
+
+
 def _quantile_cuts(df: DataFrame, column: str, chunks: int) -> list[float]:
     value = F.col(column).cast("double")
     probs = [i / chunks for i in range(1, chunks)]
@@ -225,7 +230,8 @@ def running(
     inside = Window.partitionBy(*keys, CHUNK).orderBy(
         ROW_FLAG, *[direction(c) for c in order]
     )
-    out = body.unionByName(carried, allowMissingColumns=True).withColumns(
+    dealt = body.unionByName(carried, allowMissingColumns=True).repartition(cut_parts(df, cuts), *keys, CHUNK)
+    out = dealt.withColumns(
         {
             s.out: over(s, v, upto(inside, s))
             for s, v in zip(specs, values)
@@ -295,6 +301,7 @@ def previous_rows(
     return (
         body.withColumn(ROW_FLAG, F.lit(1))
         .unionByName(carried, allowMissingColumns=True)
+        .repartition(cut_parts(df, cuts), *keys, CHUNK)
         .withColumns(
             {
                 out: F.collect_list("_item").over(frame),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
-from sentrylens.operators.ordered import Cuts, Running, exact_quantiles, frame_cuts, running
+from sentrylens.operators.ordered import Cuts, Running, cut_parts, exact_quantiles, frame_cuts, running
 from sentrylens.session import staged
 
 SECOND = 1_000_000
@@ -379,7 +379,10 @@ def entity_window(
             row_id, "success_after_failure"
         )
     )
-    wide = reduce(lambda a, b: a.join(b, row_id), parts, block)
+    tables = [block, *parts]
+    if cuts.edges:
+        tables = [t.repartition(cut_parts(df, cuts), row_id) for t in tables]
+    wide = reduce(lambda a, b: a.join(b, row_id), tables)
     several = F.col("alert_count") > 1
     return wide.select(
         *keys,

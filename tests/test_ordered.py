@@ -248,3 +248,14 @@ def test_closure_doubles_along_a_long_chain_with_a_cycle(spark, monkeypatch):
     )
     got = {r.node for r in labels.descendants(edges, spark.createDataFrame([(10,)], "node long")).collect()}
     assert got == set(range(10, 5001)) and len(rounds_taken) <= 20
+
+
+def test_a_cut_input_is_dealt_to_more_partitions_the_more_cuts_it_has(spark):
+    _, df = events(spark)
+    cuts = chunk_cuts(df, "us", "id", TINY)
+    want = 2 * (len(cuts.edges) + 1)
+    assert want > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    summed = running(df, ["key"], ["us", "id"], [Running("n", "sum", F.lit(1))], cuts=cuts)
+    before = previous_rows(df, ["key"], ["us", "id"], F.col("us"), 3, "last", cuts=cuts)
+    assert [x.rdd.getNumPartitions() for x in (summed, before)] == [want, want]
+    assert summed.count() == before.count() == df.count()
