@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -28,8 +29,10 @@ ABLATIONS = {
 }
 TREES, DEPTH, BINS = 50, 5, 64
 RATE, SUBSAMPLE = 0.1, 0.8
-#: Fits that run at the same time; each is a distributed job of its own.
+#: Fits that run at the same time, at most; each is a distributed job of its own.
 SIDE_BY_SIDE = 8
+#: Train rows of one task: most, so that what a task holds does not grow with the table, and fewest worth one.
+MOST_ROWS, LEAST_ROWS = 250_000, 10_000
 GRID = T.linear_grid(0.005, 0.995, 199)
 
 
@@ -69,6 +72,11 @@ def row_sample(df: DataFrame, row_id: str, rows: int, seed: int = 42) -> DataFra
     return keyed.filter(up_to_cut(cuts, F.lit(0), "_h", row_id)).drop("_h")
 
 
+def fit_parts(rows: int, cores: int, side: int) -> int:
+    """Tasks that the train rows of one of ``side`` fits are dealt to."""
+    return max(1, ceil(rows / MOST_ROWS), min(ceil(rows / LEAST_ROWS), ceil(cores / side)))
+
+
 def _vector(columns: Sequence[str], fill: Mapping[str, float]) -> Column:
     return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns]))
 
@@ -81,8 +89,13 @@ def fit_many(
     Every train row takes part, unless ``fit_rows`` bounds them. Attack rows weigh benign / attack, the
     cost-sensitive form of upsampling. The vectors of a split are written once for each set of columns; the fits then
     run side by side from driver threads, as Spark ML's own grid searches do. Only models reach the driver.
+
+    A fit keeps its rows in memory for all of its trees, so they are dealt evenly, up to ``MOST_ROWS`` to a task. Few rows are cut no
+    finer than the fits side by side need to fill the cores; fits that fill them alone take turns.
     """
-    fills, tables = {}, {}
+    session = next(iter(trains.values())).sparkSession
+    cores, most = session.sparkContext.defaultParallelism, min(SIDE_BY_SIDE, len(fits))
+    fills, tables, parts = {}, {}, {}
     for split in dict.fromkeys(f.split for f in fits):
         train = trains[split] if fit_rows is None else row_sample(trains[split], row_id, fit_rows)
         mine = [f for f in fits if f.split == split]
@@ -93,7 +106,10 @@ def fit_many(
         kinds = list(dict.fromkeys(f.columns for f in mine))
         vectors = [_vector(c, fills[split]).alias(f"x{i}") for i, c in enumerate(kinds)]
         table = staged(train.select(F.col(y).cast("double").alias("label"), weight.alias("weight"), *vectors))
-        tables |= {(split, c): table.select("label", "weight", F.col(f"x{i}").alias("x")) for i, c in enumerate(kinds)}
+        parts[split] = fit_parts(sum(n.values()), cores, most)
+        tables |= {
+            (split, c): table.select("label", "weight", F.col(f"x{i}").alias("x")).repartition(parts[split]) for i, c in enumerate(kinds)
+        }
 
     def fit(spec: Fit) -> GBTClassificationModel:
         trees = GBTClassifier(
@@ -102,8 +118,7 @@ def fit_many(
         )
         return trees.fit(tables[spec.split, spec.columns])
 
-    session = next(iter(trains.values())).sparkSession
-    with ThreadPoolExecutor(min(SIDE_BY_SIDE, len(fits))) as pool:
+    with ThreadPoolExecutor(min(most, ceil(2 * cores / max(parts.values())))) as pool:
         return list(pool.map(inheritable_thread_target(session)(fit), fits)), fills
 
 

@@ -7,10 +7,36 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylens.functions import weblog
+from sentrylens.operators import models
 from sentrylens.plans import q_features
 from sentrylens.session import pin_settings
 
 
+def test_parts_of_a_fit():
+    assert models.fit_parts(0, 8, 8) == models.fit_parts(500, 8, 1) == 1
+    assert models.fit_parts(480_000, 12, 8) == 2 and models.fit_parts(480_000, 12, 1) == 12
+    assert models.fit_parts(100 * models.MOST_ROWS, 12, 3) == 100
+
+
+def test_train_rows_are_dealt_evenly_to_tasks_of_bounded_size(spark, monkeypatch):
+    seen = []
+
+    class Trees:
+        def __init__(self, **kw):
+            pass
+
+        def fit(self, rows):
+            seen.append(rows.rdd.glom().map(len).collect())
+
+    monkeypatch.setattr(models, "GBTClassifier", Trees)
+    monkeypatch.setattr(models, "MOST_ROWS", 20)
+    train = spark.range(400).coalesce(1).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("y"), F.col("id").alias("a"))
+    fits = [models.Fit("one", ("a",)), models.Fit("two", ("a",), seed=7)]
+    models.fit_many({"split": train}, fits)
+    assert [len(s) for s in seen] == [20, 20]
+    assert all(sum(s) == 400 and max(s) <= 40 for s in seen)
+
+
 @pytest.mark.parametrize("text", ["", "aaaa", "aabb", "ab\né€", "x\U0001f600\U0001f600y" * 50, "the quick brown fox " * 500])
 def test_entropy_counts_characters_in_one_pass(spark, text):
     rows = spark.createDataFrame([(text,), (None,)], "text string").select("text", weblog.char_entropy(F.col("text")).alias("e"))
