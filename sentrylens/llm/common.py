@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sentrylens.session import cut_lineage
+from sentrylens.session import bucketed as _bucketed
+from sentrylens.session import cut_lineage, release
 from sentrylens.session import staged as _staged
 
 __all__ = [
     "arrow_rows",
     "bounded_sample",
+    "bucketed",
     "components",
     "cut_lineage",
     "empty_if_null",
     "mix64",
+    "release",
     "staged",
     "table",
     "utf8",
@@ -38,11 +41,22 @@ def staged(df: DataFrame) -> DataFrame:
     with memory to spare may never do so while an operator of many steps fills the disks.
     """
     out = _staged(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    collect_garbage(df.sparkSession)
+    return out
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``staged``, for a table that joins on ``key`` read without moving it."""
+    out = _bucketed(df, key)
+    collect_garbage(df.sparkSession)
     return out
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

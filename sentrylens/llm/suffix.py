@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylens.llm.common import arrow_rows, mix64, staged
+from sentrylens.llm.common import arrow_rows, bucketed, mix64, release, staged
 
 LENGTH = 200
 #: Bytes hashed for a fingerprint; a power of two below the length.
@@ -112,6 +112,8 @@ def document_keys(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return arrow_rows(docs, rows, "doc_id long, key long, n int")
 
 
+#: Where the strings around shared fingerprints lie, and the digests of their segments.
+PLACES = "doc_id long, key long, digest binary, starts array<int>, width int, anchor int"
 SEGMENTS = "doc_id long, key long, digest binary, starts array<int>, width int, anchor int, segment binary"
 #: Later segments: what lies left and right of the part that all segments of the key share.
 CORED = "doc_id long, key long, digest binary, starts array<int>, width int, left binary, right binary"
@@ -134,8 +136,8 @@ def packed(rows: Iterable[tuple], names: str) -> dict[str, list]:
     return out
 
 
-def first_segments(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
-    """The segments of each document around fingerprints that are shared.
+def first_places(docs: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments of each document around fingerprints that are shared, by digest.
 
     A segment holds all strings of a run of starts with one fingerprint; ``anchor`` is the
     place of the fingerprint in it.
@@ -154,14 +156,33 @@ def first_segments(docs: DataFrame, shared: DataFrame, length: int, gram: int) -
                 lo, hi = np.searchsorted(doc, (d, d + 1))
                 keep = lo + np.flatnonzero(np.isin(keys[lo:hi], batch.column(2)[row + d].values.to_numpy()))
                 for f, n, p, key in zip(first[keep].tolist(), width[keep].tolist(), anchor[keep].tolist(), keys[keep].tolist()):
-                    segment = b[f : f + n + length - 1].tobytes()
-                    yield ids[row + d], key, [f - int(offsets[d])], segment, n, p - f, segment
+                    yield ids[row + d], key, [f - int(offsets[d])], b[f : f + n + length - 1].tobytes(), n, p - f
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         # equal segments of a text are one entry as soon as they are met: a periodic text has very many
-        return packed(found(batch), SEGMENTS)
+        return packed(found(batch), PLACES)
 
-    return arrow_rows(docs.join(wanted, "doc_id").select("doc_id", "text", "keys"), rows, SEGMENTS)
+    return arrow_rows(docs.join(wanted, "doc_id").select("doc_id", "text", "keys"), rows, PLACES)
+
+
+def segments_at(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """The segments that start at ``places`` (``doc_id, key, start, width, anchor, n``), read from the documents.
+
+    Segments that occur more than once (``n``) need no marks any more and lose their document.
+    """
+    place = F.struct("key", "start", "width", "anchor", (F.col("n") == 1).alias("single"))
+    here = places.groupBy("doc_id").agg(F.collect_list(place).alias("here"))
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for doc, text, here in zip(*(c.to_pylist() for c in batch.columns)):
+            data = text.encode("utf-8")
+            for x in here:
+                segment = data[x["start"] : x["start"] + x["width"] + length - 1]
+                yield doc if x["single"] else None, x["key"], [x["start"]], segment, x["width"], x["anchor"], segment
+
+    return arrow_rows(
+        docs.join(here, "doc_id").select("doc_id", "text", "here"), lambda batch: packed(found(batch), SEGMENTS), SEGMENTS
+    )
 
 
 def new_key(*parts: int | bytes) -> int:
@@ -352,27 +373,36 @@ def ordered_groups(groups: DataFrame, length: int, core: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, spans``: for each document its [first, last] runs of repeated starts.
+    """``doc_id, spans``: for each document the first and last starts, in turn, of its runs of repeated starts.
 
     Every string of ``length`` bytes has a fingerprint in it. Only strings whose fingerprint
     occurs again can be repeated; they are gathered, as segments around the fingerprint. Equal
     segments of a key are merged first: all their strings are repeated. Where a key has
-    several segments, they are cut to a few starts each, with what these share as the new
+    several segments, one of each is cut to a few starts, with what these share as the new
     key, which leaves only the borders between equal and different text. There the suffixes of a key's segments are
     ordered together and neighbours compared. A key with too many different segments is cut
-    again (``LEVELS``), until each fits one task.
+    again (``LEVELS``), until each fits one task. Texts are read where they lie; what a level
+    has staged goes when its marks are written.
     """
-    shared = document_keys(docs, length, gram)
+    shared = staged(document_keys(docs, length, gram))
     counts = shared.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
-    segments = staged(first_segments(docs, shared.join(counts, "key").select("doc_id", "key"), length, gram))
+    segments = staged(first_places(docs, shared.join(counts, "key").select("doc_id", "key"), length, gram))
+    release(shared)
     marks = []
     for level, block in enumerate((*LEVELS, None)):
         places = segments.select("doc_id", "key", "digest", "starts", "width")
-        distinct = staged(places.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n")))
+        one = [] if level else [F.first(F.struct("doc_id", F.col("starts")[0].alias("start"), "width", "anchor")).alias("one")]
+        distinct = staged(segments.groupBy("key", "digest").agg(F.sum(F.size("starts")).alias("n"), *one))
         keys = staged(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"))
-        whole = places.join(distinct.filter("n > 1").select("key", "digest"), ["key", "digest"])
+        level_tables = [segments, distinct, keys]
+        # segments without a document occur again: their strings have been marked
+        whole = places.filter("doc_id IS NOT NULL").join(distinct.filter("n > 1").select("key", "digest"), ["key", "digest"])
         marks.append(
-            staged(whole.select("doc_id", F.transform("starts", lambda s: F.array(s, s + F.col("width") - 1)).alias("spans")))
+            staged(
+                whole.select(
+                    "doc_id", F.flatten(F.transform("starts", lambda s: F.array(s, s + F.col("width") - 1))).alias("spans")
+                )
+            )
         )
         if level:
             fits = keys.filter(F.col("kinds") <= GROUP) if block else keys
@@ -381,19 +411,33 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
             one_each = texts.groupBy("key", "digest").agg(F.first(F.struct("left", "right")).alias("_sides"))
             sides = one_each.select("key", "digest", "_sides.left", "_sides.right")
             found = staged(ordered_groups(sides, length, length - LEVELS[level - 1] + 1).withColumnRenamed("spans", "found"))
+            level_tables += [wanted, found]
             marks.append(
-                places.join(found, ["key", "digest"]).select(
-                    "doc_id",
-                    F.flatten(
-                        F.transform("starts", lambda s: F.transform("found", lambda f: F.array(s + f[0], s + f[1])))
-                    ).alias("spans"),
+                staged(
+                    places.filter("doc_id IS NOT NULL")
+                    .join(found, ["key", "digest"])
+                    .select(
+                        "doc_id",
+                        F.flatten(
+                            F.flatten(F.transform("starts", lambda s: F.transform("found", lambda f: F.array(s + f[0], s + f[1]))))
+                        ).alias("spans"),
+                    )
                 )
             )
-        hot = keys.filter(F.col("kinds") > (GROUP if level else 1)).select("key")
-        if block is None or hot.isEmpty():
+        # few keys, as a table of known size: the plan need not move all segments to find theirs
+        hot = staged(keys.filter(F.col("kinds") > (GROUP if level else 1)).select("key"))
+        level_tables.append(hot)
+        last = block is None or hot.isEmpty()
+        if not last:
+            if level:
+                cut = split_cored(segments.join(hot, "key"), LEVELS[level - 1], block)
+            else:
+                there = segments_at(docs, distinct.join(hot, "key").select("key", "n", "one.*"), length)
+                cut = split_segments(there, block, length)
+            segments = staged(cut)
+        release(*level_tables)
+        if last:
             break
-        there = segments.join(hot, "key")
-        segments = staged(split_cored(there, LEVELS[level - 1], block) if level else split_segments(there, block, length))
     out = marks[0]
     for more in marks[1:]:
         out = out.unionByName(more)
@@ -412,7 +456,9 @@ def remove_repeats(
     An empty table gives an empty result; further columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    named = df.select(F.col(id_col).cast("long").alias("_id"), text).withColumn("doc_id", F.xxhash64("_id", "text"))
+    named = bucketed(
+        df.select(F.col(id_col).cast("long").alias("_id"), text).withColumn("doc_id", F.xxhash64("_id", "text")), "doc_id"
+    )
     joined = named.join(repeats(named.select("doc_id", "text"), length, gram), "doc_id", "left").select("_id", "text", "spans")
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
@@ -420,9 +466,9 @@ def remove_repeats(
         for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
             data = text.encode("utf-8")
             edge = np.zeros(len(data) + 1, dtype=np.int32)
-            for first, end in spans or ():
-                edge[first] += 1
-                edge[end + length] -= 1
+            starts = np.array(spans or (), dtype=np.int64)
+            np.add.at(edge, starts[::2], 1)
+            np.add.at(edge, starts[1::2] + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
             n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())

@@ -88,6 +88,29 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` once as a table dealt by ``key`` and read it back.
+
+    For wide rows that several joins on ``key`` read: the joins move only their other side.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, key).write.bucketBy(n, key).format("parquet")
+    dealt.options(path=table_dir(spark), compression="zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog; the files stay as long as those of other staged tables
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that no later step reads."""
+    for df in tables:
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            files, at = files_of(df.sparkSession, path)
+            files.delete(at, True)
+
+
 _TABLES: list[str] = []
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -71,6 +72,29 @@ def test_remove_repeats_of_a_periodic_text_keeps_one_segment_a_phase(make):
     assert once["starts"] == [list(range(1000))] and len(once["segment"]) == 1
 
 
+def test_remove_repeats_moves_texts_once_and_keeps_only_marks(make, spark, monkeypatch):
+    tables, real = [], suffix.staged
+
+    def noted(df):
+        tables.append(real(df))
+        return tables[-1]
+
+    monkeypatch.setattr(suffix, "staged", noted)
+    monkeypatch.setattr(suffix, "GROUP", 2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffix.remove_repeats(make(text_rows(3)), length=40, gram=8)
+        plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+        assert len(got.collect()) == len(text_rows(3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = [x.split("Input", 1)[1].split("\n")[0] for x in plan.split("\n\n") if ") Exchange" in x]
+    assert moved and not any("text" in x for x in moved)
+    there = [df.columns for df in tables if any(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())]
+    assert len(there) < len(tables) and all(c == ["doc_id", "spans"] for c in there)
+
+
 def test_remove_repeats_of_nothing(make):
     assert suffix.remove_repeats(make([]), length=40, gram=8).collect() == []
 
