@@ -8,14 +8,14 @@ import re
 import struct
 import unicodedata
 from array import array
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentrylens.llm.common import arrow_rows
+from sentrylens.llm.common import arrow_rows, kept_by_workers
 
 #: Texts below this code point are cut by a pattern of character lists; all versions of the
 #: Unicode tables agree on these. Other texts are cut by the tokenizers library.
@@ -24,6 +24,8 @@ PLAIN = 0x530
 TRIE_NODES = 250_000
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
+#: Characters of the texts whose words are in memory at a time, if it is more than one text.
+PART_CHARS = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -179,7 +181,18 @@ class Coder:
             return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
         return self.plain_words(text)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. Texts are cut into words a part at a time, since words take many times the memory of texts."""
+        start, chars = 0, 0
+        for end, text in enumerate(texts):
+            if end > start and chars + len(text) > PART_CHARS:
+                yield from self.encode_part(texts[start:end])
+                start, chars = end, 0
+            chars += len(text)
+        if start < len(texts):
+            yield from self.encode_part(texts[start:])
+
+    def encode_part(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.split(t) for t in texts]
         new = set().union(*words) - self.known.keys() - self.special.keys()
         if len(self.known) + len(new) > CACHED_WORDS:
@@ -192,7 +205,7 @@ class Coder:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
+@kept_by_workers
 def coder(path: str) -> Coder:
     return Coder(path)
 
@@ -205,6 +218,7 @@ def bpe_round_trip(
     ``path`` is the vocabulary file, present on every machine. ``keep_ids`` adds the token
     ids themselves. No shuffle: each task meets most words again and again, so it keeps the
     encodings of the words it has seen (a bounded number) and puts only new ones in a trie.
+    A worker keeps its encoder from task to task, until it gets a task of another operator.
 
     A string of a special token in a text is that token. A null text is empty: no tokens, and
     the hash of nothing. Ids may be null or repeat; further columns are ignored; an empty
@@ -214,7 +228,7 @@ def bpe_round_trip(
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         code = coder(path)
-        ids = code.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+        ids = list(code.encode_batch([t or "" for t in batch.column(1).to_pylist()]))
         out = {
             "doc_id": batch.column(0),
             "n_tokens": [len(x) for x in ids],
@@ -223,4 +237,4 @@ def bpe_round_trip(
         }
         return out | ({"ids": [x.astype(np.int32) for x in ids]} if keep_ids else {})
 
-    return arrow_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, schema)
+    return arrow_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), rows, schema, keeps=coder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ __all__ = [
     "components",
     "cut_lineage",
     "empty_if_null",
+    "kept_by_workers",
+    "let_go",
     "mix64",
     "release",
     "staged",
@@ -65,13 +68,39 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 
 
+_KEPT: list[Callable] = []
+
+
+def kept_by_workers(make: Callable) -> Callable:
+    """``make``, whose last result a worker keeps for its next tasks, until ``let_go``."""
+    _KEPT.append(found := lru_cache(maxsize=1)(make))
+    return found
+
+
+def let_go(but: Callable | None = None) -> None:
+    """Drop what earlier tasks keep in this worker, except the results of ``but``.
+
+    Spark hands workers from stage to stage and from job to job, so that what an operator keeps would
+    stand beside the memory of all later ones.
+    """
+    others = [f for f in _KEPT if f is not but and f.cache_info().currsize]
+    for f in others:
+        f.cache_clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def arrow_rows(
     df: DataFrame,
     rows: Callable[[pa.RecordBatch], dict[str, list] | None],
     schema: str | StructType,
+    keeps: Callable | None = None,
 ) -> DataFrame:
     """``df`` through a function from one Arrow batch to columns of ``schema``.
 
+    ``keeps`` is what ``rows`` uses of ``kept_by_workers``; the rest is let go.
+
     Batches are cut by size as well as by row count, so that a run of very long texts does
     not fill a worker.
     """
@@ -83,6 +112,7 @@ def arrow_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        let_go(keeps)
         kinds = to_arrow_schema(spark_schema)
         for batch in batches:
             if batch.num_rows and (out := rows(batch)) is not None:

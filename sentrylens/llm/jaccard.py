@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentrylens.llm.common import arrow_rows, components, mix64, staged
+from sentrylens.llm.common import arrow_rows, components, let_go, mix64, staged
 from sentrylens.llm.suffix import chunks
 
 #: Lists with more documents than this are long: they are not merged across documents.
@@ -183,6 +183,7 @@ def by_key(df: DataFrame, key: str, work: Callable[[list[tuple]], list[tuple]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        let_go()
         kinds = to_arrow_schema(spark_schema)
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         out: list[tuple] = []

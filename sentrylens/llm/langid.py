@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentrylens.llm.common import arrow_rows, bounded_sample, staged
+from sentrylens.llm.common import arrow_rows, bounded_sample, let_go, staged
 
 DIMENSIONS = 4096
 LENGTH_CLASSES = DIMENSIONS.bit_length() + 1
@@ -132,6 +132,7 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
     sample = staged(bounded_sample(learn.filter("trim(text) <> ''"), "lang", fit_rows))
 
     def frequencies(part: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         seen = np.zeros(DIMENSIONS)
         for text in part["text"]:
             seen += gram_counts(text) > 0
@@ -143,6 +144,7 @@ def fit(learn: DataFrame, fit_rows: int = FIT_ROWS, centroids: int = CENTROIDS)
     idf = (np.log((1 + n) / (1 + seen)) + 0.1).astype(np.float32)
 
     def clusters(part: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         part = part.sort_values("doc_id")
         texts = part["text"].tolist()
         centres = clustered(vectors(texts, idf), centroids)
@@ -179,6 +181,7 @@ def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
+        let_go()
         return ~pd.Series(classify(texts.tolist(), model)[2], dtype=bool)
 
     return df.filter(known(F.col(text_col)))

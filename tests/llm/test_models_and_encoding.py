@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sentrylens.llm import ann, bpe, langid, mixing
+from sentrylens.llm import ann, bpe, common, langid, mixing
 from sentrylens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -32,6 +32,40 @@ def test_bpe_equals_the_library(make):
     assert bpe.bpe_round_trip(make([]), path).collect() == []
 
 
+def test_workers_let_go_of_the_encoder_when_another_operator_begins(make, spark):
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    docs = make([(i, f"text {i}") for i in range(64)])
+
+    def held(batch):
+        return {"n": [bpe.coder.cache_info().currsize]}
+
+    spread = docs.repartition(32)
+    for _ in range(2):
+        assert bpe.bpe_round_trip(spread, path).count() == 64
+        left = [r.n for r in common.arrow_rows(spread.select("doc_id"), held, "n long").collect()]
+        assert left and set(left) == {0}
+        assert bpe.bpe_round_trip(spread, path).count() == 64
+        kept = common.arrow_rows(spread.select("doc_id"), held, "n long", keeps=bpe.coder).collect()
+        assert any(r.n for r in kept)
+
+
+def test_words_of_a_batch_are_in_memory_a_part_at_a_time(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    code, library, parts = bpe.Coder(path), Tokenizer.from_file(path), []
+    texts = ["one two three", "", "x" * 50, "four five", "six " * 30, "", "seven"]
+    whole = code.encode_part
+    monkeypatch.setattr(bpe, "PART_CHARS", 20)
+    monkeypatch.setattr(code, "encode_part", lambda part: parts.append(part) or whole(part))
+    got = [x.tolist() for x in code.encode_batch(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(parts, []) == texts and all(sum(map(len, p)) <= 20 or len(p) == 1 for p in parts)
+    assert list(code.encode_batch([])) == []
+
+
 def test_language_id_on_held_out_documents(spark):
     got = QUERIES["op9_language_id"](spark, SF).toPandas().set_index("doc_id")
     true = duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").df().set_index("doc_id").lang
