@@ -8,7 +8,7 @@ import re
 import struct
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,10 @@ PLAIN = 0x530
 TRIE_NODES = 250_000
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 400_000
+RECENT_BITS = 19
+#: Words of up to this many bytes are settled together, a block of words and one byte of all of them at a time.
+SHORT_BYTES = 64
+BLOCK_WORDS = 1 << 14
 #: Characters of the texts whose words are in memory at a time, if it is more than one text.
 PART_CHARS = 1 << 18
 
@@ -47,6 +51,29 @@ def words_pattern() -> re.Pattern:
     )
 
 
+class Recent:
+    """The last results of a function of a key, looked up for many keys at a time.
+
+    Each key has one slot, which the next key of the same slot takes over.
+    """
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def get(self, keys: np.ndarray, find: Callable[[int], int]) -> np.ndarray:
+        slots = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+        out = self.values[slots]
+        if len(lost := np.flatnonzero(self.keys[slots] != keys)):
+            new, place = np.unique(keys[lost], return_inverse=True)
+            found = np.fromiter(map(find, new.tolist()), np.int32, len(new))
+            out[lost] = found = found[place]
+            # one entry for each slot, so that keys and values stay together
+            at, one = np.unique(slots[lost], return_index=True)
+            self.keys[at], self.values[at] = keys[lost[one]], found[one]
+        return out
+
+
 class Coder:
     """Encoder and decoder of one vocabulary file.
 
@@ -74,8 +101,10 @@ class Coder:
         self.other = re.compile(f"[^\0-{chr(PLAIN - 1)}]").search
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {t: struct.pack("<I", i) for t, i in self.special.items()}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.recent_moves, self.recent_pairs = Recent(RECENT_BITS), Recent(RECENT_BITS)
         whole = {i for t, i in self.ids.items() if self.merged(t) == [i]}
         self.endings = {t: i for t, i in self.ids.items() if i in whole}
         self.automaton()
@@ -121,6 +150,9 @@ class Coder:
                 self.fail[state] = self.move(self.fail[at], b) if at else 0
                 self.ends[state] = ((own[state],) if own[state] else ()) + self.ends[self.fail[state]]
                 order.append(state)
+        flat = [e for found in self.ends for e in found]
+        self.end_tokens, self.end_lengths = np.array(flat, np.int64).reshape(-1, 2).T.copy()
+        self.first_end = np.cumsum([0, *map(len, self.ends)])
 
     def move(self, state: int, b: int) -> int:
         """The state after one more byte; found once, then remembered."""
@@ -154,23 +186,77 @@ class Coder:
         made = self.child[node << 8 | b] = len(self.last) - 1
         return made
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words. In sorted order they walk the trie depth first."""
-        out: dict[str, list[int]] = {}
-        for word in sorted(words):
-            if len(self.last) > TRIE_NODES:
-                self.clear_trie()
-            child, last, before = self.child, self.last, self.before
-            node, path = 0, [0]
-            for b in word.encode("utf-8"):
-                node = child.get(node << 8 | b) or self.grow(node, b, path)
-                path.append(node)
-            ids = []
-            while node:
-                ids.append(last[node])
-                node = before[node]
-            out[word] = ids[::-1]
-        return out
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Encodings of distinct words: ids as little-endian unsigned 32-bit integers. Words are taken in sorted order."""
+        coded = {w: w.encode("utf-8") for w in sorted(words)}
+        short = [w for w, text in coded.items() if len(text) <= SHORT_BYTES]
+        out: dict[str, bytes] = {}
+        for i in range(0, len(short), BLOCK_WORDS):
+            block = short[i : i + BLOCK_WORDS]
+            out |= zip(block, self.walk_together([coded[w] for w in block]))
+        return out | {w: self.walk(text) for w, text in coded.items() if len(text) > SHORT_BYTES}
+
+    def walk_together(self, words: list[bytes]) -> Iterator[bytes]:
+        """Encodings of sorted words by a trie of their own, whose nodes are made a depth at a time.
+
+        Words of one prefix stand side by side, so a new node begins where the node above or the byte changes.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        flat, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        depth, nodes = int(lengths.max()), 1
+        path = np.zeros((depth + 1, len(words)), np.int32)
+        state, last, before = (np.zeros(len(flat) + 1, np.int64) for _ in range(3))
+        last[0] = -1
+        at = np.arange(len(words))
+        for d in range(1, depth + 1):
+            at = at[lengths[at] >= d]
+            keys = path[d - 1, at].astype(np.int64) << 8 | flat[starts[at] + (d - 1)]
+            fresh = np.append(True, keys[1:] != keys[:-1])
+            path[d, at] = nodes - 1 + np.cumsum(fresh)
+            keys, word = keys[fresh], at[fresh]
+            state[nodes : nodes + len(word)] = now = self.moved(state[keys >> 8] << 8 | keys & 255)
+            node, turn, stop = np.arange(nodes, nodes + len(word)), self.first_end[now], self.first_end[now + 1]
+            nodes += len(word)
+            while len(node):
+                if (turn == stop).any():
+                    raise ValueError("the vocabulary has no encoding of this word")
+                token, up = self.end_tokens[turn], path[d - self.end_lengths[turn], word]
+                ok = up == 0
+                rest = np.flatnonzero(~ok)
+                ok[rest] = self.fit(last[up[rest]], token[rest])
+                last[node[ok]], before[node[ok]] = token[ok], up[ok]
+                node, word, turn, stop = node[~ok], word[~ok], turn[~ok] + 1, stop[~ok]
+        columns, at = [], path[lengths, np.arange(len(words))]
+        while at.any():
+            columns.append(last[at])
+            at = before[at]
+        grid = np.array(columns[::-1]).T
+        ids = grid[grid >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum((grid >= 0).sum(axis=1))).tolist()
+        return (ids[a:b] for a, b in zip([0, *ends], ends))
+
+    def moved(self, keys: np.ndarray) -> np.ndarray:
+        """``move`` of many states and bytes, as keys of ``moves``."""
+        return self.recent_moves.get(keys, lambda k: self.moves[k] if k in self.moves else self.move(k >> 8, k & 255))
+
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``follows`` of many pairs."""
+        return self.recent_pairs.get(a << 32 | b, lambda k: self.pairs[k] if k in self.pairs else self.follows(k >> 32, k & 0xFFFFFFFF)) > 0
+
+    def walk(self, word: bytes) -> bytes:
+        """Encoding of a long word, byte by byte, by a trie that is kept for the next ones."""
+        if len(self.last) > TRIE_NODES:
+            self.clear_trie()
+        child, last, before = self.child, self.last, self.before
+        node, path = 0, [0]
+        for b in word:
+            node = child.get(node << 8 | b) or self.grow(node, b, path)
+            path.append(node)
+        ids = []
+        while node:
+            ids.append(last[node])
+            node = before[node]
+        return struct.pack(f"<{len(ids)}I", *ids[::-1])
 
     def split(self, text: str) -> list[str]:
         """The words of a text, special tokens being words of their own."""
@@ -194,13 +280,25 @@ class Coder:
 
     def encode_part(self, texts: list[str]) -> list[np.ndarray]:
         words = [self.split(t) for t in texts]
-        new = set().union(*words) - self.known.keys() - self.special.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, set().union(*words) - self.special.keys()
-        fresh = self.encode_words(list(new)) | {t: [i] for t, i in self.special.items()}
-        self.known |= {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in fresh.items()}
+        self.learn(set().union(*words))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype="<u4") for ws in words]
 
+    def learn(self, words: set[str]) -> None:
+        """Put ``words`` among the known ones.
+
+        Known words are of two ages. When the younger are too many, they become the older ones, and those are
+        forgotten which no text had in the meantime: frequent words stay known, however many rare ones pass by.
+        The words of a text that has too many by itself are all forgotten after it.
+        """
+        half = CACHED_WORDS // 2
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > half:
+            self.older, self.known = self.known if len(self.known) <= half else {}, {t: struct.pack("<I", i) for t, i in self.special.items()}
+            new = [w for w in words if w not in self.known]
+        met = {w: self.older[w] for w in new if w in self.older}
+        self.known |= met
+        self.known |= self.encode_words([w for w in new if w not in met])
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 

@@ -66,6 +66,46 @@ def test_words_of_a_batch_are_in_memory_a_part_at_a_time(monkeypatch):
     assert list(code.encode_batch([])) == []
 
 
+def test_frequent_words_are_encoded_once_however_many_rare_ones_pass_by(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    code, library, asked = bpe.Coder(path), Tokenizer.from_file(path), Counter()
+    encode = code.encode_words
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 40)
+    monkeypatch.setattr(code, "encode_words", lambda words: asked.update(words) or encode(words))
+    for i in range(60):
+        text = "often met" + "".join(f" rare{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(12))
+        (got,) = code.encode_batch([text])
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert asked["often"] == asked[" met"] == 1
+    assert len(asked) == 2 + 60 * 12 and len(code.known) + len(code.older) <= 40 + 2 * len(code.special)
+    for text in (" ".join(f"w{i}x{i}" for i in range(90)), "often met"):
+        (got,) = code.encode_batch([text])
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(code.known) + len(code.older) <= 40
+
+
+@pytest.mark.parametrize("short, block, bits", [(64, 1 << 14, 19), (9, 3, 1), (4, 1, 2)])
+def test_words_settled_together_equal_the_library(monkeypatch, short, block, bits):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    for name, value in {"SHORT_BYTES": short, "BLOCK_WORDS": block, "RECENT_BITS": bits}.items():
+        monkeypatch.setattr(bpe, name, value)
+    code, library = bpe.Coder(path), Tokenizer.from_file(path)
+    draw = np.random.default_rng(7)
+    texts = ["".join(draw.choice([*"aeinorst -'29", "th", "ing", " the", "é", "ж", "\n"], n)) for n in (1, 30, 400, 2000)]
+    texts += ["a" * n for n in (1, 63, 64, 65, 300)] + ["\U0001f642\u65e5\u672c\u03a9\xe9" * 9, "b ba bab baba abab <|endoftext|>b", ""]
+    got = [x.tolist() for x in code.encode_batch(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    words = sorted({w for t in texts for w in code.split(t)} - code.special.keys())
+    grown = code.encode_words(words)
+    assert grown == {w: code.walk(w.encode()) for w in words}
+
+
 def test_language_id_on_held_out_documents(spark):
     got = QUERIES["op9_language_id"](spark, SF).toPandas().set_index("doc_id")
     true = duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").df().set_index("doc_id").lang
