@@ -464,8 +464,8 @@ def _drained(spark, stream, mode="append"):
 
 #: Rows of a slice of the time range arrive together, some of them in a later slice.
 _SLICES, _LATE, _SHIFT_US = 6, "8 days", 4 * 3_600_000_000
-#: Rows of a file that alerts arrive in.
-_FILE_ROWS = 250_000
+#: Rows of a file that alerts arrive in, and of all alerts of a group of agents that share state.
+_FILE_ROWS, _GROUP_ROWS, _LEAST_GROUPS = 250_000, 10_000, 64
 
 
 def _arriving(spark, sf, slices):
@@ -493,7 +493,7 @@ def _history_streamed(spark, sf, slices):
     path, schema, files = _arriving(spark, sf, slices)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     with history_stream.rocksdb_state(spark):
-        out = _drained(spark, history_stream.stream_history(stream, _LATE))
+        out = _drained(spark, history_stream.stream_history(stream, _LATE, groups=max(_LEAST_GROUPS, slices * files * _FILE_ROWS // _GROUP_ROWS)))
     return out.select("row_id", *[F.round(c, 6).alias(c) for c in history_stream.FEATURES])
 
 

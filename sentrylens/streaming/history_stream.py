@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,9 +22,14 @@ FEATURES = (
     "rule_diversity_10min", "time_since_last_high", "scan_preceded", "brute_preceded",
 )
 OUTPUT_SCHEMA = "agent string, row_id long, us long, " + ", ".join(f"{f} double" for f in FEATURES)
-BUFFER_SCHEMA = (
-    "us long, level double, rule_id string, srcip string, auth boolean, scan boolean, brute boolean"
+#: What waits, and what an agent's history holds: ``timed`` says that a row of the agent had a time.
+WAITING = pa.schema(
+    [("agent", pa.string()), ("row_id", pa.int64()), ("us", pa.int64()), ("level", pa.float64()), ("rule_id", pa.string()),
+     ("srcip", pa.string()), ("auth", pa.bool_()), ("scan", pa.bool_()), ("brute", pa.bool_())]
 )
+BUFFER = WAITING.remove(1).append(pa.field("timed", pa.bool_()))
+#: Rows of a state value, and groups of agents unless the caller has another number.
+PACK_ROWS, GROUPS = 50_000, 256
 
 
 @contextmanager
@@ -49,8 +55,14 @@ def _first_seen(codes: np.ndarray, counted: np.ndarray) -> np.ndarray:
     return out
 
 
-def buffer_features(rows: pd.DataFrame, start: int) -> np.ndarray:
-    """The eight history features of the rows from ``start`` on, each from the twenty rows before it."""
+def buffer_features(rows: pd.DataFrame, start: int | np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+    """The eight history features of some rows, each from the twenty rows before it.
+
+    ``start``: the first of these rows, or a mask of them. ``begins``: the place where each row's history begins, for the rows
+    of several agents behind one another.
+    """
+    begins = np.zeros(len(rows), dtype=np.int64) if begins is None else begins
+    wanted = np.arange(start, len(rows)) if isinstance(start, int) else np.flatnonzero(start)
     known = rows["us"].notna().to_numpy()
     us = rows["us"].where(known, 0).to_numpy(dtype=np.int64)
     level = rows["level"].to_numpy(dtype=float)
@@ -58,11 +70,11 @@ def buffer_features(rows: pd.DataFrame, start: int) -> np.ndarray:
     src = np.where(rows["srcip"].eq("").to_numpy(), -1, src)
     auth, scan, brute = (rows[c].eq(True).to_numpy(dtype=bool) for c in ("auth", "scan", "brute"))
     lag = np.arange(1, C.HISTORY_ROWS + 1)
-    out = np.zeros((len(rows) - start, len(FEATURES)))
-    for lo in range(start, len(rows), 20_000):
-        here = np.arange(lo, min(lo + 20_000, len(rows)))
+    out = np.zeros((len(wanted), len(FEATURES)))
+    for lo in range(0, len(wanted), 20_000):
+        here = wanted[lo : lo + 20_000]
         at = here[:, None] - lag
-        there = at >= 0
+        there = at >= begins[here][:, None]
         at = np.maximum(at, 0)
         age = us[here][:, None] - us[at]
         past = there & known[at] & (age >= 0)
@@ -82,14 +94,15 @@ def buffer_features(rows: pd.DataFrame, start: int) -> np.ndarray:
         ).astype(float)
         nothing = ~known[here] | (n == 0)
         block[nothing] = [0.0, 0.0, 0.0, 0.0, 0.0, C.NO_RECENT_HIGH, 0.0, 0.0]
-        out[here - start] = block
+        out[lo : lo + len(here)] = block
     return out
 
 
 class AgentBuffer(StatefulProcessor):
-    """STR1: an agent's alerts wait until the watermark has passed them, then leave in event order.
+    """STR1: the alerts of a group of agents wait until the watermark has passed them, then leave in event order.
 
-    State: the alerts that wait, the last twenty that left, and a timer for the earliest that waits.
+    State, as packed tables (a call for thousands of rows, not one for each agent): the alerts that wait, the last twenty
+    of each agent that left, and a timer for the earliest that waits.
     """
 
     def __init__(self, forget_ms: int | None = None):
@@ -97,35 +110,32 @@ class AgentBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._buffer = handle.getListState("buffer", BUFFER_SCHEMA)
-        self._waiting = handle.getListState("waiting", "row_id long, " + BUFFER_SCHEMA)
+        self._buffer = handle.getListState("buffer", "packed binary")
+        self._waiting = handle.getListState("waiting", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
+        new = pd.concat(list(rows), ignore_index=True)[list(INPUT)]
         timed = new[new["us"].notna()]
         if len(timed):
-            self._waiting.appendList([_state_row(r) for r in timed[list(INPUT[1:])].itertuples(index=False)])
+            self._waiting.appendList(_packed(timed, WAITING))
             self._wake(int(timed["us"].min()))
         untimed = new[new["us"].isna()].sort_values("row_id", kind="stable")
         if len(untimed):
-            yield self._out(key, untimed)
+            yield self._out(untimed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame([tuple(r) for r in self._waiting.get()], columns=list(INPUT[1:]))
-        due = held["us"].astype("int64") // 1000 < now
+        held = _unpacked(self._waiting.get(), WAITING)
+        due = (held["us"] // 1000 < now).to_numpy()
         left = held[~due]
         if due.any():
-            self._waiting.put([_state_row(r) for r in left.itertuples(index=False)]) if len(left) else self._waiting.clear()
-            yield self._out(key, held[due].sort_values(["us", "row_id"], kind="stable"))
-        if len(left):  # the timer that fired is still listed, and goes by itself
-            self._handle.registerTimer(int(left["us"].min()) // 1000 + 1)
-        elif self.forget_ms is not None:  # free the state of an agent that stays away
-            last = max((r[0] for r in self._buffer.get() if r[0] is not None), default=0) // 1000 + 1
-            if last + self.forget_ms <= now:
-                self._buffer.clear()
-            else:
-                self._handle.registerTimer(last + self.forget_ms)
+            self._waiting.put(_packed(left, WAITING)) if len(left) else self._waiting.clear()
+            yield self._out(held[due].sort_values(["us", "row_id"], kind="stable"))
+        wake = [int(left["us"].min()) // 1000 + 1] if len(left) else []  # the timer that fired is still listed, and goes by itself
+        if self.forget_ms is not None:
+            wake += self._forget(now, left["agent"])
+        if wake:
+            self._handle.registerTimer(min(wake))
 
     def _wake(self, us: int) -> None:
         """A timer that fires once the watermark is beyond the earliest alert that waits."""
@@ -133,45 +143,70 @@ class AgentBuffer(StatefulProcessor):
         if not any(t <= at for t in self._handle.listTimers()):
             self._handle.registerTimer(at)
 
-    def _out(self, key, new: pd.DataFrame) -> pd.DataFrame:
-        """Features of alerts in order; the last twenty become the history of the next ones."""
-        held = pd.DataFrame([tuple(r) for r in self._buffer.get()], columns=list(INPUT[2:]), dtype=object)
-        blocks = []
-        for anew, part in self._visits(held, new):
-            before = held.iloc[:0] if anew else held
-            every = pd.concat([before, part[list(INPUT[2:])].astype(object)], ignore_index=True)
-            every["level"] = every["level"].astype(float)
-            blocks.append(buffer_features(every, len(before)))
-            held = every.tail(C.HISTORY_ROWS)
-        result = pd.DataFrame(np.concatenate(blocks), columns=list(FEATURES))
-        result.insert(0, "us", new["us"].astype("float64" if new["us"].isna().any() else "int64").to_numpy())
-        result.insert(0, "row_id", new["row_id"].to_numpy())
-        result.insert(0, "agent", np.full(len(new), key[0], dtype=object))
-        self._buffer.put([_state_row(r, 0) for r in held.itertuples(index=False)])
-        return result
-
-    def _visits(self, held: pd.DataFrame, new: pd.DataFrame) -> Iterator[tuple[bool, pd.DataFrame]]:
-        """The alerts between silences of ``forget_ms``, and whether such a silence is in front of them."""
-        if self.forget_ms is None or new["us"].isna().any():
-            yield False, new
-            return
-        times = new["us"].to_numpy(dtype=np.int64)
-        last = held["us"].dropna().max() if held["us"].notna().any() else times[0]
-        anew = np.diff(np.r_[last, times]) >= self.forget_ms * 1000
-        cuts = np.unique(np.r_[0, np.flatnonzero(anew), len(times)])
-        for i, j in zip(cuts, cuts[1:]):
-            yield bool(anew[i]), new.iloc[i:j]
+    def _forget(self, now: int, waiting: pd.Series) -> list[int]:
+        """Free the state of agents that stay away; the times at which the next of the others is to go.
+
+        An agent goes when its history is older than the silence and nothing of it waits; one that never had a time stays.
+        """
+        held = _unpacked(self._buffer.get(), BUFFER)
+        ends = held.groupby("agent", dropna=False)["us"].transform("max").fillna(0).astype("int64") // 1000 + 1 + self.forget_ms
+        idle = held["timed"] & ~held["agent"].isin(waiting)
+        gone = idle & (ends <= now)
+        if gone.any():
+            self._buffer.put(_packed(held[~gone], BUFFER)) if not gone.all() else self._buffer.clear()
+        rest = ends[idle & ~gone]
+        return [int(rest.min())] if len(rest) else []
+
+    def _out(self, new: pd.DataFrame) -> pd.DataFrame:
+        """Features of alerts in order; the last twenty of each agent become the history of its next ones."""
+        held = _unpacked(self._buffer.get(), BUFFER)
+        every = pd.concat([held.assign(fresh=False, row_id=0), new.assign(fresh=True, timed=new["us"].notna())], ignore_index=True)
+        agent = pd.factorize(every["agent"], use_na_sentinel=False)[0]
+        order = np.argsort(agent, kind="stable")  # of an agent, the history comes first
+        every, agent = every.iloc[order].reset_index(drop=True), agent[order]
+        fresh = every["fresh"].to_numpy(dtype=bool)
+        starts = np.r_[True, agent[1:] != agent[:-1]]
+        timed = pd.Series(every["timed"].to_numpy(dtype=bool)).groupby(agent).transform("any").to_numpy()
+        starts |= self._visits(every["us"], agent, fresh)
+        begins = np.maximum.accumulate(np.where(starts, np.arange(len(every)), 0))
+        features = buffer_features(every, fresh, begins)
+        ends = np.r_[agent[1:] != agent[:-1], True]
+        end = np.flatnonzero(ends)[agent]  # codes are in order of place, without gaps
+        kept = (np.arange(len(every)) >= begins[end]) & (end - np.arange(len(every)) < C.HISTORY_ROWS)
+        self._buffer.put(_packed(every.assign(timed=timed)[kept], BUFFER))
+        result = every.loc[fresh, ["agent", "row_id", "us"]].reset_index(drop=True)
+        result["us"] = result["us"].astype("float64" if new["us"].isna().any() else "int64")
+        return pd.concat([result, pd.DataFrame(features, columns=list(FEATURES))], axis=1)
+
+    def _visits(self, us: pd.Series, agent: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """The alerts that come after a silence of ``forget_ms``."""
+        if self.forget_ms is None or us[fresh].isna().any():
+            return np.zeros(len(us), dtype=bool)
+        before = us.groupby(agent).cummax().groupby(agent).ffill().groupby(agent).shift()  # the latest so far
+        return fresh & (us - before >= self.forget_ms * 1000).to_numpy(dtype=bool)
 
     def close(self) -> None:
         pass
 
 
-def _state_row(row: tuple, ids: int = 1) -> tuple:
-    kinds = (*[int] * (ids + 1), float, str, str, bool, bool, bool)  # a time is a float beside a missing one
-    return tuple(None if pd.isna(v) else kind(v) for kind, v in zip(kinds, row))
+def _packed(rows: pd.DataFrame, schema: pa.Schema) -> list[tuple[bytes]]:
+    """Rows as state values, each a compressed table of up to ``PACK_ROWS`` rows."""
+    table = pa.Table.from_pandas(rows, schema, preserve_index=False)
+    out = []
+    for lo in range(0, len(table), PACK_ROWS):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+            file.write_table(table.slice(lo, PACK_ROWS))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(values: Iterator[tuple], schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(v[0])).read_all() for v in values]
+    return (pa.concat_tables(tables) if tables else schema.empty_table()).to_pandas()
 
 
-def stream_history(alerts: DataFrame, late: str = "1 hour", forget_days: int | None = None) -> DataFrame:
+def stream_history(alerts: DataFrame, late: str = "1 hour", forget_days: int | None = None, groups: int = GROUPS) -> DataFrame:
     """STR1: history features on a stream of ``INPUT`` columns, in event time.
 
     An alert leaves when the watermark (the latest time seen less ``late``) has passed it, after all earlier ones of
@@ -180,12 +215,15 @@ def stream_history(alerts: DataFrame, late: str = "1 hour", forget_days: int | N
     by Spark and counted in the progress of the query (``numRowsDroppedByWatermark``); so are times up to 1970, where the watermark starts. Rows without a time cannot
     wait: they leave at once with the default features and enter the history where they arrive.
 
-    State is at most twenty alerts of an agent plus those within ``late``; a task holds one agent's alerts
-    between two watermarks. With ``forget_days`` an agent that was silent for so long starts anew, and
-    a timer frees its state. Needs the RocksDB state store.
+    State is at most twenty alerts of an agent plus those within ``late``. Agents share the state of one of ``groups`` groups,
+    by hash, since a call to the state store costs more than the features of an alert; a task holds one group's alerts
+    between two watermarks, so large inputs want more groups (a stream goes on with the number that it began with).
+    With ``forget_days`` an agent that was silent for so long starts anew, and a timer frees its state. Needs the RocksDB
+    state store.
     """
     timed = alerts.select(*INPUT).withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", late)
-    return timed.groupBy("agent").transformWithStateInPandas(
+    grouped = timed.withColumn("_group", F.pmod(F.xxhash64("agent"), F.lit(groups))).groupBy("_group")
+    return grouped.transformWithStateInPandas(
         statefulProcessor=AgentBuffer(None if forget_days is None else forget_days * 86_400_000),
         outputStructType=OUTPUT_SCHEMA,
         outputMode="Append",

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrylens.functions import weblog
-from sentrylens.operators import models
+from sentrylens.operators import history, models
 from sentrylens.plans import q_features
 from sentrylens.session import pin_settings
+from sentrylens.streaming import history_stream
 
 
 def test_parts_of_a_fit():
@@ -56,3 +57,27 @@ def test_a_slice_arrives_in_as_many_files_as_its_rows_need(spark, tmp_path, monk
         path, schema, per = q_features._arriving(spark, str(tmp_path), 3)
         assert per == files and len(glob.glob(f"{path.removeprefix('file:')}/part-*")) <= 3 * per + 1
         assert spark.read.schema(schema).parquet(path).filter("row_id is not null").count() == n
+
+
+def test_streaming_agents_share_the_state_of_their_group(spark, tmp_path):
+    rows = [
+        (None if i % 40 == 7 else f"a{i % 40}", i, 1_000_000_000_000_000 + i // 3 * 30_000_000, float(i % 13), f"r{i % 4}", f"ip{i % 5}", i % 2 == 0, i % 7 == 0, i % 5 == 0)
+        for i in range(1200)
+    ]
+    df = spark.createDataFrame(rows, "agent string, row_id long, us long, level double, rule_id string, srcip string, auth boolean, scan boolean, brute boolean")
+    end = df.limit(1).withColumns({"agent": F.lit("end"), "us": F.lit(4_000_000_000_000_000)})
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (df.filter("row_id % 2 = 0"), df.filter("row_id % 2 = 1"), end):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    with history_stream.rocksdb_state(spark):
+        run = (
+            history_stream.stream_history(stream, "30 days", groups=4).writeStream.format("parquet")
+            .option("checkpointLocation", out + "_log").trigger(availableNow=True).start(out)
+        )
+        run.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators) <= 50  # 41 agents held thirty rows each
+    item = history.history_item(*[F.col(c) for c in ("us", "level", "rule_id", "srcip", "auth", "scan", "brute")])
+    want = history.agent_history(df, ["agent"], ["us", "row_id"], "us", item).select("agent", "row_id", "us", *history_stream.FEATURES)
+    got = spark.read.schema(history_stream.OUTPUT_SCHEMA).parquet(out)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
