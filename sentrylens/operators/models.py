@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sentrylens.functions import constants as C
 from sentrylens.functions import stats
+from sentrylens.operators import boosting
 from sentrylens.operators import thresholds as T
 from sentrylens.operators.audit import stacked
 from sentrylens.operators.ordered import exact_quantiles
@@ -77,13 +78,22 @@ def fit_parts(rows: int, cores: int, side: int) -> int:
     return max(1, ceil(rows / MOST_ROWS), min(ceil(rows / LEAST_ROWS), ceil(cores / side)))
 
 
+def _value(column: str, fill: Mapping[str, float]) -> Column:
+    return F.coalesce(F.col(column).cast("double"), F.lit(fill[column]))
+
+
 def _vector(columns: Sequence[str], fill: Mapping[str, float]) -> Column:
-    return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in columns]))
+    return array_to_vector(F.array(*[_value(c, fill) for c in columns]))
+
+
+def _alike(fits: Sequence[Fit]) -> bool:
+    """Whether fits are so many that they share their passes, and of one size."""
+    return len(fits) > SIDE_BY_SIDE and len({(f.trees, f.depth, f.bins) for f in fits}) == 1 and fits[0].bins <= 255
 
 
 def fit_many(
     trains: Mapping[str, DataFrame], fits: Sequence[Fit], y: str = "y", row_id: str = "row_id", fit_rows: int | None = None
-) -> tuple[list[GBTClassificationModel], dict[str, dict]]:
+) -> tuple[list[GBTClassificationModel] | list[boosting.Boosted], dict[str, dict]]:
     """MOD1, MOD5: one model for each fit, and the fill values of each split.
 
     Every train row takes part, unless ``fit_rows`` bounds them. Attack rows weigh benign / attack, the
@@ -92,17 +102,24 @@ def fit_many(
 
     A fit keeps its rows in memory for all of its trees, so they are dealt evenly, up to ``MOST_ROWS`` to a task. Few rows are cut no
     finer than the fits side by side need to fill the cores; fits that fill them alone take turns.
+
+    More than ``SIDE_BY_SIDE`` fits of one size grow together, a level of all trees in one pass (see ``boosting``).
     """
     session = next(iter(trains.values())).sparkSession
     cores, most = session.sparkContext.defaultParallelism, min(SIDE_BY_SIDE, len(fits))
-    fills, tables, parts = {}, {}, {}
+    fills, tables, parts, weights, together = {}, {}, {}, {}, _alike(fits)
     for split in dict.fromkeys(f.split for f in fits):
         train = trains[split] if fit_rows is None else row_sample(trains[split], row_id, fit_rows)
         mine = [f for f in fits if f.split == split]
         every = tuple(dict.fromkeys(c for f in mine for c in f.columns))
         fills[split] = fill_values(train, every)
         n = {r["y"]: r["n"] for r in train.groupBy(F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        weight = F.when(F.col(y) == 1, n.get(0, 0) / n[1] if n.get(0) and n.get(1) else 1.0).otherwise(1.0)
+        weights[split] = (1.0, n.get(0, 0) / n[1] if n.get(0) and n.get(1) else 1.0)
+        if together:
+            parts[split] = fit_parts(sum(n.values()), cores, len({f.split for f in fits}))
+            tables[split] = train
+            continue
+        weight = F.when(F.col(y) == 1, weights[split][1]).otherwise(1.0)
         kinds = list(dict.fromkeys(f.columns for f in mine))
         vectors = [_vector(c, fills[split]).alias(f"x{i}") for i, c in enumerate(kinds)]
         table = staged(train.select(F.col(y).cast("double").alias("label"), weight.alias("weight"), *vectors))
@@ -111,6 +128,10 @@ def fit_many(
             (split, c): table.select("label", "weight", F.col(f"x{i}").alias("x")).repartition(parts[split]) for i, c in enumerate(kinds)
         }
 
+    if together:
+        values = {s: {c: _value(c, fills[s]) for c in fills[s]} for s in tables}
+        return boosting.fit_together(tables, values, fits, weights, parts, y), fills
+
     def fit(spec: Fit) -> GBTClassificationModel:
         trees = GBTClassifier(
             featuresCol="x", labelCol="label", weightCol="weight", maxIter=spec.trees, maxDepth=spec.depth, maxBins=spec.bins,
@@ -123,13 +144,17 @@ def fit_many(
 
 
 def score_many(
-    tests: Mapping[str, DataFrame], fits: Sequence[Fit], models: Sequence[GBTClassificationModel],
+    tests: Mapping[str, DataFrame], fits: Sequence[Fit], models: Sequence[GBTClassificationModel] | Sequence[boosting.Boosted],
     fills: Mapping[str, dict], y: str = "y", keep: Sequence[str] = (),
 ) -> DataFrame:
     """Every test row under every fit, in one pass a split: ``fit``, ``seed``, ``split``, ``y``, ``score`` and ``keep``."""
     out = []
     for split in dict.fromkeys(f.split for f in fits):
         mine = [(f, m) for f, m in zip(fits, models) if f.split == split]
+        if isinstance(mine[0][1], boosting.Boosted):
+            values = {c: _value(c, fills[split]) for c in fills[split]}
+            out.append(boosting.score_together(tests[split], values, *zip(*mine), y, keep))
+            continue
         kinds = list(dict.fromkeys(f.columns for f, _ in mine))
         rows = tests[split].select(
             F.col(y).cast("int").alias("y"), *keep, *[_vector(c, fills[split]).alias(f"x{i}") for i, c in enumerate(kinds)]
