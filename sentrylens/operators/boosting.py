@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +64,11 @@ class Boosted:
     leaf: np.ndarray
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        out = np.zeros(bins.shape[1])
-        rows = np.arange(bins.shape[1])
-        for m in range(len(self.leaf)):
-            out += _step(m) * self.leaf[m].take(_places(bins, rows, self.feature[m], self.bin[m], self.leaf.shape[1].bit_length() - 1))
+        n, depth = bins.shape[1], self.leaf.shape[1].bit_length() - 1
+        out, rows, new = np.zeros(n), np.arange(n), Scratch(n)
+        for m, leaf in enumerate(self.leaf):
+            at = _places(bins, rows, self.feature[m], self.bin[m], depth, new)
+            out += _taken(_step(m) * leaf, at, new("score", np.float64, n))
         return out
 
 
@@ -142,15 +143,36 @@ def _packed(split: str, layout: Layout, train: DataFrame, values: Mapping[str, C
     return rows.repartition(parts).mapInArrow(pack, "part binary").rdd.map(lambda r: pickle.loads(r[0]))
 
 
-def _places(bins: np.ndarray, rows: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
+class Scratch:
+    """Arrays that the steps over a part's rows write to: new ones for each step cost several times the step."""
+
+    def __init__(self, rows: int):
+        self.rows, self.arrays = rows, {}
+
+    def __call__(self, name: str, kind: type, n: int) -> np.ndarray:
+        if name not in self.arrays:
+            self.arrays[name] = np.empty(self.rows, dtype=kind)
+        return self.arrays[name][:n]
+
+
+def _taken(source: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    return source.take(at, out=out, mode="clip")  # the other modes would go through a copy; all places exist
+
+
+def _places(bins: np.ndarray, rows: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int, new: Scratch) -> np.ndarray:
     """The place of rows in the level ``depth`` of a tree."""
-    flat, at = bins.reshape(-1), np.zeros(len(rows), dtype=np.int64)
+    n, flat = len(rows), bins.reshape(-1)
+    at, cell, right = new("at", np.int64, n), new("cell", np.int64, n), new("right", np.bool_, n)
+    mine, limit = new("mine", np.uint8, n), new("limit", np.uint8, n)
+    at[:] = 0
     offset = feature.astype(np.int64) * bins.shape[1]
     for k in range(depth):
         level = slice(2**k - 1, 2 ** (k + 1) - 1)
-        right = flat.take(offset[level].take(at) + rows) > cut[level].take(at)
-        at += at
-        at += right
+        _taken(offset[level], at, cell)
+        np.add(cell, rows, out=cell)
+        np.greater(_taken(flat, cell, mine), _taken(cut[level], at, limit), out=right)
+        np.add(at, at, out=at)
+        np.add(at, right, out=at)
     return at
 
 
@@ -163,44 +185,49 @@ def _drawn(item: dict, seed: int, tree: int, share: float) -> np.ndarray:
     return np.flatnonzero(draws < round(share * (1 << 16)))
 
 
-def _histograms(item: dict, plan: dict, tree: int, level: int, grown: list, wanted: list) -> Iterator[tuple[int, np.ndarray]]:
-    """Of every kind of fits: weights and weighted residuals by wanted node and bin, one fit behind the other."""
+def _histograms(item: dict, plan: Broadcast, tree: int, level: int, grown: list, wanted: list) -> Iterator[tuple[int, np.ndarray]]:
+    """Of every kind of fits: benign rows, attack rows and weighted residuals by wanted node and bin, one fit behind the other."""
+    plan = plan.value
     layout: Layout = plan["layouts"][item["split"]]
-    sign = np.where(item["y"], 1.0, -1.0)
-    weight = np.where(item["y"], layout.weights[1], layout.weights[0])
-    draws: dict = {}
+    sign = np.where(item["y"], np.float32(2), np.float32(-2))
+    signed = np.where(item["y"], layout.weights[1], -layout.weights[0]) * (4 if tree else 1)
+    codes = 2 * item["codes"].astype(np.int64) + item["y"]
+    new, draws = Scratch(len(sign)), {}
     for no, kind in enumerate(plan["kinds"]):
         if kind.split != item["split"]:
             continue
-        out = np.zeros((sum(int(wanted[j].max(initial=-1)) + 1 for j in kind.fits), 2, kind.width))
+        out = np.zeros((sum(int(wanted[j].max(initial=-1)) + 1 for j in kind.fits), 3, kind.width))
         lo = 0
         for j in kind.fits:
             slots = int(wanted[j].max(initial=-1)) + 1
             if not slots:
                 continue
-            seed, share = plan["draws"][j]
-            if (seed, share) not in draws:
-                draws[seed, share] = _drawn(item, seed, tree, share)
-            rows = draws[seed, share]
-            slot = None
+            if (drawn := plan["draws"][j]) not in draws:
+                draws[drawn] = _drawn(item, drawn[0], tree, drawn[1])
+            rows = draws[drawn]
             if level:
-                slot = wanted[j].take(_places(item["bins"], rows, *grown[j], level))
-                pick = np.flatnonzero(slot >= 0)
-                rows, slot = rows[pick], slot[pick]
-            w, r = weight.take(rows), sign.take(rows)
-            if tree:
-                m = item["margins"][plan["row"][j]].take(rows)
-                r = 4 * r / (1 + np.exp(2 * r * m))
-            r *= w
+                slot = _taken(wanted[j], _places(item["bins"], rows, *grown[j], level, new), new("cell", np.int64, len(rows)))
+                pick = np.flatnonzero(np.greater_equal(slot, 0, out=new("right", np.bool_, len(rows))))
+                slot = _taken(slot, pick, new("slot", np.int64, len(pick)))
+                rows = _taken(rows, pick, new("rows", np.int64, len(pick)))
+            n = len(rows)
+            r = _taken(signed, rows, new("r", np.float64, n))
+            if tree:  # the residual 4 t / (1 + exp(2 t margin)), with its weight
+                e = _taken(sign, rows, new("e", np.float32, n))
+                np.multiply(e, _taken(item["margins"][plan["row"][j]], rows, new("m", np.float32, n)), out=e)
+                np.exp(e, out=e)
+                np.add(e, 1, out=e)
+                np.divide(r, e, out=r)
             start = 0
             for b in kind.bundles:
                 sizes = layout.sizes(layout.bundles[b])
-                cells = int(np.prod(sizes))
-                at = item["codes"][b].take(rows).astype(np.int64)
+                cells = 2 * int(np.prod(sizes))
+                at = _taken(codes[b], rows, new("at", np.int64, n))
                 if slots > 1:
-                    at += slot * cells
-                for i, x in enumerate((w, r)):
-                    joint = np.bincount(at, x, slots * cells).reshape(slots, *sizes)
+                    np.add(at, np.multiply(slot, cells, out=new("cell", np.int64, n)), out=at)
+                counts = np.bincount(at, minlength=slots * cells).reshape(slots, *sizes, 2)
+                sums = np.bincount(at, r, slots * cells).reshape(slots, *sizes, 2).sum(axis=-1)
+                for i, joint in enumerate((counts[..., 0], counts[..., 1], sums)):
                     place = start
                     for axis, size in enumerate(sizes, 1):
                         others = tuple(k for k in range(1, joint.ndim) if k != axis)
@@ -211,31 +238,35 @@ def _histograms(item: dict, plan: dict, tree: int, level: int, grown: list, want
         yield no, out
 
 
-def _moved(item: dict, plan: dict, tree: int, grown: list, leaves: list) -> dict:
+def _moved(item: dict, plan: Broadcast, tree: int, grown: list, leaves: list) -> dict:
     """A part after a tree: its margins."""
+    plan = plan.value
     mine = [j for k in plan["kinds"] if k.split == item["split"] for j in k.fits]
     n = len(item["y"])
-    before, rows = item.get("margins"), np.arange(n)
+    before, rows, new = item.get("margins"), np.arange(n), Scratch(n)
     out = np.zeros((len(mine), n), dtype=np.float32) if before is None else before.copy()
     depth = leaves[0].shape[0].bit_length() - 1
     for j in mine:
-        out[plan["row"][j]] += (_step(tree) * leaves[j]).astype(np.float32).take(_places(item["bins"], rows, *grown[j], depth))
+        at = _places(item["bins"], rows, *grown[j], depth, new)
+        out[plan["row"][j]] += _taken(np.float32(_step(tree)) * leaves[j], at, new("m", np.float32, n))
     return item | {"margins": out}
 
 
-def _best(h: np.ndarray, kind: Kind, least: float) -> tuple[np.ndarray, ...]:
-    """Of nodes: the gain of the best split, its place in ``kind.columns``, its bin, and the sums (weight, residual) of the left side."""
+def _best(h: np.ndarray, kind: Kind, weights: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """Of nodes: the gain of the best split, its place in ``kind.columns``, its bin, the sums (benign rows, attack rows, weight, residual)
+    of the left side, and of both."""
     starts = np.array(kind.starts)
     column = np.searchsorted(starts, np.arange(kind.width), "right") - 1
+    h = np.stack([h[:, 0], h[:, 1], h[:, 0] * weights[0] + h[:, 1] * weights[1], h[:, 2]], axis=1)
     total = h[:, :, : (*kind.starts, kind.width)[1]].sum(axis=2, keepdims=True)
     run = np.cumsum(h, axis=2)
     base = np.concatenate([np.zeros((*h.shape[:2], 1)), run], axis=2)[:, :, starts]
     left = run - base[:, :, column]
     right = total - left
-    ok = (left[:, 0] > least) & (right[:, 0] > least)
+    ok = (left[:, 0] + left[:, 1] > 0.5) & (right[:, 0] + right[:, 1] > 0.5)
     ok[:, [*(starts[1:] - 1), kind.width - 1]] = False
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = left[:, 1] ** 2 / left[:, 0] + right[:, 1] ** 2 / right[:, 0] - total[:, 1] ** 2 / total[:, 0]
+        gain = left[:, 3] ** 2 / left[:, 2] + right[:, 3] ** 2 / right[:, 2] - total[:, 3] ** 2 / total[:, 2]
     gain = np.where(ok, gain, -np.inf)
     at = gain.argmax(axis=1)
     row = np.arange(len(h))
@@ -262,14 +293,16 @@ def fit_together(
         kinds += _kinds(split, layout[split], names, mine)
         packed.append(_packed(split, layout[split], train, values[split], y, parts[split]))
     row = {j: i for split in trains for i, j in enumerate(j for k in kinds if k.split == split for j in k.fits)}
-    plan = {"layouts": layout, "kinds": kinds, "row": row, "draws": [(f.seed, f.subsample) for f in fits]}
+    plan = spark.sparkContext.broadcast(
+        {"layouts": layout, "kinds": kinds, "row": row, "draws": [(f.seed, f.subsample) for f in fits]}
+    )  # what the steps of all trees carry along is kept small
     # an item of its own for each part: a part that is lost is read from the checkpoint again and moved on, tree by tree
     state = spark.sparkContext.union(packed).mapPartitionsWithIndex(lambda i, items: (x | {"no": i} for x in items))
     state = state.persist(StorageLevel.MEMORY_AND_DISK)
     state.checkpoint()
     state.count()
     n_parts = state.getNumPartitions()
-    feature, cut = (np.zeros((len(fits), trees, 2**depth - 1), dtype=np.int64) for _ in range(2))
+    feature, cut = (np.zeros((len(fits), trees, 2**depth - 1), dtype=kind) for kind in (np.int32, np.uint8))
     leaf = np.zeros((len(fits), trees, 2**depth))
     older = None
     for m in range(trees):
@@ -281,7 +314,7 @@ def fit_together(
         for level in range(depth):
             grown = [(feature[j, m], cut[j, m]) for j in range(len(fits))]
             found = state.mapPartitions(lambda items, a=(plan, m, level, grown, wanted): (h for x in items for h in _histograms(x, *a)))
-            size = n_parts * 16 * sum(k.width * sum(int(wanted[j].max(initial=-1)) + 1 for j in k.fits) for k in kinds)
+            size = n_parts * 24 * sum(k.width * sum(int(wanted[j].max(initial=-1)) + 1 for j in k.fits) for k in kinds)
             if size > DIRECT_BYTES * len(trains):
                 found, shuffled = found.reduceByKey(np.add, min(n_parts, len(kinds))), True
             sums: dict[int, np.ndarray] = {}
@@ -298,19 +331,19 @@ def fit_together(
                     deeper[list(kind.fits), ::2] = value[list(kind.fits)]
                     continue
                 h, owner, place = nodes
-                gain, column, at, left, total = _best(h, kind, 0.5 * min(layout[kind.split].weights))
-                split_here = gain > 1e-9 * np.maximum(total[:, 0], 1)
+                gain, column, at, left, total = _best(h, kind, layout[kind.split].weights)
+                split_here = gain > 1e-9 * np.maximum(total[:, 2], 1)
                 j, p = owner, place
                 if level == 0:
-                    value[j, 0] = total[:, 1] / np.maximum(total[:, 0], 1e-300)
+                    value[j, 0] = total[:, 3] / np.maximum(total[:, 2], 1e-300)
                 deeper[list(kind.fits), ::2] = value[list(kind.fits)]
                 s = np.flatnonzero(split_here)
                 feature[j[s], m, 2**level - 1 + p[s]] = np.array(kind.columns)[column[s]]
                 cut[j[s], m, 2**level - 1 + p[s]] = at[s]
                 right = total - left
-                deeper[j[s], 2 * p[s]] = left[s, 1] / left[s, 0]
-                deeper[j[s], 2 * p[s] + 1] = right[s, 1] / right[s, 0]
-                smaller = (right[:, 0] < left[:, 0]).astype(int)
+                deeper[j[s], 2 * p[s]] = left[s, 3] / left[s, 2]
+                deeper[j[s], 2 * p[s] + 1] = right[s, 3] / right[s, 2]
+                smaller = (right[:, :2].sum(axis=1) < left[:, :2].sum(axis=1)).astype(int)
                 for f in kind.fits:
                     mine = s[j[s] == f]
                     following[f][2 * p[mine] + smaller[mine]] = np.arange(len(mine))
@@ -318,7 +351,7 @@ def fit_together(
             wanted, value = following, deeper
         leaf[:, m] = value
         if m + 1 < trees:
-            grown, leaves = [(feature[j, m].copy(), cut[j, m].copy()) for j in range(len(fits))], list(leaf[:, m].copy())
+            grown, leaves = [(feature[j, m].copy(), cut[j, m].copy()) for j in range(len(fits))], list(leaf[:, m].astype(np.float32))
             older = state
             state = state.map(lambda x, a=(plan, m, grown, leaves): _moved(x, *a)).persist(StorageLevel.MEMORY_AND_DISK)
         if shuffled:
