@@ -181,7 +181,7 @@ def _drawn(item: dict, seed: int, tree: int, share: float) -> np.ndarray:
     n = len(item["y"])
     if share >= 1:
         return np.arange(n)
-    draws = np.random.Generator(np.random.PCG64([seed, tree, item["no"]])).integers(0, 1 << 16, n, dtype=np.uint16)
+    draws = np.random.Generator(np.random.PCG64([seed % 2**64, tree, item["no"]])).integers(0, 1 << 16, n, dtype=np.uint16)
     return np.flatnonzero(draws < round(share * (1 << 16)))
 
 
