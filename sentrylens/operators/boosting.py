@@ -21,6 +21,8 @@ from sentrylens.session import checkpoint_dir
 
 #: Cells of columns whose bins are counted together, and bytes of histograms that the driver adds up itself in a pass.
 BUNDLE_CELLS, DIRECT_BYTES = 1024, 64_000_000
+#: Quantiles of a class from which those of all rows are put together.
+FINE = 1000
 RATE = 0.1
 
 
@@ -76,12 +78,22 @@ def _step(tree: int) -> float:
     return RATE if tree else 1.0
 
 
+def _quantiles(classes: Sequence[list[float] | None], weights: Sequence[float], bins: int) -> np.ndarray:
+    """Cuts that deal the weight of all classes evenly, from the quantiles and the whole weight of each."""
+    known = [(np.array(q), w / len(q)) for q, w in zip(classes, weights) if q]
+    value, weight = np.concatenate([q for q, _ in known]), np.concatenate([np.full(len(q), w) for q, w in known])
+    order = np.argsort(value, kind="stable")
+    below = np.cumsum(weight[order])
+    return np.unique(value[order][np.searchsorted(below, below[-1] * np.arange(1, bins) / bins)])
+
+
 def layouts(
-    train: DataFrame, values: Mapping[str, Column], kinds: Sequence[Sequence[str]], bins: int, weights: tuple[float, float]
+    train: DataFrame, values: Mapping[str, Column], kinds: Sequence[Sequence[str]], bins: int, weights: tuple[float, float], y: str
 ) -> Layout:
-    """Cuts between the values of a column that has up to ``bins`` of them, else at quantiles."""
+    """Cuts between the values of a column that has up to ``bins`` of them, else at quantiles of the weighted rows."""
     columns = tuple(values)
     rows = train.select(*[v.alias(c) for c, v in values.items()])
+    attack = F.coalesce(F.col(y) == 1, F.lit(False))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [np.zeros(0)] * len(columns)
@@ -94,12 +106,16 @@ def layouts(
     for r in rows.mapInArrow(found, "place int, value double").distinct().collect():
         distinct[r["place"]].append(r["value"])
     many = [c for c, v in zip(columns, distinct) if len(v) > bins]
-    shares = [i / bins for i in range(1, bins)]
-    at = rows.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in many]).first() if many else {}
+    fine = [(i + 0.5) / FINE for i in range(FINE)]
+    at = train.agg(
+        *[F.count_if(attack == k) for k in (False, True)],
+        *[F.percentile_approx(F.when(attack == k, values[c]), fine, 10_000) for c in many for k in (False, True)],
+    ).first() if many else ()
     cuts = []
     for c, v in zip(columns, distinct):
         v = np.unique(v)
-        cuts.append(np.unique(at[c]) if c in many else (v[1:] + v[:-1]) / 2)
+        place = 2 + 2 * many.index(c) if c in many else None
+        cuts.append(_quantiles(at[place : place + 2], np.array(at[:2]) * weights, bins) if c in many else (v[1:] + v[:-1]) / 2)
     bundles: list[list[int]] = []
     for shared in dict.fromkeys(tuple(c in k for k in kinds) for c in columns):
         mine = sorted((i for i, c in enumerate(columns) if tuple(c in k for k in kinds) == shared), key=lambda i: len(cuts[i]))
@@ -289,7 +305,7 @@ def fit_together(
     for split, train in trains.items():
         mine = [j for j, f in enumerate(fits) if f.split == split]
         names = [fits[j].columns for j in mine]
-        layout[split] = layouts(train, values[split], list(dict.fromkeys(names)), bins, weights[split])
+        layout[split] = layouts(train, values[split], list(dict.fromkeys(names)), bins, weights[split], y)
         kinds += _kinds(split, layout[split], names, mine)
         packed.append(_packed(split, layout[split], train, values[split], y, parts[split]))
     row = {j: i for split in trains for i, j in enumerate(j for k in kinds if k.split == split for j in k.fits)}

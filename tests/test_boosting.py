@@ -56,3 +56,11 @@ def test_many_fits_take_a_job_for_each_level_not_for_each_fit(spark):
         drawn = {m.leaf.tobytes() for m in fitted}
         assert len(drawn) > len(fits) // 2  # seeds draw other rows
     assert jobs[0] == jobs[1] < 60
+
+
+def test_cuts_of_many_values_deal_the_weight_evenly(spark):
+    rows = spark.range(10_000).select(F.col("id").cast("double").alias("a"), (F.col("id") >= 9_000).cast("int").alias("y"))
+    layout = boosting.layouts(rows, {"a": F.col("a")}, [("a",)], 64, (1.0, 9.0), "y")
+    cuts = layout.cuts[0]
+    assert len(cuts) == 63 and abs((cuts >= 9_000).sum() - 32) <= 1
+    assert cuts[0] == pytest.approx(281, abs=15) and cuts[-1] == pytest.approx(9_969, abs=5)
